@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import documents
+from . import language_id, quality_classifier
 from .exact_dedup import duplicate_groups
 
 
@@ -16,11 +17,35 @@ def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return groups.select(F.col("id").alias("doc_id"), "keep_id", "group_size", "kept", F.lower(F.hex("digest")).alias("text_sha256"))
 
 
+def held_out(parts: int, part: int) -> Column:
+    """Whether crc32 of the id as text leaves this remainder; false for a null id."""
+    return F.coalesce(F.crc32(F.col("doc_id").cast("string")) % parts == part, F.lit(False))
+
+
+def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir).select("doc_id", "text", "lang")
+    found = language_id.predict(docs, language_id.learn(docs.where(~held_out(4, 2))))
+    found = found.withColumnRenamed("id", "doc_id")
+    return found.select("doc_id", held_out(4, 2).alias("held_out"), F.col("nearest").alias("lang_pred"), "score", "rejected")
+
+
+def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir).select("doc_id", "text")
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "quality")
+    scorer = quality_classifier.learn(docs, labels.where(~held_out(3, 1)))
+    scored = quality_classifier.score(docs, scorer)
+    return scored.select(F.col("id").alias("doc_id"), "score").select("doc_id", held_out(3, 1).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 SQL_2 = r"""
 WITH t AS (SELECT doc_id, sha256(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g')) AS text_sha256 FROM documents)
 SELECT doc_id, min(doc_id) OVER (PARTITION BY text_sha256) AS keep_id, count(*) OVER (PARTITION BY text_sha256) AS group_size,
   row_number() OVER (PARTITION BY text_sha256 ORDER BY doc_id NULLS LAST) = 1 AS kept, text_sha256 FROM t
 """
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op2_exact_dedup": op2_exact_dedup}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_exact_dedup": op2_exact_dedup,
+    "op6_language_id": op6_language_id,
+    "op9_quality_classifier": op9_quality_classifier,
+}
 ORACLE_SQL: dict[str, str] = {"op2_exact_dedup": SQL_2}
