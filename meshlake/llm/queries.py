@@ -8,10 +8,14 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import documents
-from . import language_id, packing, quality_classifier
+from . import language_id, license_scan, mixing, packing, quality_classifier, quality_rules
 from .exact_dedup import duplicate_groups
 
 
+def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.scan(documents(spark, sf_dir).select("doc_id", "text")).select("doc_id", "n_matches", "best_license", "best_dice", "licenses")
+
+
 def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     groups = duplicate_groups(documents(spark, sf_dir))
     return groups.select(F.col("id").alias("doc_id"), "keep_id", "group_size", "kept", F.lower(F.hex("digest")).alias("text_sha256"))
@@ -39,6 +43,15 @@ def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", held_out(4, 2).alias("held_out"), F.col("nearest").alias("lang_pred"), "score", "rejected")
 
 
+def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = quality_rules.judge(documents(spark, sf_dir).select("doc_id", "text"))
+    return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "n_stop_words", "n_upper_words", "n_lines")
+
+
+def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(documents(spark, sf_dir)).drop("copies").withColumnRenamed("id", "doc_id")
+
+
 def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir).select("doc_id", "text")
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "quality")
@@ -47,16 +60,52 @@ def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select(F.col("id").alias("doc_id"), "score").select("doc_id", held_out(3, 1).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
+SQL_1 = r"""
+WITH templates AS (SELECT row_number() OVER () AS tid, license, text FROM (VALUES {values}) v(license, text)),
+norm AS (SELECT 'd' AS kind, doc_id AS id, regexp_replace(lower(coalesce(text, '')), '[^\p{{L}}\p{{N}}\n]+', ' ', 'g') AS x FROM documents
+  UNION ALL SELECT 't', tid, regexp_replace(lower(text), '[^\p{{L}}\p{{N}}\n]+', ' ', 'g') FROM templates),
+parts AS (SELECT kind, id, unnest(string_split(x, chr(10))) AS u FROM norm WHERE kind = 'd' UNION ALL SELECT kind, id, replace(unnest(regexp_split_to_array(x, '\n *\n')), chr(10), ' ') FROM norm WHERE kind = 'd' UNION ALL SELECT kind, id, replace(x, chr(10), ' ') FROM norm),
+units AS (SELECT DISTINCT kind, id, trim(regexp_replace(u, ' +', ' ', 'g')) AS u FROM parts),
+w AS (SELECT kind, id, u, string_split(u, ' ') AS w FROM units),
+b AS (SELECT kind, id, u, unnest(range(1, len(w))) AS i, unnest(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) AS g FROM w WHERE len(w) BETWEEN 2 AND 100),
+n AS (SELECT kind, id, u, g, row_number() OVER (PARTITION BY kind, id, u, g ORDER BY i) AS k, count(*) OVER (PARTITION BY kind, id, u) AS size FROM b),
+d AS (SELECT a.id AS doc_id, a.u, t.id AS tid, 2.0 * count(*) / (any_value(a.size) + any_value(t.size)) AS dice FROM n a JOIN n t ON a.kind = 'd' AND t.kind = 't' AND a.g = t.g AND a.k = t.k GROUP BY ALL),
+m AS (SELECT doc_id, u, license, dice::DOUBLE AS dice FROM d JOIN templates USING (tid) WHERE dice >= {threshold}),
+s AS (SELECT doc_id, count(DISTINCT u) AS n_matches, first(license ORDER BY dice DESC, license) AS best_license, max(dice) AS best_dice, string_agg(DISTINCT license, ',' ORDER BY license) AS licenses FROM m GROUP BY doc_id)
+SELECT doc_id, coalesce(n_matches, 0) AS n_matches, best_license, best_dice, coalesce(licenses, '') AS licenses FROM documents LEFT JOIN s USING (doc_id)
+""".format(values=", ".join(f"('{a}', '{b}')" for a, b in license_scan.TEMPLATES), threshold=license_scan.THRESHOLD)
+
 SQL_2 = r"""
 WITH t AS (SELECT doc_id, sha256(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g')) AS text_sha256 FROM documents)
 SELECT doc_id, min(doc_id) OVER (PARTITION BY text_sha256) AS keep_id, count(*) OVER (PARTITION BY text_sha256) AS group_size,
   row_number() OVER (PARTITION BY text_sha256 ORDER BY doc_id NULLS LAST) = 1 AS kept, text_sha256 FROM t
 """
 
+SQL_7 = r"""
+WITH t AS (SELECT doc_id, coalesce(text, '') AS x FROM documents),
+w AS (SELECT doc_id, x, regexp_extract_all(x, '[^\x20\x09-\x0D]+') AS w,
+  list_filter(string_split(x, chr(10)), lambda l: regexp_matches(l, '[^\x20\x09-\x0D]')) AS lines FROM t),
+g AS (SELECT doc_id, unnest(range(1, len(w) - 1)) AS i, unnest(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) AS gram FROM w WHERE len(w) >= 3),
+twice AS (SELECT doc_id, i FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, gram) AS n FROM g) WHERE n > 1),
+r AS (SELECT doc_id, count(DISTINCT i + k) AS n_repeat_words FROM twice, (SELECT unnest([0, 1, 2]) AS k) GROUP BY doc_id),
+m AS (SELECT doc_id, len(w) AS n_words, length(regexp_replace(x, '[\x20\x09-\x0D]+', '', 'g')) AS word_chars,
+  length(regexp_replace(x, '[^#*$%&|<>]+', '', 'g')) AS n_symbols, len(lines) AS n_lines, len(lines) - len(list_distinct(lines)) AS n_dup_lines, coalesce(n_repeat_words, 0) AS n_repeat_words,
+  len(list_filter(w, lambda v: list_contains(string_split('{stop}', ' '), lower(v)))) AS n_stop_words,
+  len(list_filter(w, lambda v: regexp_matches(v, '^[^a-z]*[A-Z]{{2}}[^a-z]*$'))) AS n_upper_words
+  FROM w LEFT JOIN r USING (doc_id)),
+b AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM m)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, n_stop_words, n_upper_words, n_lines,
+  NOT base_failed AND n_words <= 100000 AND word_chars / n_words BETWEEN 2 AND 12 AND n_symbols / word_chars <= 0.1 AND n_stop_words / n_words >= 0.03
+  AND CASE WHEN n_lines > 0 THEN n_dup_lines / n_lines ELSE 0 END <= 0.3 AND n_repeat_words / n_words <= 0.2 AND n_upper_words / n_words <= 0.3 AS kept FROM b
+""".format(stop=" ".join(quality_rules.STOP_WORDS)).replace("\\\\", "\\")
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_license_scan": op1_license_scan,
     "op2_exact_dedup": op2_exact_dedup,
     "op5_best_fit_packing": op5_best_fit_packing,
     "op6_language_id": op6_language_id,
+    "op7_quality_rules": op7_quality_rules,
+    "op8_mixing": op8_mixing,
     "op9_quality_classifier": op9_quality_classifier,
 }
-ORACLE_SQL: dict[str, str] = {"op2_exact_dedup": SQL_2}
+ORACLE_SQL: dict[str, str] = {"op1_license_scan": SQL_1, "op2_exact_dedup": SQL_2, "op7_quality_rules": SQL_7}
