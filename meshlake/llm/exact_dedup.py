@@ -18,102 +18,34 @@ are never read by `duplicate_groups` and are kept by `drop_duplicates`.
 
 from __future__ import annotations
 
-import math
-from collections.abc import Iterator
-
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE, free_name, text_or_empty, written
-
-#: Cells of a block of the filter; a row's cells all lie in one block.
-BLOCK = 1 << 16
-
+from .common import SPACE, text_or_empty, written
+from .repeats import join_groups, marked_repeats
 
 def text_digest(text: str):
     """SHA-256 of the text with each run of ASCII white space as one space."""
     return F.unhex(F.sha2(F.regexp_replace(text_or_empty(text), f"{SPACE}+", " "), 256))
 
 
-def _cells(digest, n_blocks: int) -> list:
-    """SQL expressions: block and the two different cells in it of a digest."""
-    word = lambda at, n: f"conv(hex(substring({digest}, {at}, {n})), 16, 10)"
-    block = f"cast({word(1, 4)} as bigint) % {n_blocks}"
-    one, two = f"cast({word(5, 2)} as int)", f"cast({word(7, 2)} as int)"
-    return [F.expr(block).alias("block"), F.expr(one).alias("one"), F.expr(f"case when {one} = {two} then {one} ^ 1 else {two} end").alias("two")]
-
-
-def _counted(once: np.ndarray, more: np.ndarray) -> tuple[bytes, bytes]:
-    seen = np.minimum(np.bincount(once, minlength=BLOCK) + 2 * np.bincount(more, minlength=BLOCK), 2)
-    return tuple(np.flatnonzero(seen == k).astype("<u2").tobytes() for k in (1, 2))
-
-
-def _count_cells(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Per task and block: the cells set once and those set more than once."""
-    parts = [(b.block.to_numpy(), b.one.to_numpy(), b.two.to_numpy()) for b in batches]
-    if not parts:
-        return
-    block, one, two = (np.concatenate(x) for x in zip(*parts))
-    order = np.argsort(block, kind="stable")
-    block, one, two = block[order], one[order], two[order]
-    names, starts = np.unique(block, return_index=True)
-    out = []
-    for name, a, b in zip(names, starts, [*starts[1:], len(block)]):
-        out.append((int(name), *_counted(np.concatenate([one[a:b], two[a:b]]), np.zeros(0, int))))
-    yield pd.DataFrame(out, columns=["block", "once", "more"])
-
-
-def _cell_arrays(pdf: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    return tuple(np.frombuffer(b"".join(pdf[c]), "<u2") for c in ("once", "more"))
-
-
-def _merge(pdf: pd.DataFrame) -> pd.DataFrame:
-    once, more = _counted(*_cell_arrays(pdf))
-    return pd.DataFrame({"block": [pdf.block.iloc[0]], "once": [once], "more": [more]})
-
-
-def _repeated(pdf: pd.DataFrame) -> pd.DataFrame:
-    _, more = _counted(*_cell_arrays(pdf))
-    bits = np.zeros(BLOCK, "u1")
-    bits[np.frombuffer(more, "<u2")] = 1
-    return pd.DataFrame({"block": [pdf.block.iloc[0]], "words": [np.packbits(bits, bitorder="little").view("<i8")]})
-
-
-def repeated_filter(digests: DataFrame, n_blocks: int, salts: int = 16) -> DataFrame:
-    """(block, words): bit sets of the cells that at least two rows set; merged in two levels so that no task gathers a block from all tasks at once."""
-    cells = "block long, once binary, more binary"
-    local = digests.select(*_cells("digest", n_blocks)).mapInPandas(_count_cells, cells)
-    merged = local.groupBy("block", (F.spark_partition_id() % salts).alias("salt")).applyInPandas(_merge, cells)
-    return merged.groupBy("block").applyInPandas(_repeated, "block long, words array<bigint>")
-
-
 def duplicate_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", bits_per_row: int = 16, max_bits: int = 1 << 28) -> DataFrame:
     """One row per row of df: id, keep_id, group_size, kept, digest (binary)."""
     digests = written(df.select(F.col(id_col).alias("id"), text_digest(text_col).alias("digest")))
-    rows = max(1, digests.count())
-    n_blocks = min(max_bits, 1 << math.ceil(math.log2(rows * bits_per_row))) // BLOCK or 1
-    repeated = written(repeated_filter(digests, n_blocks))
-    hit = lambda c: F.getbit(F.get("words", (F.col(c) / 64).cast("int")), F.col(c) % 64) == 1
-    probed = digests.select("id", "digest", *_cells("digest", n_blocks)).join(F.broadcast(repeated), "block", "left")
-    probed = probed.select("id", "digest", F.coalesce(hit("one") & hit("two"), F.lit(False)).alias("maybe"))
+    rows = digests.count()
+    probed = marked_repeats(digests, F.xxhash64("digest"), rows, bits_per_row, max_bits)
     once = probed.where(~F.col("maybe")).select("id", F.col("id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"), "digest")
-    found = probed.where("maybe").groupBy("digest", "id").agg(F.count("*").alias("n"))
+    found = written(probed.where("maybe").groupBy("digest", "id").agg(F.count("*").alias("n")))
     groups = found.groupBy("digest").agg(F.min("id").alias("keep_id"), F.sum("n").alias("group_size"))
-    several = found.join(groups, "digest").select("id", "keep_id", "group_size", F.explode(F.sequence(F.lit(1).cast("long"), "n")).alias("copy"), "digest")
+    several = join_groups(found, groups, "digest", "group_size", rows).select("id", "keep_id", "group_size", F.explode(F.sequence(F.lit(1).cast("long"), "n")).alias("copy"), "digest")
     return once.unionByName(several.select("id", "keep_id", "group_size", (F.col("id").eqNullSafe(F.col("keep_id")) & (F.col("copy") == 1)).alias("kept"), "digest"))
 
 
-def drop_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", **filter_sizes) -> DataFrame:
-    """The rows of df that stay, with all their columns. Rows that share text and id are one row here."""
-    digest = free_name(df, "digest")
-    groups = duplicate_groups(df, id_col, text_col, **filter_sizes)
-    gone = groups.where(~F.col("kept") & ~F.col("id").eqNullSafe(F.col("keep_id"))).select("id", F.col("digest").alias(digest)).distinct()
-    twice = groups.where(~F.col("kept") & F.col("id").eqNullSafe(F.col("keep_id"))).select("id", F.col("digest").alias(digest)).distinct()
-    marked = df.withColumn(digest, text_digest(text_col))
-    same = lambda other: marked[id_col].eqNullSafe(other["id"]) & (marked[digest] == other[digest])
-    rest = marked.join(gone, same(gone), "left_anti")
-    marked = rest
-    several = marked.join(twice, same(twice), "left_semi").dropDuplicates([digest])
-    return marked.join(twice, same(twice), "left_anti").unionByName(several).drop(digest)
+def drop_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", bits_per_row: int = 16, max_bits: int = 1 << 28) -> DataFrame:
+    """The rows of df that stay, with all their columns. Rows with a unique text pass straight through; only the others are joined with their groups."""
+    rows = df.select(F.struct("*").alias("row"), F.col(id_col).alias("id"), text_digest(text_col).alias("digest"))
+    marked = marked_repeats(rows, F.xxhash64("digest"), df.count(), bits_per_row, max_bits)
+    several = marked.where("maybe")
+    keep = several.groupBy("digest").agg(F.min("id").alias("keep_id"))
+    stay = several.join(keep.withColumnRenamed("digest", "d"), (F.col("digest") == F.col("d")) & F.col("id").eqNullSafe(F.col("keep_id")), "left_semi")
+    return marked.where("not maybe").select("row").unionByName(stay.dropDuplicates(["digest"]).select("row")).select("row.*")
