@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import documents
-from . import language_id, license_scan, mixing, packing, quality_classifier, quality_rules
+from . import language_id, license_scan, mixing, ngram_join, packing, quality_classifier, quality_rules
 from .exact_dedup import duplicate_groups
 
 
@@ -26,6 +26,10 @@ def held_out(parts: int, part: int) -> Column:
     return F.coalesce(F.crc32(F.col("doc_id").cast("string")) % parts == part, F.lit(False))
 
 
+def op4_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.linked(documents(spark, sf_dir), size=3, percent=90).withColumnRenamed("id", "doc_id")
+
+
 def tokenizer_path() -> str:
     import public_tokenizers
 
@@ -102,6 +106,7 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_license_scan": op1_license_scan,
     "op2_exact_dedup": op2_exact_dedup,
+    "op4_ngram_join": op4_ngram_join,
     "op5_best_fit_packing": op5_best_fit_packing,
     "op6_language_id": op6_language_id,
     "op7_quality_rules": op7_quality_rules,
