@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import documents
-from . import language_id, license_scan, mixing, ngram_join, packing, quality_classifier, quality_rules
+from . import language_id, license_scan, mixing, ngram_join, packing, quality_classifier, quality_rules, suffix_dedup
 from .exact_dedup import duplicate_groups
 
 
@@ -26,6 +26,11 @@ def held_out(parts: int, part: int) -> Column:
     return F.coalesce(F.crc32(F.col("doc_id").cast("string")) % parts == part, F.lit(False))
 
 
+def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = suffix_dedup.remove_repeats(documents(spark, sf_dir), digest=True)
+    return kept.select(F.col("id").alias("doc_id"), "n_bytes", "n_removed", "n_spans", F.lower(F.hex("kept")).alias("kept_sha256"))
+
+
 def op4_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.linked(documents(spark, sf_dir), size=3, percent=90).withColumnRenamed("id", "doc_id")
 
@@ -106,6 +111,7 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_license_scan": op1_license_scan,
     "op2_exact_dedup": op2_exact_dedup,
+    "op3_suffix_dedup": op3_suffix_dedup,
     "op4_ngram_join": op4_ngram_join,
     "op5_best_fit_packing": op5_best_fit_packing,
     "op6_language_id": op6_language_id,
