@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents
-from . import language_id, license_scan, mixing, ngram_join, packing, quality_classifier, quality_rules, suffix_dedup
+from .common import documents, shared_dir, written
+from . import language_id, license_scan, mixing, ngram_join, packing, quality_classifier, quality_rules, suffix_dedup, warc
 from .exact_dedup import duplicate_groups
 
 
@@ -69,6 +70,16 @@ def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select(F.col("id").alias("doc_id"), "score").select("doc_id", held_out(3, 1).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
+def op10_warc_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pages as WARC files, read back and audited against the pages' own records."""
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
+    found = warc.records(pages)
+    path = f"{shared_dir(spark).rstrip('/')}/warc-{uuid.uuid4().hex}"
+    warc.write_files(found, path)
+    audited = warc.audit(written(warc.manifest(found)), written(warc.read_files(spark, path)))
+    return audited.withColumnRenamed("id", "page_id")
+
+
 SQL_1 = r"""
 WITH templates AS (SELECT row_number() OVER () AS tid, license, text FROM (VALUES {values}) v(license, text)),
 norm AS (SELECT 'd' AS kind, doc_id AS id, regexp_replace(lower(coalesce(text, '')), '[^\p{{L}}\p{{N}}\n]+', ' ', 'g') AS x FROM documents
@@ -108,6 +119,16 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
   AND CASE WHEN n_lines > 0 THEN n_dup_lines / n_lines ELSE 0 END <= 0.3 AND n_repeat_words / n_words <= 0.2 AND n_upper_words / n_words <= 0.3 AS kept FROM b
 """.format(stop=" ".join(quality_rules.STOP_WORDS)).replace("\\\\", "\\")
 
+SQL_10 = r"""
+WITH r AS (SELECT coalesce(page_id, -1) AS page_id, concat_ws(chr(13) || chr(10), 'WARC/1.1', 'WARC-Type: resource', 'WARC-Record-ID: <urn:page:' || coalesce(page_id, -1) || '>',
+  'WARC-Date: 1970-01-01T00:00:00Z', 'WARC-Target-URI: ' || url, 'Content-Type: text/html', 'Content-Length: ' || strlen(coalesce(html, '')))
+  || chr(13) || chr(10) || chr(13) || chr(10) || coalesce(html, '') AS record FROM pages),
+n AS (SELECT greatest(1, ceil(coalesce(sum(strlen(record)), 0) / 16777216))::BIGINT AS files FROM r),
+f AS (SELECT page_id, sha256(record) AS sha256, strlen(record) + 4 AS length, ('0x' || substr(sha256(page_id::VARCHAR), 1, 8))::BIGINT % files AS file FROM r, n)
+SELECT file, coalesce(sum(length) OVER (PARTITION BY file ORDER BY page_id, sha256 ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS "offset", page_id,
+  row_number() OVER (PARTITION BY file, page_id ORDER BY sha256) AS copy, length, sha256, 'ok' AS status FROM f
+"""
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_license_scan": op1_license_scan,
     "op2_exact_dedup": op2_exact_dedup,
@@ -118,5 +139,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_quality_rules": op7_quality_rules,
     "op8_mixing": op8_mixing,
     "op9_quality_classifier": op9_quality_classifier,
+    "op10_warc_audit": op10_warc_audit,
 }
-ORACLE_SQL: dict[str, str] = {"op1_license_scan": SQL_1, "op2_exact_dedup": SQL_2, "op7_quality_rules": SQL_7}
+ORACLE_SQL: dict[str, str] = {"op1_license_scan": SQL_1, "op2_exact_dedup": SQL_2, "op7_quality_rules": SQL_7, "op10_warc_audit": SQL_10}
