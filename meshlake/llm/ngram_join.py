@@ -9,10 +9,12 @@ A set of n shingles can only link with another if both have a shingle in common
 among their first n - ceil(percent n / 100) + 1 ones, whatever order all
 shingles are put in. So:
 
-1. Frequent shingles are counted; a bounded list of the most frequent ones goes
-   to the end of every order. The orders differ in how they place the others.
-2. First-order prefix shingles that a Bloom filter finds repeated join classes;
-   what they connect, a cluster, is a superset of any linked group.
+1. The first order begins with a fixed quarter of all shingles (by hash), by
+   document frequency, which is counted exactly up to CAP; the others follow by
+   hash. The other orders are by hash alone.
+2. Shingles of first-order prefixes join the classes that have them; what they
+   connect, a cluster, is a superset of any linked group. A shingle known to be
+   in one document only joins nothing and is not sent.
 3. Clusters are cut into blocks, and every pair of blocks is one task's work.
    There a pair of classes must share a prefix shingle in every order; only such
    pairs are verified by their exact intersection. A task returns a spanning
@@ -36,9 +38,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .blocks import BLOCKS, block_rows, by_bucket, doc_bucket, numbers_of, packed, planes, runs_of, sent_texts, texts_of, unpacked
 from .common import text_or_empty, written
 from .components import components
-from .repeats import join_groups, marked_repeats
+from .repeats import join_groups
 from .textbytes import BASE, LOWER, chunks, mix, prefix_hashes, span_hashes, words
 
 #: Multipliers that put the shingles of one frequency into different orders.
@@ -83,86 +86,144 @@ def prefix_length(n, percent: int):
     return n - (n * percent + 99) // 100 + 1
 
 
-def prefix(grams: np.ndarray, frequent: tuple[np.ndarray, np.ndarray], order: int, percent: int) -> np.ndarray:
-    """The first shingles of the set in a global order: by frequency, then by a hash of the shingle."""
-    key = grams * np.uint64(order) if order != 1 else grams
-    names, ranks = frequent
-    if len(names):
-        at = np.minimum(np.searchsorted(names, grams), len(names) - 1)
-        rank = np.where(names[at] == grams, ranks[at], 0)
-        if rank.any():
-            return grams[np.lexsort((key, rank))[: prefix_length(len(grams), percent)]]
+def prefix(grams: np.ndarray, order: int, percent: int) -> np.ndarray:
+    """The first shingles of the set in an order by a hash."""
     n = prefix_length(len(grams), percent)
-    return grams[np.argpartition(key, n - 1)[:n]] if n < len(grams) else grams
-
-
-def _count_frequent(held: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    names, counts = np.unique(np.concatenate(held), return_counts=True)
-    keep = counts >= 8
-    return names[keep].view(np.int64), counts[keep]
-
-
-def measured(docs: DataFrame, size: int) -> DataFrame:
-    """(id, n, sig) of every document, and (shingle, seen): local counts of shingles that many documents near each other have. Written, from one pass over the texts."""
-
-    def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["id", "n", "sig", "shingle", "seen"]
+    return grams[np.argpartition(grams * np.uint64(order), n - 1)[:n]] if n < len(grams) else grams
+
+
+#: Shingles with this bit pattern come first in the first order, by document frequency; only theirs is counted.
+COUNTED = np.uint64(3)
+#: Frequencies from this one on rank alike.
+CAP = 16
+#: Shingles that a task holds before it sends them.
+HELD = 2_000_000
+
+
+def _sent_shingles(size: int, n: int):
+    """Blocks of counted shingles by hash range. A task sends a shingle with its documents, or, once it has CAP of them, only that it has; these documents' ranks pass through the next step."""
+
+    def flush(ids, tokens):
+        order = np.argsort(tokens, kind="stable")
+        tokens, ids = tokens[order], ids[order]
+        starts = np.flatnonzero(np.concatenate([[True], tokens[1:] != tokens[:-1]]))
+        counts = np.diff(np.append(starts, len(tokens)))
+        many = np.repeat(counts >= CAP, counts)
+        known = tokens[starts[counts >= CAP]]
+        bucket = lambda t: (t * np.uint64(n) >> np.uint64(48)).astype(np.int64)
+        out = [(b, packed("full", known[i])) for b, i in by_bucket(bucket(known))] if len(known) else []
+        ids, tokens, own, full = ids[~many], tokens[~many], ids[many], tokens[many]
+        for b, i in by_bucket(bucket(tokens)) if len(tokens) else ():
+            names, which = np.unique(ids[i], return_inverse=True)
+            out.append((b, packed("shingles", planes(np.diff(tokens[i], prepend=np.uint64(0))), planes(np.diff(names, prepend=0)), which.astype(np.uint32))))
+        for b, i in by_bucket(doc_bucket(own, n)) if len(own) else ():
+            out.append((b, packed("known", own[i], full[i], np.full(len(i), CAP, np.uint8))))
+        return block_rows(out)
+
+    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, many = [], 0
-
-        def frequent():
-            shingle, seen = _count_frequent(held)
-            none = pa.nulls(len(shingle))
-            return pa.RecordBatch.from_arrays([none.cast(pa.int64()), none.cast(pa.int64()), none.cast(pa.binary()), pa.array(shingle), pa.array(seen)], names)
-
         for batch in batches:
+            ids = batch.column("id").to_numpy()
             for a, b, data, offsets in chunks(batch, "text"):
                 sets = shingle_sets(data, offsets, size)
-                none = pa.nulls(b - a).cast(pa.int64())
-                sigs = pa.array([signature(s) if len(s) else None for s in sets], pa.binary())
-                yield pa.RecordBatch.from_arrays([batch.column("id").slice(a, b - a), pa.array([len(s) for s in sets], pa.int64()), sigs, none, none], names)
-                held += sets
-                many += sum(map(len, sets))
-                if many >= COUNTED:
-                    yield frequent()
+                tokens = np.concatenate(sets)
+                use = (tokens & COUNTED) == 0
+                held.append((np.repeat(ids[a:b], [len(s) for s in sets])[use], tokens[use] >> np.uint64(16)))
+                many += int(use.sum())
+                if many >= HELD:
+                    yield flush(*map(np.concatenate, zip(*held)))
                     held, many = [], 0
-        if held:
-            yield frequent()
-
-    return written(docs.mapInArrow(measure, "id bigint, n bigint, sig binary, shingle bigint, seen bigint"))
-
-
-def _frequent_list(found: DataFrame, most: int) -> tuple[np.ndarray, np.ndarray]:
-    """The most frequent shingles, at most `most` of them, sorted by hash, and their counts."""
-    top = found.where("shingle is not null").groupBy("shingle").agg(F.sum("seen").alias("seen")).orderBy(F.col("seen").desc(), "shingle").limit(most).toPandas()
-    names = top.shingle.to_numpy(np.int64).view(np.uint64)
-    order = np.argsort(names)
-    return names[order], top.seen.to_numpy(np.int64)[order]
-
-
-def _postings(docs: DataFrame, size: int, percent: int, frequent) -> DataFrame:
-    """(token, sig): the first-order prefix of every document's set."""
-
-    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for _, _, data, offsets in chunks(batch, "text"):
-                sets = [s for s in shingle_sets(data, offsets, size) if len(s)]
-                if not sets:
-                    continue
-                tokens = [prefix(s, frequent.value, ORDERS[0], percent) for s in sets]
-                sizes = [len(t) for t in tokens]
-                sigs = np.repeat(np.array([np.frombuffer(signature(s), "V16")[0] for s in sets]), sizes)
-                ends = pa.py_buffer(np.arange(0, 16 * len(sigs) + 1, 16, dtype=np.int32))
-                column = pa.Array.from_buffers(pa.binary(), len(sigs), [None, ends, pa.py_buffer(sigs.tobytes())])
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(tokens).view(np.int64)), column], ["token", "sig"])
-
-    return docs.select("text").mapInArrow(emit, "token bigint, sig binary")
-
-
-def clusters(postings: DataFrame, max_bits: int) -> DataFrame:
-    """(node, root): classes connected by prefix shingles that they share."""
-    n = postings.count()
-    maybe = marked_repeats(postings, F.col("token"), n, 16, max_bits)
-    pairs = written(maybe.where("maybe").select("token", "sig").distinct())
+        if many:
+            yield flush(*map(np.concatenate, zip(*held)))
+
+    return send
+
+
+def _frequencies(n: int):
+    """For one hash range: blocks by document of (id, shingle, frequency up to CAP) of shingles that two rows or more have."""
+
+    def count(pdf: pd.DataFrame) -> pd.DataFrame:
+        out, tokens, ids, weights = [], [], [], []
+        for kind, *x in map(unpacked, pdf.payload):
+            if kind == "known":
+                out.append((int(pdf.bucket.iloc[0]), packed(*x)))
+            elif kind == "full":
+                tokens.append(x[0])
+                ids.append(np.zeros(len(x[0]), np.int64))
+                weights.append(np.full(len(x[0]), CAP, np.int64))
+            else:
+                tokens.append(np.cumsum(numbers_of(x[0])))
+                ids.append(np.cumsum(numbers_of(x[1]).view(np.int64))[x[2]])
+                weights.append(np.ones(len(tokens[-1]), np.int64))
+        if tokens:
+            token, of, weight = map(np.concatenate, (tokens, ids, weights))
+            order = np.argsort(token, kind="stable")
+            token, of, weight = token[order], of[order], weight[order]
+            starts = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1]]))
+            total = np.minimum(np.add.reduceat(weight, starts), CAP)
+            total = np.repeat(total, np.diff(np.append(starts, len(token))))
+            keep = np.flatnonzero((total > 1) & (weight < CAP))
+            for b, i in by_bucket(doc_bucket(of[keep], n)) if len(keep) else ():
+                i = keep[i]
+                out.append((b, packed(of[i], token[i], total[i].astype(np.uint8))))
+        return pd.DataFrame(out, columns=["bucket", "payload"])
+
+    return count
+
+
+def _first_order(grams: np.ndarray, tokens: np.ndarray, frequency: np.ndarray, percent: int) -> np.ndarray:
+    """The shingles of the first order's prefix that another document may have: all that are not known to be in one document only."""
+    rank = np.where((grams & COUNTED) == 0, 1, CAP + 1)
+    if len(tokens):
+        own = grams >> np.uint64(16)
+        at = np.minimum(np.searchsorted(tokens, own), len(tokens) - 1)
+        rank = np.where((tokens[at] == own) & (rank == 1), frequency[at], rank)
+    first = np.lexsort((grams, rank))[: prefix_length(len(grams), percent)]
+    return grams[first[rank[first] > 1]]
+
+
+MEASURED = "id bigint, n bigint, sig binary, tokens array<bigint>, grams binary"
+
+
+def _measured(size: int, percent: int):
+    """For one bucket of documents: their sizes, signatures, first-order prefixes, and the sets of those that may link."""
+
+    def measure(key, docs: pd.DataFrame, found: pd.DataFrame) -> pd.DataFrame:
+        rows = []
+        if len(docs):
+            ids, offsets, data = texts_of(docs.payload)
+            of = token = frequency = np.zeros(0, np.int64)
+            if len(found):
+                of, token, frequency = (np.concatenate(x) for x in zip(*map(unpacked, found.payload)))
+                order = np.lexsort((token, of))
+                of, token, frequency = of[order], token[order], frequency[order].astype(np.int64)
+            low, high = np.searchsorted(of, ids, "left"), np.searchsorted(of, ids, "right")
+            for a, b in runs_of(offsets, np.ones(len(ids), bool)):
+                base = offsets[a]
+                for i, grams in zip(range(a, b), shingle_sets(data[base : offsets[b]], offsets[a : b + 1] - base, size)):
+                    if not len(grams):
+                        rows.append((ids[i], 0, None, None, None))
+                        continue
+                    some = slice(low[i], high[i])
+                    first = _first_order(grams, token[some], frequency[some], percent)
+                    rows.append((ids[i], len(grams), signature(grams), first.view(np.int64).tolist(), grams.tobytes() if len(first) else None))
+        return pd.DataFrame(rows, columns=["id", "n", "sig", "tokens", "grams"])
+
+    return measure
+
+
+def measured(docs: DataFrame, size: int, percent: int, bucket_bytes: int) -> DataFrame:
+    """MEASURED of every document, written."""
+    total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    n = max(1, -(-total // bucket_bytes))
+    counted = docs.mapInArrow(_sent_shingles(size, n), BLOCKS).groupBy("bucket").applyInPandas(_frequencies(n), BLOCKS)
+    texts = docs.mapInArrow(sent_texts(n), BLOCKS)
+    return written(texts.groupBy("bucket").cogroup(counted.groupBy("bucket")).applyInPandas(_measured(size, percent), MEASURED))
+
+
+def clusters(found: DataFrame) -> DataFrame:
+    """(node, root): classes connected by shingles that their first-order prefixes share."""
+    pairs = written(found.where("sig is not null").select(F.explode("tokens").alias("token"), "sig").distinct())
     shared = pairs.groupBy("token").agg(F.min("sig").alias("first"), F.count("*").alias("n")).where("n > 1")
     links = join_groups(pairs, shared, "token", "n", pairs.count())
     return components(links.where(F.col("sig") != F.col("first")).select(F.col("sig").alias("u"), F.col("first").alias("v")))
@@ -201,7 +262,7 @@ def forest(links: np.ndarray) -> np.ndarray:
         label = new
 
 
-def verified(sets: list[np.ndarray], side: np.ndarray, frequent, percent: int) -> np.ndarray:
+def verified(sets: list[np.ndarray], side: np.ndarray, percent: int) -> np.ndarray:
     """Labels of the rows after all links between them; with two sides only links between the sides count."""
     n = len(sets)
     sizes = np.array([len(s) for s in sets])
@@ -210,7 +271,7 @@ def verified(sets: list[np.ndarray], side: np.ndarray, frequent, percent: int) -
         allowed &= side[:, None] != side[None, :]
     np.fill_diagonal(allowed, False)
     for order in ORDERS:
-        parts = [prefix(s, frequent, order, percent) for s in sets]
+        parts = [prefix(s, order, percent) for s in sets]
         allowed &= shared_counts(np.repeat(np.arange(n), [len(p) for p in parts]), np.concatenate(parts), n) > 0
     use = np.flatnonzero(allowed.any(1))
     label = np.arange(n)
@@ -222,51 +283,36 @@ def verified(sets: list[np.ndarray], side: np.ndarray, frequent, percent: int) -
     return label
 
 
-def links(docs: DataFrame, found: DataFrame, size: int, percent: int, frequent, block: int, max_bits: int) -> DataFrame:
+def links(found: DataFrame, percent: int, block: int) -> DataFrame:
     """(u, v): a spanning forest of the links between classes, by signature, from every pair of blocks."""
-    postings = written(_postings(docs, size, percent, frequent))
-    roots = written(clusters(postings, max_bits))
+    roots = written(clusters(found))
     blocks = roots.groupBy("root").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"), F.count("*").alias("members"))
     members = join_groups(roots, blocks, "root", "members", roots.count()).drop("members")
-    # One document stands for its class; rows that share an id are told apart by their signature.
-    classes = found.where("sig is not null").groupBy("sig").agg(F.min("id").alias("id"))
-    members = members.join(classes, members["node"] == classes["sig"]).select("id", "sig", "root", "blocks")
+    # Copies of a class have equal sets; one of them is enough.
+    sets = found.where("grams is not null").select("sig", "id").groupBy("sig").agg(F.min("id").alias("id"))
+    sets = found.where("grams is not null").select("sig", "id", "grams").join(sets, ["sig", "id"], "left_semi")
+    members = members.join(sets, members["node"] == sets["sig"]).select("sig", "grams", "root", "blocks")
     mine = F.pmod(F.xxhash64("sig"), F.col("blocks")).cast("int")
     members = members.withColumn("mine", mine).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     key = F.struct("root", F.least("mine", "other").alias("a"), F.greatest("mine", "other").alias("b"))
-    texts = docs.join(members.groupBy("id").agg(F.collect_list(F.struct("sig", key.alias("key"), (F.col("mine") > F.col("other")).alias("side"))).alias("uses")), "id")
-
-    def with_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for a, b, data, offsets in chunks(batch, "text"):
-                sets = shingle_sets(data, offsets, size)
-                out = pa.array([s.tobytes() for s in sets], pa.binary())
-                own = pa.array([signature(s) if len(s) else None for s in sets], pa.binary())
-                yield pa.RecordBatch.from_arrays([own, batch.column("uses").slice(a, b - a), out], ["own", "uses", "grams"])
-
-    uses = texts.schema["uses"].dataType.simpleString()
-    sets = texts.select("text", "uses").mapInArrow(with_sets, f"own binary, uses {uses}, grams binary")
-    sets = sets.select("own", F.explode("uses").alias("use"), "grams").where("own = use.sig").select("own", "use.key", "use.side", "grams")
 
     def verify(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.drop_duplicates(["own", "side"])
-        label = verified([np.frombuffer(g, np.uint64) for g in pdf.grams], pdf.side.to_numpy(), frequent.value, percent)
+        pdf = pdf.drop_duplicates("sig")
+        label = verified([np.frombuffer(g, np.uint64) for g in pdf.grams], pdf.side.to_numpy(), percent)
         keep = label != np.arange(len(pdf))
-        sigs = pdf.own.to_numpy()
+        sigs = pdf.sig.to_numpy()
         return pd.DataFrame({"u": sigs[keep], "v": sigs[label[keep]]})
 
-    return sets.groupBy("key").applyInPandas(verify, "u binary, v binary")
+    rows = members.select(key.alias("key"), (F.col("mine") > F.col("other")).alias("side"), "sig", "grams")
+    return rows.groupBy("key").applyInPandas(verify, "u binary, v binary")
 
 
-def linked(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, percent: int = 80, max_frequent: int = 1 << 17, block: int = 800, max_bits: int = 1 << 28) -> DataFrame:
+def linked(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, percent: int = 80, block: int = 800, bucket_bytes: int = 16 << 20) -> DataFrame:
     """One row per row of df: id, n_shingles, component_id."""
     missing = F.lit((1 << 63) - 1)
     docs = df.select(F.coalesce(F.col(id_col).cast("bigint"), missing).alias("id"), text_or_empty(text_col).alias("text"))
-    found = measured(docs, size)
-    frequent = df.sparkSession.sparkContext.broadcast(_frequent_list(found, max_frequent))
-    found = found.where("n is not null").select("id", "n", "sig")
-    # found keeps every document: n is null only in rows of local counts.
-    roots = components(links(docs, found, size, percent, frequent, block, max_bits))
+    found = measured(docs, size, percent, bucket_bytes)
+    roots = components(links(found, percent, block))
     classes = found.where("sig is not null").groupBy("sig").agg(F.min("id").alias("id"), F.count("*").alias("members"))
     classes = classes.join(roots.withColumnRenamed("node", "sig"), "sig", "left").withColumn("root", F.coalesce("root", "sig"))
     classes = written(classes)

@@ -31,39 +31,18 @@ Other columns are not read.
 from __future__ import annotations
 
 import hashlib
-import pickle
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .blocks import BLOCKS, block_rows, by_bucket, doc_bucket, numbers_of, packed, planes, runs_of, sent_texts, texts_of, unpacked
 from .common import text_or_empty, written
 from .textbytes import chunks, mix, prefix_hashes, span_hashes
 
-BLOCKS = "bucket int, payload binary"
-
-
-def packed(*arrays) -> bytes:
-    return zstandard.ZstdCompressor(level=1).compress(pickle.dumps(arrays, 5))
-
-
-def unpacked(payload: bytes):
-    return pickle.loads(zstandard.ZstdDecompressor().decompress(payload))
-
-
-def _planes(x: np.ndarray) -> np.ndarray:
-    """The bytes of numbers by significance, so that equal high bytes compress."""
-    return np.ascontiguousarray(x.astype("<u8").view(np.uint8).reshape(-1, 8).T)
-
-
-def _numbers(planes: np.ndarray) -> np.ndarray:
-    return np.ascontiguousarray(planes.T).view("<u8").ravel()
-
-
 def anchors(data: np.ndarray, offsets: np.ndarray, length: int) -> tuple[np.ndarray, ...]:
     """(row, position, first and last window start, hash) of the anchors of every row; positions count in data."""
     k = length // 2
@@ -92,21 +71,6 @@ def anchors(data: np.ndarray, offsets: np.ndarray, length: int) -> tuple[np.ndar
     return row[new], position[new], starts[new], starts[last], grams[position[new]]
 
 
-def _doc_bucket(ids: np.ndarray, n: int) -> np.ndarray:
-    return (mix(ids.view(np.uint64)) % np.uint64(n)).astype(np.int64)
-
-
-def _by_bucket(bucket: np.ndarray):
-    """(bucket, indexes) for every bucket that occurs."""
-    order = np.argsort(bucket, kind="stable")
-    names, starts = np.unique(bucket[order], return_index=True)
-    return zip(names.tolist(), np.split(order, starts[1:]))
-
-
-def _rows(found: list[tuple[int, bytes]]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array([b for b, _ in found], pa.int32()), pa.array([p for _, p in found], pa.binary())], ["bucket", "payload"])
-
-
 #: Anchors that a task holds before it sends them.
 HELD = 1_500_000
 
@@ -124,15 +88,15 @@ def _sent_anchors(length: int, n: int):
         bucket = (token * np.uint64(n) >> np.uint64(48)).astype(np.int64)
         out = []
         send = np.flatnonzero(first)
-        for b, i in _by_bucket(bucket[send]):
+        for b, i in by_bucket(bucket[send]):
             i = send[i]
             names, which = np.unique(ids[i], return_inverse=True)
-            out.append((b, packed("anchors", _planes(np.diff(token[i], prepend=np.uint64(0))), _planes(np.diff(names, prepend=0)), which.astype(np.uint32), number[i].astype(np.uint32))))
+            out.append((b, packed("anchors", planes(np.diff(token[i], prepend=np.uint64(0))), planes(np.diff(names, prepend=0)), which.astype(np.uint32), number[i].astype(np.uint32))))
         if several.any():
-            for b, i in _by_bucket(_doc_bucket(ids[several], n)):
+            for b, i in by_bucket(doc_bucket(ids[several], n)):
                 i = np.flatnonzero(several)[i]
                 out.append((b, packed("known", ids[i], number[i].astype(np.uint32))))
-        return _rows(out)
+        return block_rows(out)
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, many = [], 0
@@ -161,8 +125,8 @@ def _repeated_anchors(n: int):
             if kind == "known":
                 out.append((int(pdf.bucket.iloc[0]), packed(*x)))
             else:
-                tokens.append(np.cumsum(_numbers(x[0])))
-                ids.append(np.cumsum(_numbers(x[1]).view(np.int64))[x[2]])
+                tokens.append(np.cumsum(numbers_of(x[0])))
+                ids.append(np.cumsum(numbers_of(x[1]).view(np.int64))[x[2]])
                 number.append(x[3])
         if tokens:
             token, ids, number = map(np.concatenate, (tokens, ids, number))
@@ -170,36 +134,13 @@ def _repeated_anchors(n: int):
             token = token[order]
             same = token[1:] == token[:-1]
             keep = order[np.append(same, False) | np.append(False, same)]
-            for b, i in _by_bucket(_doc_bucket(ids[keep], n)):
+            for b, i in by_bucket(doc_bucket(ids[keep], n)):
                 out.append((b, packed(ids[keep[i]], number[keep[i]])))
         return pd.DataFrame(out, columns=["bucket", "payload"])
 
     return find
 
 
-def _sent_texts(n: int):
-    """Blocks of whole documents by the hash of their id."""
-
-    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ids = batch.column("id").to_numpy()
-            texts = batch.column("text").cast(pa.large_binary())
-            _, ends, data = texts.buffers()
-            ends = np.frombuffer(ends, np.int64, len(texts) + 1, texts.offset * 8)
-            view = memoryview(data) if data is not None else memoryview(b"")
-            if len(ids):
-                yield _rows([(b, packed(ids[i], np.diff(ends)[i], b"".join(view[ends[k] : ends[k + 1]] for k in i))) for b, i in _by_bucket(_doc_bucket(ids, n))])
-
-    return send
-
-
-def _texts(payloads) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(ids, offsets, data) of the documents in blocks."""
-    parts = [unpacked(p) for p in payloads]
-    sizes = np.concatenate([p[1] for p in parts])
-    return np.concatenate([p[0] for p in parts]), np.concatenate([[0], np.cumsum(sizes)]), np.frombuffer(b"".join(p[2] for p in parts), np.uint8)
-
-
 def _contexts(data: np.ndarray, begin: np.ndarray, end: np.ndarray, position: np.ndarray, length: int) -> np.ndarray:
     """The k bytes in front of each position and `length` bytes from it; zeros outside the document."""
     k = length // 2
@@ -226,14 +167,14 @@ def _sent_suffixes(length: int, splitters):
     def send(key, docs: pd.DataFrame, found: pd.DataFrame) -> pd.DataFrame:
         out = []
         if len(docs) and len(found):
-            ids, offsets, data = _texts(docs.payload)
+            ids, offsets, data = texts_of(docs.payload)
             parts = [unpacked(p) for p in found.payload]
             wanted = np.concatenate([p[0] for p in parts])
             numbers = np.concatenate([p[1] for p in parts]).astype(np.int64)
             # Documents one by one would be slow, all at once large: runs of documents of about a million bytes.
             order = np.argsort(wanted, kind="stable")
             wanted, numbers = wanted[order], numbers[order]
-            for a, b in _runs(offsets, np.isin(ids, wanted)):
+            for a, b in runs_of(offsets, np.isin(ids, wanted)):
                 base = offsets[a]
                 row, position, low, high, _ = anchors(data[base : offsets[b]], offsets[a : b + 1] - base, length)
                 number = np.arange(len(row)) - np.searchsorted(row, np.arange(b - a))[row]
@@ -245,7 +186,7 @@ def _sent_suffixes(length: int, splitters):
                 context = _contexts(data[base : offsets[b]], begin, end, position, length)
                 bucket, spread = _suffix_buckets(_as_bytes(context[:, k : 2 * k]), ids[a:b][row], splitters.value)
                 fields = ids[a:b][row], (position - begin).astype(np.int64), (position - high).astype(np.uint8), (position - low).astype(np.uint8), spread
-                for name, i in _by_bucket(bucket):
+                for name, i in by_bucket(bucket):
                     i = i[np.argsort(_as_bytes(context[i, k:]), kind="stable")]
                     out.append((name, packed(context[i], *(f[i] for f in fields))))
         return pd.DataFrame(out, columns=["bucket", "payload"])
@@ -253,21 +194,6 @@ def _sent_suffixes(length: int, splitters):
     return send
 
 
-def _runs(offsets: np.ndarray, use: np.ndarray, most: int = 1 << 20):
-    """(first, last + 1) of runs of neighbouring documents in use, each of about `most` bytes."""
-    at = np.flatnonzero(use)
-    if not len(at):
-        return
-    a = at[0]
-    last = a
-    for i in at[1:]:
-        if i != last + 1 or offsets[i] - offsets[a] > most:
-            yield a, last + 1
-            a = i
-        last = i
-    yield a, last + 1
-
-
 def _contains(ids: np.ndarray, numbers: np.ndarray, of: np.ndarray, number: np.ndarray) -> np.ndarray:
     """Which pairs (of, number) are among (ids, numbers)."""
     names = np.unique(ids)
@@ -361,7 +287,7 @@ def _marked_spans(length: int, n: int):
         mask = repeated_windows(context, age, low, high, length)
         out = []
         of, start, end = _spans(mask, ids, position, length)
-        for b, i in _by_bucket(_doc_bucket(of, n)):
+        for b, i in by_bucket(doc_bucket(of, n)):
             out.append((b, packed(of[i], start[i], end[i])))
         d = np.arange(k + 1)
         first = spread[:, None] & ~mask & (low[:, None] <= d) & (d <= high[:, None])
@@ -373,7 +299,7 @@ def _marked_spans(length: int, n: int):
                 at = np.arange(len(some)) * context.shape[1] + k - d[some]
                 hashes.append(span_hashes(prefix_hashes(flat), at, at + length))
             hashes = np.concatenate(hashes)
-            for b, j in _by_bucket((hashes % np.uint64(n)).astype(np.int64)):
+            for b, j in by_bucket((hashes % np.uint64(n)).astype(np.int64)):
                 out.append((n + b, packed(hashes[j], ids[i[j]], position[i[j]] - d[j])))
         return pd.DataFrame(out, columns=["bucket", "payload"])
 
@@ -388,7 +314,7 @@ def _across(length: int, n: int):
         order = np.lexsort((start, ids, hashes))
         hashes, ids, start = hashes[order], ids[order], start[order]
         later = np.flatnonzero(np.append(False, hashes[1:] == hashes[:-1]))
-        out = [(b, packed(ids[later[i]], start[later[i]], start[later[i]] + length)) for b, i in _by_bucket(_doc_bucket(ids[later], n))]
+        out = [(b, packed(ids[later[i]], start[later[i]], start[later[i]] + length)) for b, i in by_bucket(doc_bucket(ids[later], n))]
         return pd.DataFrame(out, columns=["bucket", "payload"])
 
     return compare
@@ -411,7 +337,7 @@ def _cut(digest: bool):
     def cut(key, docs: pd.DataFrame, spans: pd.DataFrame) -> pd.DataFrame:
         if not len(docs):
             return pd.DataFrame(columns=["id", "n_bytes", "n_removed", "n_spans", "kept"])
-        ids, offsets, data = _texts(docs.payload)
+        ids, offsets, data = texts_of(docs.payload)
         of = np.zeros(0, np.int64)
         if len(spans):
             of, start, end = (np.concatenate(x) for x in zip(*map(unpacked, spans.payload)))
@@ -450,7 +376,7 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     splitters = df.sparkSession.sparkContext.broadcast(grams[at] if len(grams) else grams)
 
     found = docs.mapInArrow(_sent_anchors(length, n), BLOCKS).groupBy("bucket").applyInPandas(_repeated_anchors(n), BLOCKS)
-    texts = docs.mapInArrow(_sent_texts(n), BLOCKS)
+    texts = docs.mapInArrow(sent_texts(n), BLOCKS)
     suffixes = texts.groupBy("bucket").cogroup(found.groupBy("bucket")).applyInPandas(_sent_suffixes(length, splitters), BLOCKS)
     marked = written(suffixes.groupBy("bucket").applyInPandas(_marked_spans(length, n), BLOCKS))
     across = marked.where(F.col("bucket") >= n).groupBy("bucket").applyInPandas(_across(length, n), BLOCKS)
