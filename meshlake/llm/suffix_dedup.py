@@ -167,39 +167,46 @@ def _sent_suffixes(length: int, splitters):
     def send(key, docs: pd.DataFrame, found: pd.DataFrame) -> pd.DataFrame:
         out = []
         if len(docs) and len(found):
-            ids, offsets, data = texts_of(docs.payload)
-            parts = [unpacked(p) for p in found.payload]
-            wanted = np.concatenate([p[0] for p in parts])
-            numbers = np.concatenate([p[1] for p in parts]).astype(np.int64)
-            # Documents one by one would be slow, all at once large: runs of documents of about a million bytes.
-            order = np.argsort(wanted, kind="stable")
-            wanted, numbers = wanted[order], numbers[order]
-            for a, b in runs_of(offsets, np.isin(ids, wanted)):
+            names, wanted = _coded(map(unpacked, found.payload))
+            ids, offsets, data = _only(*texts_of(docs.payload), names)
+            held, many = [], 0
+            for a, b in runs_of(offsets, np.ones(len(ids), bool)):
                 base = offsets[a]
                 row, position, low, high, _ = anchors(data[base : offsets[b]], offsets[a : b + 1] - base, length)
                 number = np.arange(len(row)) - np.searchsorted(row, np.arange(b - a))[row]
-                keep = _contains(wanted, numbers, ids[a:b][row], number)
+                code = np.searchsorted(names, ids[a:b][row]).astype(np.int64) * (1 << 32) + number
+                keep = wanted[np.minimum(np.searchsorted(wanted, code), len(wanted) - 1)] == code
                 row, position, low, high = row[keep], position[keep], low[keep], high[keep]
-                if not len(row):
-                    continue
                 begin, end = offsets[a:b][row] - base, offsets[a + 1 : b + 1][row] - base
                 context = _contexts(data[base : offsets[b]], begin, end, position, length)
-                bucket, spread = _suffix_buckets(_as_bytes(context[:, k : 2 * k]), ids[a:b][row], splitters.value)
-                fields = ids[a:b][row], (position - begin).astype(np.int64), (position - high).astype(np.uint8), (position - low).astype(np.uint8), spread
-                for name, i in by_bucket(bucket):
-                    i = i[np.argsort(_as_bytes(context[i, k:]), kind="stable")]
-                    out.append((name, packed(context[i], *(f[i] for f in fields))))
+                held.append((context, ids[a:b][row], position - begin, (position - high).astype(np.uint8), (position - low).astype(np.uint8)))
+                many += len(row)
+                if many > 200_000 or b == len(ids):
+                    context, *fields = map(np.concatenate, zip(*held))
+                    held, many = [], 0
+                    if len(context):
+                        bucket, spread = _suffix_buckets(_as_bytes(context[:, k : 2 * k]), fields[0], splitters.value)
+                        for name, i in by_bucket(bucket):
+                            i = i[np.argsort(_as_bytes(context[i, k:]), kind="stable")]
+                            out.append((name, packed(context[i], *(f[i] for f in (*fields, spread)))))
         return pd.DataFrame(out, columns=["bucket", "payload"])
 
     return send
 
 
-def _contains(ids: np.ndarray, numbers: np.ndarray, of: np.ndarray, number: np.ndarray) -> np.ndarray:
-    """Which pairs (of, number) are among (ids, numbers)."""
-    names = np.unique(ids)
-    code = lambda a, b: np.searchsorted(names, a).astype(np.int64) * (1 << 32) + b
-    known = np.isin(of, names)
-    return known & np.isin(code(of, number), code(ids, numbers))
+def _coded(parts) -> tuple[np.ndarray, np.ndarray]:
+    """The different ids of blocks of (ids, numbers), sorted, and their pairs as sorted codes."""
+    ids, numbers = (np.concatenate(x) for x in zip(*parts))
+    names, which = np.unique(ids, return_inverse=True)
+    return names, np.unique(which.astype(np.int64) * (1 << 32) + numbers)
+
+
+def _only(ids: np.ndarray, offsets: np.ndarray, data: np.ndarray, names: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The documents with one of these ids."""
+    at = np.flatnonzero(np.isin(ids, names))
+    view = memoryview(data)
+    text = b"".join(view[offsets[i] : offsets[i + 1]] for i in at)
+    return ids[at], np.concatenate([[0], np.cumsum(np.diff(offsets)[at])]), np.frombuffer(text, np.uint8)
 
 
 def multikey_sort(words: np.ndarray, cut: int = 2048) -> np.ndarray:
@@ -355,7 +362,7 @@ def _cut(digest: bool):
     return cut
 
 
-def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 100, digest: bool = False, bucket_bytes: int = 16 << 20, sampled: int = 64, max_sample: int = 20_000) -> DataFrame:
+def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 100, digest: bool = False, bucket_bytes: int = 8 << 20, sampled: int = 64, max_sample: int = 20_000) -> DataFrame:
     """One row per row of df: id, n_bytes, n_removed, n_spans, kept (the bytes that stay, or their SHA-256)."""
     missing = F.lit(-(1 << 63))
     docs = df.select(F.coalesce(F.col(id_col).cast("bigint"), missing).alias("id"), text_or_empty(text_col).alias("text"))
@@ -375,11 +382,12 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     at = (np.arange(1, n) * len(grams)) // n
     splitters = df.sparkSession.sparkContext.broadcast(grams[at] if len(grams) else grams)
 
-    found = docs.mapInArrow(_sent_anchors(length, n), BLOCKS).groupBy("bucket").applyInPandas(_repeated_anchors(n), BLOCKS)
+    dealt = lambda x: x.repartition(n, "bucket").groupBy("bucket")
+    found = dealt(docs.mapInArrow(_sent_anchors(length, n), BLOCKS)).applyInPandas(_repeated_anchors(n), BLOCKS)
     texts = docs.mapInArrow(sent_texts(n), BLOCKS)
-    suffixes = texts.groupBy("bucket").cogroup(found.groupBy("bucket")).applyInPandas(_sent_suffixes(length, splitters), BLOCKS)
-    marked = written(suffixes.groupBy("bucket").applyInPandas(_marked_spans(length, n), BLOCKS))
-    across = marked.where(F.col("bucket") >= n).groupBy("bucket").applyInPandas(_across(length, n), BLOCKS)
+    suffixes = dealt(texts).cogroup(dealt(found)).applyInPandas(_sent_suffixes(length, splitters), BLOCKS)
+    marked = written(dealt(suffixes).applyInPandas(_marked_spans(length, n), BLOCKS))
+    across = dealt(marked.where(F.col("bucket") >= n)).applyInPandas(_across(length, n), BLOCKS)
     spans = marked.where(F.col("bucket") < n).unionByName(across)
-    out = texts.groupBy("bucket").cogroup(spans.groupBy("bucket")).applyInPandas(_cut(digest), RESULT)
+    out = dealt(texts).cogroup(dealt(spans)).applyInPandas(_cut(digest), RESULT)
     return out.withColumn("id", F.when(F.col("id") != missing, F.col("id")))
