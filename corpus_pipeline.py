@@ -1,15 +1,59 @@
-"""The corpus pipeline: STAGES in order, each over all that the one before it kept."""
+"""The corpus pipeline: STAGES in order, each over all that the one before it kept.
+
+All stages but the last return the columns of documents. The quality classifier
+learns from labels; documents that it rejects go. Of equal texts the one with
+the least doc_id stays, then of each near-duplicate group (five-word shingles,
+similarity 0.8) the same. Mixing repeats or leaves out documents by its copies.
+Packing returns one row per piece of a document. Each stage takes null columns,
+empty tables and repeated rows as its operator does.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from meshlake.llm import exact_dedup, mixing, ngram_join, packing, quality_classifier
+from meshlake.llm.common import written
+from meshlake.llm.queries import held_out, tokenizer_path
+
+
+def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "quality")
+    scorer = quality_classifier.learn(docs, labels.where(~held_out(3, 1)))
+    return quality_classifier.keep(docs, scorer)
+
+
+def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return exact_dedup.drop_duplicates(docs)
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return ngram_join.drop_near_duplicates(docs)
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return mixing.apply_mix(docs)
+
+
+def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return packing.pack(docs, tokenizer_path()).withColumnRenamed("id", "doc_id")
+
+
+STAGES = [
+    ("quality_classifier", keep_good),
+    ("exact_dedup", drop_copies),
+    ("ngram_join", drop_near_copies),
+    ("mixing", mix_sources),
+    ("packing", pack_sequences),
+]
 
-STAGES: list = []
+#: SQL expresses neither the classifier nor the search of the packing.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
+    for k, (_, stage) in enumerate(STAGES):
+        docs = stage(spark, docs if k == 0 else written(docs), sf_dir)
     return docs

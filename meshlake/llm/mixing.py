@@ -112,3 +112,11 @@ def mix(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_co
     rest = marked.where(~F.coalesce(at_cut, F.lit(False))).withColumn("extra", F.coalesce((F.col("cell") < F.col("cut")).cast("bigint"), F.lit(0)))
     taken = rest.unionByName(edge).withColumn("copies", F.col("whole") + F.col("extra"))
     return taken.select("id", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
+
+
+def apply_mix(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **settings) -> DataFrame:
+    """The rows of df as often as the mix takes them, with all their columns. Rows that share id and size get the same number of copies, the largest of theirs."""
+    mixed = mix(df, id_col, text_col, source_col, **settings).where("copies > 0").groupBy("id", "size").agg(F.max("copies").alias("copies"))
+    rows = df.select(F.struct("*").alias("row"), F.col(id_col).alias("key"), word_count(text_or_empty(text_col)).cast("bigint").alias("words"))
+    taken = rows.join(mixed, F.col("key").eqNullSafe(F.col("id")) & (F.col("words") == F.col("size")))
+    return taken.select("row", F.explode(F.sequence(F.lit(1).cast("bigint"), "copies"))).select("row.*")

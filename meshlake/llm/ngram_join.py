@@ -9,9 +9,9 @@ A set of n shingles can only link with another if both have a shingle in common
 among their first n - ceil(percent n / 100) + 1 ones, whatever order all
 shingles are put in. So:
 
-1. The first order begins with a fixed quarter of all shingles (by hash), by
-   document frequency, which is counted exactly up to CAP; the others follow by
-   hash. The other orders are by hash alone.
+1. The first order begins with a fixed share of all shingles (by hash; a quarter
+   for 90 percent), by document frequency, which is counted exactly up to CAP;
+   the others follow by hash. The other orders are by hash alone.
 2. Shingles of first-order prefixes join the classes that have them; what they
    connect, a cluster, is a superset of any linked group. A shingle known to be
    in one document only joins nothing and is not sent.
@@ -92,15 +92,22 @@ def prefix(grams: np.ndarray, order: int, percent: int) -> np.ndarray:
     return grams[np.argpartition(grams * np.uint64(order), n - 1)[:n]] if n < len(grams) else grams
 
 
-#: Shingles with this bit pattern come first in the first order, by document frequency; only theirs is counted.
-COUNTED = np.uint64(3)
+
+def counted(grams: np.ndarray, percent: int) -> np.ndarray:
+    """Which shingles come first in the first order, by document frequency; only theirs is counted. By hash a share of all, at least twice a prefix's share."""
+    mask = 0
+    while (mask + 1) * 4 * (100 - percent) <= 100:
+        mask = mask * 2 + 1
+    return (grams & np.uint64(mask)) == 0
+
+
 #: Frequencies from this one on rank alike.
 CAP = 16
 #: Shingles that a task holds before it sends them.
 HELD = 2_000_000
 
 
-def _sent_shingles(size: int, n: int):
+def _sent_shingles(size: int, percent: int, n: int):
     """Blocks of counted shingles by hash range. A task sends a shingle with its documents, or, once it has CAP of them, only that it has; these documents' ranks pass through the next step."""
 
     def flush(ids, tokens):
@@ -127,7 +134,7 @@ def _sent_shingles(size: int, n: int):
             for a, b, data, offsets in chunks(batch, "text"):
                 sets = shingle_sets(data, offsets, size)
                 tokens = np.concatenate(sets)
-                use = (tokens & COUNTED) == 0
+                use = counted(tokens, percent)
                 held.append((np.repeat(ids[a:b], [len(s) for s in sets])[use], tokens[use] >> np.uint64(16)))
                 many += int(use.sum())
                 if many >= HELD:
@@ -173,7 +180,7 @@ def _frequencies(n: int):
 
 def _first_order(grams: np.ndarray, tokens: np.ndarray, frequency: np.ndarray, percent: int) -> np.ndarray:
     """The shingles of the first order's prefix that another document may have: all that are not known to be in one document only."""
-    rank = np.where((grams & COUNTED) == 0, 1, CAP + 1)
+    rank = np.where(counted(grams, percent), 1, CAP + 1)
     if len(tokens):
         own = grams >> np.uint64(16)
         at = np.minimum(np.searchsorted(tokens, own), len(tokens) - 1)
@@ -216,9 +223,9 @@ def measured(docs: DataFrame, size: int, percent: int, bucket_bytes: int) -> Dat
     """MEASURED of every document, written."""
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n = max(1, -(-total // bucket_bytes))
-    counted = docs.mapInArrow(_sent_shingles(size, n), BLOCKS).groupBy("bucket").applyInPandas(_frequencies(n), BLOCKS)
-    texts = docs.mapInArrow(sent_texts(n), BLOCKS)
-    return written(texts.groupBy("bucket").cogroup(counted.groupBy("bucket")).applyInPandas(_measured(size, percent), MEASURED))
+    dealt = lambda x: x.repartition(n, "bucket").groupBy("bucket")
+    frequencies = dealt(docs.mapInArrow(_sent_shingles(size, percent, n), BLOCKS)).applyInPandas(_frequencies(n), BLOCKS)
+    return written(dealt(docs.mapInArrow(sent_texts(n), BLOCKS)).cogroup(dealt(frequencies)).applyInPandas(_measured(size, percent), MEASURED))
 
 
 def clusters(found: DataFrame) -> DataFrame:
@@ -307,7 +314,7 @@ def links(found: DataFrame, percent: int, block: int) -> DataFrame:
     return rows.groupBy("key").applyInPandas(verify, "u binary, v binary")
 
 
-def linked(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, percent: int = 80, block: int = 800, bucket_bytes: int = 16 << 20) -> DataFrame:
+def linked(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, percent: int = 80, block: int = 800, bucket_bytes: int = 8 << 20) -> DataFrame:
     """One row per row of df: id, n_shingles, component_id."""
     missing = F.lit((1 << 63) - 1)
     docs = df.select(F.coalesce(F.col(id_col).cast("bigint"), missing).alias("id"), text_or_empty(text_col).alias("text"))

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_or_empty
+from .common import free_name, text_or_empty
 from .textbytes import BASE, LOWER, chunks, distinct_pairs, mix, prefix_hashes, span_hashes, words
 
 BITS = 18
@@ -177,3 +177,18 @@ def score(df: DataFrame, scorer: Scorer, id_col: str = "doc_id", text_col: str =
 
     kind = df.schema[id_col].dataType.simpleString()
     return df.select(F.col(id_col).alias("id"), text_or_empty(text_col).alias("text")).mapInArrow(scored, f"id {kind}, score double")
+
+
+def keep(df: DataFrame, scorer: Scorer, text_col: str = "text", least: float = 0.5) -> DataFrame:
+    """The rows of df with at least this score, with all their columns, in one pass."""
+    shared = df.sparkSession.sparkContext.broadcast(scorer)
+    extra = free_name(df, "scored_text")
+
+    def kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for a, b, data, offsets in chunks(batch, extra):
+                good = shared.value.scores(*features(data, offsets), b - a) >= least
+                rows = batch.slice(a, b - a).filter(pa.array(good))
+                yield rows.select([n for n in rows.schema.names if n != extra])
+
+    return df.withColumn(extra, text_or_empty(text_col)).mapInArrow(kept, df.schema)
