@@ -3,6 +3,7 @@
 import os
 
 import duckdb
+import numpy as np
 
 DATA = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
@@ -18,7 +19,7 @@ def connect(data=DATA):
 
 
 def plain(v):
-    if hasattr(v, "item"):
+    if isinstance(v, np.generic):
         v = v.item()
     if isinstance(v, float):
         return round(v, 6) + 0.0
