@@ -61,8 +61,9 @@ def manifest(found: DataFrame) -> DataFrame:
 
 
 def write_files(found: DataFrame, path: str) -> None:
-    """One gzip file per `file`, as file=N/part-*.txt.gz under path."""
-    rows = found.repartition("file").sortWithinPartitions("file", "id", "sha256")
+    """One gzip file per `file`, as file=N/part-*.txt.gz under path, each by a task of its own."""
+    files = (found.agg(F.max("file")).first()[0] or 0) + 1
+    rows = found.repartitionById(files, F.col("file").cast("int")).sortWithinPartitions("file", "id", "sha256")
     rows.select("file", "record").write.partitionBy("file").option("lineSep", END + END).option("compression", "gzip").text(path)
 
 
