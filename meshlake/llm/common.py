@@ -37,6 +37,11 @@ def text_or_empty(text: str) -> Column:
     return F.coalesce(F.col(text).cast("string"), F.lit(""))
 
 
+def let(value: Column, f) -> Column:
+    """f of value. Value is worked out once a row, also where Spark moves the expression into a filter or another projection."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
 def free_name(df: DataFrame, wish: str) -> str:
     """wish, or wish with as many underscores after it as no column of df has, in any case of letters."""
     taken = {c.lower() for c in df.columns}

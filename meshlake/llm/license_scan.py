@@ -25,7 +25,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import free_name, text_or_empty
+from .common import free_name, let, text_or_empty
 
 #: Common notices of licences, as their stewards suggest them or as authors usually write them.
 TEMPLATES = (
@@ -109,8 +109,7 @@ def scan(df: DataFrame, text_col: str = "text", templates=TEMPLATES, threshold:
         every = F.lit([r.g for r in first])
         df = df.withColumn(grams, F.filter(grams, lambda g: F.arrays_overlap(g, every)))
         df = df.withColumn(grams, F.transform(grams, _numbered))
-        each = [F.filter(F.transform(grams, _dice(t)), lambda s: s["dice"] >= threshold) for t in known]
-        hits = F.concat(*each)
+        hits = let(F.col(grams), lambda g: F.concat(*[F.filter(F.transform(g, _dice(t)), lambda s: s["dice"] >= threshold) for t in known]))
     df = df.withColumn("matches", hits.cast(hits_type))
     best = F.array_min(F.transform("matches", lambda m: F.struct((-m["dice"]).alias("d"), m["license"].alias("license"))))
     df = df.withColumns({

@@ -16,7 +16,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE, free_name, text_or_empty
+from .common import SPACE, free_name, let, text_or_empty
 
 SYMBOLS = "#*$%&|<>"
 #: Fixed word list: frequent function words of English, French, German and Spanish.
@@ -52,21 +52,15 @@ def words(text: Column) -> Column:
     return F.filter(F.split(text, f"{SPACE}+"), lambda w: w != "")
 
 
-def with_repeated_words(df: DataFrame, words_col: str, out: str) -> DataFrame:
-    """df with the number of words in windows of three that occur at least twice in the array, first occurrences included.
-
-    Each step is a column of its own, so that no lambda evaluates it again for every element."""
-    grams, pairs, starts = (free_name(df, x) for x in ("grams", "pairs", "starts"))
-    w, n = F.col(words_col), F.size(words_col)
-    none = F.array().cast("array<bigint>")
-    df = df.withColumn(grams, F.when(n >= 3, F.transform(F.sequence(F.lit(0), n - 3), lambda i: F.xxhash64(F.get(w, i), F.get(w, i + 1), F.get(w, i + 2)))).otherwise(none))
-    several = F.size(F.array_distinct(grams)) < F.size(grams)
-    df = df.withColumn(pairs, F.when(several, F.array_sort(F.transform(grams, lambda g, i: F.struct(g.alias("g"), i.alias("i"))))))
-    same = lambda i, j: F.get(F.col(pairs), i)["g"] == F.get(F.col(pairs), j)["g"]
-    hits = F.filter(pairs, lambda p, k: F.coalesce(same(k, k - 1), F.lit(False)) | F.coalesce(same(k, k + 1), F.lit(False)))
-    df = df.withColumn(starts, F.transform(hits, lambda p: p["i"]))
-    covered = F.size(F.array_distinct(F.flatten(F.transform(starts, lambda i: F.array(i, i + 1, i + 2)))))
-    return df.withColumn(out, F.coalesce(F.when(F.col(starts).isNotNull(), covered), F.lit(0)).cast("bigint")).drop(grams, pairs, starts)
+def repeated_words(w: Column) -> Column:
+    """The number of words in windows of three that occur at least twice in the array, first occurrences included."""
+    windows = F.transform(F.sequence(F.lit(0), F.size(w) - 3), lambda i: F.xxhash64(F.get(w, i), F.get(w, i + 1), F.get(w, i + 2)))
+    by_gram = lambda g: F.array_sort(F.transform(g, lambda x, i: F.struct(x.alias("g"), i.alias("i"))))
+    same = lambda p, i, j: F.coalesce(F.get(p, i)["g"] == F.get(p, j)["g"], F.lit(False))
+    hits = lambda p: F.filter(p, lambda x, k: same(p, k, k - 1) | same(p, k, k + 1))
+    covered = lambda p: F.size(F.array_distinct(F.flatten(F.transform(hits(p), lambda x: F.array(x["i"], x["i"] + 1, x["i"] + 2)))))
+    found = let(windows, lambda g: F.when(F.size(F.array_distinct(g)) < F.size(g), let(by_gram(g), covered)).otherwise(0))
+    return F.when(F.size(w) > 3, found).otherwise(0)
 
 
 def ratio(a: Column, b: Column) -> Column:
@@ -75,19 +69,25 @@ def ratio(a: Column, b: Column) -> Column:
 
 def measure(df: DataFrame, text_col: str = "text") -> DataFrame:
     """df with one column for each metric; its own columns of these names are replaced."""
-    array, lines = free_name(df, "word_array"), free_name(df, "line_array")
+    of_words, of_lines = free_name(df, "of_words"), free_name(df, "of_lines")
     text = text_or_empty(text_col)
-    df = df.withColumns({array: words(text), lines: F.filter(F.split(text, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))})
-    df = with_repeated_words(df, array, "n_repeat_words")
-    counted = {
-        "n_words": F.size(array).cast("bigint"),
+    count = lambda x, name: x.cast("bigint").alias(name)
+    df = df.withColumns({
+        of_words: let(words(text), lambda w: F.struct(
+            count(F.size(w), "n_words"),
+            count(repeated_words(w), "n_repeat_words"),
+            count(F.size(F.filter(w, lambda x: F.lower(x).isin(STOP_WORDS))), "n_stop_words"),
+            count(F.size(F.filter(w, lambda x: x.rlike("^[^a-z]*[A-Z]{2}[^a-z]*$"))), "n_upper_words"),
+        )),
+        of_lines: let(
+            F.filter(F.split(text, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]")),
+            lambda x: F.struct(count(F.size(x), "n_lines"), count(F.size(x) - F.size(F.array_distinct(x)), "n_dup_lines")),
+        ),
         "word_chars": F.length(F.regexp_replace(text, f"{SPACE}+", "")).cast("bigint"),
         "n_symbols": F.length(F.regexp_replace(text, rf"[^{SYMBOLS}]+", "")).cast("bigint"),
-        "n_lines": F.size(lines).cast("bigint"),
-        "n_dup_lines": (F.size(lines) - F.size(F.array_distinct(lines))).cast("bigint"),
-        "n_stop_words": F.size(F.filter(array, lambda w: F.lower(w).isin(STOP_WORDS))).cast("bigint"),
-        "n_upper_words": F.size(F.filter(array, lambda w: w.rlike("^[^a-z]*[A-Z]{2}[^a-z]*$"))).cast("bigint"),
-    }
+    })
+    counted = {k: F.col(of_words)[k] for k in ("n_words", "n_repeat_words", "n_stop_words", "n_upper_words")}
+    counted |= {k: F.col(of_lines)[k] for k in ("n_lines", "n_dup_lines")}
     ratios = {
         "mean_word_chars": ratio(F.col("word_chars"), F.col("n_words")),
         "symbol_ratio": ratio(F.col("n_symbols"), F.col("word_chars")),
@@ -96,7 +96,7 @@ def measure(df: DataFrame, text_col: str = "text") -> DataFrame:
         "repeat_word_ratio": ratio(F.col("n_repeat_words"), F.col("n_words")),
         "upper_word_ratio": ratio(F.col("n_upper_words"), F.col("n_words")),
     }
-    return df.withColumns(counted).withColumns(ratios).drop(array, lines)
+    return df.withColumns(counted).withColumns(ratios).drop(of_words, of_lines)
 
 
 def failed(rules: tuple[Rule, ...] = RULES) -> Column:
