@@ -31,7 +31,7 @@ def matches(name: Column, pattern: str) -> Column:
 def unique_names(df: DataFrame, name: str, order: str, out: str = "unique_name") -> DataFrame:
     """Names made different: name, name_01, name_02, in order."""
     k = F.row_number().over(Window.partitionBy(name).orderBy(order)) - 1
-    return df.withColumn(out, F.when(k == 0, F.col(name)).otherwise(F.concat(F.col(name), F.lit("_"), F.lpad(k.cast("string"), 2, "0"))))
+    return df.withColumn(out, F.when(k == 0, F.col(name)).otherwise(F.concat(F.col(name), F.format_string("_%02d", k))))
 
 
 def valid_name(name: Column) -> Column:

@@ -93,3 +93,9 @@ def test_stream_equals_batch(spark, tmp_path):
     q.stop()
     key = lambda df: sorted((r.start, r.event_type, r.n) for r in df.collect())
     assert key(spark.sql("SELECT * FROM windows")) == key(events.windowed(src, "ts", ["event_type"], "value"))
+
+
+def test_unique_names_beyond_99(spark):
+    df = spark.range(1234).select("id", F.lit("a").alias("name")).union(spark.createDataFrame([(0, "b"), (1, "b"), (2, None)], "id bigint, name string"))
+    got = [r.unique_name for r in strings.unique_names(df, "name", "id").orderBy("name", "id").collect()]
+    assert got == [None, "a", *(f"a_{k:02d}" for k in range(1, 1234)), "b", "b_01"]
