@@ -37,6 +37,11 @@ def text_or_empty(text: str) -> Column:
     return F.coalesce(F.col(text).cast("string"), F.lit(""))
 
 
+def row_key(id_col: str, text: Column) -> Column:
+    """64 bits that tell rows apart which share an id or have none; rows with equal id and text have equal ones."""
+    return F.xxhash64(F.col(id_col).cast("bigint"), text)
+
+
 def let(value: Column, f) -> Column:
     """f of value. Value is worked out once a row, also where Spark moves the expression into a filter or another projection."""
     return F.get(F.transform(F.array(value), f), F.lit(0))

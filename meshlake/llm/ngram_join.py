@@ -23,9 +23,11 @@ shingles are put in. So:
 
 Nulls and odd cases: a text without words has an empty set, links with nothing
 and is its own component; with fewer than n words the whole sequence is one
-shingle. Null ids rank behind all others. Rows that share an id are compared
-like other rows. An empty table gives an empty result. Other columns are not
-read by `linked` and are kept by `drop_near_duplicates`.
+shingle. Null ids rank behind all others. Rows that share an id, or have none,
+are compared like other rows; they are told apart by a 64-bit hash of id and
+text. Rows equal in both are sent once by a task's batch and counted. An empty
+table gives an empty result. Other columns are not read by `linked` and are kept
+by `drop_near_duplicates`.
 """
 
 from __future__ import annotations
@@ -38,8 +40,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .blocks import BLOCKS, block_rows, by_bucket, doc_bucket, numbers_of, packed, planes, runs_of, sent_texts, texts_of, unpacked
-from .common import text_or_empty, written
+from .blocks import BLOCKS, block_rows, by_bucket, doc_bucket, first_rows, numbers_of, packed, planes, runs_of, sent_texts, texts_of, unpacked
+from .common import row_key, text_or_empty, written
 from .components import components
 from .repeats import join_groups
 from .textbytes import BASE, LOWER, chunks, mix, prefix_hashes, span_hashes, words
@@ -110,18 +112,18 @@ HELD = 2_000_000
 def _sent_shingles(size: int, percent: int, n: int):
     """Blocks of counted shingles by hash range. A task sends a shingle with its documents, or, once it has CAP of them, only that it has; these documents' ranks pass through the next step."""
 
-    def flush(ids, tokens):
+    def flush(keys, tokens):
         order = np.argsort(tokens, kind="stable")
-        tokens, ids = tokens[order], ids[order]
+        tokens, keys = tokens[order], keys[order]
         starts = np.flatnonzero(np.concatenate([[True], tokens[1:] != tokens[:-1]]))
         counts = np.diff(np.append(starts, len(tokens)))
         many = np.repeat(counts >= CAP, counts)
         known = tokens[starts[counts >= CAP]]
         bucket = lambda t: (t * np.uint64(n) >> np.uint64(48)).astype(np.int64)
         out = [(b, packed("full", known[i])) for b, i in by_bucket(bucket(known))] if len(known) else []
-        ids, tokens, own, full = ids[~many], tokens[~many], ids[many], tokens[many]
+        keys, tokens, own, full = keys[~many], tokens[~many], keys[many], tokens[many]
         for b, i in by_bucket(bucket(tokens)) if len(tokens) else ():
-            names, which = np.unique(ids[i], return_inverse=True)
+            names, which = np.unique(keys[i], return_inverse=True)
             out.append((b, packed("shingles", planes(np.diff(tokens[i], prepend=np.uint64(0))), planes(np.diff(names, prepend=0)), which.astype(np.uint32))))
         for b, i in by_bucket(doc_bucket(own, n)) if len(own) else ():
             out.append((b, packed("known", own[i], full[i], np.full(len(i), CAP, np.uint8))))
@@ -130,12 +132,13 @@ def _sent_shingles(size: int, percent: int, n: int):
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, many = [], 0
         for batch in batches:
-            ids = batch.column("id").to_numpy()
+            batch, _ = first_rows(batch)
+            keys = batch.column("key").to_numpy()
             for a, b, data, offsets in chunks(batch, "text"):
                 sets = shingle_sets(data, offsets, size)
                 tokens = np.concatenate(sets)
                 use = counted(tokens, percent)
-                held.append((np.repeat(ids[a:b], [len(s) for s in sets])[use], tokens[use] >> np.uint64(16)))
+                held.append((np.repeat(keys[a:b], [len(s) for s in sets])[use], tokens[use] >> np.uint64(16)))
                 many += int(use.sum())
                 if many >= HELD:
                     yield flush(*map(np.concatenate, zip(*held)))
@@ -147,23 +150,23 @@ def _sent_shingles(size: int, percent: int, n: int):
 
 
 def _frequencies(n: int):
-    """For one hash range: blocks by document of (id, shingle, frequency up to CAP) of shingles that two rows or more have."""
+    """For one hash range: blocks by document of (key, shingle, frequency up to CAP) of shingles that two rows or more have."""
 
     def count(pdf: pd.DataFrame) -> pd.DataFrame:
-        out, tokens, ids, weights = [], [], [], []
+        out, tokens, keys, weights = [], [], [], []
         for kind, *x in map(unpacked, pdf.payload):
             if kind == "known":
                 out.append((int(pdf.bucket.iloc[0]), packed(*x)))
             elif kind == "full":
                 tokens.append(x[0])
-                ids.append(np.zeros(len(x[0]), np.int64))
+                keys.append(np.zeros(len(x[0]), np.int64))
                 weights.append(np.full(len(x[0]), CAP, np.int64))
             else:
                 tokens.append(np.cumsum(numbers_of(x[0])))
-                ids.append(np.cumsum(numbers_of(x[1]).view(np.int64))[x[2]])
+                keys.append(np.cumsum(numbers_of(x[1]).view(np.int64))[x[2]])
                 weights.append(np.ones(len(tokens[-1]), np.int64))
         if tokens:
-            token, of, weight = map(np.concatenate, (tokens, ids, weights))
+            token, of, weight = map(np.concatenate, (tokens, keys, weights))
             order = np.argsort(token, kind="stable")
             token, of, weight = token[order], of[order], weight[order]
             starts = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1]]))
@@ -189,7 +192,7 @@ def _first_order(grams: np.ndarray, tokens: np.ndarray, frequency: np.ndarray, p
     return grams[first[rank[first] > 1]]
 
 
-MEASURED = "id bigint, n bigint, sig binary, tokens array<bigint>, grams binary"
+MEASURED = "id bigint, key bigint, many bigint, n bigint, sig binary, tokens array<bigint>, grams binary"
 
 
 def _measured(size: int, percent: int):
@@ -198,34 +201,36 @@ def _measured(size: int, percent: int):
     def measure(key, docs: pd.DataFrame, found: pd.DataFrame) -> pd.DataFrame:
         rows = []
         if len(docs):
-            ids, offsets, data = texts_of(docs.payload)
+            keys, ids, many, offsets, data = texts_of(docs.payload)
             of = token = frequency = np.zeros(0, np.int64)
             if len(found):
                 of, token, frequency = (np.concatenate(x) for x in zip(*map(unpacked, found.payload)))
                 order = np.lexsort((token, of))
                 of, token, frequency = of[order], token[order], frequency[order].astype(np.int64)
-            low, high = np.searchsorted(of, ids, "left"), np.searchsorted(of, ids, "right")
+            low, high = np.searchsorted(of, keys, "left"), np.searchsorted(of, keys, "right")
             for a, b in runs_of(offsets, np.ones(len(ids), bool)):
                 base = offsets[a]
                 for i, grams in zip(range(a, b), shingle_sets(data[base : offsets[b]], offsets[a : b + 1] - base, size)):
                     if not len(grams):
-                        rows.append((ids[i], 0, None, None, None))
+                        rows.append((ids[i], keys[i], many[i], 0, None, None, None))
                         continue
                     some = slice(low[i], high[i])
                     first = _first_order(grams, token[some], frequency[some], percent)
-                    rows.append((ids[i], len(grams), signature(grams), first.view(np.int64).tolist(), grams.tobytes() if len(first) else None))
-        return pd.DataFrame(rows, columns=["id", "n", "sig", "tokens", "grams"])
+                    rows.append((ids[i], keys[i], many[i], len(grams), signature(grams), first.view(np.int64).tolist(), grams.tobytes() if len(first) else None))
+        return pd.DataFrame(rows, columns=["id", "key", "many", "n", "sig", "tokens", "grams"])
 
     return measure
 
 
 def measured(docs: DataFrame, size: int, percent: int, bucket_bytes: int) -> DataFrame:
-    """MEASURED of every document, written."""
+    """MEASURED of every document, written; many is the number of a row among its equals, of which only the first has tokens and grams."""
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n = max(1, -(-total // bucket_bytes))
     dealt = lambda x: x.repartition(n, "bucket").groupBy("bucket")
     frequencies = dealt(docs.mapInArrow(_sent_shingles(size, percent, n), BLOCKS)).applyInPandas(_frequencies(n), BLOCKS)
-    return written(dealt(docs.mapInArrow(sent_texts(n), BLOCKS)).cogroup(dealt(frequencies)).applyInPandas(_measured(size, percent), MEASURED))
+    found = dealt(docs.mapInArrow(sent_texts(n), BLOCKS)).cogroup(dealt(frequencies)).applyInPandas(_measured(size, percent), MEASURED)
+    found = found.withColumn("many", F.explode(F.sequence(F.lit(1).cast("bigint"), "many")))
+    return written(found.withColumns({c: F.when(F.col("many") == 1, F.col(c)) for c in ("tokens", "grams")}))
 
 
 def clusters(found: DataFrame) -> DataFrame:
@@ -296,8 +301,8 @@ def links(found: DataFrame, percent: int, block: int) -> DataFrame:
     blocks = roots.groupBy("root").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"), F.count("*").alias("members"))
     members = join_groups(roots, blocks, "root", "members", roots.count()).drop("members")
     # Copies of a class have equal sets; one of them is enough.
-    sets = found.where("grams is not null").select("sig", "id").groupBy("sig").agg(F.min("id").alias("id"))
-    sets = found.where("grams is not null").select("sig", "id", "grams").join(sets, ["sig", "id"], "left_semi")
+    sets = found.where("grams is not null").select("sig", "key").groupBy("sig").agg(F.min("key").alias("key"))
+    sets = found.where("grams is not null").select("sig", "key", "grams").join(sets, ["sig", "key"], "left_semi")
     members = members.join(sets, members["node"] == sets["sig"]).select("sig", "grams", "root", "blocks")
     mine = F.pmod(F.xxhash64("sig"), F.col("blocks")).cast("int")
     members = members.withColumn("mine", mine).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
@@ -314,26 +319,42 @@ def links(found: DataFrame, percent: int, block: int) -> DataFrame:
     return rows.groupBy("key").applyInPandas(verify, "u binary, v binary")
 
 
-def linked(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, percent: int = 80, block: int = 800, bucket_bytes: int = 8 << 20) -> DataFrame:
-    """One row per row of df: id, n_shingles, component_id."""
-    missing = F.lit((1 << 63) - 1)
-    docs = df.select(F.coalesce(F.col(id_col).cast("bigint"), missing).alias("id"), text_or_empty(text_col).alias("text"))
+#: Stands for a null id.
+MISSING = (1 << 63) - 1
+
+
+def _components(df: DataFrame, id_col: str, text_col: str, size: int, percent: int, block: int, bucket_bytes: int) -> DataFrame:
+    """One row per row of df: id, key, many (its number among equal rows), n, and first, the least (id, key) of its component."""
+    text = text_or_empty(text_col)
+    docs = df.select(F.coalesce(F.col(id_col).cast("bigint"), F.lit(MISSING)).alias("id"), row_key(id_col, text).alias("key"), text.alias("text"))
     found = measured(docs, size, percent, bucket_bytes)
     roots = components(links(found, percent, block))
-    classes = found.where("sig is not null").groupBy("sig").agg(F.min("id").alias("id"), F.count("*").alias("members"))
+    one = F.struct("id", "key")
+    classes = found.where("sig is not null").groupBy("sig").agg(F.min(one).alias("first"), F.count("*").alias("members"))
     classes = classes.join(roots.withColumnRenamed("node", "sig"), "sig", "left").withColumn("root", F.coalesce("root", "sig"))
     classes = written(classes)
-    least = classes.groupBy("root").agg(F.min("id").alias("component_id"), F.count("*").alias("classes"))
-    named = join_groups(classes, least, "root", "classes", classes.count()).select("sig", "component_id", "members")
-    rows = join_groups(found.where("sig is not null"), named, "sig", "members", found.count()).select("id", "n", "component_id")
-    rows = rows.unionByName(found.where("sig is null").select("id", "n", F.col("id").alias("component_id")))
-    given = lambda c: F.when(F.col(c) != missing, F.col(c))
-    return rows.select(given("id").alias("id"), F.col("n").alias("n_shingles"), given("component_id").alias("component_id"))
-
-
-def drop_near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", **settings) -> DataFrame:
-    """The rows of df that stay: of every component the one with the least id, with all columns; rows with a null id stay."""
-    groups = linked(df, id_col, text_col, **settings)
-    gone = groups.where("id <> component_id").select(F.col("id").alias("gone_id")).distinct()
-    rows = df.select(F.struct("*").alias("row"), F.col(id_col).cast("bigint").alias("key"))
-    return rows.join(gone, F.col("key") == F.col("gone_id"), "left_anti").select("row.*")
+    least = classes.groupBy("root").agg(F.min("first").alias("component"), F.count("*").alias("classes"))
+    named = join_groups(classes, least, "root", "classes", classes.count()).select("sig", "component", "members")
+    columns = ["id", "key", "many", "n"]
+    rows = join_groups(found.where("sig is not null"), named, "sig", "members", found.count()).select(*columns, F.col("component").alias("first"))
+    return rows.unionByName(found.where("sig is null").select(*columns, one.alias("first")))
+
+
+def linked(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, percent: int = 80, block: int = 800, bucket_bytes: int = 8 << 20) -> DataFrame:
+    """One row per row of df: id, n_shingles, component_id."""
+    rows = _components(df, id_col, text_col, size, percent, block, bucket_bytes)
+    given = lambda c: F.when(c != MISSING, c)
+    return rows.select(given(F.col("id")).alias("id"), F.col("n").alias("n_shingles"), given(F.col("first.id")).alias("component_id"))
+
+
+def drop_near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, percent: int = 80, block: int = 800, bucket_bytes: int = 8 << 20) -> DataFrame:
+    """The rows of df that stay: one of every component, with all columns: that with the least id (null ids last), then the least hash of id and text. Rows without words all stay."""
+    found = written(_components(df, id_col, text_col, size, percent, block, bucket_bytes).where("n > 0").select("key", (F.col("key") != F.col("first.key")).alias("gone")))
+    # Keys of which not each row stays; those of many rows are broadcast, so their rows stay where they are.
+    fates = written(found.groupBy("key").agg(F.first("gone").alias("gone"), F.count("*").alias("members")).where("gone or members > 1"))
+    rows = df.select(F.struct("*").alias("row"), row_key(id_col, text_or_empty(text_col)).alias("key"))
+    hot = F.broadcast(fates.where(F.col("members") * 1000 > found.count()))
+    cold = fates.join(hot.select("key"), "key", "left_anti")
+    told = rows.join(hot, "key").unionByName(rows.join(hot.select("key"), "key", "left_anti").join(cold, "key", "left"))
+    copies = told.where("not gone").groupBy("key").agg(F.min_by("row", F.to_json("row")).alias("row"))
+    return told.where("members is null").select("row").unionByName(copies.select("row")).select("row.*")

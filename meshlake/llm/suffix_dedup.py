@@ -23,9 +23,11 @@ Between the steps, each row is a compressed block of many records (their arrays
 in numpy), which Spark partitions, shuffles and groups.
 
 Nulls and odd cases: a null text counts as empty; texts under `length` bytes
-lose nothing. A null id ranks before all others. Rows that share an id are
-ordered by text and, being equal, as one. An empty table gives an empty result.
-Other columns are not read.
+lose nothing. Null ids rank before all others. Rows that share an id, or have
+none, are documents of their own, told apart and ordered by a 64-bit hash of id
+and text. Of rows equal in both the first is such a document; the others are its
+copies, sent once by a task's batch and counted, and lose all that a window
+covers. An empty table gives an empty result. Other columns are not read.
 """
 
 from __future__ import annotations
@@ -39,8 +41,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .blocks import BLOCKS, block_rows, by_bucket, doc_bucket, numbers_of, packed, planes, runs_of, sent_texts, texts_of, unpacked
-from .common import text_or_empty, written
+from .blocks import BLOCKS, block_rows, by_bucket, doc_bucket, numbers_of, packed, planes, first_rows, picked, runs_of, sent_texts, texts_of, unpacked
+from .common import row_key, text_or_empty, written
 from .textbytes import chunks, mix, prefix_hashes, span_hashes
 
 def anchors(data: np.ndarray, offsets: np.ndarray, length: int) -> tuple[np.ndarray, ...]:
@@ -78,10 +80,10 @@ HELD = 1_500_000
 def _sent_anchors(length: int, n: int):
     """Blocks of anchors by hash range, and of those a task already knows to be repeated (they only pass through the next step)."""
 
-    def flush(ids, number, hashes):
+    def flush(keys, number, hashes):
         token = hashes >> np.uint64(16)
         order = np.argsort(token, kind="stable")
-        token, ids, number = token[order], ids[order], number[order]
+        token, keys, number = token[order], keys[order], number[order]
         first = np.concatenate([[True], token[1:] != token[:-1]])
         last = np.append(first[1:], True)
         several = ~(first & last)
@@ -90,22 +92,23 @@ def _sent_anchors(length: int, n: int):
         send = np.flatnonzero(first)
         for b, i in by_bucket(bucket[send]):
             i = send[i]
-            names, which = np.unique(ids[i], return_inverse=True)
+            names, which = np.unique(keys[i], return_inverse=True)
             out.append((b, packed("anchors", planes(np.diff(token[i], prepend=np.uint64(0))), planes(np.diff(names, prepend=0)), which.astype(np.uint32), number[i].astype(np.uint32))))
         if several.any():
-            for b, i in by_bucket(doc_bucket(ids[several], n)):
+            for b, i in by_bucket(doc_bucket(keys[several], n)):
                 i = np.flatnonzero(several)[i]
-                out.append((b, packed("known", ids[i], number[i].astype(np.uint32))))
+                out.append((b, packed("known", keys[i], number[i].astype(np.uint32))))
         return block_rows(out)
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, many = [], 0
         for batch in batches:
-            ids = batch.column("id").to_numpy()
+            batch, _ = first_rows(batch)
+            keys = batch.column("key").to_numpy()
             for a, b, data, offsets in chunks(batch, "text"):
                 row, _, _, _, hashes = anchors(data, offsets, length)
                 first = np.searchsorted(row, np.arange(b - a))
-                held.append((ids[a:b][row], np.arange(len(row)) - first[row], hashes))
+                held.append((keys[a:b][row], np.arange(len(row)) - first[row], hashes))
                 many += len(row)
                 if many >= HELD:
                     yield flush(*map(np.concatenate, zip(*held)))
@@ -117,25 +120,25 @@ def _sent_anchors(length: int, n: int):
 
 
 def _repeated_anchors(n: int):
-    """Of one bucket: (document bucket, ids and numbers of repeated anchors)."""
+    """Of one bucket: (document bucket, keys and numbers of repeated anchors)."""
 
     def find(pdf: pd.DataFrame) -> pd.DataFrame:
-        tokens, ids, number, out = [], [], [], []
+        tokens, keys, number, out = [], [], [], []
         for kind, *x in map(unpacked, pdf.payload):
             if kind == "known":
                 out.append((int(pdf.bucket.iloc[0]), packed(*x)))
             else:
                 tokens.append(np.cumsum(numbers_of(x[0])))
-                ids.append(np.cumsum(numbers_of(x[1]).view(np.int64))[x[2]])
+                keys.append(np.cumsum(numbers_of(x[1]).view(np.int64))[x[2]])
                 number.append(x[3])
         if tokens:
-            token, ids, number = map(np.concatenate, (tokens, ids, number))
+            token, keys, number = map(np.concatenate, (tokens, keys, number))
             order = np.argsort(token, kind="stable")
             token = token[order]
             same = token[1:] == token[:-1]
             keep = order[np.append(same, False) | np.append(False, same)]
-            for b, i in by_bucket(doc_bucket(ids[keep], n)):
-                out.append((b, packed(ids[keep[i]], number[keep[i]])))
+            for b, i in by_bucket(doc_bucket(keys[keep], n)):
+                out.append((b, packed(keys[keep[i]], number[keep[i]])))
         return pd.DataFrame(out, columns=["bucket", "payload"])
 
     return find
@@ -149,11 +152,11 @@ def _contexts(data: np.ndarray, begin: np.ndarray, end: np.ndarray, position: np
     return np.where(inside, data[np.clip(at, 0, max(0, len(data) - 1))], 0).astype(np.uint8)
 
 
-def _suffix_buckets(grams: np.ndarray, ids: np.ndarray, splitters: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _suffix_buckets(grams: np.ndarray, keys: np.ndarray, splitters: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The bucket of each k-gram, and whether it is spread over several because several splitters equal it."""
     left, right = np.searchsorted(splitters, grams, "left"), np.searchsorted(splitters, grams, "right")
     spread = right - left > 1
-    return np.where(spread, left + (mix(ids.view(np.uint64)) % np.maximum(right - left, 1).astype(np.uint64)).astype(np.int64), right), spread
+    return np.where(spread, left + (mix(keys.view(np.uint64)) % np.maximum(right - left, 1).astype(np.uint64)).astype(np.int64), right), spread
 
 
 def _as_bytes(rows: np.ndarray) -> np.ndarray:
@@ -168,18 +171,18 @@ def _sent_suffixes(length: int, splitters):
         out = []
         if len(docs) and len(found):
             names, wanted = _coded(map(unpacked, found.payload))
-            ids, offsets, data = _only(*texts_of(docs.payload), names)
+            keys, ids, offsets, data = _only(*texts_of(docs.payload), names)
             held, many = [], 0
             for a, b in runs_of(offsets, np.ones(len(ids), bool)):
                 base = offsets[a]
                 row, position, low, high, _ = anchors(data[base : offsets[b]], offsets[a : b + 1] - base, length)
                 number = np.arange(len(row)) - np.searchsorted(row, np.arange(b - a))[row]
-                code = np.searchsorted(names, ids[a:b][row]).astype(np.int64) * (1 << 32) + number
+                code = np.searchsorted(names, keys[a:b][row]).astype(np.int64) * (1 << 32) + number
                 keep = wanted[np.minimum(np.searchsorted(wanted, code), len(wanted) - 1)] == code
                 row, position, low, high = row[keep], position[keep], low[keep], high[keep]
                 begin, end = offsets[a:b][row] - base, offsets[a + 1 : b + 1][row] - base
                 context = _contexts(data[base : offsets[b]], begin, end, position, length)
-                held.append((context, ids[a:b][row], position - begin, (position - high).astype(np.uint8), (position - low).astype(np.uint8)))
+                held.append((context, keys[a:b][row], ids[a:b][row], position - begin, (position - high).astype(np.uint8), (position - low).astype(np.uint8)))
                 many += len(row)
                 if many > 200_000 or b == len(ids):
                     context, *fields = map(np.concatenate, zip(*held))
@@ -195,18 +198,16 @@ def _sent_suffixes(length: int, splitters):
 
 
 def _coded(parts) -> tuple[np.ndarray, np.ndarray]:
-    """The different ids of blocks of (ids, numbers), sorted, and their pairs as sorted codes."""
-    ids, numbers = (np.concatenate(x) for x in zip(*parts))
-    names, which = np.unique(ids, return_inverse=True)
+    """The different keys of blocks of (keys, numbers), sorted, and their pairs as sorted codes."""
+    keys, numbers = (np.concatenate(x) for x in zip(*parts))
+    names, which = np.unique(keys, return_inverse=True)
     return names, np.unique(which.astype(np.int64) * (1 << 32) + numbers)
 
 
-def _only(ids: np.ndarray, offsets: np.ndarray, data: np.ndarray, names: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The documents with one of these ids."""
-    at = np.flatnonzero(np.isin(ids, names))
-    view = memoryview(data)
-    text = b"".join(view[offsets[i] : offsets[i + 1]] for i in at)
-    return ids[at], np.concatenate([[0], np.cumsum(np.diff(offsets)[at])]), np.frombuffer(text, np.uint8)
+def _only(keys: np.ndarray, ids: np.ndarray, many: np.ndarray, offsets: np.ndarray, data: np.ndarray, names: np.ndarray) -> tuple[np.ndarray, ...]:
+    """(keys, ids, offsets, data) of the documents with one of these keys."""
+    at = np.flatnonzero(np.isin(keys, names))
+    return keys[at], ids[at], *picked(offsets, data, at)
 
 
 def multikey_sort(words: np.ndarray, cut: int = 2048) -> np.ndarray:
@@ -273,14 +274,14 @@ def repeated_windows(context: np.ndarray, age: np.ndarray, low: np.ndarray, high
     return mask
 
 
-def _spans(mask: np.ndarray, ids: np.ndarray, position: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(id, start, end) of the bytes that runs of marked windows cover."""
+def _spans(mask: np.ndarray, keys: np.ndarray, position: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(key, start, end) of the bytes that runs of marked windows cover."""
     wide = np.zeros((len(mask), mask.shape[1] + 2), np.int8)
     wide[:, 1:-1] = mask
     step = np.diff(wide, axis=1)
     i, first = np.nonzero(step == 1)
     last = np.nonzero(step == -1)[1] - 1
-    return ids[i], position[i] - last, position[i] - first + length
+    return keys[i], position[i] - last, position[i] - first + length
 
 
 def _marked_spans(length: int, n: int):
@@ -288,12 +289,12 @@ def _marked_spans(length: int, n: int):
     k = length // 2
 
     def mark(pdf: pd.DataFrame) -> pd.DataFrame:
-        context, ids, position, low, high, spread = (np.concatenate(x) for x in zip(*map(unpacked, pdf.payload)))
+        context, keys, ids, position, low, high, spread = (np.concatenate(x) for x in zip(*map(unpacked, pdf.payload)))
         age = np.empty(len(ids), np.int64)
-        age[np.lexsort((position, ids))] = np.arange(len(ids))
+        age[np.lexsort((position, keys, ids))] = np.arange(len(ids))
         mask = repeated_windows(context, age, low, high, length)
         out = []
-        of, start, end = _spans(mask, ids, position, length)
+        of, start, end = _spans(mask, keys, position, length)
         for b, i in by_bucket(doc_bucket(of, n)):
             out.append((b, packed(of[i], start[i], end[i])))
         d = np.arange(k + 1)
@@ -307,7 +308,7 @@ def _marked_spans(length: int, n: int):
                 hashes.append(span_hashes(prefix_hashes(flat), at, at + length))
             hashes = np.concatenate(hashes)
             for b, j in by_bucket((hashes % np.uint64(n)).astype(np.int64)):
-                out.append((n + b, packed(hashes[j], ids[i[j]], position[i[j]] - d[j])))
+                out.append((n + b, packed(hashes[j], keys[i[j]], ids[i[j]], position[i[j]] - d[j])))
         return pd.DataFrame(out, columns=["bucket", "payload"])
 
     return mark
@@ -317,17 +318,19 @@ def _across(length: int, n: int):
     """Windows that are first in their own bucket but not of all buckets of their k-gram."""
 
     def compare(pdf: pd.DataFrame) -> pd.DataFrame:
-        hashes, ids, start = (np.concatenate(x) for x in zip(*map(unpacked, pdf.payload)))
-        order = np.lexsort((start, ids, hashes))
-        hashes, ids, start = hashes[order], ids[order], start[order]
+        hashes, keys, ids, start = (np.concatenate(x) for x in zip(*map(unpacked, pdf.payload)))
+        order = np.lexsort((start, keys, ids, hashes))
+        hashes, keys, start = hashes[order], keys[order], start[order]
         later = np.flatnonzero(np.append(False, hashes[1:] == hashes[:-1]))
-        out = [(b, packed(ids[later[i]], start[later[i]], start[later[i]] + length)) for b, i in by_bucket(doc_bucket(ids[later], n))]
+        out = [(b, packed(keys[later[i]], start[later[i]], start[later[i]] + length)) for b, i in by_bucket(doc_bucket(keys[later], n))]
         return pd.DataFrame(out, columns=["bucket", "payload"])
 
     return compare
 
 
-RESULT = "id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept binary"
+RESULT = "id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept binary, many bigint"
+#: Equal rows that one row of the result stands for before it is repeated.
+MOST = 10_000
 
 
 def merged_spans(start: np.ndarray, end: np.ndarray) -> list[tuple[int, int]]:
@@ -340,24 +343,29 @@ def merged_spans(start: np.ndarray, end: np.ndarray) -> list[tuple[int, int]]:
     return [(a, b) for a, b in out]
 
 
-def _cut(digest: bool):
+def _cut(length: int, digest: bool):
+    """For one bucket of documents: their results, and those of their copies with the number of them."""
+    told = lambda kept: hashlib.sha256(kept).digest() if digest else kept
+
     def cut(key, docs: pd.DataFrame, spans: pd.DataFrame) -> pd.DataFrame:
         if not len(docs):
-            return pd.DataFrame(columns=["id", "n_bytes", "n_removed", "n_spans", "kept"])
-        ids, offsets, data = texts_of(docs.payload)
+            return pd.DataFrame(columns=["id", "n_bytes", "n_removed", "n_spans", "kept", "many"])
+        keys, ids, many, offsets, data = texts_of(docs.payload)
         of = np.zeros(0, np.int64)
         if len(spans):
             of, start, end = (np.concatenate(x) for x in zip(*map(unpacked, spans.payload)))
             order = np.argsort(of, kind="stable")
             of, start, end = of[order], start[order], end[order]
-        a, b = np.searchsorted(of, ids, "left"), np.searchsorted(of, ids, "right")
+        a, b = np.searchsorted(of, keys, "left"), np.searchsorted(of, keys, "right")
         rows = []
         for i in range(len(ids)):
             text = data[offsets[i] : offsets[i + 1]].tobytes()
             gone = merged_spans(start[a[i] : b[i]], end[a[i] : b[i]]) if b[i] > a[i] else []
             kept = b"".join(text[x:y] for x, y in zip([0, *(g[1] for g in gone)], [*(g[0] for g in gone), len(text)])) if gone else text
-            rows.append((ids[i], len(text), len(text) - len(kept), len(gone), hashlib.sha256(kept).digest() if digest else kept))
-        return pd.DataFrame(rows, columns=["id", "n_bytes", "n_removed", "n_spans", "kept"])
+            rows.append((ids[i], len(text), len(text) - len(kept), len(gone), told(kept), 1))
+            copy = (len(text), 1, told(b"")) if len(text) >= length else (0, 0, told(text))
+            rows += [(ids[i], len(text), *copy, min(MOST, many[i] - k)) for k in range(1, many[i], MOST)]
+        return pd.DataFrame(rows, columns=["id", "n_bytes", "n_removed", "n_spans", "kept", "many"])
 
     return cut
 
@@ -365,7 +373,8 @@ def _cut(digest: bool):
 def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 100, digest: bool = False, bucket_bytes: int = 8 << 20, sampled: int = 64, max_sample: int = 20_000) -> DataFrame:
     """One row per row of df: id, n_bytes, n_removed, n_spans, kept (the bytes that stay, or their SHA-256)."""
     missing = F.lit(-(1 << 63))
-    docs = df.select(F.coalesce(F.col(id_col).cast("bigint"), missing).alias("id"), text_or_empty(text_col).alias("text"))
+    text = text_or_empty(text_col)
+    docs = df.select(F.coalesce(F.col(id_col).cast("bigint"), missing).alias("id"), row_key(id_col, text).alias("key"), text.alias("text"))
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n = max(1, -(-total // bucket_bytes))
 
@@ -377,7 +386,7 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                 grams = [data[p : p + k].tobytes() for p in position]
                 yield pa.RecordBatch.from_arrays([pa.array(mix(hashes + position.astype(np.uint64)).view(np.int64)), pa.array(grams, pa.binary())], ["r", "gram"])
 
-    some = docs.where(F.pmod(F.xxhash64("id"), F.lit(sampled)) == 0).select("text").mapInArrow(sample, "r bigint, gram binary")
+    some = docs.where(F.pmod("key", F.lit(sampled)) == 0).dropDuplicates(["key"]).select("text").mapInArrow(sample, "r bigint, gram binary")
     grams = np.sort(np.array([r.gram for r in some.orderBy("r", "gram").limit(max_sample).select("gram").collect()], f"S{length // 2}"))
     at = (np.arange(1, n) * len(grams)) // n
     splitters = df.sparkSession.sparkContext.broadcast(grams[at] if len(grams) else grams)
@@ -389,5 +398,6 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     marked = written(dealt(suffixes).applyInPandas(_marked_spans(length, n), BLOCKS))
     across = dealt(marked.where(F.col("bucket") >= n)).applyInPandas(_across(length, n), BLOCKS)
     spans = marked.where(F.col("bucket") < n).unionByName(across)
-    out = dealt(texts).cogroup(dealt(spans)).applyInPandas(_cut(digest), RESULT)
+    out = dealt(texts).cogroup(dealt(spans)).applyInPandas(_cut(length, digest), RESULT)
+    out = out.withColumn("many", F.explode(F.sequence(F.lit(1), "many"))).drop("many")
     return out.withColumn("id", F.when(F.col("id") != missing, F.col("id")))

@@ -285,3 +285,36 @@ def test_left_out():
     import __spark_entry__
 
     assert os.path.exists(__spark_entry__.__file__)
+
+
+def repeated_rows():
+    """(id, text): equal rows, and different texts that share an id or have none."""
+    rng = random.Random(12)
+    text = lambda n: "".join(rng.choices("abcdefghij ", k=n))
+    a, b, c = text(300), text(260), text(280)
+    return [(7, a)] * 5 + [(None, b)] * 4 + [(None, text(40) + a[50:200] + text(90)), (None, text(400)), (3, c), (3, text(60) + c[:150]), (3, "short"), (3, "short"), (None, None), (None, None), (8, text(30) + b + text(30))]
+
+
+def test_suffix_dedup_repeated_rows(spark):
+    df = spark.createDataFrame(repeated_rows(), "doc_id bigint, text string").repartition(3)
+    keyed = df.select("doc_id", "text", F.xxhash64("doc_id", F.coalesce("text", F.lit(""))).alias("key")).collect()
+    rows = [(r.doc_id, r.text) for r in sorted(keyed, key=lambda r: r.key)]
+    got = suffix_dedup.remove_repeats(df, digest=True, bucket_bytes=300, sampled=1).collect()
+    assert sorted((str(r.id), r.n_bytes, r.n_removed, r.kept.hex()) for r in got) == brute_repeats(rows, 100)
+    whole = {r.kept for r in suffix_dedup.remove_repeats(df).collect() if not r.n_removed}
+    assert len([r for r in got if r.n_bytes == r.n_removed == 300]) == 4 and len(whole) >= 3
+
+
+def test_near_duplicates_repeated_rows(spark):
+    rng = random.Random(6)
+    words = lambda: [f"w{rng.randrange(500)}" for _ in range(60)]
+    a, b, c, d = words(), words(), words(), words()
+    near = lambda w: " ".join([*w[:-1], "changed"])
+    rows = [(5, near(a)), (5, " ".join(b)), (3, " ".join(a)), (2, " ".join(c)), (2, " ".join(c)), (2, near(c)), (None, " ".join(d)), (None, near(d)), (None, " ".join(d)), (None, near(a)), (None, None), (None, None), (4, "")]
+    df = spark.createDataFrame([(i, t, k) for k, (i, t) in enumerate(rows)], "doc_id bigint, text string, row int").repartition(3)
+    got = ngram_join.drop_near_duplicates(df, bucket_bytes=300)
+    assert got.columns == df.columns
+    kept = sorted((str(r.doc_id), (r.text or "").replace("changed", "").split(" ")[:5]) for r in got.collect())
+    assert kept == sorted([("5", b[:5]), ("3", a[:5]), ("2", c[:5]), ("None", d[:5]), ("None", [""]), ("None", [""]), ("4", [""])])
+    linked = ngram_join.linked(df, bucket_bytes=300).collect()
+    assert sorted((str(r.id), r.n_shingles, str(r.component_id)) for r in linked) == brute_components(rows, 5, 80)
