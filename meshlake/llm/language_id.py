@@ -8,8 +8,8 @@ clustering its rows on the sphere. A text gets the language of the centroid
 with the largest cosine; if that lies below what nearly all rows of this
 centroid reach in the fit, the text is marked as rejected.
 
-The fit takes about `per_language` rows of each language, chosen by a hash of
-their id; prediction covers all rows and whole texts.
+The fit takes at most `per_language` different rows of each language, those with
+the least hashes of id and text; prediction covers all rows and whole texts.
 
 Nulls and odd cases: a text that is null or has no letter gets `und`, score 0
 and is rejected. Rows with a null language are not learned from. With nothing
@@ -24,7 +24,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import text_or_empty
@@ -119,10 +119,13 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def learn(df: DataFrame, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id", per_language: int = 600) -> Centroids:
-    """Fits to rows of df with a language and a letter in the text; about per_language rows of each."""
-    rows = df.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("text"), F.pmod(F.xxhash64(id_col), F.lit(1_000_003)).alias("rank"))
-    share = rows.groupBy("lang").agg((F.lit(1_000_003.0 * per_language) / F.count("*")).alias("below"))
-    chosen = rows.join(F.broadcast(share), "lang").where(F.col("rank") < F.col("below")).where(F.col("text").rlike(r"\p{L}"))
+    """Fits to rows of df with a language and a letter in the text: of each language the per_language ones with the least hashes of id and text, of rows equal in both one."""
+    text = F.col(text_col)
+    rows = df.where(F.col(lang_col).isNotNull() & text.rlike(r"\p{L}")).select(F.col(lang_col).cast("string").alias("lang"), text.alias("text"), F.xxhash64(F.col(id_col), text).alias("rank"))
+    # Tasks drop all but their own first per_language ranks of a language before the window.
+    first = F.row_number().over(Window.partitionBy("lang").orderBy("rank"))
+    ranks = rows.select("lang", "rank").distinct().withColumn("at", first).where(F.col("at") <= per_language).select("lang", "rank")
+    chosen = rows.join(F.broadcast(ranks), ["lang", "rank"]).dropDuplicates(["lang", "rank"])
     found = chosen.select("lang", "text").mapInArrow(_counted, "lang string, cells binary, n binary").collect()
     found.sort(key=lambda r: (r.lang, r.cells, r.n))
     table = np.zeros((len(found), CELLS), np.float32)

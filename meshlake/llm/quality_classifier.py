@@ -154,11 +154,12 @@ def _to_features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def learn(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", max_rows: int = 6000) -> Scorer:
-    """Fits to the rows of df with label 0 or 1 in labels: at most max_rows labels, those with the smallest hash of their id, are broadcast and joined."""
+    """Fits to the rows of df with label 0 or 1 in labels: at most max_rows different labels, those with the smallest hash of their id, are broadcast and joined, and of each one row is collected, that with the least hash of its text."""
     key = F.col(id_col)
-    chosen = labels.where(F.col(label_col).isin(0, 1)).select(key.alias("id"), F.col(label_col).cast("int").alias("label")).orderBy(F.xxhash64(key), key, label_col).limit(max_rows)
+    chosen = labels.where(F.col(label_col).isin(0, 1) & key.isNotNull()).select(key.alias("id"), F.col(label_col).cast("int").alias("label")).distinct().orderBy(F.xxhash64("id"), "id", "label").limit(max_rows)
     texts = df.select(key.alias("id"), text_or_empty(text_col).alias("text"))
-    found = texts.join(F.broadcast(chosen), "id").mapInArrow(_to_features, "label int, cells binary").collect()
+    one = texts.join(F.broadcast(chosen), "id").groupBy("id", "label").agg(F.min_by("text", F.xxhash64("text")).alias("text"))
+    found = one.select("label", "text").mapInArrow(_to_features, "label int, cells binary").collect()
     found.sort(key=lambda r: (r.label, r.cells))  # the same order for the same rows
     order = np.random.default_rng(11).permutation(len(found))
     return fit([np.frombuffer(found[i].cells, "<i4").astype(np.int64) for i in order], np.array([found[i].label for i in order], int))

@@ -1,4 +1,5 @@
 import hashlib
+import itertools
 import os
 import random
 import re
@@ -318,3 +319,20 @@ def test_near_duplicates_repeated_rows(spark):
     assert kept == sorted([("5", b[:5]), ("3", a[:5]), ("2", c[:5]), ("None", d[:5]), ("None", [""]), ("None", [""]), ("4", [""])])
     linked = ngram_join.linked(df, bucket_bytes=300).collect()
     assert sorted((str(r.id), r.n_shingles, str(r.component_id)) for r in linked) == brute_components(rows, 5, 80)
+
+
+def test_fits_are_bounded_by_rows(spark, monkeypatch):
+    """Null and repeated ids and repeated rows take no more than their share of a sample."""
+    used = {}
+    monkeypatch.setattr(language_id, "fit", lambda table, languages: used.update(languages=sorted(languages), texts=len({r.tobytes() for r in table})))
+    letters = ["".join(p) for p in itertools.permutations("abcdef")]
+    rows = [(None, letters[k], "en") for k in range(400)] + [(1, letters[k], "fr") for k in range(300)] + [(2, "same text", "de")] * 200 + [(1000 + k, letters[k], "de") for k in range(80)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string").repartition(3)
+    language_id.learn(docs, per_language=50)
+    assert used["languages"] == ["de"] * 50 + ["en"] * 50 + ["fr"] * 50 and used["texts"] >= 50
+    monkeypatch.setattr(quality_classifier, "fit", lambda sets, labels: used.update(labels=sorted(labels.tolist())))
+    labels = spark.createDataFrame([(1, 1)] * 90 + [(2, 0)] * 5 + [(1003, 0), (1004, 1), (None, 1), (None, 0)], "doc_id bigint, quality int")
+    quality_classifier.learn(docs, labels)
+    assert used["labels"] == [0, 0, 1, 1]
+    quality_classifier.learn(docs, labels, max_rows=3)
+    assert len(used["labels"]) == 3
