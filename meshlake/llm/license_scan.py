@@ -1,13 +1,19 @@
 r"""Licence scans: units of text compared with licence templates by the Dice coefficient over word bigrams.
 
 A text is lower-cased, and every run of characters other than letters, digits
-and line ends becomes one space. Its units are its lines, its paragraphs (split
-at blank lines) and the text as a whole; equal units count once. A unit matches
-a template if 2 × shared bigrams / (bigrams of both) reaches the threshold,
-counting repeated bigrams as often as they occur. For a threshold t that needs a
-unit of t / (2 - t) to (2 - t) / t times the template's bigrams, so units of
-other sizes are dropped by their word count before bigrams are built, and each
-template looks only at units of its own range.
+and line ends becomes one space. Its units are its lines, two and three
+neighbouring lines, its sentences, its paragraphs (split at blank lines) and the
+text as a whole; equal units count once. A unit matches a template if 2 × shared
+bigrams / (bigrams of both) reaches the threshold, counting repeated bigrams as
+often as they occur, and no template is nearer to it. For a threshold t that
+needs a unit of t / (2 - t) to (2 - t) / t times the template's bigrams, so units
+of other sizes are dropped by their word count before bigrams are built, and
+each template looks only at units of its own range.
+
+A match shares at least t / (2 - t) of the template's bigrams. So a set of words
+that occur in more than the rest of each template's bigrams has a word in every
+text with a match: texts without any of these words have none and are not cut
+into units at all.
 
 Built-in functions over one row do it all: no shuffle, no Python.
 
@@ -20,35 +26,24 @@ the other columns and replaces columns of the names it adds.
 from __future__ import annotations
 
 import math
+from collections import Counter
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import free_name, let, text_or_empty
+from .license_texts import templates as all_templates
+from .quality_rules import STOP_WORDS
 
-#: Common notices of licences, as their stewards suggest them or as authors usually write them.
-TEMPLATES = (
-    ("Apache-2.0", "Licensed under the Apache License, Version 2.0."),
-    ("Apache-2.0", "Licensed under the Apache License, Version 2.0 (the License); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0"),
-    ("MIT", "Released under the MIT License."),
-    ("MIT", "This project is licensed under the terms of the MIT license."),
-    ("GPL-3.0", "This work is licensed under the GNU General Public License, version 3."),
-    ("GPL-3.0", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."),
-    ("BSD-3-Clause", "Use of this source code is governed by a BSD-style license that can be found in the LICENSE file."),
-    ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."),
-    ("CC-BY-4.0", "This work is licensed under a Creative Commons Attribution 4.0 International License."),
-    ("CC-BY-SA-4.0", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License."),
-    ("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0."),
-    ("CC-BY-NC-4.0", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License."),
-    ("CC0-1.0", "To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work."),
-)
+TEMPLATES = all_templates()
 THRESHOLD = 0.8
 
 
 @dataclass(frozen=True)
 class Template:
     license: str
+    words: tuple[str, ...]
     grams: tuple[int, ...]
     least: int
     most: int
@@ -58,9 +53,17 @@ def normalised(text: Column) -> Column:
     return F.regexp_replace(F.lower(text), r"[^\p{L}\p{N}\n]+", " ")
 
 
-def _units(norm: Column) -> Column:
+#: The end of a sentence within a line.
+SENTENCE_END = r"[.!?]+[ \t]+"
+
+
+def _units(text: Column) -> Column:
     joined = lambda x: F.replace(x, F.lit("\n"), F.lit(" "))
-    parts = F.concat(F.split(norm, "\n"), F.transform(F.split(norm, "\n *\n"), joined), F.array(joined(norm)))
+    norm = normalised(text)
+    neighbours = lambda x, k: F.transform(F.sequence(F.lit(1), F.size(x)), lambda i: F.array_join(F.slice(x, i, k), " "))
+    lines = let(F.split(norm, "\n"), lambda x: F.concat(x, neighbours(x, F.lit(2)), neighbours(x, F.lit(3))))
+    sentences = F.split(normalised(F.regexp_replace(text, SENTENCE_END, "\n")), "\n")
+    parts = F.concat(lines, sentences, F.transform(F.split(norm, "\n *\n"), joined), F.array(joined(norm)))
     return F.array_distinct(F.transform(parts, lambda u: F.trim(F.regexp_replace(u, " +", " "))))
 
 
@@ -72,7 +75,8 @@ def _bigrams(unit: Column) -> Column:
 
 def _numbered(grams: Column) -> Column:
     """Bigrams made different by their number of occurrence, so that sets of them compare as multisets."""
-    return F.transform(grams, lambda g, i: F.xxhash64(g, F.size(F.filter(F.slice(grams, 1, i + 1), lambda x: x == g))))
+    nth = lambda g: F.transform(g, lambda x, i: F.xxhash64(x, F.size(F.filter(F.slice(g, 1, i + 1), lambda y: y == x))))
+    return let(grams, lambda g: F.when(F.size(F.array_distinct(g)) == F.size(g), F.transform(g, lambda x: F.xxhash64(x, F.lit(1)))).otherwise(nth(g)))
 
 
 def compiled(spark: SparkSession, templates=TEMPLATES, threshold: float = THRESHOLD) -> list[Template]:
@@ -80,16 +84,22 @@ def compiled(spark: SparkSession, templates=TEMPLATES, threshold: float = THRESH
     if not templates:
         return []
     table = spark.createDataFrame(list(templates), "license string, text string")
-    table = table.withColumn("unit", F.trim(F.replace(normalised(F.col("text")), F.lit("\n"), F.lit(" "))))
-    rows = table.withColumn("grams", _bigrams(F.col("unit"))).select("license", _numbered(F.col("grams")).alias("grams")).collect()
+    table = table.withColumn("unit", F.trim(F.regexp_replace(F.replace(normalised(F.col("text")), F.lit("\n"), F.lit(" ")), " +", " ")))
+    rows = table.select("license", F.split("unit", " ").alias("words"), _numbered(_bigrams(F.col("unit"))).alias("grams")).collect()
     low = threshold / (2 - threshold)
-    return [Template(r.license, tuple(r.grams), math.ceil(low * len(r.grams) - 1e-9), math.floor(len(r.grams) / low + 1e-9)) for r in rows if r.grams]
+    return [Template(r.license, tuple(r.words), tuple(r.grams), math.ceil(low * len(r.grams) - 1e-9), math.floor(len(r.grams) / low + 1e-9)) for r in rows if r.grams]
 
 
-def _dice(t: Template):
-    """A lambda: the unit's number, the licence and the coefficient, null for a unit out of the template's range."""
-    dice = lambda g: 2.0 * F.size(F.array_intersect(g, F.lit(list(t.grams)))) / (F.size(g) + len(t.grams))
-    return lambda g, i: F.struct(i.alias("unit"), F.lit(t.license).alias("license"), F.when(F.size(g).between(t.least, t.most), dice(g)).alias("dice"))
+def telling_words(known: list[Template], threshold: float) -> list[str]:
+    """Words of which every unit with a match has one: in each template they occur in more bigrams than a match can miss."""
+    low, chosen = threshold / (2 - threshold), set()
+    for t in sorted(known, key=lambda t: len(t.grams)):
+        pairs = list(zip(t.words, t.words[1:]))
+        missed = len(pairs) - math.ceil(low * len(pairs) - 1e-9)
+        while sum(a in chosen or b in chosen for a, b in pairs) <= missed:
+            gain = Counter(w for p in pairs if not chosen & set(p) for w in set(p))
+            chosen.add(max(gain, key=lambda w: (w not in STOP_WORDS, len(w) > 4, gain[w], len(w), w)))
+    return sorted(chosen)
 
 
 def scan(df: DataFrame, text_col: str = "text", templates=TEMPLATES, threshold: float = THRESHOLD) -> DataFrame:
@@ -101,15 +111,19 @@ def scan(df: DataFrame, text_col: str = "text", templates=TEMPLATES, threshold:
     if known:
         least, most = min(t.least for t in known), max(t.most for t in known)
         spaces = lambda u: F.length(u) - F.length(F.replace(u, F.lit(" "), F.lit("")))
-        df = df.withColumn(units, _units(normalised(text_or_empty(text_col))))
-        df = df.withColumn(units, F.filter(units, lambda u: spaces(u).between(max(1, least), most)))
+        text = text_or_empty(text_col)
+        telling = telling_words(known, threshold)
+        has = lambda words: F.arrays_overlap(words, F.lit(telling))
+        may = has(F.split(F.lower(text), r"[^\p{L}\p{N}]+"))
+        sized = F.filter(_units(text), lambda u: spaces(u).between(max(1, least), most) & has(F.split(u, " ")))
+        df = df.withColumn(units, F.when(may, sized).otherwise(F.array().cast("array<string>")))
         df = df.withColumn(grams, F.transform(units, _bigrams))
-        # Units without enough bigrams of any template go before repeated bigrams are told apart: numbered ones of a template start with these.
-        first = df.sparkSession.createDataFrame([(t,) for _, t in templates], "text string").select(F.explode(_bigrams(F.trim(F.replace(normalised(F.col("text")), F.lit("\n"), F.lit(" "))))).alias("g")).distinct().collect()
-        every = F.lit([r.g for r in first])
-        df = df.withColumn(grams, F.filter(grams, lambda g: F.arrays_overlap(g, every)))
         df = df.withColumn(grams, F.transform(grams, _numbered))
-        hits = let(F.col(grams), lambda g: F.concat(*[F.filter(F.transform(g, _dice(t)), lambda s: s["dice"] >= threshold) for t in known]))
+        table = F.array(*(F.struct(F.lit(t.license).alias("license"), F.lit(len(t.grams)).alias("n"), F.lit(t.least).alias("least"), F.lit(t.most).alias("most"), F.lit(list(t.grams)).alias("grams")) for t in known))
+        dice = lambda g, t: 2.0 * F.size(F.array_intersect(g, t["grams"])) / (F.size(g) + t["n"])
+        near = lambda g, i: F.filter(F.transform(F.filter(table, lambda t: F.size(g).between(t["least"], t["most"])), lambda t: F.struct(i.alias("unit"), t["license"].alias("license"), dice(g, t).alias("dice"))), lambda s: s["dice"] >= threshold)
+        nearest = lambda hits: F.filter(hits, lambda s: s["dice"] == F.array_max(F.transform(hits, lambda x: x["dice"])))
+        hits = F.flatten(F.transform(grams, lambda g, i: let(near(g, i), nearest)))
     df = df.withColumn("matches", hits.cast(hits_type))
     best = F.array_min(F.transform("matches", lambda m: F.struct((-m["dice"]).alias("d"), m["license"].alias("license"))))
     df = df.withColumns({

@@ -84,16 +84,21 @@ SQL_1 = r"""
 WITH templates AS (SELECT row_number() OVER () AS tid, license, text FROM (VALUES {values}) v(license, text)),
 norm AS (SELECT 'd' AS kind, doc_id AS id, regexp_replace(lower(coalesce(text, '')), '[^\p{{L}}\p{{N}}\n]+', ' ', 'g') AS x FROM documents
   UNION ALL SELECT 't', tid, regexp_replace(lower(text), '[^\p{{L}}\p{{N}}\n]+', ' ', 'g') FROM templates),
-parts AS (SELECT kind, id, unnest(string_split(x, chr(10))) AS u FROM norm WHERE kind = 'd' UNION ALL SELECT kind, id, replace(unnest(regexp_split_to_array(x, '\n *\n')), chr(10), ' ') FROM norm WHERE kind = 'd' UNION ALL SELECT kind, id, replace(x, chr(10), ' ') FROM norm),
+lines AS (SELECT id, string_split(x, chr(10)) AS l FROM norm WHERE kind = 'd'),
+sentences AS (SELECT doc_id AS id, string_split(regexp_replace(lower(regexp_replace(coalesce(text, ''), '[.!?]+[ \t]+', chr(10), 'g')), '[^\p{{L}}\p{{N}}\n]+', ' ', 'g'), chr(10)) AS l FROM documents),
+parts AS (SELECT 'd' AS kind, id, unnest(l) AS u FROM lines UNION ALL SELECT 'd', id, unnest(l) FROM sentences
+  UNION ALL SELECT 'd', id, unnest(list_transform(range(1, len(l) + 1), lambda i: array_to_string(l[i:i + 1], ' '))) FROM lines
+  UNION ALL SELECT 'd', id, unnest(list_transform(range(1, len(l) + 1), lambda i: array_to_string(l[i:i + 2], ' '))) FROM lines
+  UNION ALL SELECT kind, id, replace(unnest(regexp_split_to_array(x, '\n *\n')), chr(10), ' ') FROM norm WHERE kind = 'd' UNION ALL SELECT kind, id, replace(x, chr(10), ' ') FROM norm),
 units AS (SELECT DISTINCT kind, id, trim(regexp_replace(u, ' +', ' ', 'g')) AS u FROM parts),
-w AS (SELECT kind, id, u, string_split(u, ' ') AS w FROM units),
-b AS (SELECT kind, id, u, unnest(range(1, len(w))) AS i, unnest(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) AS g FROM w WHERE len(w) BETWEEN 2 AND 100),
+w AS (SELECT kind, id, u, string_split(u, ' ') AS w FROM units WHERE length(u) - length(replace(u, ' ', '')) BETWEEN 1 AND 1000),
+b AS (SELECT kind, id, u, unnest(range(1, len(w))) AS i, unnest(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) AS g FROM w),
 n AS (SELECT kind, id, u, g, row_number() OVER (PARTITION BY kind, id, u, g ORDER BY i) AS k, count(*) OVER (PARTITION BY kind, id, u) AS size FROM b),
 d AS (SELECT a.id AS doc_id, a.u, t.id AS tid, 2.0 * count(*) / (any_value(a.size) + any_value(t.size)) AS dice FROM n a JOIN n t ON a.kind = 'd' AND t.kind = 't' AND a.g = t.g AND a.k = t.k GROUP BY ALL),
-m AS (SELECT doc_id, u, license, dice::DOUBLE AS dice FROM d JOIN templates USING (tid) WHERE dice >= {threshold}),
+m AS (SELECT doc_id, u, license, dice::DOUBLE AS dice FROM d JOIN templates USING (tid) WHERE dice >= {threshold} QUALIFY dice = max(dice) OVER (PARTITION BY doc_id, u)),
 s AS (SELECT doc_id, count(DISTINCT u) AS n_matches, first(license ORDER BY dice DESC, license) AS best_license, max(dice) AS best_dice, string_agg(DISTINCT license, ',' ORDER BY license) AS licenses FROM m GROUP BY doc_id)
 SELECT doc_id, coalesce(n_matches, 0) AS n_matches, best_license, best_dice, coalesce(licenses, '') AS licenses FROM documents LEFT JOIN s USING (doc_id)
-""".format(values=", ".join(f"('{a}', '{b}')" for a, b in license_scan.TEMPLATES), threshold=license_scan.THRESHOLD)
+""".format(values=", ".join("('{}', '{}')".format(a, b.replace("'", "''")) for a, b in license_scan.TEMPLATES), threshold=license_scan.THRESHOLD)
 
 SQL_2 = r"""
 WITH t AS (SELECT doc_id, sha256(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g')) AS text_sha256 FROM documents)
