@@ -10,12 +10,15 @@ from pyspark.sql import functions as F
 
 #: ASCII white space, as a class for Java's and RE2's regular expressions.
 SPACE = r"[\x20\x09-\x0D]"
+_written: list[str] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir; a temporary one only where that is unset."""
+    """The folder of spark.checkpoint.dir; a temporary one only where that is unset and Spark runs in one process."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         found = "file://" + tempfile.mkdtemp(prefix="meshlake-")
         spark.sparkContext.setCheckpointDir(found)
     return found
@@ -26,9 +29,19 @@ def written(df: DataFrame, codec: str = "lz4") -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/table-{uuid.uuid4().hex}"
     df.write.option("compression", codec).parquet(path)
+    _written.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def clear_written(spark: SparkSession) -> int:
+    """Deletes the tables that `written` made in this process; results that were not taken yet can no longer be. Gives their number."""
+    gone = 0
+    while _written:
+        path = spark._jvm.org.apache.hadoop.fs.Path(_written.pop())
+        gone += bool(path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True))
+    return gone
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 

@@ -23,15 +23,13 @@ def _star(links: DataFrame, n: int, large: bool) -> DataFrame:
     return out.where("u > v").distinct()
 
 
-def components(links: DataFrame, rounds: int = 60) -> DataFrame:
-    """(node, root): the least node of its component, for every node of the links (u, v). Each round is written; the loop ends when a round changes nothing."""
+def components(links: DataFrame) -> DataFrame:
+    """(node, root): the least node of its component, for every node of the links (u, v). Each round is written; the loop ends when a round changes nothing, which is after some log² of the longest chain's rounds at most."""
     links = links.where(F.col("u").isNotNull() & F.col("v").isNotNull() & (F.col("u") != F.col("v")))
     links = written(links.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
     state = lambda df: tuple(df.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
     before = state(links)
-    for _ in range(rounds):
-        if not before[0]:
-            break
+    while before[0]:
         links = written(_star(written(_star(links, before[0], True)), before[0], False))
         now = state(links)
         if now == before:

@@ -31,6 +31,8 @@ from .common import text_or_empty
 from .textbytes import chunks
 
 CELLS = 4096
+#: Rows whose dense counts are held at once (16 MB).
+ROWS = 512
 UNKNOWN = "und"
 #: Lower case; ASCII other than letters becomes a space.
 _FOLD = np.arange(256, dtype=np.uint8)
@@ -111,7 +113,7 @@ def fit(counted: np.ndarray, languages: list[str], k: int = 4, reject: float = 0
 
 def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for a, b, data, offsets in chunks(batch, "text"):
+        for a, b, data, offsets in chunks(batch, "text", ROWS):
             table = counts(data, offsets)
             cells = [np.flatnonzero(r) for r in table]
             out = [pa.array([c.astype("<u2").tobytes() for c in cells], pa.binary()), pa.array([r[c].astype("<u4").tobytes() for r, c in zip(table, cells)], pa.binary())]
@@ -143,7 +145,7 @@ def predict(df: DataFrame, centroids: Centroids, id_col: str = "doc_id", text_co
         for batch in batches:
             letters = batch.column("letters").to_numpy(zero_copy_only=False)
             names, scores, far = [], [np.zeros(0)], [np.zeros(0, bool)]
-            for a, b, data, offsets in chunks(batch, "text"):
+            for a, b, data, offsets in chunks(batch, "text", ROWS):
                 if len(c.owner):
                     best, cosine = c.nearest(counts(data, offsets))
                     known = letters[a:b]

@@ -1,9 +1,9 @@
 r"""Licence scans: units of text compared with licence templates by the Dice coefficient over word bigrams.
 
 A text is lower-cased, and every run of characters other than letters, digits
-and line ends becomes one space. Its units are its lines, two and three
-neighbouring lines, its sentences, its paragraphs (split at blank lines) and the
-text as a whole; equal units count once. A unit matches a template if 2 × shared
+and line ends becomes one space. Its units are its lines, its sentences within lines,
+two and three neighbouring ones of either, its paragraphs (split at blank lines)
+and the text as a whole; equal units count once. A unit matches a template if 2 × shared
 bigrams / (bigrams of both) reaches the threshold, counting repeated bigrams as
 often as they occur, and no template is nearer to it. For a threshold t that
 needs a unit of t / (2 - t) to (2 - t) / t times the template's bigrams, so units
@@ -61,9 +61,9 @@ def _units(text: Column) -> Column:
     joined = lambda x: F.replace(x, F.lit("\n"), F.lit(" "))
     norm = normalised(text)
     neighbours = lambda x, k: F.transform(F.sequence(F.lit(1), F.size(x)), lambda i: F.array_join(F.slice(x, i, k), " "))
-    lines = let(F.split(norm, "\n"), lambda x: F.concat(x, neighbours(x, F.lit(2)), neighbours(x, F.lit(3))))
+    windows = lambda x: F.concat(x, neighbours(x, F.lit(2)), neighbours(x, F.lit(3)))
     sentences = F.split(normalised(F.regexp_replace(text, SENTENCE_END, "\n")), "\n")
-    parts = F.concat(lines, sentences, F.transform(F.split(norm, "\n *\n"), joined), F.array(joined(norm)))
+    parts = F.concat(let(F.split(norm, "\n"), windows), let(sentences, windows), F.transform(F.split(norm, "\n *\n"), joined), F.array(joined(norm)))
     return F.array_distinct(F.transform(parts, lambda u: F.trim(F.regexp_replace(u, " +", " "))))
 
 

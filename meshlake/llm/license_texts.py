@@ -39,7 +39,7 @@ _BSD_TAIL = (
     "HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."
 )
 
-#: Whole licences; paragraphs are parted by empty lines. Their paragraphs are templates of their own, too.
+#: Whole licences; paragraphs are parted by empty lines. Those that one licence has alone are templates of their own, too.
 BODIES = (
     ("MIT", (
         'Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:',
@@ -78,5 +78,6 @@ def templates() -> tuple[tuple[str, str], ...]:
     found = list(NOTICES)
     for name, paragraphs in BODIES:
         found.append((name, "\n\n".join(paragraphs)))
-        found += [(name, p) for p in paragraphs if len(p.split()) >= LEAST_WORDS]
+        shared = {p for other, ps in BODIES if other != name for p in ps}
+        found += [(name, p) for p in paragraphs if len(p.split()) >= LEAST_WORDS and p not in shared]
     return tuple(dict.fromkeys(found))

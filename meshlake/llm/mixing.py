@@ -6,8 +6,9 @@ every document has an expected number of copies, in proportion to the weight of
 its length class (short texts carry less) and at most `most_copies`. Its whole
 copies are certain. For the rest, a document has an inclusion probability p, and
 documents are ranked by the random odds u / (1 - u) divided by p / (1 - p); the
-first ones are taken until the source's target is met. u is a hash of the id and
-a seed, so reruns agree.
+first ones are taken until the source's target is met; of those after them, one
+more is taken whose size brings the source nearest to its target. u is a hash of
+the id and a seed, so reruns agree.
 
 The ranking never sorts a source in one place: ranks are cut into `cells` of
 about equal expected size by the value of the Pareto key, words are summed by
@@ -69,13 +70,14 @@ def _rates(classes: DataFrame, most_copies: int) -> DataFrame:
     return marked.select("source", "length_class", "target", "source_size", copies.alias("copies"))
 
 
-def mix(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", most_copies: int = 3, cells: int = 1024, seed: int = 17) -> DataFrame:
-    """One row per row of df: id, size, source_size, target, copies (how often the mix takes it), taken (its words)."""
+def mix(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", most_copies: int = 3, rows_per_cell: int = 4096, seed: int = 17) -> DataFrame:
+    """One row per row of df: id, size, source_size, target, copies (how often the mix takes it), taken (its words). There are so many cells that one holds about rows_per_cell rows."""
     sizes = df.select(F.col(id_col).alias("id"), F.col(source_col).cast("string").alias("source"), word_count(text_or_empty(text_col)).cast("bigint").alias("size"))
     # Classes by powers of two; the weight of a class grows with length up to 256 words.
     length_class = F.least(F.floor(F.log2(F.greatest("size", F.lit(1)))), F.lit(30)).cast("int")
     u = (F.pmod(F.xxhash64(F.lit(seed), "id", "size"), F.lit(1 << 40)) + 0.5) / float(1 << 40)
     sizes = written(sizes.withColumns({"length_class": length_class, "u": u}))
+    cells = max(1024, -(-sizes.count() // rows_per_cell))
 
     classes = sizes.groupBy("source", "length_class").agg(F.sum("size").alias("words"))
     goal = targets(sizes, most_copies)
@@ -107,10 +109,21 @@ def mix(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_co
     within = Window.partitionBy("source").orderBy("rank", "id", "size")
     at_cut = F.col("rank").isNotNull() & (F.col("cell") == F.col("cut"))
     edge = marked.where(at_cut).withColumn("before", F.col("start") + F.sum("size").over(within) - F.col("size"))
-    # The document that crosses the target is taken if that comes nearer to it.
-    edge = edge.withColumn("extra", (F.col("before") + F.col("size") / 2 <= F.col("need")).cast("bigint")).drop("before")
+    # The first ones that fit are taken; those after them, in this cell or later ones, may fill the gap that is left.
+    edge = edge.withColumn("extra", (F.col("before") + F.col("size") <= F.col("need")).cast("bigint")).drop("before")
     rest = marked.where(~F.coalesce(at_cut, F.lit(False))).withColumn("extra", F.coalesce((F.col("cell") < F.col("cut")).cast("bigint"), F.lit(0)))
-    taken = rest.unionByName(edge).withColumn("copies", F.col("whole") + F.col("extra"))
+    taken = written(rest.unionByName(edge).withColumn("copies", F.col("whole") + F.col("extra")))
+    gaps = taken.groupBy("source").agg((F.first("target") - F.sum(F.col("copies") * F.col("size"))).alias("gap")).withColumnRenamed("source", "g_source")
+    may = taken.where("rank is not null and extra = 0").join(gaps, taken["source"].eqNullSafe(F.col("g_source")))
+    off = F.abs(F.col("gap") - F.col("size"))
+    filler = may.where(off < F.abs("gap")).groupBy("g_source").agg(F.min(F.struct(off.alias("off"), "rank", "id", "size")).alias("filler"))
+    filler = filler.select("g_source", F.col("filler.rank").alias("f_rank"), F.col("filler.id").alias("f_id"), F.col("filler.size").alias("f_size"))
+    taken = taken.join(filler, taken["source"].eqNullSafe(F.col("g_source")), "left")
+    # Rows that share id, size and rank are copies of one row; the filler is one of them.
+    same = (F.col("rank") == F.col("f_rank")) & F.col("id").eqNullSafe(F.col("f_id")) & (F.col("size") == F.col("f_size")) & (F.col("extra") == 0)
+    alike = Window.partitionBy("source", "id", "size", "rank").orderBy("copies")
+    chosen = taken.where(same).withColumn("k", F.row_number().over(alike)).withColumn("copies", F.col("copies") + (F.col("k") == 1).cast("bigint")).drop("k")
+    taken = taken.where(~F.coalesce(same, F.lit(False))).unionByName(chosen)
     return taken.select("id", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
 
 

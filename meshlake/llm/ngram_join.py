@@ -25,7 +25,8 @@ Nulls and odd cases: a text without words has an empty set, links with nothing
 and is its own component; with fewer than n words the whole sequence is one
 shingle. Null ids rank behind all others. Rows that share an id, or have none,
 are compared like other rows; they are told apart by a 64-bit hash of id and
-text. Rows equal in both are sent once by a task's batch and counted. An empty
+text. Rows equal in both are sent once by a task's batch and counted. The
+greatest 64-bit integer stands for a null id and is not told from it. An empty
 table gives an empty result. Other columns are not read by `linked` and are kept
 by `drop_near_duplicates`.
 """

@@ -3,11 +3,16 @@
 Documents are tokenised in one pass and only those longer than a sequence are
 cut. Pieces are dealt by a hash into groups of about `group_size`. In a group, a
 best-fit solution is the first incumbent. The search then takes the longest
-piece left, lists fillings of the rest of its sequence that no filling with
-fewer pieces dominates, tries them by least waste, and goes back when the waste
-so far shows that the incumbent cannot be beaten. It ends at the lower bound
-(tokens / capacity, rounded up) or after `nodes` steps. The emptiest sequence of
-every group is packed again with those of other groups.
+piece left and enumerates, depth first, the undominated fillings of the rest of
+its sequence: of any number of pieces, with no room for a piece left out, and
+without a chosen piece that a longer one left out could replace. Fillings that
+waste more than a better solution may are pruned; the others are tried by least
+waste, and the search goes back when the waste so far shows that the incumbent
+cannot be beaten. It ends at the lower bound (tokens / capacity, rounded up) or
+after `work` partial fillings; a sequence's enumeration ends after `listed`
+fillings or STEPS partial ones. Within these limits the search is complete; beyond them
+the best solution found stands. The emptiest sequence of every group is packed
+again with those of other groups.
 
 Nulls and odd cases: a null text counts as empty; an empty document is its end
 token alone. A null id is kept as null. Repeated rows are packed as often as
@@ -76,9 +81,11 @@ class WordCoder:
 
     def word(self, word: bytes) -> bytes:
         text = word.decode("utf-8", "replace")
-        if len(text) > 1 and text[-1] in ".,|" and text[:-1].isalpha():
+        letters = text[:-1] if len(text) > 1 and text[-1] in ".,|" else text
+        plain = letters.isalpha() and letters == letters.lower() and unicodedata.is_normalized("NFC", letters)
+        if plain and letters != text:
             return self.words[word[:-1]] + self.words[word[-1:]]
-        if text.isalpha() and text == text.lower() and unicodedata.is_normalized("NFC", text):
+        if plain:
             tokens = self.tokenizer.model.tokenize(word.decode("latin-1").translate(self.letters))
             return struct.pack(f"<{len(tokens)}I", *[t.id for t in tokens])
         return self.plain(text)
@@ -161,40 +168,61 @@ def best_fit(lengths: list[int], capacity: int) -> list[list[int]]:
     return bins
 
 
-def fillings(left: Lengths, room: int, tries: int) -> list[tuple[int, tuple[int, ...]]]:
-    """Up to `tries` fillings (waste, lengths) of a room, least waste first; one with more pieces is listed only if it fills more than all with fewer."""
-    one = left.up_to(room)
-    if not one:
-        return [(room, ())]
-    found = [(room - one, (one,))]
-    best = one
-    at = bisect_right(left.sorted, room)
-    for a in reversed(left.sorted[max(0, at - 4 * tries) : at]):
-        if best == room:
-            break
-        left.take(a)
-        b = left.up_to(room - a)
-        if b:
-            if a + b > best:
-                best = a + b
-                found.append((room - best, (a, b)))
-            if best < room:
-                left.take(b)
-                c = left.up_to(room - a - b)
-                if c:
-                    left.take(c)
-                    d = left.up_to(room - a - b - c)
-                    left.put(c)
-                    full = tuple(x for x in (a, b, c, d) if x)
-                    if sum(full) > best:
-                        best = sum(full)
-                        found.append((room - best, full))
-                left.put(b)
-        left.put(a)
-    return sorted(found)[:tries]
-
-
-def bin_completion(lengths: list[int], capacity: int, nodes: int = 40_000, tries: int = 6) -> list[list[int]]:
+#: Partial fillings that one enumeration looks at.
+STEPS = 1000
+
+
+def fillings(left: Lengths, room: int, allowed: int, listed: int = 32) -> tuple[list[tuple[int, tuple[int, ...]]], int]:
+    """(undominated fillings (waste, lengths) of a room that waste at most `allowed`, least waste first; partial fillings looked at)."""
+    values = left.sorted[: bisect_right(left.sorted, room)][::-1]
+    counts = [left.count[v] for v in values]
+    below = [0]  # tokens of this and all shorter pieces
+    for v, c in zip(reversed(values), reversed(counts)):
+        below.append(below[-1] + v * c)
+    below.reverse()
+    found: list[tuple[int, tuple[int, ...]]] = []
+    # (place in values, room, least length left out so far, chosen as a chain of (place, number, chain))
+    todo: list = [(0, room, room + 1, None)]
+    steps = 0
+    while todo and steps < STEPS and len(found) < listed:
+        steps += 1
+        at, rest, shortest, chain = todo.pop()
+        while at < len(values) and values[at] > rest:
+            at += 1
+        if rest - below[at] > allowed or rest - below[at] >= shortest:
+            continue
+        if at == len(values):
+            if not _dominated(values, counts, chain, rest):
+                full = []
+                while chain:
+                    full += [values[chain[0]]] * chain[1]
+                    chain = chain[2]
+                found.append((rest, tuple(reversed(full))))
+                if not rest:
+                    break
+            continue
+        most = min(counts[at], rest // values[at])
+        for n in range(most + 1):
+            todo.append((at + 1, rest - n * values[at], min(shortest, values[at]) if n < counts[at] else shortest, (at, n, chain) if n else chain))
+    return sorted(found), steps
+
+
+def _dominated(values: list[int], counts: list[int], chain, rest: int) -> bool:
+    """Whether a longer piece left out could take the place of a chosen one."""
+    chosen = {}
+    while chain:
+        chosen[chain[0]] = chain[1]
+        chain = chain[2]
+    for at in chosen:
+        k = at - 1
+        while k >= 0 and values[k] <= values[at] + rest:
+            if chosen.get(k, 0) < counts[k]:
+                return True
+            k -= 1
+    return False
+
+
+def bin_completion(lengths: list[int], capacity: int, work: int = 1_000_000) -> list[list[int]]:
     """Lengths dealt into as few sequences as the search finds; the best-fit solution stands if nothing better turns up."""
     incumbent = best_fit(lengths, capacity)
     total = sum(lengths)
@@ -204,7 +232,8 @@ def bin_completion(lengths: list[int], capacity: int, nodes: int = 40_000, tries
     left, path = Lengths(lengths), []
     waste, open_choices, count = 0, [], len(lengths)
     placed = 0
-    for _ in range(nodes):
+    while work > 0:
+        work -= 1
         if placed == count:
             if len(path) < len(incumbent):
                 incumbent = [list(p) for p, _ in path]
@@ -214,12 +243,15 @@ def bin_completion(lengths: list[int], capacity: int, nodes: int = 40_000, tries
         else:
             first = left.sorted[-1]
             left.take(first)
-            choices = [(w, (first, *f)) for w, f in fillings(left, capacity - first, tries)]
+            spare = (len(incumbent) - 1) * capacity - total - waste
+            found, steps = fillings(left, capacity - first, spare)
+            work -= steps
+            choices = [(w, (first, *f)) for w, f in found]
             left.put(first)
         open_choices.append(choices)
         while open_choices:
             allowed = (len(incumbent) - 1) * capacity - total  # waste of a solution with one sequence less
-            while open_choices[-1] and waste + open_choices[-1][0][0] > allowed and placed + len(open_choices[-1][0][1]) < count:
+            while open_choices[-1] and waste + open_choices[-1][0][0] > allowed:
                 open_choices[-1].pop(0)
             if open_choices[-1] and len(path) + 1 < len(incumbent):
                 w, full = open_choices[-1].pop(0)
@@ -241,13 +273,13 @@ def bin_completion(lengths: list[int], capacity: int, nodes: int = 40_000, tries
     return incumbent
 
 
-def _packed(capacity: int, level: int, nodes: int):
+def _packed(capacity: int, level: int, work: int):
     def packed(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["length", "ids_crc32", "id", "piece"]).reset_index(drop=True)
         lengths = pdf.length.to_numpy()
         at = {int(v): list(range(a, b)) for v, a, b in zip(*_runs(lengths))}
         order, seq, offset = [], [], []
-        for k, full in enumerate(bin_completion(lengths.tolist(), capacity, nodes)):
+        for k, full in enumerate(bin_completion(lengths.tolist(), capacity, work)):
             place = 0
             for x in full:
                 order.append(at[x].pop())
@@ -267,14 +299,15 @@ def _runs(values: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return names, starts, np.append(starts[1:], len(values))
 
 
-def pack(df: DataFrame, tokenizer_path: str, capacity: int = 4096, end_id: int = 1, id_col: str = "doc_id", text_col: str = "text", group_size: int = 16_384, nodes: int = 40_000) -> DataFrame:
+def pack(df: DataFrame, tokenizer_path: str, capacity: int = 4096, end_id: int = 1, id_col: str = "doc_id", text_col: str = "text", group_size: int = 16_384, work: int = 1_000_000) -> DataFrame:
     """One row per piece: id, piece, start, length, ids_crc32, sequence_id, offset."""
     cut = written(pieces(df, tokenizer_path, capacity, end_id, id_col, text_col))
     n = cut.count()
     names = [*cut.columns, "group", "sequence_id", "offset", "last"]
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in cut.schema) + ", group bigint, sequence_id bigint, offset bigint, last boolean"
-    deal = lambda groups: F.pmod(F.xxhash64("id", "piece", "ids_crc32"), F.lit(max(1, groups)))
-    one = written(cut.withColumn("group", deal(math.ceil(n / group_size))).groupBy("group").applyInPandas(_packed(capacity, 0, nodes), schema))
+    # Equal rows are told apart by their place in the written table, so that no group has them all.
+    deal = lambda groups: F.pmod(F.xxhash64("id", "piece", "ids_crc32", F.monotonically_increasing_id()), F.lit(max(1, groups)))
+    one = written(cut.withColumn("group", deal(math.ceil(n / group_size))).groupBy("group").applyInPandas(_packed(capacity, 0, work), schema))
     rest = one.where("last").select(*cut.columns, deal(math.ceil(n / group_size / 256)).alias("group"))
-    two = rest.groupBy("group").applyInPandas(_packed(capacity, 1, nodes), schema)
+    two = rest.groupBy("group").applyInPandas(_packed(capacity, 1, work), schema)
     return one.where("not last").select(*names).unionByName(two).drop("group", "last")

@@ -55,7 +55,7 @@ def words(text: Column) -> Column:
 def repeated_words(w: Column) -> Column:
     """The number of words in windows of three that occur at least twice in the array, first occurrences included."""
     windows = F.transform(F.sequence(F.lit(0), F.size(w) - 3), lambda i: F.xxhash64(F.get(w, i), F.get(w, i + 1), F.get(w, i + 2)))
-    by_gram = lambda g: F.array_sort(F.transform(g, lambda x, i: F.struct(x.alias("g"), i.alias("i"))))
+    by_gram = lambda g: F.sort_array(F.transform(g, lambda x, i: F.struct(x.alias("g"), i.alias("i"))))
     same = lambda p, i, j: F.coalesce(F.get(p, i)["g"] == F.get(p, j)["g"], F.lit(False))
     hits = lambda p: F.filter(p, lambda x, k: same(p, k, k - 1) | same(p, k, k + 1))
     covered = lambda p: F.size(F.array_distinct(F.flatten(F.transform(hits(p), lambda x: F.array(x["i"], x["i"] + 1, x["i"] + 2)))))
@@ -83,8 +83,8 @@ def measure(df: DataFrame, text_col: str = "text") -> DataFrame:
             F.filter(F.split(text, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]")),
             lambda x: F.struct(count(F.size(x), "n_lines"), count(F.size(x) - F.size(F.array_distinct(x)), "n_dup_lines")),
         ),
-        "word_chars": F.length(F.regexp_replace(text, f"{SPACE}+", "")).cast("bigint"),
-        "n_symbols": F.length(F.regexp_replace(text, rf"[^{SYMBOLS}]+", "")).cast("bigint"),
+        "word_chars": (F.length(text) - F.regexp_count(text, F.lit(SPACE))).cast("bigint"),
+        "n_symbols": F.regexp_count(text, F.lit(f"[{SYMBOLS}]")).cast("bigint"),
     })
     counted = {k: F.col(of_words)[k] for k in ("n_words", "n_repeat_words", "n_stop_words", "n_upper_words")}
     counted |= {k: F.col(of_lines)[k] for k in ("n_lines", "n_dup_lines")}

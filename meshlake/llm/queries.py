@@ -71,13 +71,14 @@ def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_warc_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The pages as WARC files, read back and audited against the pages' own records."""
+    """The pages as WARC files, and the audit of a replica of these files with known damage against the pages' own records."""
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
     found = warc.records(pages)
     path = f"{shared_dir(spark).rstrip('/')}/warc-{uuid.uuid4().hex}"
-    warc.write_files(found, path)
-    audited = warc.audit(written(warc.manifest(found)), written(warc.read_files(spark, path)))
-    return audited.withColumnRenamed("id", "page_id")
+    warc.write_files(found, f"{path}/primary")
+    warc.write_damaged(spark, f"{path}/primary", f"{path}/replica")
+    audited = warc.audit(written(warc.manifest(found)), written(warc.read_files(spark, f"{path}/replica")))
+    return audited.select("file", "offset", F.regexp_extract("record_id", r"^urn:page:(-?\d+)$", 1).try_cast("bigint").alias("page_id"), "copy", "length", "sha256", "status")
 
 
 SQL_1 = r"""
@@ -85,10 +86,10 @@ WITH templates AS (SELECT row_number() OVER () AS tid, license, text FROM (VALUE
 norm AS (SELECT 'd' AS kind, doc_id AS id, regexp_replace(lower(coalesce(text, '')), '[^\p{{L}}\p{{N}}\n]+', ' ', 'g') AS x FROM documents
   UNION ALL SELECT 't', tid, regexp_replace(lower(text), '[^\p{{L}}\p{{N}}\n]+', ' ', 'g') FROM templates),
 lines AS (SELECT id, string_split(x, chr(10)) AS l FROM norm WHERE kind = 'd'),
-sentences AS (SELECT doc_id AS id, string_split(regexp_replace(lower(regexp_replace(coalesce(text, ''), '[.!?]+[ \t]+', chr(10), 'g')), '[^\p{{L}}\p{{N}}\n]+', ' ', 'g'), chr(10)) AS l FROM documents),
-parts AS (SELECT 'd' AS kind, id, unnest(l) AS u FROM lines UNION ALL SELECT 'd', id, unnest(l) FROM sentences
-  UNION ALL SELECT 'd', id, unnest(list_transform(range(1, len(l) + 1), lambda i: array_to_string(l[i:i + 1], ' '))) FROM lines
-  UNION ALL SELECT 'd', id, unnest(list_transform(range(1, len(l) + 1), lambda i: array_to_string(l[i:i + 2], ' '))) FROM lines
+rows_of AS (FROM lines UNION ALL SELECT doc_id, string_split(regexp_replace(lower(regexp_replace(coalesce(text, ''), '[.!?]+[ \t]+', chr(10), 'g')), '[^\p{{L}}\p{{N}}\n]+', ' ', 'g'), chr(10)) AS l FROM documents),
+parts AS (SELECT 'd' AS kind, id, unnest(l) AS u FROM rows_of
+  UNION ALL SELECT 'd', id, unnest(list_transform(range(1, len(l) + 1), lambda i: array_to_string(l[i:i + 1], ' '))) FROM rows_of
+  UNION ALL SELECT 'd', id, unnest(list_transform(range(1, len(l) + 1), lambda i: array_to_string(l[i:i + 2], ' '))) FROM rows_of
   UNION ALL SELECT kind, id, replace(unnest(regexp_split_to_array(x, '\n *\n')), chr(10), ' ') FROM norm WHERE kind = 'd' UNION ALL SELECT kind, id, replace(x, chr(10), ' ') FROM norm),
 units AS (SELECT DISTINCT kind, id, trim(regexp_replace(u, ' +', ' ', 'g')) AS u FROM parts),
 w AS (SELECT kind, id, u, string_split(u, ' ') AS w FROM units WHERE length(u) - length(replace(u, ' ', '')) BETWEEN 1 AND 1000),
@@ -125,13 +126,22 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
 """.format(stop=" ".join(quality_rules.STOP_WORDS)).replace("\\\\", "\\")
 
 SQL_10 = r"""
-WITH r AS (SELECT coalesce(page_id, -1) AS page_id, concat_ws(chr(13) || chr(10), 'WARC/1.1', 'WARC-Type: resource', 'WARC-Record-ID: <urn:page:' || coalesce(page_id, -1) || '>',
-  'WARC-Date: 1970-01-01T00:00:00Z', 'WARC-Target-URI: ' || url, 'Content-Type: text/html', 'Content-Length: ' || strlen(coalesce(html, '')))
+WITH r AS (SELECT page_id, concat_ws(chr(13) || chr(10), 'WARC/1.1', 'WARC-Type: resource', 'WARC-Record-ID: <urn:page:' || coalesce(page_id::VARCHAR, 'none') || '>',
+  'WARC-Date: 1970-01-01T00:00:00Z', 'WARC-Target-URI: ' || url, 'WARC-Block-Digest: sha256:' || sha256(coalesce(html, '')), 'Content-Type: text/html', 'Content-Length: ' || strlen(coalesce(html, '')))
   || chr(13) || chr(10) || chr(13) || chr(10) || coalesce(html, '') AS record FROM pages),
 n AS (SELECT greatest(1, ceil(coalesce(sum(strlen(record)), 0) / 16777216))::BIGINT AS files FROM r),
-f AS (SELECT page_id, sha256(record) AS sha256, strlen(record) + 4 AS length, ('0x' || substr(sha256(page_id::VARCHAR), 1, 8))::BIGINT % files AS file FROM r, n)
-SELECT file, coalesce(sum(length) OVER (PARTITION BY file ORDER BY page_id, sha256 ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS "offset", page_id,
-  row_number() OVER (PARTITION BY file, page_id ORDER BY sha256) AS copy, length, sha256, 'ok' AS status FROM f
+h AS (SELECT page_id, record, sha256(record) AS sha256, row_number() OVER (PARTITION BY record) AS number FROM r),
+f AS (SELECT page_id, record, sha256, number, strlen(record) + 4 AS length, ('0x' || substr(sha256(sha256 || ':' || number), 1, 8))::BIGINT % files AS file, ('0x' || substr(sha256, 57, 8))::BIGINT % 97 AS pick FROM h, n),
+p AS (SELECT *, coalesce(sum(length) OVER (PARTITION BY file ORDER BY sha256, number ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS "offset",
+  row_number() OVER (PARTITION BY file ORDER BY sha256 DESC, number DESC) = 1 AS last FROM f),
+a AS (SELECT file, page_id, sha256, length, "offset", row_number() OVER (PARTITION BY file, page_id ORDER BY sha256, "offset") AS copy FROM p),
+d AS (SELECT file, page_id, length, CASE WHEN pick = 0 THEN sha256(replace(record, 'WARC-Date: 1970', 'WARC-Date: 1971')) ELSE sha256 END AS sha256,
+  unnest(CASE pick WHEN 1 THEN ["offset", 1099511627776 + "offset"] WHEN 2 THEN ["offset" + length + 1] ELSE ["offset"] END) AS place FROM p WHERE NOT last),
+o AS (SELECT *, coalesce(sum(length) OVER (PARTITION BY file ORDER BY place ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS "offset" FROM d),
+b AS (SELECT *, row_number() OVER (PARTITION BY file, page_id ORDER BY sha256, "offset") AS copy FROM o)
+SELECT coalesce(a.file, b.file) AS file, coalesce(a."offset", b."offset") AS "offset", coalesce(a.page_id, b.page_id) AS page_id, coalesce(a.copy, b.copy) AS copy, coalesce(a.length, b.length) AS length, coalesce(a.sha256, b.sha256) AS sha256,
+  CASE WHEN a.sha256 IS NULL THEN 'extra' WHEN b.sha256 IS NULL THEN 'missing' WHEN a.sha256 <> b.sha256 THEN 'corrupt' WHEN a."offset" <> b."offset" THEN 'moved' ELSE 'ok' END AS status
+FROM a FULL JOIN b ON a.file = b.file AND a.page_id IS NOT DISTINCT FROM b.page_id AND a.copy = b.copy
 """
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {

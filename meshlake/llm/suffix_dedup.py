@@ -9,8 +9,9 @@ at their anchors share k bytes. Only these suffixes are sorted:
    they hold several times, so a frequent one costs a row per task. What occurs
    once in the corpus is dropped.
 2. Each anchor that is left becomes a suffix of `length` bytes with the bytes in
-   front of it. Splitters from a sample range-partition suffixes by their first
-   k bytes. A k-gram that several splitters equal is spread over their buckets.
+   front of it. Splitters from a sample, which tasks sort and thin out to one a
+   range, range-partition suffixes by their first k bytes. A k-gram that several
+   splitters equal is spread over their buckets.
 3. A bucket sorts its suffixes by multikey quicksort and takes the common
    prefixes of neighbours; the same goes for the reversed bytes in front. Runs
    with long enough common prefixes on both sides are classes of equal windows,
@@ -27,7 +28,9 @@ lose nothing. Null ids rank before all others. Rows that share an id, or have
 none, are documents of their own, told apart and ordered by a 64-bit hash of id
 and text. Of rows equal in both the first is such a document; the others are its
 copies, sent once by a task's batch and counted, and lose all that a window
-covers. An empty table gives an empty result. Other columns are not read.
+covers. The least 64-bit integer stands for a null id and is not told from it. An
+empty table gives an empty result. Other columns are not read. A text is worked
+on as a whole: the arrays of one of n bytes take about 60 n bytes of its task.
 """
 
 from __future__ import annotations
@@ -370,26 +373,50 @@ def _cut(length: int, digest: bool):
     return cut
 
 
-def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 100, digest: bool = False, bucket_bytes: int = 8 << 20, sampled: int = 64, max_sample: int = 20_000) -> DataFrame:
-    """One row per row of df: id, n_bytes, n_removed, n_spans, kept (the bytes that stay, or their SHA-256)."""
-    missing = F.lit(-(1 << 63))
-    text = text_or_empty(text_col)
-    docs = df.select(F.coalesce(F.col(id_col).cast("bigint"), missing).alias("id"), row_key(id_col, text).alias("key"), text.alias("text"))
-    total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    n = max(1, -(-total // bucket_bytes))
+#: Sampled k-grams for each range that is to be split off.
+PER_RANGE = 256
+
+
+def splitting_grams(docs: DataFrame, length: int, ranges: int, range_bytes: int, sampled: int) -> np.ndarray:
+    """Sorted k-grams that split the anchors' k-grams into about so many ranges. The sample is sorted and thinned out by tasks; only one k-gram a range comes to the driver."""
+    k = length // 2
+    thin = max(1, range_bytes * 2 // (k + 2) // sampled // PER_RANGE)
 
     def sample(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        k = length // 2
         for batch in batches:
             for _, _, data, offsets in chunks(batch, "text"):
                 _, position, _, _, hashes = anchors(data, offsets, length)
-                grams = [data[p : p + k].tobytes() for p in position]
-                yield pa.RecordBatch.from_arrays([pa.array(mix(hashes + position.astype(np.uint64)).view(np.int64)), pa.array(grams, pa.binary())], ["r", "gram"])
+                grams = [data[p : p + k].tobytes() for p in position[mix(hashes + position.astype(np.uint64)) % np.uint64(thin) == 0]]
+                yield pa.RecordBatch.from_arrays([pa.array(grams, pa.binary())], ["gram"])
+
+    some = docs.where(F.pmod("key", F.lit(sampled)) == 0).dropDuplicates(["key"]).select("text").mapInArrow(sample, "gram binary")
+    some = written(some)
+    many = some.count()
+    step = max(1.0, many / ranges)
+
+    def thinned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = 0
+        for batch in batches:
+            at = np.arange(seen, seen + batch.num_rows)
+            seen += batch.num_rows
+            yield batch.filter(pa.array(np.floor((at + 0.5) / step + 0.5) > np.floor((at - 0.5) / step + 0.5)))
+
+    ordered = some.repartitionByRange(max(1, -(-many // 100_000)), "gram").sortWithinPartitions("gram")
+    return np.array([r.gram for r in ordered.mapInArrow(thinned, "gram binary").orderBy("gram").collect()], f"S{k}")
+
+
+def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 100, digest: bool = False, bucket_bytes: int = 8 << 20, range_bytes: int = 8 << 20, max_ranges: int = 2_000_000, sampled: int = 64) -> DataFrame:
+    """One row per row of df: id, n_bytes, n_removed, n_spans, kept (the bytes that stay, or their SHA-256).
+
+    Documents are dealt into buckets of about bucket_bytes of text. Suffixes are dealt into ranges of about range_bytes of
+    text, or wider ones where there would be more than max_ranges; the splitters that are broadcast have length / 2 bytes a range."""
+    missing = F.lit(-(1 << 63))
+    text = text_or_empty(text_col)
+    docs = df.select(F.coalesce(F.col(id_col).cast("bigint"), missing).alias("id"), row_key(id_col, text).alias("key"), text.alias("text"))
+    total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    n = max(1, -(-total // bucket_bytes))
 
-    some = docs.where(F.pmod("key", F.lit(sampled)) == 0).dropDuplicates(["key"]).select("text").mapInArrow(sample, "r bigint, gram binary")
-    grams = np.sort(np.array([r.gram for r in some.orderBy("r", "gram").limit(max_sample).select("gram").collect()], f"S{length // 2}"))
-    at = (np.arange(1, n) * len(grams)) // n
-    splitters = df.sparkSession.sparkContext.broadcast(grams[at] if len(grams) else grams)
+    splitters = df.sparkSession.sparkContext.broadcast(splitting_grams(docs, length, min(max_ranges, max(1, -(-total // range_bytes))), range_bytes, sampled))
 
     dealt = lambda x: x.repartition(n, "bucket").groupBy("bucket")
     found = dealt(docs.mapInArrow(_sent_anchors(length, n), BLOCKS)).applyInPandas(_repeated_anchors(n), BLOCKS)

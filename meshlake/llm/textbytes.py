@@ -51,7 +51,7 @@ def span_hashes(sums: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nd
     return mix((sums[ends] - sums[starts]) * powers(len(sums))[1][starts])
 
 
-def chunks(batch: pa.RecordBatch, column: str) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+def chunks(batch: pa.RecordBatch, column: str, most_rows: int = 1 << 30) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """(first row, row after the last, their bytes, offsets of the rows in these bytes). The column has no nulls."""
     values = batch.column(column).cast(pa.large_string())
     if not len(values):
@@ -61,7 +61,7 @@ def chunks(batch: pa.RecordBatch, column: str) -> Iterator[tuple[int, int, np.nd
     data = np.frombuffer(data or b"", np.uint8)
     a = 0
     while a < len(values):
-        b = max(a + 1, int(np.searchsorted(offsets, offsets[a] + CHUNK, "right")) - 1)
+        b = min(a + most_rows, max(a + 1, int(np.searchsorted(offsets, offsets[a] + CHUNK, "right")) - 1))
         yield a, b, data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]
         a = b
 

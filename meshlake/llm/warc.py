@@ -1,10 +1,12 @@
 r"""WARC files of pages, and a Merkle fixity audit of their replicas.
 
 `records` turns pages into WARC records and lays them out in files: a file is
-chosen by a hash of the page's id, records follow each other by id, and each has
-an offset. `write_files` writes them with Spark's text sink (a record ends with
-two line ends, which is the sink's separator), `read_files` parses files back by
-their Content-Length.
+chosen by a hash of the record and its number among equal ones, so no id makes a
+file large; records follow each other by their SHA-256, and each has an offset.
+`write_files` writes them with Spark's text sink (a record ends with two line
+ends, which is the sink's separator), `read_records` parses files back by their
+Content-Length: any records of any WARC files, with one gzip member a file or a
+record. There is no warcinfo record, and Spark's sink writes one member a file.
 
 A tree has the records' SHA-256 at its leaves. Nodes of the lowest level cover
 ordered ranges of offsets of a file; upper ones cover `fanout` neighbours each,
@@ -13,15 +15,18 @@ roots of two replicas, then the children of those nodes that differ, level by
 level, and at last the records in the ranges that differ.
 
 Nulls and odd cases: a null page is an empty payload, a null URL leaves out the
-target's header, a null id counts as id -1. Repeated rows are records of their
-own, in the order of their hashes; a record is known by its id and its number
-among records with this id. An empty table has no files and its audit no rows.
-Other columns are not read. A record that is the same but elsewhere is `moved`.
+target's header, a null id gives the record id `urn:page:none`. Repeated rows are
+records of their own; a record is known by its file, its record id and its number
+among the file's records with this id, by hash and offset. Bytes that do not
+parse up to the next record are one record with a null id. An empty table has no
+files and its audit no rows. Other columns are not read. A record that is the
+same but elsewhere is `moved`.
 """
 
 from __future__ import annotations
 
 import gzip
+import hashlib
 from collections.abc import Iterator
 
 import pandas as pd
@@ -37,70 +42,116 @@ FANOUT = 16
 
 def record_text(page_id: Column, url: Column, html: Column, date: str) -> Column:
     payload = F.coalesce(html.cast("string"), F.lit(""))
-    lines = [F.lit("WARC/1.1"), F.lit("WARC-Type: resource"), F.concat(F.lit("WARC-Record-ID: <urn:page:"), page_id.cast("string"), F.lit(">")), F.lit(f"WARC-Date: {date}"), F.concat(F.lit("WARC-Target-URI: "), url), F.lit("Content-Type: text/html"), F.concat(F.lit("Content-Length: "), F.octet_length(payload).cast("string"))]
+    record_id = F.concat(F.lit("WARC-Record-ID: <urn:page:"), F.coalesce(page_id.cast("string"), F.lit("none")), F.lit(">"))
+    digest = F.concat(F.lit("WARC-Block-Digest: sha256:"), F.sha2(payload, 256))
+    lines = [F.lit("WARC/1.1"), F.lit("WARC-Type: resource"), record_id, F.lit(f"WARC-Date: {date}"), F.concat(F.lit("WARC-Target-URI: "), url), digest, F.lit("Content-Type: text/html"), F.concat(F.lit("Content-Length: "), F.octet_length(payload).cast("string"))]
     return F.concat(F.concat_ws(END, *lines), F.lit(END + END), payload)
 
 
 def records(df: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", date: str = "1970-01-01T00:00:00Z", file_bytes: int = 16 << 20) -> DataFrame:
-    """(id, record, sha256, length, file) of every page; length has the two line ends after the record."""
-    page_id = F.coalesce(F.col(id_col).cast("bigint"), F.lit(-1))
-    out = df.select(page_id.alias("id"), record_text(page_id, F.col(url_col), F.col(html_col), date).alias("record"))
-    total = out.agg(F.sum(F.octet_length("record"))).first()[0] or 0
-    files = max(1, -(-total // file_bytes))
-    file = F.conv(F.substring(F.sha2(F.col("id").cast("string"), 256), 1, 8), 16, 10).cast("bigint") % files
-    return out.select("id", "record", F.sha2("record", 256).alias("sha256"), (F.octet_length("record") + 4).cast("bigint").alias("length"), file.alias("file"))
+    """(record, sha256, number, length, file) of every page; number counts equal records, length has the two line ends after the record."""
+    text = record_text(F.col(id_col).cast("bigint"), F.col(url_col), F.col(html_col), date)
+    out = df.select(text.alias("record")).withColumn("sha256", F.sha2("record", 256))
+    # Equal records are counted by hash and made again from one of them, so that they need not meet in a task.
+    counts = written(out.groupBy("sha256").agg(F.count("*").alias("n"), F.sum(F.octet_length("record")).alias("bytes")))
+    files = max(1, -(-(counts.agg(F.sum("bytes")).first()[0] or 0) // file_bytes))
+    several = counts.where("n > 1").select("sha256")
+    once = out.join(several, "sha256", "left_anti").select("record", "sha256", F.lit(1).cast("bigint").alias("number"))
+    again = out.join(several, "sha256", "left_semi").groupBy("sha256").agg(F.first("record").alias("record"), F.count("*").alias("n"))
+    out = once.unionByName(again.select("record", "sha256", F.explode(F.sequence(F.lit(1).cast("bigint"), "n")).alias("number")))
+    file = F.conv(F.substring(F.sha2(F.concat_ws(":", "sha256", "number"), 256), 1, 8), 16, 10).cast("bigint") % files
+    return out.select("record", "sha256", "number", (F.octet_length("record") + 4).cast("bigint").alias("length"), file.alias("file"))
+
+
+def _numbered(found: DataFrame) -> DataFrame:
+    """(file, offset, record_id, copy, length, sha256); a window holds one file's records, whose number is bounded by the size of a file."""
+    copy = F.row_number().over(Window.partitionBy("file", "record_id").orderBy("sha256", "offset"))
+    return found.select("file", "offset", "record_id", copy.cast("bigint").alias("copy"), "length", "sha256")
 
 
 def manifest(found: DataFrame) -> DataFrame:
-    """(file, offset, id, copy, length, sha256): records in order; a window holds one file's records, whose number is bounded by the size of a file."""
-    order = Window.partitionBy("file").orderBy("id", "sha256")
-    before = order.rowsBetween(Window.unboundedPreceding, -1)
-    offset = F.coalesce(F.sum("length").over(before), F.lit(0))
-    copy = F.row_number().over(Window.partitionBy("file", "id").orderBy("sha256"))
-    return found.select("file", offset.alias("offset"), "id", copy.cast("bigint").alias("copy"), "length", "sha256")
+    """(file, offset, record_id, copy, length, sha256) of records in order, as they are to be written."""
+    before = Window.partitionBy("file").orderBy("sha256", "number").rowsBetween(Window.unboundedPreceding, -1)
+    record_id = F.regexp_extract("record", r"\r\nWARC-Record-ID: <([^>\r\n]*)>", 1)
+    return _numbered(found.select("file", "sha256", "number", "length", record_id.alias("record_id")).withColumn("offset", F.coalesce(F.sum("length").over(before), F.lit(0))))
 
 
 def write_files(found: DataFrame, path: str) -> None:
     """One gzip file per `file`, as file=N/part-*.txt.gz under path, each by a task of its own."""
     files = (found.agg(F.max("file")).first()[0] or 0) + 1
-    rows = found.repartitionById(files, F.col("file").cast("int")).sortWithinPartitions("file", "id", "sha256")
+    rows = found.repartitionById(files, F.col("file").cast("int")).sortWithinPartitions("file", "sha256", "number")
+    _write(rows, path)
+
+
+def _write(rows: DataFrame, path: str) -> None:
     rows.select("file", "record").write.partitionBy("file").option("lineSep", END + END).option("compression", "gzip").text(path)
 
 
-def _parsed(content: bytes) -> Iterator[tuple[int, int, bytes]]:
-    """(offset, record id, record) of the records of a file; what does not parse up to the next record is one record with id -2."""
+def _parsed(content: bytes) -> Iterator[tuple[int, str | None, bytes]]:
+    """(offset, record id, record) of the records of a file; what does not parse up to the next record is one record without an id."""
     data = gzip.decompress(content) if content[:2] == b"\x1f\x8b" else content
-    at, mark = 0, b"WARC/1."
+    at, mark = 0, b"WARC/"
     while at < len(data):
         head = data.find(b"\r\n\r\n", at)
-        fields = dict(x.split(b": ", 1) for x in data[at:head].split(b"\r\n")[1:] if b": " in x) if head > 0 and data[at : at + len(mark)] == mark else {}
+        lines = data[at:head].split(b"\r\n")[1:] if head > 0 and data[at : at + len(mark)] == mark else []
+        fields = {k.strip().lower(): v.strip() for k, _, v in (x.partition(b":") for x in lines)}
         try:
-            end = head + 4 + int(fields[b"Content-Length"])
-            key = int(fields[b"WARC-Record-ID"].split(b":")[-1].rstrip(b">"))
+            end = head + 4 + int(fields[b"content-length"])
         except (KeyError, ValueError):
-            end, key = -1, -2
+            end = -1
+        name = fields.get(b"warc-record-id")
         if end < 0 or data[end : end + 4] != b"\r\n\r\n":
             nxt = data.find(b"\r\n\r\n" + mark, at + 1)
-            end = nxt if nxt >= 0 else len(data) - 4 if data.endswith(b"\r\n\r\n") else len(data)
-        yield at, key, data[at:end]
+            end, name = nxt if nxt >= 0 else len(data) - 4 if data.endswith(b"\r\n\r\n") else len(data), None
+        yield at, name.decode("utf-8", "replace").strip("<>") if name is not None else None, data[at:end]
         at = end + 4
 
 
+def _files(spark: SparkSession, path: str) -> DataFrame:
+    """(file, content); a name without `file=N/` gets a number by hash."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.gz").load(path)
+    number = F.regexp_extract("path", r"file=(\d+)/", 1)
+    return files.select(F.when(number != "", number.cast("bigint")).otherwise(F.xxhash64("path")).alias("file"), "content")
+
+
 def read_files(spark: SparkSession, path: str) -> DataFrame:
-    """The manifest of files under path, from their bytes."""
-    import hashlib
+    """The manifest of the *.gz files under path, from their bytes."""
 
     def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             for file, content in zip(pdf.file, pdf.content):
                 rows = [(file, at, key, len(r) + 4, hashlib.sha256(r).hexdigest()) for at, key, r in _parsed(content)]
-                yield pd.DataFrame(rows, columns=["file", "offset", "id", "length", "sha256"])
+                yield pd.DataFrame(rows, columns=["file", "offset", "record_id", "length", "sha256"])
+
+    return _numbered(_files(spark, path).mapInPandas(parse, "file bigint, offset bigint, record_id string, length bigint, sha256 string"))
+
+
+def read_records(spark: SparkSession, path: str) -> DataFrame:
+    """(file, offset, record_id, length, last, record) of the *.gz files under path; last marks a file's last record."""
+
+    def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for file, content in zip(pdf.file, pdf.content):
+                rows = [(file, at, key, len(r) + 4, False, r.decode("utf-8", "replace")) for at, key, r in _parsed(content)]
+                if rows:
+                    rows[-1] = (*rows[-1][:4], True, rows[-1][5])
+                yield pd.DataFrame(rows, columns=["file", "offset", "record_id", "length", "last", "record"])
+
+    return _files(spark, path).mapInPandas(parse, "file bigint, offset bigint, record_id string, length bigint, last boolean, record string")
+
+
+def write_damaged(spark: SparkSession, path: str, out: str, parts: int = 97) -> None:
+    """A replica of the files under path with damage for rehearsals of an audit, chosen by the hash of a record: of `parts` records
+    one gets another date, one is written again at the end of its file, and one changes places with the next; each file loses its last record.
 
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "part-*").load(path)
-    files = files.select(F.regexp_extract("path", r"file=(\d+)/", 1).cast("bigint").alias("file"), "content")
-    found = files.mapInPandas(parse, "file bigint, offset bigint, id bigint, length bigint, sha256 string")
-    copy = F.row_number().over(Window.partitionBy("file", "id").orderBy("sha256"))
-    return found.select("file", "offset", "id", copy.cast("bigint").alias("copy"), "length", "sha256")
+    A file is read, changed and written by one task."""
+    rows = read_records(spark, path)
+    pick = F.conv(F.substring(F.sha2("record", 256), 57, 8), 16, 10).cast("bigint") % parts
+    end = F.lit(1 << 40)
+    places = F.when(pick == 1, F.array(F.col("offset"), end + F.col("offset"))).when(pick == 2, F.array(F.col("offset") + F.col("length") + 1)).otherwise(F.array("offset"))
+    changed = F.when(pick == 0, F.replace("record", F.lit("WARC-Date: 1970"), F.lit("WARC-Date: 1971"))).otherwise(F.col("record"))
+    moved = rows.where("not last").select("file", changed.alias("record"), F.explode(places).alias("at"))
+    _write(moved.sortWithinPartitions("file", "at"), out)
 
 
 def _node(children: DataFrame, keys: list, line: Column, order: str) -> DataFrame:
@@ -154,7 +205,7 @@ def _file_levels(n_files: int, fanout: int) -> int:
 
 
 def audit(primary: DataFrame, replica: DataFrame, range_bytes: int = RANGE_BYTES, fanout: int = FANOUT) -> DataFrame:
-    """One row per record of the primary's manifest, and per record that only the replica has: file, offset, id, copy, length, sha256, status (ok, moved, corrupt, missing, extra)."""
+    """One row per record of the primary's manifest, and per record that only the replica has: file, offset, record_id, copy, length, sha256, status (ok, moved, corrupt, missing, extra)."""
     size = primary.unionByName(replica).agg(F.max("file"), F.max("offset")).first()
     n_files, most = (size[0] if size[0] is not None else 0) + 1, size[1] or 0
     trees = [[written(x) for x in levels(side, n_files, most, range_bytes, fanout)] for side in (primary, replica)]
@@ -164,13 +215,13 @@ def audit(primary: DataFrame, replica: DataFrame, range_bytes: int = RANGE_BYTES
     suspect = ranged(primary).join(bad, ["file", "node"], "left_semi").drop("node")
     # A record may have moved to another range of its file, so it is looked for among the replica's differing ranges of any place.
     other = ranged(replica).join(bad, ["file", "node"], "left_semi")
-    keys = ["file", "id", "copy"]
+    keys = ["file", "record_id", "copy"]
     other = other.select(*keys, F.col("offset").alias("offset2"), F.col("length").alias("length2"), F.col("sha256").alias("sha2562"))
     both = suspect.join(other, keys, "full_outer")
     status = (
         F.when(F.col("sha256").isNull(), "extra").when(F.col("sha2562").isNull(), "missing").when(F.col("sha256") != F.col("sha2562"), "corrupt").when(F.col("offset") != F.col("offset2"), "moved").otherwise("ok")
     )
-    checked = both.select("file", F.coalesce("offset", "offset2").alias("offset"), "id", "copy", F.coalesce("length", "length2").alias("length"), F.coalesce("sha256", "sha2562").alias("sha256"), status.alias("status"))
+    checked = both.select("file", F.coalesce("offset", "offset2").alias("offset"), "record_id", "copy", F.coalesce("length", "length2").alias("length"), F.coalesce("sha256", "sha2562").alias("sha256"), status.alias("status"))
     return fine.select(checked.columns).unionByName(checked)
 
 
