@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.stored import numbered
+
 
 def sort_token(name: Column, at: int) -> Column:
     """The at-th part of a name split at | _ - . and spaces, as a number; null if it is none."""
@@ -29,9 +31,12 @@ def matches(name: Column, pattern: str) -> Column:
 
 
 def unique_names(df: DataFrame, name: str, order: str, out: str = "unique_name") -> DataFrame:
-    """Names made different: name, name_01, name_02, in order."""
-    k = F.row_number().over(Window.partitionBy(name).orderBy(order)) - 1
-    return df.withColumn(out, F.when(k == 0, F.col(name)).otherwise(F.concat(F.col(name), F.format_string("_%02d", k))))
+    """Names made different: name, name_01, name_02, in order; numbers that make a name of the table are left out."""
+    parts = df.select(F.regexp_extract(name, r"^(.*)_\d{2,}$", 1).alias("_base"), F.regexp_extract(name, r"_(\d{2,})$", 1).try_cast("bigint").alias("_n"))
+    taken = parts.where("_n is not null").groupBy("_base").agg(F.sort_array(F.collect_set("_n")).alias("_taken"))
+    ranked = numbered(df, [name], [order], "_k").join(taken, F.col(name) == F.col("_base"), "left")
+    free = F.aggregate(F.coalesce("_taken", F.array().cast("array<bigint>")), F.col("_k").cast("bigint"), lambda k, n: F.when(n <= k, k + 1).otherwise(k))
+    return ranked.withColumn(out, F.when(F.col("_k") == 0, F.col(name)).otherwise(F.concat(F.col(name), F.format_string("_%02d", free)))).drop("_k", "_base", "_taken")
 
 
 def valid_name(name: Column) -> Column:
@@ -41,10 +46,10 @@ def valid_name(name: Column) -> Column:
 def data_size(n: Column) -> Column:
     """Bytes with two decimals and a unit; divided by 1024 while over 1000."""
     v, out = n.cast("double"), None
-    units = ("B", "kB", "MB", "GB", "TB")
+    units = ("B", "kB", "MB", "GB", "TB", "PB")
     for k, unit in enumerate(units):
         scaled = v / float(1024**k)
-        text = F.concat(F.format_string("%.2f", scaled), F.lit(unit))
+        text = F.concat(F.format_string("%.2f", F.bround(scaled, 2)), F.lit(unit))
         last = k == len(units) - 1
         out = F.when(scaled <= 1000, text) if out is None else out.otherwise(text) if last else out.when(scaled <= 1000, text)
     return out

@@ -63,8 +63,8 @@ def distance(a, b) -> Column:
 
 def norm(a) -> Column:
     """Unit vector; zero stays zero."""
-    n = length(a)
-    return vec(*(F.when(n == 0, 0.0).otherwise(a[c] / F.when(n != 0, n)) for c in "xyz"))
+    n = F.nullif(length(a), F.lit(0.0))
+    return vec(*(F.coalesce(a[c] / n, F.when(a[c].isNotNull(), 0.0)) for c in "xyz"))
 
 
 def absolute(a) -> Column:
@@ -212,9 +212,12 @@ def constant_rotation(axis: tuple, theta: float) -> Column:
 
 
 def rotate(q, v) -> Column:
-    """v + 2w(q × v) + 2 q × (q × v)."""
-    t = scale(cross(q, v), 2.0)
-    return add(add(v, scale(t, q["w"])), cross(q, t))
+    """By the matrix of the rotation, so that each component of v stands once in each of the result."""
+    rows = []
+    for i, j, k in (("x", "y", "z"), ("y", "z", "x"), ("z", "x", "y")):
+        own = 1.0 - 2.0 * (q[j] * q[j] + q[k] * q[k])
+        rows.append(v[i] * own + v[j] * (2.0 * (q[i] * q[j] - q["w"] * q[k])) + v[k] * (2.0 * (q[i] * q[k] + q["w"] * q[j])))
+    return vec(*rows)
 
 
 def compose(p, q) -> Column:
@@ -313,3 +316,73 @@ def ray_triangle(origin, direction, a, b, c) -> Column:
     q = cross(s, e)
     v, t = dot(direction, q) * inv, dot(f, q) * inv
     return F.when((u >= 0) & (v >= 0) & (u + v <= 1) & (t >= 0), F.struct(t.alias("t"), u.alias("u"), v.alias("v")))
+
+
+def ray_at(origin, direction, t) -> Column:
+    return add(origin, scale(direction, t))
+
+
+def ray_project(origin, direction, p) -> Column:
+    """How far along the ray the foot of p lies."""
+    return dot(sub(p, origin), direction)
+
+
+# Boxes: a low and a high corner.
+
+
+def box_contains(low, high, other_low, other_high) -> Column:
+    return in_box(other_low, low, high) & in_box(other_high, low, high)
+
+
+def box_corners(low, high) -> list[Column]:
+    return [vec(*((high if k >> j & 1 else low)[c] for j, c in enumerate("xyz"))) for k in range(8)]
+
+
+def box_has_corner(low, high, other_low, other_high) -> Column:
+    """Whether a corner of the other box lies in this one. Boxes that only cross have none in each other."""
+    return reduce(lambda a, b: a | b, (in_box(p, low, high) for p in box_corners(other_low, other_high)))
+
+
+def box_overlaps(low, high, other_low, other_high) -> Column:
+    return reduce(lambda a, b: a & b, ((low[c] <= other_high[c]) & (other_low[c] <= high[c]) for c in "xyz"))
+
+
+def box_intersection(low, high, other_low, other_high) -> tuple[Column, Column]:
+    """The other box with its corners clamped to this one."""
+    return clamp(other_low, low, high), clamp(other_high, low, high)
+
+
+def box_cut_by_plane(low, high, at, normal) -> Column:
+    """Whether a plane has corners of the box on both sides or on it."""
+    reach = reduce(lambda a, b: a + b, (F.abs(normal[c]) * (high[c] - low[c]) for c in "xyz"))
+    return F.abs(plane_distance(add(low, high), scale(at, 2.0), normal)) <= reach
+
+
+def symmetric_minors(m: list) -> list[Column]:
+    """The principal minors of a 3 × 3 matrix of columns."""
+    pick = lambda ks: [[m[i][j] for j in ks] for i in ks]
+    return [determinant(pick(ks)) for ks in ((0,), (1,), (2,), (0, 1), (0, 2), (1, 2), (0, 1, 2))]
+
+
+def is_positive(m: list, eps: float = 0.0) -> Column:
+    """Whether a symmetric 3 × 3 matrix has no negative eigenvalue: all principal minors are at least -eps."""
+    return reduce(lambda a, b: a & b, (x >= -eps for x in symmetric_minors(m)))
+
+
+# Image planes: a corner, a rotation, and width and height along x and the falling y axis.
+
+
+def plane_xi(p, at, q, width, height) -> Column:
+    """World to plane: x and y from 0 to 1 over width and height, z the distance from the plane."""
+    local = rotate(invert(q), sub(p, at))
+    return vec(local["x"] / num(width), -local["y"] / num(height), local["z"])
+
+
+def plane_position(xi, at, q, width, height) -> Column:
+    """Plane to world."""
+    return add(rotate(q, vec(xi["x"] * num(width), -xi["y"] * num(height), xi["z"])), at)
+
+
+def pixel_position(row, col, at, q, size_x, size_y) -> Column:
+    """The world position of a pixel's centre."""
+    return add(rotate(q, vec((num(col) + 0.5) * num(size_x), -(num(row) + 0.5) * num(size_y), 0.0)), at)

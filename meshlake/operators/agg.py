@@ -83,3 +83,31 @@ def check_index(elements: DataFrame, ids: str, n_nodes: int, width: int) -> Data
     """Counts of rows that break the rules of an index: out of range, of another width, or with nulls."""
     bad = {"out_of_range": F.exists(ids, lambda v: (v < 0) | (v >= n_nodes)), "wrong_width": F.size(ids) != width, "has_null": F.exists(ids, lambda v: v.isNull())}
     return elements.agg(*(F.count_if(F.coalesce(c, F.lit(False))).alias(k) for k, c in bad.items()))
+
+
+def torsion(df: DataFrame, keys: list[str], length: float) -> DataFrame:
+    """Mean twist of the apex less that of the base, and the same by length. df: (keys, is_apex, twist)."""
+    means = df.groupBy(*keys).agg(F.avg(F.when(F.col("is_apex"), F.col("twist"))).alias("_a"), F.avg(F.when(~F.col("is_apex"), F.col("twist"))).alias("_b"))
+    twist = F.col("_a") - F.col("_b")
+    return means.select(*keys, twist.alias("twist"), (twist / length).alias("torsion"))
+
+
+def mean_by_region(df: DataFrame, keys: list[str], values: dict[str, Column]) -> DataFrame:
+    return df.groupBy(*keys).agg(*(F.avg(c).alias(k) for k, c in values.items()))
+
+
+def centered(df: DataFrame, keys: list[str], p: str) -> DataFrame:
+    """Points less the centre of their keys' bounding box."""
+    from ..functions import vec
+
+    boxes = aabb(df, keys, F.col(p)).select(*keys, *(f"center_{c}" for c in "xyz"))
+    center = vec.vec(*(F.col(f"center_{c}") for c in "xyz"))
+    return df.join(boxes, keys).withColumn(p, vec.sub(F.col(p), center)).drop("center_x", "center_y", "center_z")
+
+
+def unit_scaled(df: DataFrame, value: str, missing: Column, out: str = "unit") -> DataFrame:
+    """Values from 0 to 1; the scale begins a hundredth of the range below the least value, and rows without data are 0."""
+    ends = df.agg(F.min(value).alias("_a"), F.max(value).alias("_b"))
+    low = F.col("_a") - 0.01 * (F.col("_b") - F.col("_a"))
+    unit = F.greatest(F.lit(0.0), F.least(F.lit(1.0), (F.col(value) - low) / F.nullif(F.col("_b") - low, F.lit(0.0))))
+    return df.crossJoin(F.broadcast(ends)).withColumn(out, F.when(missing, 0.0).otherwise(F.coalesce(unit, F.lit(0.0)))).drop("_a", "_b")  # one row

@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
+from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .stored import numbered
+
 OPS: dict[str, Callable[[Column, Column], Column]] = {
     "add": lambda a, b: a + b,
     "sub": lambda a, b: a - b,
@@ -105,11 +109,102 @@ def count_in_range(df: DataFrame, low: float, high: float) -> DataFrame:
     return df.agg(F.sum(F.size(F.filter("vals", lambda v: v.between(low, high)))).cast("bigint").alias("n"))
 
 
-def dense_ids(df: DataFrame, order: list[str], out: str = "row_id", buckets: int = 256) -> DataFrame:
-    """Dense numbers in an order without sorting everything in one task: rows are range-partitioned, counted per partition, and numbered within it."""
-    parts = df.repartitionByRange(buckets, *order).sortWithinPartitions(*order)
-    numbered = parts.withColumns({"_part": F.spark_partition_id(), "_k": F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))})
-    counts = numbered.groupBy("_part").agg(F.count("*").alias("_n"))
-    before = F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    offsets = counts.select("_part", before.alias("_first"))
-    return numbered.join(F.broadcast(offsets), "_part").withColumn(out, F.col("_first") + F.col("_k")).drop("_part", "_k", "_first")
+def n_rows(df: DataFrame) -> int:
+    """Rows of a matrix: the greatest number and one."""
+    return (df.agg(F.max("row_id")).first()[0] or -1) + 1
+
+
+def get_at(df: DataFrame, rows: slice, cols: slice, width: int) -> DataFrame:
+    """A window of rows and columns, numbered from 0; negative bounds count from the end."""
+    (a, b, _), (c, d, _) = rows.indices(n_rows(df)), cols.indices(width)
+    return submatrix(df, b - a, d - c, a, c)
+
+
+def write_row(df: DataFrame, n: int, values: list[float]) -> DataFrame:
+    """The first cells of row n replaced by values; what is beyond its width is left out."""
+    new = F.slice(F.concat(F.lit([float(v) for v in values]), F.slice("vals", len(values) + 1, 1 << 30)), F.lit(1), F.size("vals"))
+    return df.withColumn("vals", F.when(F.col("row_id") == n, new).otherwise(F.col("vals")))
+
+
+def apply_row(df: DataFrame, f: Callable[[Column, Column], Column], rows: tuple[int, int]) -> DataFrame:
+    """Rows [first, last) replaced by f of the row and its number."""
+    inside = (F.col("row_id") >= rows[0]) & (F.col("row_id") < rows[1])
+    return df.withColumn("vals", F.when(inside, f(F.col("vals"), F.col("row_id"))).otherwise(F.col("vals")))
+
+
+def copy_from(a: DataFrame, b: DataFrame, width: int, other_width: int) -> DataFrame:
+    """a with the cells of b over its first ones in row-major order; shapes may differ."""
+    new = reshape(b, other_width, width).select("row_id", F.col("vals").alias("_new"))
+    filled = F.concat("_new", F.slice("vals", F.size("_new") + 1, F.lit(width)))
+    return a.join(new, "row_id", "left").select("row_id", F.when(F.col("_new").isNull(), F.col("vals")).otherwise(filled).alias("vals"))
+
+
+def fill(df: DataFrame, value: float) -> DataFrame:
+    return df.withColumn("vals", F.transform("vals", lambda v: F.lit(float(value))))
+
+
+def from_list(spark: SparkSession, rows: list[list[float]]) -> DataFrame:
+    """A matrix of Python lists, which must have one length."""
+    if len({len(r) for r in rows}) > 1:
+        raise ValueError("rows differ in length")
+    return spark.createDataFrame([(k, [float(v) for v in r]) for k, r in enumerate(rows)], "row_id bigint, vals array<double>")
+
+
+def flatten(df: DataFrame, width: int) -> DataFrame:
+    """(cell, val) of every cell, numbered in row-major order."""
+    return cells(df).select((F.col("n") * width + F.col("m")).alias("cell"), "val")
+
+
+def zip_rows(a: DataFrame, b: DataFrame, key: str) -> DataFrame:
+    """a's rows with b's of the same number; null beyond b's end."""
+    return a.join(b, key, "left")
+
+
+def frange(spark: SparkSession, start: float, stop: float, step: float, out: str = "x") -> DataFrame:
+    """start, start + step, ... below stop; each value is computed from its number, so errors do not add up."""
+    if step <= 0:
+        raise ValueError("the step must be positive")
+    n = max(0, math.ceil((stop - start) / step - 1e-9))
+    return spark.range(n).select((start + F.col("id") * float(step)).alias(out))
+
+
+def range_product(*ranges: DataFrame) -> DataFrame:
+    """All combinations of values of ranges: the product is what is asked for."""
+    return reduce(lambda a, b: a.crossJoin(b), ranges)
+
+
+def weighted(values: Column, weights: Column) -> Column:
+    """Sum of values times weights."""
+    return F.aggregate(F.zip_with(values, weights, lambda a, b: a * b), F.lit(0.0), lambda s, v: s + v)
+
+
+def meta_text(meta: Column) -> Column:
+    """A map of strings as lines `key = value`, by key."""
+    entries = F.transform(F.array_sort(F.map_entries(meta)), lambda e: F.concat_ws(" = ", e["key"], e["value"]))
+    return F.array_join(entries, "\n")
+
+
+def meta_of(text: Column) -> Column:
+    """The map of lines `key = value`; other lines are left out."""
+    lines = F.filter(F.split(text, "\n"), lambda x: F.contains(x, F.lit("=")))
+    return F.map_from_entries(F.transform(lines, lambda x: F.struct(F.trim(F.regexp_extract(x, "^([^=]*)=", 1)), F.trim(F.regexp_extract(x, "=(.*)$", 1)))))
+
+
+def swap_bytes(v: Column, size: int) -> Column:
+    """A whole number of so many bytes (at most 7) with their order reversed, unsigned."""
+    byte = lambda k: F.shiftrightunsigned(v.cast("bigint"), 8 * k).bitwiseAND(F.lit(255))
+    return reduce(lambda a, b: a + b, (F.shiftleft(byte(k), 8 * (size - 1 - k)) for k in range(size)))
+
+
+def apply_expression(df: DataFrame, expression: str, rows: tuple[int, int] | None = None, cols: tuple[int, int] | None = None, **values: float) -> DataFrame:
+    """A SQL expression over the cells of a window: val is the cell, n and m its row and column, others are given by name."""
+    named = df.select("*", F.col("row_id").alias("n"), *(F.lit(v).alias(k) for k, v in values.items()))
+    inside = [f"n >= {int(rows[0])} AND n < {int(rows[1])}"] if rows else []
+    inside += [f"m >= {int(cols[0])} AND m < {int(cols[1])}"] if cols else []
+    new = F.expr(f"transform(vals, (val, m) -> CASE WHEN {' AND '.join(inside) or 'true'} THEN CAST({expression} AS DOUBLE) ELSE val END)")
+    return named.withColumn("vals", new).select(*df.columns)
+
+
+def dense_ids(df: DataFrame, order: list[str], out: str = "row_id", rows_per_task: int = 1_000_000) -> DataFrame:
+    """Dense numbers in an order without sorting everything in one task."""
+    return numbered(df, [], order, out, rows_per_task)

@@ -60,20 +60,25 @@ def iso_values(low: float, high: float, k: int) -> list[float]:
     return [(low + high) / 2] if k == 1 else [low + (high - low) * i / (k - 1) for i in range(k)]
 
 
+def _whole(x: Column) -> Column:
+    """The sum, or null if a part is null."""
+    return F.when(F.count(x) == F.count("*"), F.sum(x))
+
+
 def evaluate(elements: DataFrame, values: DataFrame, elem_type: str, xi: tuple[float, ...]) -> DataFrame:
-    """(elem_id, val): the field at one place of every element. Values are weighted as they are joined, so sums combine before the shuffle."""
+    """(elem_id, val): the field at one place of every element, null where a node has no value. Values are weighted as they are joined, so sums combine before the shuffle."""
     weights = F.array(*basis.lagrange(elem_type, [F.lit(float(x)) for x in xi]))
     wide = elements.select("elem_id", F.posexplode("node_ids").alias("k", "node_id"))
-    joined = wide.join(values, "node_id").withColumn("w", F.get(weights, F.col("k")))
-    return joined.groupBy("elem_id").agg(F.sum(F.col("w") * F.col("val")).alias("val"))
+    joined = wide.join(values, "node_id", "left").withColumn("w", F.get(weights, F.col("k")))
+    return joined.groupBy("elem_id").agg(_whole(F.col("w") * F.col("val")).alias("val"))
 
 
 def positions(elements: DataFrame, nodes: DataFrame, elem_type: str, xi: list[tuple[float, ...]]) -> DataFrame:
-    """(elem_id, k, p): points at places of every element. nodes: (node_id, p)."""
+    """(elem_id, k, p): points at places of every element; coordinates are null where a node is missing. nodes: (node_id, p)."""
     rows = [F.array(*basis.lagrange(elem_type, [F.lit(float(x)) for x in place])) for place in xi]
-    wide = elements.select("elem_id", F.posexplode("node_ids").alias("_k", "node_id")).join(nodes, "node_id")
+    wide = elements.select("elem_id", F.posexplode("node_ids").alias("_k", "node_id")).join(nodes, "node_id", "left")
     wide = wide.select("elem_id", "_k", "p", F.posexplode(F.array(*rows)).alias("k", "_w")).withColumn("_w", F.get("_w", F.col("_k")))
-    sums = wide.groupBy("elem_id", "k").agg(*(F.sum(F.col("_w") * F.col(f"p.{c}")).alias(c) for c in "xyz"))
+    sums = wide.groupBy("elem_id", "k").agg(*(_whole(F.col("_w") * F.col(f"p.{c}")).alias(c) for c in "xyz"))
     return sums.select("elem_id", "k", F.struct("x", "y", "z").alias("p"))
 
 
@@ -116,3 +121,24 @@ def box_grid(spark: SparkSession, nx: int, ny: int, nz: int) -> tuple[DataFrame,
 def xi_template(geometry: str, refine: int) -> list[tuple[float, ...]]:
     """Places of an element refined so many times: the nodes of its linear refinement."""
     return [tuple(map(float, p)) for p in basis.node_positions(geometry, refine + 1)]
+
+
+def of_regions(parts: DataFrame, parents: DataFrame, key: str, region: str, chosen: list) -> DataFrame:
+    """Parts of elements whose parent lies in a chosen region, with that region; rows of other regions go before the join."""
+    return parts.join(parents.where(F.col(region).isin(chosen)).select(key, region), key)
+
+
+def evaluate_at(places: DataFrame, elements: DataFrame, values: DataFrame, elem_type: str) -> DataFrame:
+    """(elem_id, point_id, val) of a field at stored places (elem_id, point_id, xi); null where a node has no value."""
+    dims = basis.GEOMETRIES[basis.element_type(elem_type)[0]][0]
+    weights = F.array(*basis.lagrange(elem_type, [F.get("xi", k) for k in range(dims)]))
+    corners = elements.select("elem_id", F.posexplode("node_ids").alias("k", "node_id")).join(values, "node_id", "left")
+    corners = corners.groupBy("elem_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("k", "val"))), lambda c: c["val"]).alias("vals"))
+    total = F.aggregate(F.zip_with("vals", weights, lambda v, w: v * w), F.lit(0.0), lambda s, v: s + v)
+    return places.join(corners, "elem_id").select("elem_id", "point_id", total.alias("val"))
+
+
+def random_points(spark: SparkSession, n: int) -> DataFrame:
+    """(id, x, y, w): points of the unit square and a weight, all from hashes of their numbers."""
+    part = lambda k: F.conv(F.substring(F.md5(F.col("id").cast("string")), k, 8), 16, 10).cast("bigint")
+    return spark.range(n).select("id", (part(1) / 4294967296.0).alias("x"), (part(9) / 4294967296.0).alias("y"), part(17).alias("w"))

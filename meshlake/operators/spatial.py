@@ -51,7 +51,9 @@ def external(faces: DataFrame) -> DataFrame:
 
 
 def dedup_nodes(nodes: DataFrame, digits: int = 9) -> DataFrame:
-    """(node_id, keep_id): nodes with equal rounded coordinates share the least id. Equality by rounding is transitive, unlike a distance."""
+    """(node_id, keep_id): nodes with equal rounded coordinates share the least id.
+
+    Equality by rounding is transitive, unlike a distance: nodes nearer than the rounding step stay apart if an edge of rounding lies between them."""
     key = [F.round(F.col("p")[c], digits).alias(f"_{c}") for c in "xyz"]
     least = F.min("node_id").over(Window.partitionBy("_x", "_y", "_z"))
     return nodes.select("node_id", *key).withColumn("keep_id", least).select("node_id", "keep_id")
@@ -73,8 +75,139 @@ def vertex_normals(triangles: DataFrame) -> DataFrame:
     return sums.select("node_id", vec.norm(F.struct("x", "y", "z")).alias("normal"))
 
 
-def points_in_polygon(points: DataFrame, edges: DataFrame) -> DataFrame:
-    """Points (id, x, y) inside a polygon of edges (x1, y1, x2, y2) by odd crossings; the polygon is one small table and goes to every task as an array."""
-    polygon = edges.agg(F.collect_list(F.struct("x1", "y1", "x2", "y2")).alias("edges"))
-    crosses = lambda e: ((e["y1"] > F.col("y")) != (e["y2"] > F.col("y"))) & (F.col("x") < (e["x2"] - e["x1"]) * (F.col("y") - e["y1"]) / F.nullif(e["y2"] - e["y1"], F.lit(0.0)) + e["x1"])
-    return points.crossJoin(F.broadcast(polygon)).where(F.size(F.filter("edges", crosses)) % 2 == 1).drop("edges")
+def points_in_polygon(points: DataFrame, edges: DataFrame, band: float = 0.05) -> DataFrame:
+    """(poly, id): points (id, x, y) inside polygons of edges (poly, x1, y1, x2, y2), by odd crossings.
+
+    Points meet only the edges of their band of y, of height `band`; an edge is in all bands that it passes."""
+    at = lambda c: F.floor(F.col(c) / band) if isinstance(c, str) else F.floor(c / band)
+    banded = edges.select("*", F.explode(F.sequence(at(F.least("y1", "y2")), at(F.greatest("y1", "y2")))).alias("_band"))
+    crosses = ((F.col("y1") > F.col("y")) != (F.col("y2") > F.col("y"))) & (F.col("x") < (F.col("x2") - F.col("x1")) * (F.col("y") - F.col("y1")) / F.nullif(F.col("y2") - F.col("y1"), F.lit(0.0)) + F.col("x1"))
+    hits = points.withColumn("_band", at("y")).join(banded, "_band").where(crosses)
+    return hits.groupBy("poly", "id").agg(F.count("*").alias("_n")).where("_n % 2 = 1").select("poly", "id")
+
+
+def ray_hits(triangles: DataFrame, origin: Column, direction: Column) -> DataFrame:
+    """triangles (tri_id, a, b, c) that a ray hits, with hit (t, u, v)."""
+    return triangles.withColumn("hit", vec.ray_triangle(origin, direction, F.col("a"), F.col("b"), F.col("c"))).where("hit is not null")
+
+
+def first_hits(hits: DataFrame, n: int, nearest: bool = False) -> DataFrame:
+    """The first n hits by the number of the triangle, or the nearest ones."""
+    return hits.orderBy(*([F.col("hit.t")] if nearest else []), "tri_id").limit(n)
+
+
+def leaf_box(leaf: Column, low: tuple, high: tuple, depth: int) -> tuple[Column, Column]:
+    """The corners of an octree leaf from its key."""
+    corners = []
+    for k, (a, b) in enumerate(zip(low, high)):
+        at = reduce(lambda x, y: x + y, (F.shiftleft(F.shiftrightunsigned(leaf, 3 * d + k).bitwiseAND(F.lit(1)), d) for d in range(depth)))
+        corners.append((a + at * ((b - a) / (1 << depth)), a + (at + 1) * ((b - a) / (1 << depth))))
+    return vec.vec(*(c[0] for c in corners)), vec.vec(*(c[1] for c in corners))
+
+
+def leaves_cut_by_plane(leaves: DataFrame, at: Column, normal: Column, low: tuple, high: tuple, depth: int) -> DataFrame:
+    """The rows of leaves (leaf, ...) whose box a plane cuts: what a query about the plane has to read."""
+    return leaves.where(F.exists(F.array("leaf"), lambda leaf: vec.box_cut_by_plane(*leaf_box(leaf, low, high, depth), at, normal)))
+
+
+def merge_leaves(a: DataFrame, b: DataFrame, merge: dict[str, Column]) -> DataFrame:
+    """Two tables by leaf as one: a union and one aggregation."""
+    return a.unionByName(b).groupBy("leaf").agg(*(c.alias(k) for k, c in merge.items()))
+
+
+def with_corners(elements: DataFrame, nodes: DataFrame) -> DataFrame:
+    """elements (elem_id, node_ids) with cnodes, the points of their nodes in order. nodes: (node_id, p)."""
+    wide = elements.select("elem_id", F.posexplode("node_ids").alias("_k", "node_id")).join(nodes.select("node_id", "p"), "node_id", "left")
+    corners = wide.groupBy("elem_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("_k", "p"))), lambda c: c["p"]).alias("cnodes"))
+    return elements.join(corners, "elem_id")
+
+
+def select_elements(elements: DataFrame, nodes: DataFrame, predicate: str) -> DataFrame:
+    """Elements that a SQL predicate over elem_id, node_ids, cnodes and their other columns keeps."""
+    return with_corners(elements, nodes).where(F.expr(predicate))
+
+
+def tet_xi(p: Column, a: Column, b: Column, c: Column, d: Column) -> Column:
+    """Coordinates of a point along the three edges from a; null in a flat tetrahedron."""
+    u, v, w, r = vec.sub(b, a), vec.sub(c, a), vec.sub(d, a), vec.sub(p, a)
+    whole = vec.dot(u, vec.cross(v, w))
+    det = F.when(F.abs(whole) > 1e-300, whole)
+    return vec.vec(vec.dot(r, vec.cross(v, w)) / det, vec.dot(u, vec.cross(r, w)) / det, vec.dot(u, vec.cross(v, r)) / det)
+
+
+def locate(points: DataFrame, tets: DataFrame, low: tuple, high: tuple, depth: int, eps: float = 1e-9) -> DataFrame:
+    """(id, elem_id, xi): the tetrahedra that hold points (id, p). tets: (elem_id, a, b, c, d).
+
+    Points meet the tetrahedra whose bounding boxes touch their grid cell, so depth should make cells about as large as elements."""
+    corners = F.array("a", "b", "c", "d")
+    least = vec.vec(*(F.array_min(F.transform(corners, lambda p: p[c])) for c in "xyz"))
+    most = vec.vec(*(F.array_max(F.transform(corners, lambda p: p[c])) for c in "xyz"))
+    key = lambda x, y, z: x + y * (1 << depth) + z * (1 << 2 * depth)
+    ends = [F.sequence(i, j) for i, j in zip(cell(least, low, high, depth), cell(most, low, high, depth))]
+    placed = tets.withColumn("_x", F.explode(ends[0])).withColumn("_y", F.explode(ends[1])).withColumn("_z", F.explode(ends[2]))
+    placed = placed.withColumn("_cell", key(F.col("_x"), F.col("_y"), F.col("_z"))).drop("_x", "_y", "_z")
+    found = points.withColumn("_cell", key(*cell(F.col("p"), low, high, depth))).join(placed, "_cell")
+    found = found.withColumn("xi", tet_xi(F.col("p"), F.col("a"), F.col("b"), F.col("c"), F.col("d")))
+    total = F.col("xi.x") + F.col("xi.y") + F.col("xi.z")
+    inside = (F.least("xi.x", "xi.y", "xi.z") >= -eps) & (total <= 1 + eps)
+    return found.where(inside).select("id", "elem_id", "xi")
+
+
+def thin_points(points: DataFrame, distance: float, priority: str) -> DataFrame:
+    """Points (id, x, y, ...) without another one of less priority (then less id) within a distance: blue noise from random points.
+
+    A point meets those of its own and the eight cells around it."""
+    at = lambda c: F.floor(F.col(c) / distance)
+    around = F.sequence(F.lit(-1), F.lit(1))
+    sent = points.select(F.col("x").alias("_x"), F.col("y").alias("_y"), F.col(priority).alias("_p"), F.col("id").alias("_id"), at("x").alias("_a"), at("y").alias("_b"))
+    sent = sent.withColumn("_i", F.explode(around)).withColumn("_j", F.explode(around)).select("_x", "_y", "_p", "_id", (F.col("_a") + F.col("_i")).alias("_a"), (F.col("_b") + F.col("_j")).alias("_b"))
+    near = (F.pow(F.col("x") - F.col("_x"), 2) + F.pow(F.col("y") - F.col("_y"), 2) < distance * distance) & ((F.col("_p") < F.col(priority)) | ((F.col("_p") == F.col(priority)) & (F.col("_id") < F.col("id"))))
+    placed = points.withColumns({"_a": at("x"), "_b": at("y")})
+    return placed.join(sent, (placed["_a"] == sent["_a"]) & (placed["_b"] == sent["_b"]) & near, "left_anti").drop("_a", "_b")
+
+
+def nearest_plane(points: DataFrame, planes: DataFrame, key: str) -> DataFrame:
+    """points (key, id, p) with the nearest plane (key, plane_id, at, normal) of their key and the point projected on it; ties go to the least plane.
+
+    The planes of a key, the slices of one stack, are held as one array."""
+    stacks = planes.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("plane_id", "at", "normal"))).alias("_planes"))
+    distance = lambda s: F.abs(vec.plane_distance(F.col("p"), s["at"], s["normal"]))
+    best = F.array_min(F.transform("_planes", lambda s: F.struct(distance(s).alias("d"), s["plane_id"].alias("plane_id"), s["at"].alias("at"), s["normal"].alias("normal"))))
+    found = points.join(stacks, key).withColumn("_best", best)
+    return found.withColumns({"plane_id": F.col("_best.plane_id"), "plane_distance": F.col("_best.d"), "projected": vec.plane_project(F.col("p"), F.col("_best.at"), F.col("_best.normal"))}).drop("_planes", "_best")
+
+
+def free_form(p: Column, low: tuple, high: tuple, lattice: list[list[list[tuple]]]) -> Column:
+    """A point moved by a lattice of control points over a box, weighted by Bernstein polynomials; points outside stay.
+
+    lattice[k][j][i] is the control point i along x, j along y and k along z."""
+    from ..functions import basis
+
+    xi = [(p[c] - a) / (b - a) for c, a, b in zip("xyz", low, high)]
+    wx, wy, wz = (basis.bezier(t, n - 1) for t, n in zip(xi, (len(lattice[0][0]), len(lattice[0]), len(lattice))))
+    moved = []
+    for axis in range(3):
+        moved.append(reduce(lambda a, b: a + b, (wz[k] * wy[j] * wx[i] * float(lattice[k][j][i][axis]) for k in range(len(wz)) for j in range(len(wy)) for i in range(len(wx)) if abs(lattice[k][j][i][axis]) >= 1e-8)) if any(abs(q[axis]) >= 1e-8 for s in lattice for r in s for q in r) else F.lit(0.0))
+    inside = reduce(lambda a, b: a & b, (t.between(0, 1) for t in xi))
+    return F.when(inside, vec.vec(*moved)).otherwise(p)
+
+
+def glyphs(nodes: DataFrame, values: Column, scale: Column) -> DataFrame:
+    """nodes (node_id, p) with direction and scale of a glyph at each."""
+    return nodes.withColumns({"direction": vec.norm(values), "scale": scale})
+
+
+def directional_fields(nodes: DataFrame, base: Column, apex: Column) -> DataFrame:
+    """nodes with unit vectors along the axis from base to apex, away from it, and around it."""
+    axis = vec.norm(vec.sub(apex, base))
+    out = nodes.withColumn("longitudinal", axis)
+    out = out.withColumn("_away", vec.sub(vec.plane_project(F.col("p"), base, F.col("longitudinal")), base))
+    out = out.withColumn("radial", vec.norm(F.col("_away"))).drop("_away")
+    return out.withColumn("circumferential", vec.cross(F.col("longitudinal"), F.col("radial")))
+
+
+def twist(p0: Column, p1: Column, base: Column, axis: Column) -> Column:
+    """Degrees that a point has turned about an axis through base, positive by the right hand."""
+    both = F.array(F.struct(*(vec.sub(vec.plane_project(p, base, axis), base).alias(k) for k, p in (("a", p0), ("b", p1)))))
+    angle = lambda s: F.degrees(F.atan2(vec.dot(axis, vec.cross(s["a"], s["b"])), vec.dot(s["a"], s["b"])))
+    return F.get(F.transform(both, angle), 0)

@@ -5,11 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .stored import numbered
+
 
 def timestep_groups(df: DataFrame, keys: list[str], time: str, tie: str) -> DataFrame:
     """The k-th row of each key by time forms step k, whose time is its rows' mean: (step, step_time, n, ids in order of tie)."""
-    k = F.row_number().over(Window.partitionBy(*keys).orderBy(time, tie)) - 1
-    return df.withColumn("step", k).groupBy("step").agg(F.avg(time).alias("step_time"), F.count("*").alias("n"), F.min(tie).alias("first_id"), F.max(tie).alias("last_id"))
+    return numbered(df, keys, [time, tie], "step").groupBy("step").agg(F.avg(time).alias("step_time"), F.count("*").alias("n"), F.min(tie).alias("first_id"), F.max(tie).alias("last_id"))
 
 
 def nearest(times: DataFrame, steps: DataFrame, keys: list[str], time: str, step_time: str, tie: str) -> DataFrame:
@@ -33,11 +34,10 @@ def nearest(times: DataFrame, steps: DataFrame, keys: list[str], time: str, step
 
 def invert(df: DataFrame, keys: list[str], time: str, tie: str, payload: str) -> DataFrame:
     """Payloads in reverse order, times as they are."""
-    k = F.row_number().over(Window.partitionBy(*keys).orderBy(time, tie))
-    n = F.count("*").over(Window.partitionBy(*keys))
-    numbered = df.withColumns({"_k": k, "_back": n + 1 - k})
-    other = numbered.select(*keys, F.col("_back").alias("_k"), F.col(payload).alias("_p"))
-    return numbered.join(other, [*keys, "_k"]).withColumn(payload, F.col("_p")).drop("_k", "_back", "_p")
+    sizes = df.groupBy(*keys).agg(F.count("*").alias("_n"))
+    ranked = numbered(df, keys, [time, tie], "_k").join(sizes, keys)
+    other = ranked.select(*keys, (F.col("_n") - 1 - F.col("_k")).alias("_k"), F.col(payload).alias("_p"))
+    return ranked.join(other, [*keys, "_k"]).withColumn(payload, F.col("_p")).drop("_k", "_n", "_p")
 
 
 def mean_gap(time: str) -> Column:
@@ -61,17 +61,14 @@ def offset(df: DataFrame, keys: list[str], time: str, by: float | None = None) -
 
 def reorder_cycle(df: DataFrame, keys: list[str], time: str, tie: str, start: float, step: float) -> DataFrame:
     """Steps turned so that the one nearest to start is first; times become i × step."""
-    w = Window.partitionBy(*keys)
-    k = F.row_number().over(w.orderBy(time, tie)) - 1
-    numbered = df.withColumns({"_k": k, "_n": F.count("*").over(w)})
-    first = F.min(F.struct(F.abs(F.col(time) - start).alias("d"), F.col("_k").alias("k"))).over(w)["k"]
-    at = F.pmod(F.col("_k") - first, F.col("_n"))
-    return numbered.withColumn("new_time", at * F.lit(float(step))).drop("_k", "_n")
+    ranked = numbered(df, keys, [time, tie], "_k")
+    first = ranked.groupBy(*keys).agg(F.count("*").alias("_n"), F.min(F.struct(F.abs(F.col(time) - start).alias("d"), F.col("_k").alias("k")))["k"].alias("_first"))
+    at = F.pmod(F.col("_k") - F.col("_first"), F.col("_n"))
+    return ranked.join(first, keys).withColumn("new_time", at * F.lit(float(step))).drop("_k", "_n", "_first")
 
 
 def sequence_times(df: DataFrame, order: list[str], per_step: int, times: float, keys: list[str]) -> DataFrame:
-    k = F.row_number().over(Window.partitionBy(*keys).orderBy(*order)) - 1
-    return df.withColumn("seq_time", F.floor(k / per_step) * F.lit(float(times)))
+    return numbered(df, keys, order, "_k").withColumn("seq_time", F.floor(F.col("_k") / per_step) * F.lit(float(times))).drop("_k")
 
 
 def successive(df: DataFrame, keys: list[str], order: list[str], value: str, cyclic: bool = False) -> DataFrame:
@@ -86,9 +83,8 @@ def successive(df: DataFrame, keys: list[str], order: list[str], value: str, cyc
 
 def chunks(df: DataFrame, keys: list[str], order: list[str], value: str, width: int) -> DataFrame:
     """Values in groups of `width`; a short last group is dropped."""
-    k = F.row_number().over(Window.partitionBy(*keys).orderBy(*order)) - 1
-    numbered = df.withColumns({"_k": k, "chunk": F.floor(k / width)})
-    out = numbered.groupBy(*keys, "chunk").agg(F.transform(F.array_sort(F.collect_list(F.struct("_k", value))), lambda c: c[value]).alias("vals"))
+    ranked = numbered(df, keys, order, "_k").withColumn("chunk", F.floor(F.col("_k") / width))
+    out = ranked.groupBy(*keys, "chunk").agg(F.transform(F.array_sort(F.collect_list(F.struct("_k", value))), lambda c: c[value]).alias("vals"))
     return out.where(F.size("vals") == width)
 
 

@@ -196,7 +196,7 @@ def _(spark, d):
 @query("points_in_polygon", "SELECT vec_id AS id FROM embeddings WHERE abs(embedding[1]::DOUBLE) + abs(embedding[2]::DOUBLE) < 0.15")
 def _(spark, d):
     corners = [(0.15, 0.0), (0.0, 0.15), (-0.15, 0.0), (0.0, -0.15)]
-    edges = spark.createDataFrame([(*a, *b) for a, b in zip(corners, corners[1:] + corners[:1])], "x1 double, y1 double, x2 double, y2 double")
+    edges = spark.createDataFrame([(0, *a, *b) for a, b in zip(corners, corners[1:] + corners[:1])], "poly int, x1 double, y1 double, x2 double, y2 double")
     pts = points(spark, d).select(F.col("vec_id").alias("id"), F.col("p.x").alias("x"), F.col("p.y").alias("y"))
     return spatial.points_in_polygon(pts, edges).select("id")
 

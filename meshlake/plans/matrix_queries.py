@@ -39,29 +39,90 @@ def _(spark, d):
     return rounded(matrix.reorder(embedding_matrix(spark, d), [2, 0, 1]))
 
 
-@query("mat_reshape", """WITH c AS (SELECT vec_id * 8 + i - 1 AS k, round(embedding[i]::DOUBLE, 6) AS v FROM embeddings, range(1, 9) t(i))
-SELECT k // 16 AS row_id, list(v ORDER BY k) AS vals FROM c GROUP BY 1""")
+@query("mat_reshape", """WITH c AS (SELECT vec_id * 64 + i - 1 AS k, round(embedding[i]::DOUBLE, 6) AS v FROM embeddings, range(1, 65) t(i))
+SELECT k // 48 AS row_id, list(v ORDER BY k) AS vals FROM c GROUP BY 1""")
 def _(spark, d):
-    first = embedding_matrix(spark, d).withColumn("vals", F.slice("vals", 1, 8))
-    return rounded(matrix.reshape(first, 8, 16))
+    return rounded(matrix.reshape(embedding_matrix(spark, d), 64, 48))
 
 
-@query("mat_apply_cell", "SELECT vec_id AS row_id, list_transform(embedding[1:8], lambda v, i: round(v::DOUBLE * vec_id + i - 1, 6)) AS vals FROM embeddings")
+@query("mat_apply_cell", "SELECT vec_id AS row_id, list_transform(embedding, lambda v, i: round(v::DOUBLE * vec_id + i - 1, 6)) AS vals FROM embeddings")
 def _(spark, d):
-    first = embedding_matrix(spark, d).withColumn("vals", F.slice("vals", 1, 8))
-    return rounded(matrix.apply_cell(first, lambda v, n, m: v * n + m))
+    return rounded(matrix.apply_cell(embedding_matrix(spark, d), lambda v, n, m: v * n + m))
 
 
-@query("mat_append_remove", """WITH a AS (SELECT vec_id AS row_id, round(embedding[1]::DOUBLE, 6) AS v FROM embeddings WHERE vec_id < 50)
-SELECT row_id - (row_id > 7)::BIGINT AS row_id, [v] AS vals FROM (SELECT * FROM a UNION ALL SELECT row_id + 50, v FROM a) WHERE row_id <> 7""")
+@query("mat_append_remove", """WITH a AS (SELECT vec_id AS row_id, list_transform(embedding, lambda v: round(v::DOUBLE, 6)) AS vals FROM embeddings), n AS (SELECT max(row_id) + 1 AS n FROM a)
+SELECT row_id - (row_id > 7)::BIGINT AS row_id, vals FROM (SELECT * FROM a UNION ALL SELECT row_id + n, vals FROM a, n) WHERE row_id <> 7""")
 def _(spark, d):
-    a = matrix.submatrix(embedding_matrix(spark, d), 50, 1)
-    return rounded(matrix.remove_row(matrix.append(a, a, 50), 7))
+    a = embedding_matrix(spark, d)
+    return rounded(matrix.remove_row(matrix.append(a, a, matrix.n_rows(a)), 7))
+
+
+@query("mat_resize", "SELECT vec_id AS row_id, list_transform(list_concat(embedding::DOUBLE[], [0.0, 0.0, 0.0]), lambda v: round(v, 6)) AS vals FROM embeddings")
+def _(spark, d):
+    return rounded(matrix.resize(embedding_matrix(spark, d), 67))
+
+
+@query("mat_get_at", """WITH n AS (SELECT max(vec_id) + 1 AS n FROM embeddings) SELECT vec_id - n + 100 AS row_id, list_transform(embedding[61:64], lambda v: round(v::DOUBLE, 6)) AS vals FROM embeddings, n WHERE vec_id >= n - 100""")
+def _(spark, d):
+    return rounded(matrix.get_at(embedding_matrix(spark, d), slice(-100, None), slice(-4, None), 64))
+
+
+@query("mat_row_write", "SELECT vec_id AS row_id, CASE WHEN vec_id = 3 THEN list_concat([1.5, 2.5], list_transform(embedding[3:], lambda v: round(v::DOUBLE, 6))) ELSE list_transform(embedding, lambda v: round(v::DOUBLE, 6)) END AS vals FROM embeddings")
+def _(spark, d):
+    return rounded(matrix.write_row(embedding_matrix(spark, d), 3, [1.5, 2.5]))
+
+
+@query("mat_apply_row", """SELECT vec_id AS row_id, CASE WHEN vec_id >= 10 AND vec_id < 200 THEN list_transform(list_reverse(embedding), lambda v: round(v::DOUBLE + vec_id, 6)) ELSE list_transform(embedding, lambda v: round(v::DOUBLE, 6)) END AS vals FROM embeddings""")
+def _(spark, d):
+    return rounded(matrix.apply_row(embedding_matrix(spark, d), lambda row, n: F.transform(F.reverse(row), lambda v: v + n), (10, 200)))
+
+
+@query("mat_copy_from", """WITH p AS (SELECT row_number() OVER (ORDER BY p_partkey) - 1 AS k, p_retailprice AS v FROM part), n AS (SELECT count(*) AS n FROM p)
+SELECT e.vec_id AS row_id, list(round(coalesce(p.v, e.embedding[i]::DOUBLE), 6) ORDER BY i) AS vals FROM embeddings e, range(1, 65) t(i) LEFT JOIN p ON p.k = e.vec_id * 64 + i - 1 GROUP BY 1""")
+def _(spark, d):
+    prices = matrix.dense_ids(table(spark, d, "part").select("p_partkey", F.array("p_retailprice").alias("vals")), ["p_partkey"]).select("row_id", "vals")
+    return rounded(matrix.copy_from(embedding_matrix(spark, d), prices, 64, 1))
+
+
+@query("mat_fill", "SELECT vec_id AS row_id, list_transform(embedding, lambda v: 2.5::DOUBLE) AS vals FROM embeddings")
+def _(spark, d):
+    return matrix.fill(embedding_matrix(spark, d), 2.5)
+
+
+@query("mat_meta", "SELECT p_partkey, 'brand = ' || p_brand || chr(10) || 'size = ' || p_size || chr(10) || 'type = ' || p_type AS text, p_brand AS brand, NULL::VARCHAR AS absent FROM part")
+def _(spark, d):
+    meta = F.create_map(F.lit("type"), F.col("p_type"), F.lit("brand"), F.col("p_brand"), F.lit("size"), F.col("p_size").cast("string"))
+    texts = table(spark, d, "part").select("p_partkey", matrix.meta_text(meta).alias("text")).withColumn("meta", matrix.meta_of(F.col("text")))
+    return texts.select("p_partkey", "text", F.col("meta")["brand"].alias("brand"), F.col("meta")["absent"].alias("absent"))
+
+
+@query("mat_swap_endian", "SELECT l_orderkey, l_linenumber, (l_partkey % 256) * 16777216 + (l_partkey // 256 % 256) * 65536 + (l_partkey // 65536 % 256) * 256 + l_partkey // 16777216 AS swapped FROM lineitem")
+def _(spark, d):
+    return table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", matrix.swap_bytes(F.col("l_partkey"), 4).alias("swapped"))
+
+
+@query("mat_expression", "SELECT vec_id AS row_id, list_transform(embedding, lambda v, i: round(CASE WHEN vec_id < 100 AND i <= 8 THEN v::DOUBLE * 3 + vec_id - (i - 1) ELSE v::DOUBLE END, 6)) AS vals FROM embeddings")
+def _(spark, d):
+    return rounded(matrix.apply_expression(embedding_matrix(spark, d), "val * k + n - m", rows=(0, 100), cols=(0, 8), k=3))
+
+
+@query("mat_from_list", "SELECT * FROM (VALUES (0::BIGINT, [1.0::DOUBLE, 2.0]), (1, [3.0, 4.5])) v(row_id, vals)")
+def _(spark, d):
+    return matrix.from_list(spark, [[1, 2], [3, 4.5]])
+
+
+@query("mat_iterate", """WITH a AS (SELECT vec_id * 64 + i - 1 AS cell, round(embedding[i]::DOUBLE, 6) AS val FROM embeddings, range(1, 65) t(i))
+SELECT cell, val, cell % 3 AS turn, coalesce(vec_id, -1) AS zipped FROM a LEFT JOIN embeddings e ON e.vec_id = cell""")
+def _(spark, d):
+    flat = matrix.flatten(embedding_matrix(spark, d), 64)
+    other = table(spark, d, "embeddings").select(F.col("vec_id").alias("cell"), F.col("vec_id").alias("zipped"))
+    return matrix.zip_rows(flat, other, "cell").select("cell", F.round("val", 6).alias("val"), (F.col("cell") % 3).alias("turn"), F.coalesce("zipped", F.lit(-1)).alias("zipped"))
 
 
-@query("mat_resize", "SELECT vec_id AS row_id, list_transform(list_concat(embedding[1:3]::DOUBLE[], [0.0, 0.0]), lambda v: round(v, 6)) AS vals FROM embeddings")
+@query("frange_product", "SELECT r_regionkey AS k, 0.25 + a * 0.5 AS x, b * 2.0 AS y FROM region, range(0, 4) s(a), range(0, 3) t(b)")
 def _(spark, d):
-    return rounded(matrix.resize(embedding_matrix(spark, d).withColumn("vals", F.slice("vals", 1, 3)), 5))
+    grid = matrix.range_product(matrix.frange(spark, 0.25, 2.25, 0.5, "x"), matrix.frange(spark, 0.0, 5.0, 2.0, "y"))
+    return grid.crossJoin(F.broadcast(table(spark, d, "region").select(F.col("r_regionkey").alias("k"))))  # regions are a fixed short list
 
 
 @query("mat_min_max", "SELECT min(list_min(embedding))::DOUBLE AS min_val, max(list_max(embedding))::DOUBLE AS max_val FROM embeddings")
@@ -114,11 +175,10 @@ def _(spark, d):
     return table(spark, d, "events").select("event_id", *(F.round(scalars.UNIT_FUNCTIONS[k](x), 6).alias(k) for k in ("inverse", "sin", "cos", "smooth")))
 
 
-@query("weighted_rows", """SELECT vec_id, round(embedding[1]::DOUBLE * 0.25 + embedding[2]::DOUBLE * 0.25 + embedding[3]::DOUBLE * 0.5, 6) AS val FROM embeddings""")
+@query("weighted_rows", """SELECT vec_id, round(list_sum(list_transform(embedding, lambda v, i: v::DOUBLE / i)), 6) AS val FROM embeddings""")
 def _(spark, d):
-    weights = F.lit([0.25, 0.25, 0.5])
-    three = F.slice("vals", 1, 3)
-    return embedding_matrix(spark, d).select(F.col("row_id").alias("vec_id"), F.round(F.aggregate(F.zip_with(three, weights, lambda a, b: a * b), F.lit(0.0), lambda s, v: s + v), 6).alias("val"))
+    weighted = matrix.weighted(F.col("vals"), F.transform(F.sequence(F.lit(1), F.lit(64)), lambda i: 1.0 / i))
+    return embedding_matrix(spark, d).select(F.col("row_id").alias("vec_id"), F.round(weighted, 6).alias("val"))
 
 
 @query("range_partition", """WITH n AS (SELECT count(*) AS n FROM orders)
