@@ -28,6 +28,7 @@ from __future__ import annotations
 import gzip
 import hashlib
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -48,19 +49,39 @@ def record_text(page_id: Column, url: Column, html: Column, date: str) -> Column
     return F.concat(F.concat_ws(END, *lines), F.lit(END + END), payload)
 
 
-def records(df: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", date: str = "1970-01-01T00:00:00Z", file_bytes: int = 16 << 20) -> DataFrame:
-    """(record, sha256, number, length, file) of every page; number counts equal records, length has the two line ends after the record."""
+RECORD_ID = r"\r\nWARC-Record-ID: <([^>\r\n]*)>"
+#: Hashes of repeated records up to which they are broadcast (some 20 MB); more are joined by Spark's choice.
+FEW = 200_000
+
+
+@dataclass(frozen=True)
+class Layout:
+    """Records and their places in files: entries (record_id, sha256, number, length, file), records (record, sha256, number, file), and the number of files."""
+
+    entries: DataFrame
+    records: DataFrame
+    files: int
+
+
+def records(df: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", date: str = "1970-01-01T00:00:00Z", file_bytes: int = 16 << 20) -> Layout:
+    """The layout of a record for every page; number counts equal records, length has the two line ends after the record."""
     text = record_text(F.col(id_col).cast("bigint"), F.col(url_col), F.col(html_col), date)
     out = df.select(text.alias("record")).withColumn("sha256", F.sha2("record", 256))
+    digests = written(out.select("sha256", F.regexp_extract("record", RECORD_ID, 1).alias("record_id"), (F.octet_length("record") + 4).cast("bigint").alias("length")))
+    files = max(1, -(-(digests.agg(F.sum(F.col("length") - 4)).first()[0] or 0) // file_bytes))
+    file = F.conv(F.substring(F.sha2(F.concat_ws(":", "sha256", "number"), 256), 1, 8), 16, 10).cast("bigint") % files
+    numbers = F.explode(F.sequence(F.lit(1).cast("bigint"), "n")).alias("number")
+    counts = written(digests.groupBy("sha256", "record_id", "length").agg(F.count("*").alias("n")))
+    entries = counts.select("sha256", "record_id", "length", numbers).withColumn("file", file)
     # Equal records are counted by hash and made again from one of them, so that they need not meet in a task.
-    counts = written(out.groupBy("sha256").agg(F.count("*").alias("n"), F.sum(F.octet_length("record")).alias("bytes")))
-    files = max(1, -(-(counts.agg(F.sum("bytes")).first()[0] or 0) // file_bytes))
     several = counts.where("n > 1").select("sha256")
-    once = out.join(several, "sha256", "left_anti").select("record", "sha256", F.lit(1).cast("bigint").alias("number"))
-    again = out.join(several, "sha256", "left_semi").groupBy("sha256").agg(F.first("record").alias("record"), F.count("*").alias("n"))
-    out = once.unionByName(again.select("record", "sha256", F.explode(F.sequence(F.lit(1).cast("bigint"), "n")).alias("number")))
-    file = F.conv(F.substring(F.sha2(F.concat_ws(":", "sha256", "number"), 256), 1, 8), 16, 10).cast("bigint") % files
-    return out.select("record", "sha256", "number", (F.octet_length("record") + 4).cast("bigint").alias("length"), file.alias("file"))
+    many = several.count()
+    found = out.select("record", "sha256", F.lit(1).cast("bigint").alias("number"))
+    if many:
+        hint = F.broadcast(several) if many <= FEW else several
+        again = out.join(hint, "sha256", "left_semi").groupBy("sha256").agg(F.first("record").alias("record"), F.count("*").alias("n"))
+        found = found.join(hint, "sha256", "left_anti").select("record", "sha256", "number").unionByName(again.select("record", "sha256", numbers))
+    return Layout(entries, found.withColumn("file", file), files)
 
 
 def _numbered(found: DataFrame) -> DataFrame:
@@ -69,17 +90,15 @@ def _numbered(found: DataFrame) -> DataFrame:
     return found.select("file", "offset", "record_id", copy.cast("bigint").alias("copy"), "length", "sha256")
 
 
-def manifest(found: DataFrame) -> DataFrame:
+def manifest(layout: Layout) -> DataFrame:
     """(file, offset, record_id, copy, length, sha256) of records in order, as they are to be written."""
     before = Window.partitionBy("file").orderBy("sha256", "number").rowsBetween(Window.unboundedPreceding, -1)
-    record_id = F.regexp_extract("record", r"\r\nWARC-Record-ID: <([^>\r\n]*)>", 1)
-    return _numbered(found.select("file", "sha256", "number", "length", record_id.alias("record_id")).withColumn("offset", F.coalesce(F.sum("length").over(before), F.lit(0))))
+    return _numbered(layout.entries.withColumn("offset", F.coalesce(F.sum("length").over(before), F.lit(0))))
 
 
-def write_files(found: DataFrame, path: str) -> None:
+def write_files(layout: Layout, path: str) -> None:
     """One gzip file per `file`, as file=N/part-*.txt.gz under path, each by a task of its own."""
-    files = (found.agg(F.max("file")).first()[0] or 0) + 1
-    rows = found.repartitionById(files, F.col("file").cast("int")).sortWithinPartitions("file", "sha256", "number")
+    rows = layout.records.repartitionById(layout.files, F.col("file").cast("int")).sortWithinPartitions("file", "sha256", "number")
     _write(rows, path)
 
 
