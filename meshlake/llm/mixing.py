@@ -113,11 +113,12 @@ def mix(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_co
     edge = edge.withColumn("extra", (F.col("before") + F.col("size") <= F.col("need")).cast("bigint")).drop("before")
     rest = marked.where(~F.coalesce(at_cut, F.lit(False))).withColumn("extra", F.coalesce((F.col("cell") < F.col("cut")).cast("bigint"), F.lit(0)))
     taken = written(rest.unionByName(edge).withColumn("copies", F.col("whole") + F.col("extra")))
-    gaps = taken.groupBy("source").agg((F.first("target") - F.sum(F.col("copies") * F.col("size"))).alias("gap")).withColumnRenamed("source", "g_source")
+    # Written, so that their size is known and short lists of sources need no shuffle of the documents.
+    gaps = written(taken.groupBy("source").agg((F.first("target") - F.sum(F.col("copies") * F.col("size"))).alias("gap")).withColumnRenamed("source", "g_source"))
     may = taken.where("rank is not null and extra = 0").join(gaps, taken["source"].eqNullSafe(F.col("g_source")))
     off = F.abs(F.col("gap") - F.col("size"))
     filler = may.where(off < F.abs("gap")).groupBy("g_source").agg(F.min(F.struct(off.alias("off"), "rank", "id", "size")).alias("filler"))
-    filler = filler.select("g_source", F.col("filler.rank").alias("f_rank"), F.col("filler.id").alias("f_id"), F.col("filler.size").alias("f_size"))
+    filler = written(filler.select("g_source", F.col("filler.rank").alias("f_rank"), F.col("filler.id").alias("f_id"), F.col("filler.size").alias("f_size")))
     taken = taken.join(filler, taken["source"].eqNullSafe(F.col("g_source")), "left")
     # Rows that share id, size and rank are copies of one row; the filler is one of them.
     same = (F.col("rank") == F.col("f_rank")) & F.col("id").eqNullSafe(F.col("f_id")) & (F.col("size") == F.col("f_size")) & (F.col("extra") == 0)
