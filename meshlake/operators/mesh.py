@@ -142,3 +142,26 @@ def random_points(spark: SparkSession, n: int) -> DataFrame:
     """(id, x, y, w): points of the unit square and a weight, all from hashes of their numbers."""
     part = lambda k: F.conv(F.substring(F.md5(F.col("id").cast("string")), k, 8), 16, 10).cast("bigint")
     return spark.range(n).select("id", (part(1) / 4294967296.0).alias("x"), (part(9) / 4294967296.0).alias("y"), part(17).alias("w"))
+
+
+def hermite_matrices(a: DataFrame, b: DataFrame, start: DataFrame, end: DataFrame, t: float) -> DataFrame:
+    """Cell by cell the cubic from a to b at t, with tangents at both ends."""
+    first, here, there, last = (float(w) for w in ((t**3 - 2 * t**2 + t), (2 * t**3 - 3 * t**2 + 1), (3 * t**2 - 2 * t**3), (t**3 - t**2)))
+    named = [m.select("row_id", F.col("vals").alias(k)) for m, k in zip((a, b, start, end), ("_a", "_b", "_s", "_e"))]
+    joined = reduce(lambda x, y: x.join(y, "row_id"), named)
+    sums = F.transform(F.arrays_zip("_a", "_b", "_s", "_e"), lambda c: c["_a"] * here + c["_b"] * there + c["_s"] * first + c["_e"] * last)
+    return joined.select("row_id", sums.alias("vals"))
+
+
+def outer_faces(faces: DataFrame) -> DataFrame:
+    """faces (elem_id, face, node_ids) whose nodes no other element has as a face; all of an element's equal faces stay."""
+    keyed = faces.withColumn("_key", F.array_sort("node_ids"))
+    alone = keyed.groupBy("_key").agg((F.min("elem_id") == F.max("elem_id")).alias("_alone")).where("_alone").select("_key")
+    return keyed.join(alone, "_key", "left_semi").drop("_key")
+
+
+def representation(elements: DataFrame, geometry: str, external_only: bool = True) -> DataFrame:
+    """(elem_id, face, part, node_ids): the triangles that show a mesh, of its outer faces or of all."""
+    found = outer_faces(faces(elements, geometry)) if external_only else faces(elements, geometry)
+    split = F.when(F.size("node_ids") == 4, F.array(_pick("node_ids", (0, 1, 2)), _pick("node_ids", (1, 3, 2)))).otherwise(F.array("node_ids"))
+    return found.select("elem_id", "face", F.posexplode(split).alias("part", "node_ids"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import basis
 from .stored import numbered
 
 
@@ -91,3 +92,65 @@ def chunks(df: DataFrame, keys: list[str], order: list[str], value: str, width:
 def displacement(df: DataFrame, key: str, order: list[str], value: str) -> DataFrame:
     first = F.first(value).over(Window.partitionBy(key).orderBy(*order))
     return df.withColumn("displacement", F.abs(F.col(value) - first))
+
+
+def extract_steps(df: DataFrame, keys: list[str], time: str, tie: str, wanted: list[float], renumber: bool = False) -> DataFrame:
+    """(wanted, keys, row): for each wanted time the row of each key with the nearest time; the list of times is short and goes to every row.
+
+    With renumber, `step_time` counts the wanted times from 0."""
+    times = F.array(*(F.struct(F.lit(k).alias("step"), F.lit(float(t)).alias("wanted")) for k, t in enumerate(sorted(wanted))))
+    rows = df.select(*keys, F.struct(F.col(time).alias("t"), F.col(tie).alias("tie")).alias("_r"), F.explode(times).alias("_w"))
+    gap = F.struct(F.abs(F.col("_r.t") - F.col("_w.wanted")).alias("gap"), F.col("_r.tie").alias("tie"), F.col("_r.t").alias("t"))
+    best = rows.groupBy(*keys, F.col("_w.step").alias("step"), F.col("_w.wanted").alias("wanted")).agg(F.min(gap).alias("_best"))
+    at = F.col("step").cast("double") if renumber else F.col("wanted")
+    return best.select(*keys, at.alias("step_time"), F.col("_best.t").alias("nearest_time"), F.col("_best.tie").alias("nearest_id"))
+
+
+def retime(df: DataFrame, keys: list[str], time: str, tie: str, start: float, step: float) -> DataFrame:
+    """Times start, start + step, ... in the order of the old ones."""
+    return numbered(df, keys, [time, tie], "_k").withColumn("new_time", start + F.col("_k") * float(step)).drop("_k")
+
+
+def add_step(df: DataFrame, keys: list[str], time: str, at: float, value: str, new: float) -> DataFrame:
+    """df with one more row (keys, time, value) a key."""
+    more = df.select(*keys).distinct().withColumns({time: F.lit(float(at)), value: F.lit(float(new))})
+    return df.select(*keys, time, value).unionByName(more)
+
+
+def fill_from_first(df: DataFrame, keys: list[str], time: str, tie: str, value: str) -> DataFrame:
+    """All values of a key as that of its first time."""
+    first = df.groupBy(*keys).agg(F.min_by(value, F.struct(time, tie)).alias("_first"))
+    return df.join(first, keys).withColumn(value, F.col("_first")).drop("_first")
+
+
+def update_nearest(df: DataFrame, keys: list[str], time: str, tie: str, at: float, value: str, new: float) -> DataFrame:
+    """The value of each key's row nearest to a time replaced."""
+    near = df.groupBy(*keys).agg(F.min(F.struct(F.abs(F.col(time) - at).alias("gap"), F.col(tie).alias("tie")))["tie"].alias("_near"))
+    return df.join(near, keys).withColumn(value, F.when(F.col(tie) == F.col("_near"), F.lit(float(new))).otherwise(F.col(value))).drop("_near")
+
+
+def oriented_groups(df: DataFrame, keys: list[str], orientation: list[str], time: str, tie: str, digits: int = 3) -> DataFrame:
+    """(keys, rounded orientation, ids in time order, n): images grouped by orientation, equal to so many digits."""
+    rounded = [F.round(c, digits).alias(c) for c in orientation]
+    return df.groupBy(*keys, *rounded).agg(F.transform(F.array_sort(F.collect_list(F.struct(time, tie))), lambda x: x[tie]).alias("ids"), F.count("*").alias("n"))
+
+
+def first_or(df: DataFrame, keys: list[str], order: list[str], value: str, default: float) -> DataFrame:
+    """(keys, first_value, last_value), the default where a key has no value."""
+    rows = F.struct(*order, F.col(value).alias("_v"))
+    ends = df.groupBy(*keys).agg(F.min(F.when(F.col(value).isNotNull(), rows))["_v"].alias("_a"), F.max(F.when(F.col(value).isNotNull(), rows))["_v"].alias("_b"))
+    return ends.select(*keys, F.coalesce("_a", F.lit(default)).alias("first_value"), F.coalesce("_b", F.lit(default)).alias("last_value"))
+
+
+def control_curve(v: Column, xs: list[float], ys: list[float], linear: bool = False) -> Column:
+    """A curve through control points at v, cubic (Catmull-Rom, end points doubled) or linear, clamped at both ends."""
+    out = F.when(v <= xs[0], float(ys[0]))
+    for k in range(len(xs) - 1):
+        t = (v - xs[k]) / (xs[k + 1] - xs[k])
+        if linear:
+            y = ys[k] + (ys[k + 1] - ys[k]) * t
+        else:
+            own = [ys[max(0, k - 1)], ys[k], ys[k + 1], ys[min(len(ys) - 1, k + 2)]]
+            y = basis.combine(basis.catmull_rom(t), [F.lit(float(p)) for p in own])
+        out = out.when(v <= xs[k + 1], y)
+    return out.otherwise(float(ys[-1]))
