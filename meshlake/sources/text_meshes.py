@@ -143,3 +143,129 @@ def par_rows(spark: SparkSession, path) -> DataFrame:
     lines = files(spark, path).select("file", F.posexplode(F.split("text", r"\r?\n")).alias("row_id", "line"))
     rows = lines.where(F.col("line").rlike(r"^\s*\d"))
     return rows.select("file", "row_id", F.transform(F.split(F.trim("line"), r"\s+"), lambda v: v.try_cast("double")).alias("vals"))
+
+
+def _write_lines(lines: DataFrame, path: str) -> None:
+    """(name, part, row_id, line) as one text file per name below path/name=…, by part and row; a file is one task's."""
+    lines.repartition("name").sortWithinPartitions("name", "part", "row_id").select("name", "line").write.partitionBy("name").text(path)
+
+
+def _joined(values: str | Column) -> Column:
+    return F.array_join(F.transform(values, lambda v: v.cast("string")), " ")
+
+
+def _heads(df: DataFrame, part: int, line: Column) -> DataFrame:
+    return df.groupBy("name").agg(line.alias("line")).select("name", F.lit(part).alias("part"), F.lit(-1).cast("bigint").alias("row_id"), "line")
+
+
+def _rows(df: DataFrame, part: int, line: Column) -> DataFrame:
+    return df.select("name", F.lit(part).alias("part"), F.col("row_id").cast("bigint").alias("row_id"), line.alias("line"))
+
+
+def write_vtk(nodes: DataFrame, cells: DataFrame, path: str, fields: DataFrame | None = None) -> None:
+    """Legacy ASCII VTK files of meshes: nodes (name, row_id, vals), cells (name, row_id, node_ids) and a node field (name, row_id, vals)."""
+    count = F.count("*").cast("string")
+    lines = _heads(nodes, 0, F.lit("# vtk DataFile Version 3.0\nmesh\nASCII\nDATASET UNSTRUCTURED_GRID"))
+    lines = lines.unionByName(_heads(nodes, 1, F.concat(F.lit("POINTS "), count, F.lit(" double")))).unionByName(_rows(nodes, 1, _joined("vals")))
+    lines = lines.unionByName(_heads(cells, 2, F.concat(F.lit("CELLS "), count, F.lit(" "), (F.count("*") + F.sum(F.size("node_ids"))).cast("string"))))
+    lines = lines.unionByName(_rows(cells, 2, F.concat_ws(" ", F.size("node_ids").cast("string"), _joined("node_ids"))))
+    kinds = F.size("node_ids")
+    #: Cell types of VTK by the number of corners.
+    kind = F.when(kinds == 2, "3").when(kinds == 3, "5").when(kinds == 4, "10").when(kinds == 8, "11").otherwise("7")
+    lines = lines.unionByName(_heads(cells, 3, F.concat(F.lit("CELL_TYPES "), count))).unionByName(_rows(cells, 3, kind))
+    if fields is not None:
+        lines = lines.unionByName(_heads(fields, 4, F.concat(F.lit("POINT_DATA "), count, F.lit("\nSCALARS field double 1\nLOOKUP_TABLE default")))).unionByName(_rows(fields, 4, _joined("vals")))
+    _write_lines(lines, path)
+
+
+def write_vtu(arrays: DataFrame, path: str) -> None:
+    """VTK XML files with one ASCII DataArray for each array (name, array, row_id, vals)."""
+    names = arrays.groupBy("name", "array").agg(F.max(F.size("vals")).alias("m"))
+    key = lambda at, up: F.concat(F.lit(at), F.col("array"), F.lit(up))
+    line = lambda df, part, row, text: df.select("name", part.alias("part"), row.cast("bigint").alias("row_id"), text.alias("line"))
+    out = line(arrays.select("name").distinct(), F.lit("0"), F.lit(0), F.lit('<VTKFile type="UnstructuredGrid"><UnstructuredGrid><Piece>'))
+    out = out.unionByName(line(names, key("1", "a"), F.lit(0), F.concat(F.lit('<DataArray Name="'), F.col("array"), F.lit('" format="ascii" NumberOfComponents="'), F.col("m").cast("string"), F.lit('">'))))
+    out = out.unionByName(line(arrays, key("1", "b"), F.col("row_id"), _joined("vals"))).unionByName(line(names, key("1", "c"), F.lit(0), F.lit("</DataArray>")))
+    _write_lines(out.unionByName(line(arrays.select("name").distinct(), F.lit("2"), F.lit(0), F.lit("</Piece></UnstructuredGrid></VTKFile>"))), path)
+
+
+def vtu_arrays(spark: SparkSession, path: str) -> DataFrame:
+    """(name, array, row_id, vals) of the ASCII DataArrays of VTK XML files; the name is that of the folder or the file."""
+    df = _named(spark, path)
+    tags = F.expr(r"regexp_extract_all(text, '(?s)(<DataArray[^>]*>[^<]*)</DataArray>', 1)")
+    parts = df.select("name", F.explode(tags).alias("a"))
+    attribute = lambda k: F.regexp_extract("a", k + '="([^"]*)"', 1)
+    width = F.coalesce(attribute("NumberOfComponents").try_cast("int"), F.lit(1))
+    words = F.filter(F.split(F.regexp_extract("a", "(?s)>(.*)$", 1), r"\s+"), lambda w: w != "")
+    rows = parts.select("name", attribute("Name").alias("array"), width.alias("m"), words.alias("w"))
+    rows = rows.withColumn("k", F.explode(F.sequence(F.lit(0), F.floor(F.size("w") / F.col("m")).cast("int") - 1)))
+    vals = F.transform(F.slice("w", F.col("k") * F.col("m") + 1, F.col("m")), lambda v: v.cast("double"))
+    return rows.select("name", "array", F.col("k").cast("bigint").alias("row_id"), vals.alias("vals"))
+
+
+def _named(spark: SparkSession, path: str) -> DataFrame:
+    """(name, text): whole files, named by the folder name=… that they lie in, else by themselves."""
+    df = spark.read.option("recursiveFileLookup", "true").text(path, wholetext=True).select(F.col("_metadata.file_path").alias("p"), F.col("value").alias("text"))
+    folder = F.regexp_extract("p", "/name=([^/]*)/", 1)
+    return df.select(F.when(folder != "", folder).otherwise(F.element_at(F.split("p", "/"), -1)).alias("name"), "text")
+
+
+def vtk_arrays(spark: SparkSession, path: str, section: str, skip: int = 0) -> DataFrame:
+    """(name, row_id, vals) of the lines of a section of legacy ASCII VTK files, without the first `skip` ones."""
+    body = F.regexp_extract("text", rf"(?s)(?:^|\n){section}[^\n]*\n([-+0-9eE.\s]*)", 1)
+    lines = F.filter(F.split(body, "\n"), lambda x: F.trim(x) != "")
+    rows = _named(spark, path).select("name", F.posexplode(F.slice(lines, skip + 1, 1 << 30)).alias("row_id", "line"))
+    return rows.select("name", F.col("row_id").cast("bigint").alias("row_id"), F.transform(F.split(F.trim("line"), r"\s+"), lambda v: v.cast("double")).alias("vals"))
+
+
+def sequence(frames: DataFrame) -> DataFrame:
+    """(step, ...): rows of a time-dependent mesh, steps by the number in the file's name, else by its order."""
+    names = frames.select("name").distinct()
+    number = F.regexp_extract("name", r"(\d+)[^\d]*$", 1).try_cast("bigint")
+    return frames.join(names.select("name", number.alias("step")), "name")
+
+
+def write_matrix(df: DataFrame, path: str, kind: str, meta: dict[str, str] | None = None) -> None:
+    """Text matrices (name, row_id, vals): name, kind and type, `n m`, lines `key = value`, then rows."""
+    top = F.concat(F.col("name"), F.lit(f"\n{kind} double\n"))
+    notes = "".join(f"\n{k} = {v}" for k, v in sorted((meta or {}).items()))
+    head = df.groupBy("name").agg(F.concat(F.count("*").cast("string"), F.lit(" "), F.max(F.size("vals")).cast("string")).alias("n"))
+    head = head.select("name", F.lit(0).alias("part"), F.lit(0).cast("bigint").alias("row_id"), F.concat(top, "n", F.lit(notes)).alias("line"))
+    _write_lines(head.unionByName(_rows(df, 1, _joined("vals"))), path)
+
+
+def matrices(spark: SparkSession, path: str) -> DataFrame:
+    """(name, meta, row_id, vals) of text matrices; files are only read."""
+    lines = F.split("text", r"\r?\n")
+    df = _named(spark, path).select(F.get(lines, 0).alias("name"), F.slice(lines, 4, 1 << 30).alias("rest"))
+    note = lambda x: F.contains(x, F.lit(" = "))
+    meta = F.map_from_entries(F.transform(F.filter("rest", note), lambda x: F.struct(F.get(F.split(x, " = "), 0), F.get(F.split(x, " = "), 1))))
+    rows = df.select("name", meta.alias("meta"), F.posexplode(F.filter("rest", lambda x: ~note(x) & (F.trim(x) != ""))).alias("row_id", "line"))
+    return rows.select("name", "meta", F.col("row_id").cast("bigint").alias("row_id"), F.transform(F.split(F.trim("line"), r"\s+"), lambda v: v.cast("double")).alias("vals"))
+
+
+def write_key_values(df: DataFrame, path: str) -> None:
+    """INI-like stores (name, section, key, value), as plots, measurements and contours are kept."""
+    heads = df.select("name", "section").distinct().select("name", F.col("section").alias("part"), F.lit(0).cast("bigint").alias("row_id"), F.concat(F.lit("["), "section", F.lit("]")).alias("line"))
+    rows = df.select("name", F.col("section").alias("part"), F.lit(1).cast("bigint").alias("row_id"), F.concat_ws(" = ", "key", "value").alias("line"))
+    _write_lines(heads.unionByName(rows), path)
+
+
+def literal(text: Column, kind: str) -> Column:
+    """A Python literal of numbers, lists and tuples as a value of a Spark type such as array<array<double>>."""
+    return F.from_json(F.translate(text, "()", "[]"), kind)
+
+
+def literal_text(value: Column) -> Column:
+    """A number or nested array as such a literal."""
+    return F.to_json(value)
+
+
+def stores(spark: SparkSession, path: str) -> DataFrame:
+    """(name, section, key, value) of INI-like stores, named by their folder name=… or file."""
+    lines = F.transform(F.split("text", r"\r?\n"), F.trim)
+    parts = F.split(F.concat(F.lit("\n"), F.array_join(lines, "\n")), r"\n\[")
+    sections = _named(spark, path).select("name", F.explode(F.slice(parts, 2, 1 << 30)).alias("s"))
+    rows = sections.select("name", F.regexp_extract("s", r"^([^\]]*)\]", 1).alias("section"), F.explode(F.split(F.regexp_extract("s", r"(?s)^[^\]]*\](.*)$", 1), "\n")).alias("line"))
+    rows = rows.where(F.contains("line", F.lit("=")) & ~F.rlike("line", F.lit("^[#;]")))
+    return rows.select("name", "section", F.trim(F.regexp_extract("line", "^([^=]*)=", 1)).alias("key"), F.trim(F.regexp_extract("line", "=(.*)$", 1)).alias("value"))
