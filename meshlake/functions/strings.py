@@ -79,3 +79,21 @@ def selection(spec: str, n: int) -> list[int]:
     if any(not 0 <= k < n for k in chosen):
         raise ValueError(f"{spec!r} names an index outside 0 to {n - 1}")
     return sorted(chosen)
+
+
+def looked_up(df: DataFrame, name: str, part: str, condition: Column | None = None) -> DataFrame:
+    """Rows whose name holds a part and that fulfil a condition."""
+    found = df.where(F.contains(F.col(name), F.lit(part)))
+    return found if condition is None else found.where(condition)
+
+
+def tag_values(df: DataFrame, key: str, order: str, value: str) -> DataFrame:
+    """(key, vals): a tag's values in order; equal ones once."""
+    rows = df.groupBy(key).agg(F.transform(F.array_sort(F.collect_list(F.struct(order, value))), lambda x: x[value]).alias("vals"))
+    once = F.array_distinct("vals")
+    return rows.select(key, F.when(F.size(once) == 1, once).otherwise(F.col("vals")).alias("vals"))
+
+
+def find_name(df: DataFrame, name: str, pattern: str, order: str) -> DataFrame:
+    """The first row in an order whose name a pattern matches: the one row is the feature."""
+    return df.where(matches(F.col(name), pattern)).orderBy(order).limit(1)

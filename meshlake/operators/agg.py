@@ -111,3 +111,57 @@ def unit_scaled(df: DataFrame, value: str, missing: Column, out: str = "unit") -
     low = F.col("_a") - 0.01 * (F.col("_b") - F.col("_a"))
     unit = F.greatest(F.lit(0.0), F.least(F.lit(1.0), (F.col(value) - low) / F.nullif(F.col("_b") - low, F.lit(0.0))))
     return df.crossJoin(F.broadcast(ends)).withColumn(out, F.when(missing, 0.0).otherwise(F.coalesce(unit, F.lit(0.0)))).drop("_a", "_b")  # one row
+
+
+def min_max(df: DataFrame, keys: list[str], value: str, low: str = "min_val", high: str = "max_val") -> DataFrame:
+    """The least and the greatest value of each key."""
+    return df.groupBy(*keys).agg(F.min(value).alias(low), F.max(value).alias(high))
+
+
+def union_range(frames: list[tuple[DataFrame, str]]) -> DataFrame:
+    """(min_val, max_val) over the values of several frames, each aggregated before they meet."""
+    ends = [min_max(df, [], value) for df, value in frames]
+    whole = ends[0]
+    for e in ends[1:]:
+        whole = whole.unionByName(e)
+    return whole.agg(F.min("min_val").alias("min_val"), F.max("max_val").alias("max_val"))
+
+
+def profile(frames: dict[str, DataFrame]) -> DataFrame:
+    """(name, n, m): rows and columns of frames."""
+    parts = [df.agg(F.count("*").alias("n")).select(F.lit(name).alias("name"), "n", F.lit(len(df.columns)).alias("m")) for name, df in frames.items()]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
+def energy(df: DataFrame, keys: list[str], components: list[str], weight: float) -> DataFrame:
+    """(keys, energy): sums of squares of components, times a weight."""
+    square = sum((F.col(c) ** 2 for c in components[1:]), F.col(components[0]) ** 2)
+    return df.groupBy(*keys).agg(F.sum(square * float(weight)).alias("energy"))
+
+
+def pivot_series(df: DataFrame, key: str, series: str, names: list[str], value: str) -> DataFrame:
+    """(key, one column a series): sums of values, 0 where there are none; the names are given, so no pass looks for them."""
+    wide = df.groupBy(key).pivot(series, names).agg(F.sum(value))
+    return wide.select(key, *(F.coalesce(c, F.lit(0.0)).alias(c) for c in names))
+
+
+#: Bottoms of the rings of heart segments as shares of the height, and the number of sectors of each.
+RINGS = ((1 / 3, 6), (2 / 3, 6), (1.0, 4))
+
+
+def heart_segment(height: Column, turn: Column, apex: float = 1.0, with_apex: bool = True) -> Column:
+    """The segment from 1 to 18 at a relative height (0 at the base, under 0 above it) and a turn from 0 to 1.
+
+    Rings of six start at their second segment; the ring of four is turned by half the difference of its sectors from those of six. Segment 18 lies above the base, 17 is the apex."""
+    sixth = lambda first: first + (F.least(F.greatest(F.floor(turn * 6), F.lit(0)), F.lit(5)) + 1) % 6
+    quarter = 13 + F.floor((turn + (1 / 4 + 1 / 6) / 2) * 4) % 4
+    out = F.when(height < 0, 18).when(height < apex * RINGS[0][0], sixth(1)).when(height < apex * RINGS[1][0], sixth(7))
+    return (out.when(height < apex * RINGS[2][0], quarter).otherwise(17) if with_apex else out.otherwise(quarter)).cast("bigint")
+
+
+def cavity_segment(turn: Column) -> Column:
+    """The segment of a cavity from 18 to 23 at a turn from 0 to 1."""
+    return (18 + F.least(F.greatest(F.floor(turn * 6), F.lit(0)), F.lit(5))).cast("bigint")

@@ -106,3 +106,8 @@ def swap_axes(df: DataFrame, flip_rows: int | None = None) -> DataFrame:
     """Rows and columns exchanged; rows reversed among so many if given."""
     row = F.col("col") if flip_rows is None else flip_rows - 1 - F.col("col")
     return df.withColumns({"row": row, "col": F.col("row")})
+
+
+def image_range(df: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, imgmin, imgmax, rows, cols) of images."""
+    return df.groupBy(*keys).agg(F.min("val").alias("imgmin"), F.max("val").alias("imgmax"), (F.max("row") + 1).alias("rows"), (F.max("col") + 1).alias("cols"))

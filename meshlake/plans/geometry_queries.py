@@ -201,7 +201,11 @@ def _(spark, d):
     return spatial.points_in_polygon(pts, edges).select("id")
 
 
-@query("mesh_integrity", "SELECT (SELECT count(*) FROM lineitem WHERE l_partkey < 0 OR l_partkey >= 1000) AS out_of_range, 0::BIGINT AS wrong_width, 0::BIGINT AS has_null")
-def _(spark, d):
-    index = table(spark, d, "lineitem").select(F.array("l_partkey").alias("node_ids"))
-    return agg.check_index(index, "node_ids", 1000, 1)
+@query("mesh_integrity", """WITH i AS (SELECT CASE WHEN l_orderkey % 97 = 0 THEN [l_partkey, l_suppkey] WHEN l_orderkey % 89 = 0 THEN [l_partkey, NULL, l_suppkey] WHEN l_orderkey % 83 = 0 THEN [l_partkey, -1, l_suppkey] ELSE [l_partkey, l_linenumber, l_suppkey] END AS ids FROM lineitem)
+SELECT count(*) FILTER (len(list_filter(ids, lambda v: v < 0 OR v >= 1000)) > 0) AS out_of_range, count(*) FILTER (len(ids) <> 3) AS wrong_width, count(*) FILTER (len(list_filter(ids, lambda v: v IS NULL)) > 0) AS has_null FROM i""")
+def _(spark, d):
+    """An index with planted faults: rows too short, nulls and negative nodes."""
+    a, b, c = F.col("l_partkey"), F.col("l_linenumber").cast("bigint"), F.col("l_suppkey")
+    bad = lambda k: F.col("l_orderkey") % k == 0
+    ids = F.when(bad(97), F.array(a, c)).when(bad(89), F.array(a, F.lit(None).cast("bigint"), c)).when(bad(83), F.array(a, F.lit(-1).cast("bigint"), c)).otherwise(F.array(a, b, c))
+    return agg.check_index(table(spark, d, "lineitem").select(ids.alias("node_ids")), "node_ids", 1000, 3)

@@ -79,4 +79,4 @@ def _(spark, d):
 
 @query("image_minmax", PIXELS + "SELECT image_id, min(val) AS imgmin, max(val) AS imgmax, max(row) + 1 AS rows, max(col) + 1 AS cols FROM p GROUP BY 1")
 def _(spark, d):
-    return pixels(spark, d).groupBy("image_id").agg(F.min("val").alias("imgmin"), F.max("val").alias("imgmax"), (F.max("row") + 1).alias("rows"), (F.max("col") + 1).alias("cols"))
+    return images.image_range(pixels(spark, d), KEYS)

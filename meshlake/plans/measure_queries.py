@@ -49,13 +49,12 @@ def _(spark, d):
 
 @query("field_minmax", "SELECT p_brand, min(p_retailprice) AS min_val, max(p_retailprice) AS max_val FROM part GROUP BY 1")
 def _(spark, d):
-    return table(spark, d, "part").groupBy("p_brand").agg(F.min("p_retailprice").alias("min_val"), F.max("p_retailprice").alias("max_val"))
+    return agg.min_max(table(spark, d, "part"), ["p_brand"], "p_retailprice")
 
 
 @query("range_union", "SELECT least((SELECT min(c_acctbal) FROM customer), (SELECT min(s_acctbal) FROM supplier)) AS min_val, greatest((SELECT max(c_acctbal) FROM customer), (SELECT max(s_acctbal) FROM supplier)) AS max_val")
 def _(spark, d):
-    both = table(spark, d, "customer").select(F.col("c_acctbal").alias("v")).unionByName(table(spark, d, "supplier").select(F.col("s_acctbal").alias("v")))
-    return both.agg(F.min("v").alias("min_val"), F.max("v").alias("max_val"))
+    return agg.union_range([(table(spark, d, "customer"), "c_acctbal"), (table(spark, d, "supplier"), "s_acctbal")])
 
 
 @query("histogram_int", "SELECT b AS bin, count(l_quantity) AS n FROM range(0, 60) r(b) LEFT JOIN lineitem ON floor(l_quantity + 0.5) = b GROUP BY 1")
@@ -70,28 +69,23 @@ def _(spark, d):
     return agg.extrema(h, "bin", "n")
 
 
-@query("aha_bucket", """WITH a AS (SELECT vec_id, atan2(embedding[2]::DOUBLE, embedding[1]::DOUBLE) AS t, embedding[3]::DOUBLE AS z FROM embeddings)
-SELECT vec_id, CASE WHEN z >= 0.1 THEN 1 + floor((t + pi()) / (2 * pi()) * 6)::BIGINT % 6 WHEN z >= 0 THEN 7 + floor((t + pi()) / (2 * pi()) * 6)::BIGINT % 6 WHEN z >= -0.1 THEN 13 + floor((t + pi()) / (2 * pi()) * 4)::BIGINT % 4 ELSE 17 END AS region FROM a""")
+@query("aha_bucket", """WITH a AS (SELECT vec_id, (atan2(embedding[2]::DOUBLE, embedding[1]::DOUBLE) + pi()) / (2 * pi()) AS t, embedding[3]::DOUBLE * 3 + 0.5 AS h FROM embeddings),
+s AS (SELECT *, [2, 3, 4, 5, 6, 1][least(floor(t * 6), 5)::INT + 1] AS six, [13, 14, 15, 16][(floor((t + 5 / 24.0) * 4)::INT % 4) + 1] AS four FROM a)
+SELECT vec_id, (CASE WHEN h < 0 THEN 18 WHEN h < 0.9 / 3 THEN six WHEN h < 0.9 * 2 / 3 THEN six + 6 WHEN h < 0.9 THEN four ELSE 17 END)::BIGINT AS region, (18 + least(floor(t * 6), 5))::BIGINT AS cavity FROM s""")
 def _(spark, d):
     import math
 
-    t = F.atan2(F.get("embedding", 1).cast("double"), F.get("embedding", 0).cast("double"))
-    z = F.get("embedding", 2).cast("double")
-    sector = lambda n: F.floor((t + math.pi) / (2 * math.pi) * n) % n
-    region = F.when(z >= 0.1, 1 + sector(6)).when(z >= 0, 7 + sector(6)).when(z >= -0.1, 13 + sector(4)).otherwise(17)
-    return table(spark, d, "embeddings").select("vec_id", region.cast("bigint").alias("region"))
+    turn = (F.atan2(F.get("embedding", 1).cast("double"), F.get("embedding", 0).cast("double")) + math.pi) / (2 * math.pi)
+    height = F.get("embedding", 2).cast("double") * 3 + 0.5
+    return table(spark, d, "embeddings").select("vec_id", agg.heart_segment(height, turn, 0.9).alias("region"), agg.cavity_segment(turn).alias("cavity"))
 
 
 @query("dataset_profile", """SELECT 'part' AS name, count(*) AS n, 6 AS m FROM part UNION ALL SELECT 'orders', count(*), 6 FROM orders UNION ALL SELECT 'lineitem', count(*), 11 FROM lineitem""")
 def _(spark, d):
-    parts = []
-    for name in ("part", "orders", "lineitem"):
-        df = table(spark, d, name)
-        parts.append(df.agg(F.count("*").alias("n")).select(F.lit(name).alias("name"), "n", F.lit(len(df.columns)).alias("m")))
-    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+    return agg.profile({name: table(spark, d, name) for name in ("part", "orders", "lineitem")})
 
 
 @query("weighted_energy", "SELECT year(l_shipdate) AS year, round(sum((l_quantity ** 2 + l_discount ** 2 + l_tax ** 2) * 50), 2) AS energy FROM lineitem GROUP BY 1")
 def _(spark, d):
-    q = F.col("l_quantity") ** 2 + F.col("l_discount") ** 2 + F.col("l_tax") ** 2
-    return table(spark, d, "lineitem").groupBy(F.year("l_shipdate").alias("year")).agg(F.round(F.sum(q * 50), 2).alias("energy"))
+    lines = table(spark, d, "lineitem").withColumn("year", F.year("l_shipdate"))
+    return agg.energy(lines, ["year"], ["l_quantity", "l_discount", "l_tax"], 50.0).withColumn("energy", F.round("energy", 2))

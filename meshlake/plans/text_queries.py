@@ -57,11 +57,17 @@ def _(spark, d):
 
 @query("catalog_lookup", "SELECT p_partkey, p_name FROM part WHERE contains(p_name, 'a') AND p_size BETWEEN 5 AND 20")
 def _(spark, d):
-    return table(spark, d, "part").where(F.col("p_name").contains("a") & F.col("p_size").between(5, 20)).select("p_partkey", "p_name")
+    return strings.looked_up(table(spark, d, "part"), "p_name", "a", F.col("p_size").between(5, 20)).select("p_partkey", "p_name")
 
 
 @query("tag_values", "SELECT conv_id, CASE WHEN count(DISTINCT role) = 1 THEN [min(role)] ELSE list(role ORDER BY turn) END AS roles FROM conversations GROUP BY 1")
 def _(spark, d):
-    roles = F.transform(F.array_sort(F.collect_list(F.struct("turn", "role"))), lambda r: r["role"])
-    by = table(spark, d, "conversations").groupBy("conv_id").agg(roles.alias("all"))
-    return by.select("conv_id", F.when(F.size(F.array_distinct("all")) == 1, F.array_distinct("all")).otherwise(F.col("all")).alias("roles"))
+    return strings.tag_values(table(spark, d, "conversations"), "conv_id", "turn", "role").withColumnRenamed("vals", "roles")
+
+
+@query("find_field", "SELECT p_partkey, p_type FROM part WHERE starts_with(p_type, left((SELECT p_type FROM part WHERE p_partkey = 7), 3)) ORDER BY p_partkey LIMIT 1")
+def _(spark, d):
+    """The first name that a pattern matches."""
+    part = table(spark, d, "part")
+    pattern = part.where("p_partkey = 7").first().p_type[:3] + "*"
+    return strings.find_name(part, "p_type", pattern, "p_partkey").select("p_partkey", "p_type")

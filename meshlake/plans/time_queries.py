@@ -109,5 +109,5 @@ def _(spark, d):
 
 @query("series_pivot", "SELECT user_id, round(coalesce(sum(value) FILTER (event_type = 'click'), 0), 4) AS click, round(coalesce(sum(value) FILTER (event_type = 'view'), 0), 4) AS view FROM events GROUP BY 1")
 def _(spark, d):
-    wide = events(spark, d).groupBy("user_id").pivot("event_type", ["click", "view"]).agg(F.sum("value"))
-    return wide.select("user_id", *(F.round(F.coalesce(c, F.lit(0.0)), 4).alias(c) for c in ("click", "view")))
+    wide = agg.pivot_series(events(spark, d), "user_id", "event_type", ["click", "view"], "value")
+    return wide.select("user_id", *(F.round(c, 4).alias(c) for c in ("click", "view")))
