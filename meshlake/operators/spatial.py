@@ -72,7 +72,7 @@ def vertex_normals(triangles: DataFrame) -> DataFrame:
     n = vec.triangle_normal(F.col("a"), F.col("b"), F.col("c"))
     wide = triangles.select(F.explode("node_ids").alias("node_id"), n.alias("n"))
     sums = wide.groupBy("node_id").agg(*(F.sum(F.col("n")[c]).alias(c) for c in "xyz"))
-    return sums.select("node_id", vec.norm(F.struct("x", "y", "z")).alias("normal"))
+    return sums.select("node_id", vec.norm(vec.vec(F.col("x"), F.col("y"), F.col("z"))).alias("normal"))
 
 
 def points_in_polygon(points: DataFrame, edges: DataFrame, band: float = 0.05) -> DataFrame:

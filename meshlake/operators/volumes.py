@@ -246,3 +246,34 @@ def slice_triangles(tets: DataFrame, at: Column, normal: Column) -> DataFrame:
     """The same for a plane: tets (elem_id, corners: four points)."""
     valued = F.transform("corners", lambda p: F.struct(vec.plane_distance(p, at, normal).alias("val"), p.alias("p")))
     return iso_triangles(tets.withColumn("corners", valued), 0.0)
+
+
+def low_pass(df: DataFrame, keys: list[str], rows: int, cols: int, radius: float) -> DataFrame:
+    """(keys, row, col, val): images without frequencies beyond a radius, counted in periods over the image; absent pixels count 0.
+
+    The Fourier sums go along rows, then columns, and back; each is an aggregation whose partial sums combine before the shuffle."""
+
+    def along(x: DataFrame, source: str, target: str, n: int, others: list[str], sign: int) -> DataFrame:
+        angle = F.col("_k") * F.col(source) * (2 * math.pi * sign / n)
+        wide = x.withColumn("_k", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
+        turned = {"re": F.col("re") * F.cos(angle) - F.col("im") * F.sin(angle), "im": F.col("re") * F.sin(angle) + F.col("im") * F.cos(angle)}
+        return wide.groupBy(*keys, *others, F.col("_k").alias(target)).agg(*(F.sum(c).alias(k) for k, c in turned.items()))
+
+    x = df.select(*keys, "row", "col", F.col("val").alias("re"), F.lit(0.0).alias("im"))
+    x = along(along(x, "row", "u", rows, ["col"], -1), "col", "v", cols, ["u"], -1)
+    distance = lambda c, n: F.least(F.col(c), n - F.col(c))
+    x = x.where(F.pow(distance("u", rows), 2) + F.pow(distance("v", cols), 2) <= radius * radius)
+    x = along(along(x, "u", "row", rows, ["v"], 1), "v", "col", cols, ["row"], 1)
+    return x.select(*keys, "row", "col", (F.col("re") / (rows * cols)).alias("val"))
+
+
+def mask_edges(mask: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, row, col, dr, dc): the sides of a mask's pixels beyond which there is none of it: the contours of its objects and of their holes."""
+    sides = F.array(*(F.struct(F.lit(a).alias("dr"), F.lit(b).alias("dc")) for a, b in ((-1, 0), (1, 0), (0, -1), (0, 1))))
+    wide = mask.select(*keys, "row", "col", F.explode(sides).alias("_s")).select(*keys, "row", "col", "_s.*")
+    wide = wide.withColumns({"_r": F.col("row") + F.col("dr"), "_c": F.col("col") + F.col("dc")})
+    other = mask.select(*(F.col(k).alias(f"_o_{k}") for k in keys), F.col("row").alias("_or"), F.col("col").alias("_oc"))
+    same = (F.col("_r") == F.col("_or")) & (F.col("_c") == F.col("_oc"))
+    for k in keys:
+        same = same & (F.col(k) == F.col(f"_o_{k}"))
+    return wide.join(other, same, "left_anti").drop("_r", "_c")

@@ -134,3 +134,12 @@ def _(spark, d):
     text_meshes.write_key_values(steps.unionByName(points).withColumn("section", F.lit("measure")), path)
     read = text_meshes.stores(spark, path).groupBy("name").pivot("key", ["timesteps", "values"]).agg(F.first("value"))
     return read.select("name", text_meshes.literal(F.col("timesteps"), "array<double>").alias("timesteps"), text_meshes.literal(F.col("values"), "array<array<double>>").alias("vals"))
+
+
+@query("nifti_rewrite", GRID + "SELECT image_id::BIGINT AS image_id, x::INT AS x, y::INT AS y, (val * 2 + 1)::DOUBLE AS val FROM g")
+def _(spark, d):
+    path, out = shared_path(spark, "images"), shared_path(spark, "images")
+    binary_sinks.write_binary(binary_sinks.encoded(image_files(spark, d), "nifti").withColumn("file", F.concat("file", F.lit(".nii"))), path)
+    binary_sinks.rewrite(spark, path, "nifti", out, lambda v: v.withColumn("vals", F.transform("vals", lambda x: x * 2 + 1)))
+    found = binary_images.pixels(binary_images.volumes(spark, out, "nifti"))
+    return found.select(F.regexp_extract("file", r"^(\d+)", 1).cast("bigint").alias("image_id"), "x", "y", "val")

@@ -200,3 +200,48 @@ def _(spark, d):
     """The triangles of the outer faces of a box of 4 × 4 × 4 hexahedra."""
     _, elements = mesh.box_grid(spark, 4, 4, 4)
     return mesh.representation(elements, "Hex").groupBy("elem_id", "face").agg(F.count("*").alias("n"))
+
+
+@query("grid_triangles", """SELECT e AS elem_id, f::INT AS face, p::INT AS part FROM range(0, 27) s(e), range(0, 6) t(f), range(0, 2) u(p)""")
+def _(spark, d):
+    _, elements = mesh.box_grid(spark, 3, 3, 3)
+    return mesh.triangulate(elements, "Hex").select("elem_id", "face", "part")
+
+
+@query("grid_nodes", "SELECT i AS node_id, round(i % 4 / 3.0, 6)::DOUBLE AS x, round(i // 4 % 4 / 3.0, 6)::DOUBLE AS y, round(i // 16 / 3.0, 6)::DOUBLE AS z FROM range(0, 64) t(i)")
+def _(spark, d):
+    nodes, _ = mesh.box_grid(spark, 3, 3, 3)
+    return nodes.select("node_id", *(F.round(f"p.{c}", 6).alias(c) for c in "xyz"))
+
+
+@query("element_points", "SELECT e AS elem_id, k::INT AS k, round((e % 3 + 0.25 + 0.5 * k) / 3.0, 6)::DOUBLE AS x, round((e // 3 % 3 + 0.5) / 3.0, 6)::DOUBLE AS y FROM range(0, 27) s(e), range(0, 2) t(k)")
+def _(spark, d):
+    nodes, elements = mesh.box_grid(spark, 3, 3, 3)
+    found = mesh.positions(elements, nodes, "Hex1NL", [(0.25, 0.5, 0.5), (0.75, 0.5, 0.5)])
+    return found.select("elem_id", "k", F.round("p.x", 6).alias("x"), F.round("p.y", 6).alias("y"))
+
+
+@query("plane_cut_edges", "SELECT e AS elem_id, count(*) AS n, 0.5::DOUBLE AS x FROM range(0, 27) s(e), range(0, 4) t(k) WHERE e % 3 = 1 GROUP BY 1")
+def _(spark, d):
+    nodes, elements = mesh.box_grid(spark, 3, 3, 3)
+    cut = mesh.slice_plane(elements, nodes, (0.5, 0.0, 0.0), (1.0, 0.0, 0.0), "Hex")
+    return cut.groupBy("elem_id").agg(F.count("*").alias("n"), F.round(F.max("p.x"), 9).alias("x"))
+
+
+@query("vertex_normals", """WITH t AS (SELECT vec_id, (vec_id * 3 + k) % 50 AS node, k FROM embeddings, range(0, 3) t(k)), c AS (SELECT vec_id, embedding[1]::DOUBLE AS ax, embedding[2]::DOUBLE AS ay, embedding[3]::DOUBLE AS az, embedding[4]::DOUBLE AS bx, embedding[5]::DOUBLE AS by_, embedding[6]::DOUBLE AS bz, embedding[7]::DOUBLE AS cx, embedding[8]::DOUBLE AS cy, embedding[9]::DOUBLE AS cz FROM embeddings),
+n AS (SELECT vec_id, (by_ - ay) * (cz - az) - (bz - az) * (cy - ay) AS x, (bz - az) * (cx - ax) - (bx - ax) * (cz - az) AS y, (bx - ax) * (cy - ay) - (by_ - ay) * (cx - ax) AS z FROM c), u AS (SELECT vec_id, x / sqrt(x * x + y * y + z * z) AS x, y / sqrt(x * x + y * y + z * z) AS y, z / sqrt(x * x + y * y + z * z) AS z FROM n),
+s AS (SELECT node, sum(x) AS x, sum(y) AS y, sum(z) AS z FROM t JOIN u USING (vec_id) GROUP BY 1) SELECT node AS node_id, round(x / sqrt(x * x + y * y + z * z), 6) AS x, round(z / sqrt(x * x + y * y + z * z), 6) AS z FROM s""")
+def _(spark, d):
+    from ..operators import spatial
+    from .geometry_queries import points
+
+    ids = F.array(*((F.col("vec_id") * 3 + k) % 50 for k in range(3)))
+    triangles = points(spark, d).select(ids.alias("node_ids"), F.col("p").alias("a"), F.col("q").alias("b"), F.col("r").alias("c"))
+    return spatial.vertex_normals(triangles).select("node_id", F.round("normal.x", 6).alias("x"), F.round("normal.z", 6).alias("z"))
+
+
+@query("closest_power", "SELECT event_id, CASE WHEN value <> 0 THEN floor(log10(abs(value))) + (abs(value) >= 5.5 * power(10, floor(log10(abs(value)))))::INT END::BIGINT AS power FROM events")
+def _(spark, d):
+    from ..functions import scalars
+
+    return table(spark, d, "events").select("event_id", scalars.closest_power(F.col("value")).cast("bigint").alias("power"))

@@ -204,3 +204,14 @@ def _(spark, d):
 def _(spark, d):
     found = volumes.slice_triangles(points(spark, d).select(F.col("vec_id").alias("elem_id"), F.array(*"pqrs").alias("corners")), vec.vec(0.02, 0, 0), vec.vec(1, 0, 0))
     return found.groupBy("elem_id").agg(F.count("*").alias("triangles"), F.round(F.max("c.x"), 9).alias("x"))
+
+
+@query("low_pass", PIXELS + """, k AS (SELECT dr, dc, sum(cos(2 * pi() * (u * dr / 24 + v * dc / 16))) / 384 AS g FROM range(0, 24) a(u), range(0, 16) b(v), range(-23, 24) c(dr), range(-15, 16) d(dc) WHERE least(u, 24 - u) ** 2 + least(v, 16 - v) ** 2 <= 9 GROUP BY 1, 2)
+SELECT image_id, r::INT AS row, c::INT AS col, round(sum(val * g), 4) AS val FROM p, range(0, 24) s(r), range(0, 16) t(c) JOIN k ON dr = r - row AND dc = c - col GROUP BY 1, 2, 3""".replace("FROM p, range(0, 24) s(r), range(0, 16) t(c) JOIN k ON dr = r - row AND dc = c - col", "FROM p, range(0, 24) s(r), range(0, 16) t(c), k WHERE dr = r - row AND dc = c - col"))
+def _(spark, d):
+    return volumes.low_pass(pixels(spark, d), KEYS, 24, 16, 3.0).withColumn("val", F.round("val", 4))
+
+
+@query("mask_contours", MASK + "SELECT m.image_id, m.row, m.col, dr, dc FROM m, (VALUES (-1, 0), (1, 0), (0, -1), (0, 1)) v(dr, dc) WHERE NOT EXISTS (SELECT 1 FROM m n WHERE n.image_id = m.image_id AND n.row = m.row + dr AND n.col = m.col + dc)")
+def _(spark, d):
+    return volumes.mask_edges(mask(spark, d), KEYS)

@@ -106,3 +106,10 @@ def image_slices(spark: SparkSession, path: str) -> DataFrame:
     read = spark.read.format("image").load(path).select(F.element_at(F.split("image.origin", "/"), -1).alias("file"), "image.width", "image.nChannels", "image.data")
     cells = read.select("file", "width", F.posexplode(F.transform(F.sequence(F.lit(0), (F.length("data") / F.col("nChannels")).cast("int") - 1), lambda k: F.conv(F.hex(F.substring("data", (k * F.col("nChannels") + 1).cast("int"), F.lit(1))), 16, 10).cast("double"))).alias("i", "val"))
     return cells.select("file", F.floor(F.col("i") / F.col("width")).cast("int").alias("row"), (F.col("i") % F.col("width")).alias("col"), "val")
+
+
+def rewrite(spark: SparkSession, path: str, kind: str, out: str, change: Callable[[DataFrame], DataFrame], **settings) -> None:
+    """Image files read, changed as a frame of VOLUME rows, and written under their names to another folder."""
+    from .binary_images import volumes
+
+    write_binary(encoded(change(volumes(spark, path, kind)), kind, **settings), out)
