@@ -70,9 +70,9 @@ def reindex(index: DataFrame, key: str = "elem_id", ids: str = "node_ids") -> Da
 def vertex_normals(triangles: DataFrame) -> DataFrame:
     """(node_id, normal): normalised sums of the normals of incident triangles. triangles: (node_ids, a, b, c)."""
     n = vec.triangle_normal(F.col("a"), F.col("b"), F.col("c"))
-    wide = triangles.select(F.explode("node_ids").alias("node_id"), n.alias("n"))
+    wide = triangles.select("node_ids", n.alias("n")).select(F.explode("node_ids").alias("node_id"), "n")
     sums = wide.groupBy("node_id").agg(*(F.sum(F.col("n")[c]).alias(c) for c in "xyz"))
-    return sums.select("node_id", vec.norm(vec.vec(F.col("x"), F.col("y"), F.col("z"))).alias("normal"))
+    return sums.select("node_id", F.struct("x", "y", "z").alias("n")).select("node_id", vec.norm(F.col("n")).alias("normal"))
 
 
 def points_in_polygon(points: DataFrame, edges: DataFrame, band: float = 0.05) -> DataFrame:

@@ -27,7 +27,8 @@ def _(spark, d):
     return table(spark, d, "part").where(strings.matches(F.col("p_brand"), "Brand#1*")).select("p_partkey")
 
 
-@query("unique_str", "WITH k AS (SELECT p_partkey, p_type, row_number() OVER (PARTITION BY p_type ORDER BY p_partkey) - 1 AS k FROM part) SELECT p_partkey, CASE WHEN k = 0 THEN p_type ELSE p_type || '_' || CASE WHEN k < 100 THEN lpad(k::VARCHAR, 2, '0') ELSE left(k::VARCHAR, 2) END END AS unique_name FROM k")
+@query("unique_str", """WITH k AS (SELECT p_partkey, p_type AS name, row_number() OVER (PARTITION BY p_type ORDER BY p_partkey) - 1 AS k FROM part)
+SELECT p_partkey, CASE WHEN k = 0 THEN name ELSE name || '_' || CASE WHEN k < 10 THEN '0' ELSE '' END || k END AS unique_name FROM k""")
 def _(spark, d):
     return strings.unique_names(table(spark, d, "part"), "p_type", "p_partkey").select("p_partkey", "unique_name")
 
