@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import vec
+
 
 def region_sum(df: DataFrame, region: str, value: str, chosen: list | None = None, keys: list[str] | None = None) -> DataFrame:
     """Sum of a value by region (and further keys), only for chosen regions if given."""
@@ -98,8 +100,6 @@ def mean_by_region(df: DataFrame, keys: list[str], values: dict[str, Column]) ->
 
 def centered(df: DataFrame, keys: list[str], p: str) -> DataFrame:
     """Points less the centre of their keys' bounding box."""
-    from ..functions import vec
-
     boxes = aabb(df, keys, F.col(p)).select(*keys, *(f"center_{c}" for c in "xyz"))
     center = vec.vec(*(F.col(f"center_{c}") for c in "xyz"))
     return df.join(boxes, keys).withColumn(p, vec.sub(F.col(p), center)).drop("center_x", "center_y", "center_z")
@@ -155,9 +155,9 @@ RINGS = ((1 / 3, 6), (2 / 3, 6), (1.0, 4))
 def heart_segment(height: Column, turn: Column, apex: float = 1.0, with_apex: bool = True) -> Column:
     """The segment from 1 to 18 at a relative height (0 at the base, under 0 above it) and a turn from 0 to 1.
 
-    Rings of six start at their second segment; the ring of four is turned by half the difference of its sectors from those of six. Segment 18 lies above the base, 17 is the apex."""
+    Rings of six start at their second segment; the ring of four is turned by 5 / 24. Segment 18 lies above the base, 17 is the apex."""
     sixth = lambda first: first + (F.least(F.greatest(F.floor(turn * 6), F.lit(0)), F.lit(5)) + 1) % 6
-    quarter = 13 + F.floor((turn + (1 / 4 + 1 / 6) / 2) * 4) % 4
+    quarter = 13 + F.floor(turn * 4 + 5 / 6) % 4
     out = F.when(height < 0, 18).when(height < apex * RINGS[0][0], sixth(1)).when(height < apex * RINGS[1][0], sixth(7))
     return (out.when(height < apex * RINGS[2][0], quarter).otherwise(17) if with_apex else out.otherwise(quarter)).cast("bigint")
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -43,8 +45,6 @@ def line_lengths(points: DataFrame, keys: list[str]) -> DataFrame:
 
 def smoothed(df: DataFrame, order: str, value: str, sigma: float) -> DataFrame:
     """df with `smooth`: values weighted by a normal curve over their neighbours in an order of whole numbers; sums of weights are kept at the ends. Rows are the bins of a histogram."""
-    import math
-
     reach = max(1, math.ceil(4 * sigma))
     steps = F.array(*(F.struct(F.lit(k).alias("k"), F.lit(math.exp(-k * k / (2 * sigma * sigma))).alias("w")) for k in range(-reach, reach + 1)))
     sent = df.select(F.col(order).alias("_o"), F.col(value).alias("_v"), F.explode(steps).alias("_s")).select((F.col("_o") + F.col("_s.k")).alias(order), (F.col("_v") * F.col("_s.w")).alias("_x"), F.col("_s.w").alias("_w"))

@@ -9,8 +9,7 @@ from ..sources import binary_images, binary_sinks, dicom, text_meshes
 from .image_queries import PIXELS, pixels
 from .registry import query, table
 
-GRID = PIXELS + ", g AS (SELECT image_id, y, x, round(coalesce(val, 0), 0) AS val FROM (SELECT DISTINCT image_id FROM p) i, range(0, 24) a(y), range(0, 16) b(x) LEFT JOIN p ON p.image_id = i.image_id AND row = y AND col = x) "
-GRID = GRID.replace("SELECT image_id, y, x, round", "SELECT i.image_id, y, x, round")
+GRID = PIXELS + ", g AS (SELECT i.image_id, y, x, round(coalesce(val, 0), 0) AS val FROM (SELECT DISTINCT image_id FROM p) i, range(0, 24) a(y), range(0, 16) b(x) LEFT JOIN p ON p.image_id = i.image_id AND row = y AND col = x) "
 
 
 def image_files(spark, d):

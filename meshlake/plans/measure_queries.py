@@ -70,7 +70,7 @@ def _(spark, d):
 
 
 @query("aha_bucket", """WITH a AS (SELECT vec_id, (atan2(embedding[2]::DOUBLE, embedding[1]::DOUBLE) + pi()) / (2 * pi()) AS t, embedding[3]::DOUBLE * 3 + 0.5 AS h FROM embeddings),
-s AS (SELECT *, [2, 3, 4, 5, 6, 1][least(floor(t * 6), 5)::INT + 1] AS six, [13, 14, 15, 16][(floor((t + 5 / 24.0) * 4)::INT % 4) + 1] AS four FROM a)
+s AS (SELECT *, [2, 3, 4, 5, 6, 1][least(floor(t * 6), 5)::INT + 1] AS six, [13, 14, 15, 16][(floor(t * 4 + 5 / 6.0)::INT % 4) + 1] AS four FROM a)
 SELECT vec_id, (CASE WHEN h < 0 THEN 18 WHEN h < 0.9 / 3 THEN six WHEN h < 0.9 * 2 / 3 THEN six + 6 WHEN h < 0.9 THEN four ELSE 17 END)::BIGINT AS region, (18 + least(floor(t * 6), 5))::BIGINT AS cavity FROM s""")
 def _(spark, d):
     import math

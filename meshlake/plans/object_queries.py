@@ -40,7 +40,7 @@ def _(spark, d):
     return measures.percent_range(yearly, "k", "y", "v").select("k", F.round("least", 4).alias("least"), F.round("most", 4).alias("most"))
 
 
-@query("torsion_maximum", f"WITH e AS (SELECT user_id, floor(value) AS v, {SECONDS} AS t FROM events) SELECT user_id, max(v)::DOUBLE AS value, round(max(t) FILTER (v = m), 3) AS at FROM (SELECT *, max(v) OVER (PARTITION BY user_id) AS m FROM e) GROUP BY 1".replace("AS at", "AS \"at\""))
+@query("torsion_maximum", f"""WITH e AS (SELECT user_id, floor(value) AS v, {SECONDS} AS t FROM events) SELECT user_id, max(v)::DOUBLE AS value, round(max(t) FILTER (v = m), 3) AS "at" FROM (SELECT *, max(v) OVER (PARTITION BY user_id) AS m FROM e) GROUP BY 1""")
 def _(spark, d):
     e = events(spark, d).withColumn("value", F.floor("value").cast("double"))
     return measures.latest_maximum(e, ["user_id"], "t", "value").withColumn("at", F.round("at", 3))

@@ -125,7 +125,7 @@ def _(spark, d):
     return volumes.erode(mask(spark, d), KEYS)
 
 
-@query("mask_volume", "WITH p AS (SELECT user_id % 4 AS image_id, floor(value) AS val FROM events), x AS (SELECT image_id, max(val) AS m FROM p GROUP BY 1) SELECT image_id, count(*) * 2.5::DOUBLE AS volume FROM p JOIN x ON p.image_id = x.image_id AND val = m GROUP BY 1".replace("SELECT image_id, count", "SELECT p.image_id, count"))
+@query("mask_volume", "WITH p AS (SELECT user_id % 4 AS image_id, floor(value) AS val FROM events), x AS (SELECT image_id, max(val) AS m FROM p GROUP BY 1) SELECT p.image_id, count(*) * 2.5::DOUBLE AS volume FROM p JOIN x ON p.image_id = x.image_id AND val = m GROUP BY 1")
 def _(spark, d):
     p = table(spark, d, "events").select((F.col("user_id") % 4).alias("image_id"), F.floor("value").alias("val"))
     return volumes.mask_volume(p, KEYS, 2.5)
@@ -207,7 +207,7 @@ def _(spark, d):
 
 
 @query("low_pass", PIXELS + """, k AS (SELECT dr, dc, sum(cos(2 * pi() * (u * dr / 24 + v * dc / 16))) / 384 AS g FROM range(0, 24) a(u), range(0, 16) b(v), range(-23, 24) c(dr), range(-15, 16) d(dc) WHERE least(u, 24 - u) ** 2 + least(v, 16 - v) ** 2 <= 9 GROUP BY 1, 2)
-SELECT image_id, r::INT AS row, c::INT AS col, round(sum(val * g), 4) AS val FROM p, range(0, 24) s(r), range(0, 16) t(c) JOIN k ON dr = r - row AND dc = c - col GROUP BY 1, 2, 3""".replace("FROM p, range(0, 24) s(r), range(0, 16) t(c) JOIN k ON dr = r - row AND dc = c - col", "FROM p, range(0, 24) s(r), range(0, 16) t(c), k WHERE dr = r - row AND dc = c - col"))
+SELECT image_id, r::INT AS row, c::INT AS col, round(sum(val * g), 4) AS val FROM p, range(0, 24) s(r), range(0, 16) t(c), k WHERE dr = r - row AND dc = c - col GROUP BY 1, 2, 3""")
 def _(spark, d):
     return volumes.low_pass(pixels(spark, d), KEYS, 24, 16, 3.0).withColumn("val", F.round("val", 4))
 

@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .binary_images import META_TYPES, NIFTI_TYPES
+from .binary_images import volumes as read_volumes
 
 
 def volumes_of(pixels: DataFrame, key: str, shape: tuple[int, ...], spacing: tuple[float, ...], origin: tuple[float, ...]) -> DataFrame:
@@ -110,6 +111,4 @@ def image_slices(spark: SparkSession, path: str) -> DataFrame:
 
 def rewrite(spark: SparkSession, path: str, kind: str, out: str, change: Callable[[DataFrame], DataFrame], **settings) -> None:
     """Image files read, changed as a frame of VOLUME rows, and written under their names to another folder."""
-    from .binary_images import volumes
-
-    write_binary(encoded(change(volumes(spark, path, kind)), kind, **settings), out)
+    write_binary(encoded(change(read_volumes(spark, path, kind)), kind, **settings), out)
