@@ -4,6 +4,7 @@ import os
 
 import duckdb
 import numpy as np
+import pandas as pd
 
 DATA = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
@@ -21,8 +22,11 @@ def connect(data=DATA):
 def plain(v):
     if isinstance(v, np.generic):
         v = v.item()
+    if v is None or v is pd.NA or isinstance(v, float) and np.isnan(v):
+        return None
     if isinstance(v, float):
-        return round(v, 6) + 0.0
+        # A column of whole numbers and nulls comes as floats from one side.
+        return int(v) if v.is_integer() else round(v, 6) + 0.0
     if hasattr(v, "__len__") and not isinstance(v, str | bytes | dict):
         return [plain(x) for x in v]
     return v
