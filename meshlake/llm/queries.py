@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import documents, shared_dir, written
-from . import language_id, license_scan, mixing, ngram_join, packing, quality_classifier, quality_rules, suffix_dedup, warc
+from . import decontamination, language_id, lexical_search, license_scan, mixing, ngram_join, packing, quality_classifier, quality_rules, spelling, suffix_dedup, warc
 from .exact_dedup import duplicate_groups
 
 
@@ -81,6 +81,23 @@ def op10_warc_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audited.select("file", "offset", F.regexp_extract("record_id", r"^urn:page:(-?\d+)$", 1).try_cast("bigint").alias("page_id"), "copy", "length", "sha256", "status")
 
 
+def op11_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical_search.search(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet")).withColumnRenamed("id", "doc_id")
+
+
+def op12_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontamination.contamination(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    n_hit = F.aggregate("spans", F.lit(0).cast("bigint"), lambda s, x: s + x["end"] - x["start"])
+    named = F.sha2(F.array_join("items", ",").cast("binary"), 256)
+    return found.select(F.col("id").alias("doc_id"), "n_words", n_hit.alias("n_hit"), F.size("items").cast("bigint").alias("n_items"), named.alias("items_sha256"), (n_hit > 0).alias("contaminated"))
+
+
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(documents(spark, sf_dir), every=199)
+
+
+UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+
 SQL_1 = r"""
 WITH templates AS (SELECT row_number() OVER () AS tid, license, text FROM (VALUES {values}) v(license, text)),
 norm AS (SELECT 'd' AS kind, doc_id AS id, regexp_replace(lower(coalesce(text, '')), '[^\p{{L}}\p{{N}}\n]+', ' ', 'g') AS x FROM documents
@@ -144,6 +161,46 @@ SELECT coalesce(a.file, b.file) AS file, coalesce(a."offset", b."offset") AS "of
 FROM a FULL JOIN b ON a.file = b.file AND a.page_id IS NOT DISTINCT FROM b.page_id AND a.copy = b.copy
 """
 
+SQL_11 = r"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(text, '{upper}', '{lower}'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS w FROM documents),
+n AS (SELECT r, doc_id, w, len(w)::BIGINT AS n FROM d WHERE len(w) > 0), g AS (SELECT count(*) AS docs, sum(n)::BIGINT AS words FROM n),
+i AS (SELECT row_number() OVER () AS i, item_id, regexp_extract_all(translate(text, '{upper}', '{lower}'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS w FROM benchmark),
+q AS (SELECT i, item_id, t, count(*) AS asked FROM (SELECT i, item_id, unnest(w) AS t FROM i) GROUP BY ALL),
+p AS (SELECT r, t, count(*) AS tf FROM (SELECT r, unnest(w) AS t FROM n) WHERE t IN (SELECT t FROM q) GROUP BY ALL),
+x AS (SELECT t, floor(1000 * ln((2 * any_value(docs) + 2)::DOUBLE / (2 * count(*) + 1)))::BIGINT AS weight FROM p, g GROUP BY t),
+s AS (SELECT i, item_id, r, doc_id, sum(asked * weight * ((1000000000 * tf) // (1000 * tf + 8 * (100 - 75 + (75 * n * docs) // words))))::BIGINT AS score FROM q JOIN x USING (t) JOIN p USING (t) JOIN n USING (r), g GROUP BY ALL)
+SELECT item_id, (row_number() OVER (PARTITION BY i ORDER BY score DESC, doc_id NULLS LAST))::INT AS "rank", doc_id, score FROM s WHERE score > 0 QUALIFY "rank" <= 10
+""".format(upper=UPPER, lower=UPPER.lower())
+
+SQL_12 = r"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(regexp_extract_all(translate(text, '{upper}', '{lower}'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'), []) AS w FROM documents),
+i AS (SELECT coalesce(item_id::VARCHAR, '') AS item, regexp_extract_all(translate(text, '{upper}', '{lower}'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
+l AS (SELECT item, w, least(10, len(w)) AS k FROM i WHERE len(w) > 0),
+p AS (SELECT DISTINCT item, k, unnest(list_transform(range(1, len(w) - k + 2), lambda j: array_to_string(w[j:j + k - 1], ' '))) AS x FROM l),
+s AS (SELECT r, k, unnest(range(1, len(w) - k + 2)) AS j, unnest(list_transform(range(1, len(w) - k + 2), lambda j: array_to_string(w[j:j + k - 1], ' '))) AS x FROM d, (SELECT DISTINCT k FROM l) WHERE len(w) >= k),
+h AS (SELECT DISTINCT s.r, s.j, s.k, p.item FROM s JOIN p ON s.k = p.k AND s.x = p.x),
+c AS (SELECT r, count(DISTINCT place) AS n_hit FROM (SELECT r, unnest(range(j, j + k)) AS place FROM (SELECT DISTINCT r, j, k FROM h)) GROUP BY r),
+n AS (SELECT r, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT r, item FROM h) GROUP BY r)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(items, '')) AS items_sha256, n_hit IS NOT NULL AS contaminated
+FROM d LEFT JOIN c USING (r) LEFT JOIN n USING (r)
+""".format(upper=UPPER, lower=UPPER.lower())
+
+SQL_13 = r"""
+WITH RECURSIVE t AS (SELECT coalesce(doc_id::VARCHAR, '') AS id, unnest(regexp_extract_all(translate(text, '{upper}', '{lower}'), '[A-Za-z\x{{C0}}-\x{{FF}}]+')) AS run FROM documents),
+u AS (SELECT id, run, count(*) AS n, hex(encode(id || ':' || run)) AS x FROM t WHERE length(run) >= 6 GROUP BY ALL),
+h AS (SELECT run, n, length(run) AS l, xor(4294967295, list_reduce([4294967295] || list_transform(range(0, length(x) // 2), lambda i: ('0x' || substr(x, (2 * i + 1)::BIGINT, 2))::BIGINT), lambda c, b: xor(c >> 8, ({table})[(xor(c, b) & 255) + 1]))) AS h FROM u),
+v AS (SELECT CASE WHEN h % 199 = 0 THEN substr(run, 1, h % l) || substr(run, h % l + 2) ELSE run END AS word, n FROM h),
+w AS (SELECT word, sum(n)::BIGINT AS n FROM v WHERE length(word) >= 6 GROUP BY word HAVING sum(n) >= 5),
+k AS (SELECT word, n, unnest(range(0, length(word))) AS k FROM w),
+g AS (SELECT word, n, k, substr(word, 1, k) || substr(word, k + 2) AS gap FROM k),
+p AS (SELECT a.word, b.word AS other, b.n AS other_n FROM g a JOIN g b ON a.k = b.k AND a.gap = b.gap AND a.word <> b.word
+  UNION SELECT g.word, w.word, w.n FROM g JOIN w ON g.gap = w.word UNION SELECT w.word, g.word, g.n FROM g JOIN w ON g.gap = w.word),
+c AS (SELECT word, count(*) AS n_near, first(other ORDER BY other_n DESC, other) AS other, max(other_n) AS other_n FROM p GROUP BY word),
+f AS (SELECT word, n, coalesce(n_near, 0) AS n_near, CASE WHEN other_n >= 5 * n THEN other END AS form, CASE WHEN other_n >= 5 * n THEN other_n END AS form_n FROM w LEFT JOIN c USING (word)),
+r AS (SELECT word, coalesce(form, word) AS root FROM f UNION SELECT r.word, f.form FROM r JOIN f ON f.word = r.root WHERE f.form IS NOT NULL)
+SELECT f.word, f.form, r.root, f.n, f.n_near, f.form_n FROM f JOIN r USING (word) JOIN f last ON last.word = r.root WHERE last.form IS NULL
+""".format(upper=UPPER, lower=UPPER.lower(), table=spelling.CRC.tolist())
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_license_scan": op1_license_scan,
     "op2_exact_dedup": op2_exact_dedup,
@@ -155,5 +212,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_mixing": op8_mixing,
     "op9_quality_classifier": op9_quality_classifier,
     "op10_warc_audit": op10_warc_audit,
+    "op11_lexical_search": op11_lexical_search,
+    "op12_decontamination": op12_decontamination,
+    "op13_spelling_variants": op13_spelling_variants,
 }
-ORACLE_SQL: dict[str, str] = {"op1_license_scan": SQL_1, "op2_exact_dedup": SQL_2, "op7_quality_rules": SQL_7, "op10_warc_audit": SQL_10}
+ORACLE_SQL: dict[str, str] = {"op1_license_scan": SQL_1, "op2_exact_dedup": SQL_2, "op7_quality_rules": SQL_7, "op10_warc_audit": SQL_10, "op11_lexical_search": SQL_11, "op12_decontamination": SQL_12, "op13_spelling_variants": SQL_13}
