@@ -31,14 +31,16 @@ def numbered(df: DataFrame, keys: list[str], order: list[str], out: str = "row_i
     """df with numbers from 0 within each key (over all rows without keys), in an order; a key may span many tasks.
 
     Rows are range-partitioned by key and order into tasks of about rows_per_task and written once, so that the counts
-    and the numbered rows see the same parts. Rows that are equal in key and order are numbered in any order."""
+    and the numbered rows see the same parts. Rows that are equal in key and order are numbered in any order, which is
+    written with them, so that a repeated task gives the same numbers; they too may span many tasks."""
     tasks = max(1, -(-df.count() // rows_per_task))
-    parts = stored(df.repartitionByRange(tasks, *keys, *order).withColumn("_part", F.spark_partition_id()))
+    parts = df.withColumn("_tie", F.monotonically_increasing_id()).repartitionByRange(tasks, *keys, *order, "_tie")
+    parts = stored(parts.withColumn("_part", F.spark_partition_id()))
     counts = parts.groupBy(*keys, "_part").agg(F.count("*").alias("_n"))
     before = Window.partitionBy(*keys).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     first = counts.select(*(F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)), F.col("_part").alias("_p"), F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_first"))
-    own = parts.withColumn("_own", F.row_number().over(Window.partitionBy("_part", *keys).orderBy(*order)) - 1)
+    own = parts.withColumn("_own", F.row_number().over(Window.partitionBy("_part", *keys).orderBy(*order, "_tie")) - 1)
     same = F.col("_part") == F.col("_p")
     for i, k in enumerate(keys):
         same = same & F.col(k).eqNullSafe(F.col(f"_k{i}"))
-    return own.join(first, same).withColumn(out, F.col("_first") + F.col("_own")).drop("_part", "_own", "_p", "_first", *(f"_k{i}" for i in range(len(keys))))
+    return own.join(first, same).withColumn(out, F.col("_first") + F.col("_own")).drop("_tie", "_part", "_own", "_p", "_first", *(f"_k{i}" for i in range(len(keys))))
