@@ -8,7 +8,8 @@ copies are certain. For the rest, a document has an inclusion probability p, and
 documents are ranked by the random odds u / (1 - u) divided by p / (1 - p); the
 first ones are taken until the source's target is met; of those after them, one
 more is taken whose size brings the source nearest to its target. u is a hash of
-the id and a seed, so reruns agree.
+the id, the text, the number of the row among equal ones and a seed, so reruns
+agree.
 
 The ranking never sorts a source in one place: ranks are cut into `cells` of
 about equal expected size by the value of the Pareto key, words are summed by
@@ -16,10 +17,13 @@ source and cell, and only the documents of the one cell in which a source
 reaches its target are ordered one by one.
 
 Nulls and odd cases: a null text has size 0; a null source is a source of its
-own and comes last; documents of size 0 are never taken. Equal keys are ordered
-by id; rows that share an id and a key count as ordered arbitrarily and are told
-apart by size only. An empty table gives an empty result. Other columns are not
-read by `mix`.
+own and comes last; documents of size 0 are never taken. Rows that share an id,
+or have none, are told apart by their text. Rows equal in source, id and text are
+counted first and get numbers; each has a rank of its own. Equal ranks are ordered
+by id, size, hash of the text and number. An empty table gives an empty result.
+Other columns are not read by `mix`. The lists of sources and of their length
+classes are held by single tasks: there may be thousands of sources, not one for
+each document.
 """
 
 from __future__ import annotations
@@ -27,7 +31,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import SPACE, text_or_empty, written
+from ..operators.stored import numbered
+from .common import text_or_empty, written
 
 #: Weights of sources in order of their names, repeating.
 WEIGHTS = (1, 2, 3)
@@ -70,13 +75,34 @@ def _rates(classes: DataFrame, most_copies: int) -> DataFrame:
     return marked.select("source", "length_class", "target", "source_size", copies.alias("copies"))
 
 
-def mix(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", most_copies: int = 3, rows_per_cell: int = 4096, seed: int = 17) -> DataFrame:
-    """One row per row of df: id, size, source_size, target, copies (how often the mix takes it), taken (its words). There are so many cells that one holds about rows_per_cell rows."""
-    sizes = df.select(F.col(id_col).alias("id"), F.col(source_col).cast("string").alias("source"), word_count(text_or_empty(text_col)).cast("bigint").alias("size"))
+#: Numbers of equal rows that one task gives at once.
+SPREAD = 10_000
+#: What tells rows apart.
+ROW = ["id", "size", "key", "number"]
+
+
+def alike(df: DataFrame, id_col: str, text_col: str, source_col: str) -> DataFrame:
+    """(source, id, size, key, n): how many rows are equal in these; key is a hash of the text."""
+    text = text_or_empty(text_col)
+    rows = df.select(F.col(source_col).cast("string").alias("source"), F.col(id_col).alias("id"), word_count(text).cast("bigint").alias("size"), F.xxhash64(text).alias("key"))
+    return rows.groupBy("source", "id", "size", "key").agg(F.count("*").alias("n"))
+
+
+def each_row(groups: DataFrame) -> DataFrame:
+    """A row for each of n equal ones, with its number; a large group is dealt out in parts of SPREAD."""
+    groups = written(groups)
+    few = groups.where(F.col("n") <= SPREAD).withColumn("number", F.explode(F.sequence(F.lit(1).cast("bigint"), "n")))
+    parts = groups.where(F.col("n") > SPREAD).withColumn("part", F.explode(F.sequence(F.lit(0).cast("bigint"), F.floor((F.col("n") - 1) / SPREAD)))).repartition("id", "key", "part")
+    many = parts.withColumn("number", F.explode(F.sequence(F.col("part") * SPREAD + 1, F.least("n", (F.col("part") + 1) * SPREAD)))).drop("part")
+    return few.unionByName(many).drop("n")
+
+
+def _mixed(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", most_copies: int = 3, rows_per_cell: int = 4096, seed: int = 17) -> DataFrame:
+    """One row per row of df: ROW, source, source_size, target, whole (certain copies) and extra (1 or 0)."""
     # Classes by powers of two; the weight of a class grows with length up to 256 words.
     length_class = F.least(F.floor(F.log2(F.greatest("size", F.lit(1)))), F.lit(30)).cast("int")
-    u = (F.pmod(F.xxhash64(F.lit(seed), "id", "size"), F.lit(1 << 40)) + 0.5) / float(1 << 40)
-    sizes = written(sizes.withColumns({"length_class": length_class, "u": u}))
+    u = (F.pmod(F.xxhash64(F.lit(seed), "id", "size", "key", "number"), F.lit(1 << 40)) + 0.5) / float(1 << 40)
+    sizes = written(each_row(alike(df, id_col, text_col, source_col)).withColumns({"length_class": length_class, "u": u}))
     cells = max(1024, -(-sizes.count() // rows_per_cell))
 
     classes = sizes.groupBy("source", "length_class").agg(F.sum("size").alias("words"))
@@ -106,31 +132,48 @@ def mix(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_co
     last = written(last.select(F.col("source").alias("c_source"), F.coalesce("cut.cell", F.lit(cells)).alias("cut"), "cut.start", F.col("cut.target").alias("need")))
 
     marked = docs.join(last, docs["source"].eqNullSafe(last["c_source"]), "left").drop("c_source")
-    within = Window.partitionBy("source").orderBy("rank", "id", "size")
+    within = Window.partitionBy("source").orderBy("rank", *ROW).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     at_cut = F.col("rank").isNotNull() & (F.col("cell") == F.col("cut"))
     edge = marked.where(at_cut).withColumn("before", F.col("start") + F.sum("size").over(within) - F.col("size"))
     # The first ones that fit are taken; those after them, in this cell or later ones, may fill the gap that is left.
     edge = edge.withColumn("extra", (F.col("before") + F.col("size") <= F.col("need")).cast("bigint")).drop("before")
     rest = marked.where(~F.coalesce(at_cut, F.lit(False))).withColumn("extra", F.coalesce((F.col("cell") < F.col("cut")).cast("bigint"), F.lit(0)))
-    taken = written(rest.unionByName(edge).withColumn("copies", F.col("whole") + F.col("extra")))
+    taken = written(rest.unionByName(edge))
     # Written, so that their size is known and short lists of sources need no shuffle of the documents.
-    gaps = written(taken.groupBy("source").agg((F.first("target") - F.sum(F.col("copies") * F.col("size"))).alias("gap")).withColumnRenamed("source", "g_source"))
+    copies = F.col("whole") + F.col("extra")
+    gaps = written(taken.groupBy("source").agg((F.first("target") - F.sum(copies * F.col("size"))).alias("gap")).withColumnRenamed("source", "g_source"))
     may = taken.where("rank is not null and extra = 0").join(gaps, taken["source"].eqNullSafe(F.col("g_source")))
     off = F.abs(F.col("gap") - F.col("size"))
-    filler = may.where(off < F.abs("gap")).groupBy("g_source").agg(F.min(F.struct(off.alias("off"), "rank", "id", "size")).alias("filler"))
-    filler = written(filler.select("g_source", F.col("filler.rank").alias("f_rank"), F.col("filler.id").alias("f_id"), F.col("filler.size").alias("f_size")))
+    filler = may.where(off < F.abs("gap")).groupBy("g_source").agg(F.min(F.struct(off.alias("off"), "rank", *ROW)).alias("filler"))
+    filler = written(filler.select("g_source", *(F.col(f"filler.{c}").alias(f"f_{c}") for c in ROW)))
     taken = taken.join(filler, taken["source"].eqNullSafe(F.col("g_source")), "left")
-    # Rows that share id, size and rank are copies of one row; the filler is one of them.
-    same = (F.col("rank") == F.col("f_rank")) & F.col("id").eqNullSafe(F.col("f_id")) & (F.col("size") == F.col("f_size")) & (F.col("extra") == 0)
-    alike = Window.partitionBy("source", "id", "size", "rank").orderBy("copies")
-    chosen = taken.where(same).withColumn("k", F.row_number().over(alike)).withColumn("copies", F.col("copies") + (F.col("k") == 1).cast("bigint")).drop("k")
-    taken = taken.where(~F.coalesce(same, F.lit(False))).unionByName(chosen)
-    return taken.select("id", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
+    same = F.col("g_source").eqNullSafe(F.col("source")) & F.col("f_key").isNotNull()
+    for c in ROW:
+        same = same & F.col(c).eqNullSafe(F.col(f"f_{c}"))
+    return taken.select(*ROW, "source", "source_size", "target", "whole", (F.col("extra") + same.cast("bigint")).alias("extra"))
+
+
+def mix(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", most_copies: int = 3, rows_per_cell: int = 4096, seed: int = 17) -> DataFrame:
+    """One row per row of df: id, size, source_size, target, copies (how often the mix takes it), taken (its words). There are so many cells that one holds about rows_per_cell rows."""
+    copies = F.col("whole") + F.col("extra")
+    return _mixed(df, id_col, text_col, source_col, most_copies, rows_per_cell, seed).select("id", "size", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).alias("taken"))
 
 
 def apply_mix(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **settings) -> DataFrame:
-    """The rows of df as often as the mix takes them, with all their columns. Rows that share id and size get the same number of copies, the largest of theirs."""
-    mixed = mix(df, id_col, text_col, source_col, **settings).where("copies > 0").groupBy("id", "size").agg(F.max("copies").alias("copies"))
-    rows = df.select(F.struct("*").alias("row"), F.col(id_col).alias("key"), word_count(text_or_empty(text_col)).cast("bigint").alias("words"))
-    taken = rows.join(mixed, F.col("key").eqNullSafe(F.col("id")) & (F.col("words") == F.col("size")))
+    """The rows of df as often as the mix takes them, with all their columns. Of rows equal in source, id and text any may have the additional copies."""
+    by = ["source", "id", "size", "key"]
+    groups = _mixed(df, id_col, text_col, source_col, **settings).groupBy(*by).agg(F.count("*").alias("n"), F.first("whole").alias("whole"), F.sum("extra").alias("extra"))
+    groups = written(groups.where("whole + extra > 0").select(*(F.col(c).alias(f"g_{c}") for c in by), "n", "whole", "extra"))
+    text = text_or_empty(text_col)
+    rows = df.select(F.struct("*").alias("row"), F.col(source_col).cast("string").alias("source"), F.col(id_col).alias("id"), word_count(text).cast("bigint").alias("size"), F.xxhash64(text).alias("key"))
+    same = F.lit(True)
+    for c in by:
+        same = same & F.col(c).eqNullSafe(F.col(f"g_{c}"))
+    # Groups of several rows are written: where their list is short it is broadcast, and a large group's rows need not meet in one task.
+    single = rows.join(groups.where("n = 1"), same).select("row", (F.col("whole") + F.col("extra")).alias("copies"))
+    several = written(groups.where("n > 1"))
+    taken = single
+    if not several.isEmpty():
+        again = numbered(rows.join(several, same), by, [], "at").select("row", (F.col("whole") + (F.col("at") < F.col("extra")).cast("bigint")).alias("copies")).where("copies > 0")
+        taken = single.unionByName(again)
     return taken.select("row", F.explode(F.sequence(F.lit(1).cast("bigint"), "copies"))).select("row.*")

@@ -130,7 +130,7 @@ def test_suffix_dedup(spark, empty):
     passages = ["".join(rng.choices("ab é", k=rng.randint(30, 200))) for _ in range(6)]
     rows = [(k, "".join(rng.choices([*passages, "x" * rng.randint(1, 90), "zq"], k=rng.randint(0, 9)))) for k in range(60)] + [(None, passages[0]), (99, None), (98, "a" * 500)]
     df = spark.createDataFrame(rows, "doc_id bigint, text string")
-    got = suffix_dedup.remove_repeats(df, digest=True, bucket_bytes=700, range_bytes=700, sampled=1).collect()
+    got = suffix_dedup.remove_repeats(df, digest=True, bucket_bytes=700, range_bytes=700).collect()
     assert sorted((str(r.id), r.n_bytes, r.n_removed, r.n_spans, r.kept.hex()) for r in got) == brute_repeats(rows, 100)
     assert suffix_dedup.remove_repeats(empty).count() == 0
 
@@ -139,7 +139,27 @@ def test_suffix_dedup_spread(spark):
     rng = random.Random(2)
     passage = "".join(rng.choices("abcdefgh ", k=300))
     rows = [(k, "".join(rng.choices("stuvw", k=20)) + passage + "".join(rng.choices("stuvw", k=20))) for k in range(80)]
-    got = suffix_dedup.remove_repeats(spark.createDataFrame(rows, "doc_id bigint, text string"), digest=True, bucket_bytes=500, range_bytes=500, sampled=1).collect()
+    got = suffix_dedup.remove_repeats(spark.createDataFrame(rows, "doc_id bigint, text string"), digest=True, bucket_bytes=500, range_bytes=500).collect()
+    assert sorted((str(r.id), r.n_bytes, r.n_removed, r.n_spans, r.kept.hex()) for r in got) == brute_repeats(rows, 100)
+
+
+def test_suffix_ranges(spark, monkeypatch):
+    """Few long documents are split into as many ranges as their repeated suffixes need, evenly, with the default sample."""
+    rng = random.Random(9)
+    half = "".join(rng.choices("abcdefghij ", k=150_000))
+    rows = [(k, half + "".join(rng.choices("klmnop ", k=50_000))) for k in range(6)]
+    seen = []
+    real = suffix_dedup.splitting_grams
+    monkeypatch.setattr(suffix_dedup, "splitting_grams", lambda found, length, *x: seen.append((found, real(found, length, *x))) or seen[0][1])
+    got = suffix_dedup.remove_repeats(spark.createDataFrame(rows, "doc_id bigint, text string"), range_bytes=50_000).collect()
+    # All six halves are repeated, 900,000 bytes in ranges of 50,000.
+    assert [round(r.n_removed, -2) for r in sorted(got, key=lambda r: r.id)] == [0] + [150_000] * 5
+    assert 12 <= len(seen[0][1]) <= 24
+
+
+def test_suffix_brute_force_defaults(spark):
+    rows = [(r.doc_id, r.text) for r in queries.documents(spark, "/root/testdata/sf0.001").collect()]
+    got = suffix_dedup.remove_repeats(queries.documents(spark, "/root/testdata/sf0.001"), digest=True).collect()
     assert sorted((str(r.id), r.n_bytes, r.n_removed, r.n_spans, r.kept.hex()) for r in got) == brute_repeats(rows, 100)
 
 
@@ -365,8 +385,8 @@ def test_mixing(spark, odd, empty):
 
 def test_mixing_brute_force(spark):
     df = queries.documents(spark, "/root/testdata/sf0.01")
-    sizes = df.select("doc_id", "source", F.length(F.lit("")).alias("size")).drop("size").join(queries.op8_mixing(spark, "/root/testdata/sf0.01"), "doc_id")
-    rows = sizes.withColumn("u", (F.pmod(F.xxhash64(F.lit(17), "doc_id", "size"), F.lit(1 << 40)) + 0.5) / float(1 << 40)).collect()
+    sizes = df.select("doc_id", "source", F.xxhash64(F.coalesce("text", F.lit(""))).alias("key")).join(queries.op8_mixing(spark, "/root/testdata/sf0.01"), "doc_id")
+    rows = sizes.withColumn("u", (F.pmod(F.xxhash64(F.lit(17), "doc_id", "size", "key", F.lit(1).cast("bigint")), F.lit(1 << 40)) + 0.5) / float(1 << 40)).collect()
     texts = {r.doc_id: r.text or "" for r in df.collect()}
     by = defaultdict(list)
     for r in rows:
@@ -409,6 +429,29 @@ def test_mixing_brute_force(spark):
         assert {r.doc_id: r.taken for r in by[s]} == {r.doc_id: copies[r.doc_id] * r.size for r in by[s]}
 
 
+def test_mixing_ties(spark, monkeypatch):
+    """Equal rows, null ids and equal sizes are ranked one by one: every source comes near its target, in the mix and in the rows it takes."""
+    monkeypatch.setattr(mixing, "SPREAD", 64)
+    one = "a b c d e f g h i j k l"
+    rows = [(None, one, "s1")] * 400 + [(7, one + " m", "s1")] * 50 + [(k, one + " n o", "s1") for k in range(300)] + [(None, f"{one} {k}", "s2") for k in range(200)] + [(None, None, "s2"), (3, "", None)] + [(k % 9, one * 3, None) for k in range(90)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, source string")
+    mixed = mixing._mixed(df).cache()
+    assert mixed.count() == len(rows)
+    size = lambda t: len((t or "").split())
+    most = max(size(r[1]) for r in rows)
+    sums = {r.source: r for r in mixed.groupBy("source").agg(F.sum(F.expr("(whole + extra) * size")).alias("taken"), F.first("target").alias("target"), F.max(F.expr("whole + extra")).alias("copies")).collect()}
+    assert all(abs(r.taken - r.target) <= most and r.copies <= 3 for r in sums.values())
+    assert mixed.where("extra > 1 or extra < 0").count() == 0
+    taken = defaultdict(int)
+    out = mixing.apply_mix(df).collect()
+    for r in out:
+        taken[r.source] += size(r.text)
+    assert dict(taken) == {k: r.taken for k, r in sums.items()}
+    again = sorted(map(str, mixing.apply_mix(df.repartition(7)).collect()))
+    assert again == sorted(map(str, out))
+    assert mixing.apply_mix(df.limit(0)).count() == 0
+
+
 def test_warc_audit(spark, tmp_path):
     pages = spark.createDataFrame([(k, f"http://h/{k}", f"<p>{k}\r\n\r\né</p>" * (k % 7)) for k in range(300)] + [(None, None, None), (5, "http://h/5", "again")] + [(None, "u", "hot")] * 200, "page_id bigint, url string, html string")
     found = warc.records(pages, file_bytes=8000)
@@ -490,7 +533,7 @@ def test_suffix_dedup_repeated_rows(spark):
     df = spark.createDataFrame(repeated_rows(), "doc_id bigint, text string").repartition(3)
     keyed = df.select("doc_id", "text", F.xxhash64("doc_id", F.coalesce("text", F.lit(""))).alias("key")).collect()
     rows = [(r.doc_id, r.text) for r in sorted(keyed, key=lambda r: r.key)]
-    got = suffix_dedup.remove_repeats(df, digest=True, bucket_bytes=300, range_bytes=300, sampled=1).collect()
+    got = suffix_dedup.remove_repeats(df, digest=True, bucket_bytes=300, range_bytes=300).collect()
     assert sorted((str(r.id), r.n_bytes, r.n_removed, r.n_spans, r.kept.hex()) for r in got) == brute_repeats(rows, 100)
     whole = {r.kept for r in suffix_dedup.remove_repeats(df).collect() if not r.n_removed}
     assert len([r for r in got if r.n_bytes == r.n_removed == 300]) == 4 and len(whole) >= 3
