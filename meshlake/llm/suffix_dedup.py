@@ -7,11 +7,12 @@ at their anchors share k bytes. Only these suffixes are sorted:
 
 1. Anchors of all documents are counted by hash. Tasks send one anchor of those
    they hold several times, so a frequent one costs a row per task. What occurs
-   once in the corpus is dropped.
+   once in the corpus is dropped. A sample of the anchors of all documents goes
+   with them, and what of it is repeated is told.
 2. Each anchor that is left becomes a suffix of `length` bytes with the bytes in
-   front of it. Splitters from a sample, which tasks sort and thin out to one a
-   range, range-partition suffixes by their first k bytes. A k-gram that several
-   splitters equal is spread over their buckets.
+   front of it. Splitters from the sampled repeated anchors, which tasks sort and
+   thin out to one a range, range-partition suffixes by their first k bytes. A
+   k-gram that several splitters equal is spread over their buckets.
 3. A bucket sorts its suffixes by multikey quicksort and takes the common
    prefixes of neighbours; the same goes for the reversed bytes in front. Runs
    with long enough common prefixes on both sides are classes of equal windows,
@@ -80,16 +81,19 @@ def anchors(data: np.ndarray, offsets: np.ndarray, length: int) -> tuple[np.ndar
 HELD = 1_500_000
 
 
-def _sent_anchors(length: int, n: int):
-    """Blocks of anchors by hash range, and of those a task already knows to be repeated (they only pass through the next step)."""
+def _sent_anchors(length: int, n: int, thin: int):
+    """Blocks of anchors by hash range, of those a task already knows to be repeated (they only pass through the next step), and of the k-grams of one of `thin` anchors."""
+    k = length // 2
 
-    def flush(keys, number, hashes):
+    def flush(keys, number, hashes, picks, grams):
         token = hashes >> np.uint64(16)
         order = np.argsort(token, kind="stable")
         token, keys, number = token[order], keys[order], number[order]
         first = np.concatenate([[True], token[1:] != token[:-1]])
         last = np.append(first[1:], True)
         several = ~(first & last)
+        repeated = np.empty(len(order), bool)
+        repeated[order] = several
         bucket = (token * np.uint64(n) >> np.uint64(48)).astype(np.int64)
         out = []
         send = np.flatnonzero(first)
@@ -101,6 +105,9 @@ def _sent_anchors(length: int, n: int):
             for b, i in by_bucket(doc_bucket(keys[several], n)):
                 i = np.flatnonzero(several)[i]
                 out.append((b, packed("known", keys[i], number[i].astype(np.uint32))))
+        own = hashes[picks] >> np.uint64(16)
+        for b, i in by_bucket((own * np.uint64(n) >> np.uint64(48)).astype(np.int64)):
+            out.append((b, packed("sampled", own[i], repeated[picks[i]], grams[i])))
         return block_rows(out)
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -109,9 +116,11 @@ def _sent_anchors(length: int, n: int):
             batch, _ = first_rows(batch)
             keys = batch.column("key").to_numpy()
             for a, b, data, offsets in chunks(batch, "text"):
-                row, _, _, _, hashes = anchors(data, offsets, length)
+                row, position, _, _, hashes = anchors(data, offsets, length)
                 first = np.searchsorted(row, np.arange(b - a))
-                held.append((keys[a:b][row], np.arange(len(row)) - first[row], hashes))
+                own = keys[a:b][row]
+                picks = np.flatnonzero(mix(hashes ^ mix(own.view(np.uint64) + position.astype(np.uint64))) % np.uint64(thin) == 0)
+                held.append((own, np.arange(len(row)) - first[row], hashes, many + picks, data[position[picks][:, None] + np.arange(k)]))
                 many += len(row)
                 if many >= HELD:
                     yield flush(*map(np.concatenate, zip(*held)))
@@ -123,13 +132,15 @@ def _sent_anchors(length: int, n: int):
 
 
 def _repeated_anchors(n: int):
-    """Of one bucket: (document bucket, keys and numbers of repeated anchors)."""
+    """Of one bucket: (document bucket, keys and numbers of repeated anchors), and in bucket -1 the sampled k-grams of repeated ones."""
 
     def find(pdf: pd.DataFrame) -> pd.DataFrame:
-        tokens, keys, number, out = [], [], [], []
+        tokens, keys, number, out, sampled = [], [], [], [], []
         for kind, *x in map(unpacked, pdf.payload):
             if kind == "known":
                 out.append((int(pdf.bucket.iloc[0]), packed(*x)))
+            elif kind == "sampled":
+                sampled.append(x)
             else:
                 tokens.append(np.cumsum(numbers_of(x[0])))
                 keys.append(np.cumsum(numbers_of(x[1]).view(np.int64))[x[2]])
@@ -142,6 +153,11 @@ def _repeated_anchors(n: int):
             keep = order[np.append(same, False) | np.append(False, same)]
             for b, i in by_bucket(doc_bucket(keys[keep], n)):
                 out.append((b, packed(keys[keep[i]], number[keep[i]])))
+            if sampled:
+                own, known, grams = map(np.concatenate, zip(*sampled))
+                grams = grams[known | np.isin(own, token[1:][same])]
+                if len(grams):
+                    out.append((-1, packed(grams)))
         return pd.DataFrame(out, columns=["bucket", "payload"])
 
     return find
@@ -373,26 +389,22 @@ def _cut(length: int, digest: bool):
     return cut
 
 
-#: Sampled k-grams for each range that is to be split off.
+#: Sampled k-grams for each range.
 PER_RANGE = 256
 
 
-def splitting_grams(docs: DataFrame, length: int, ranges: int, range_bytes: int, sampled: int) -> np.ndarray:
-    """Sorted k-grams that split the anchors' k-grams into about so many ranges. The sample is sorted and thinned out by tasks; only one k-gram a range comes to the driver."""
+def splitting_grams(found: DataFrame, length: int, per_range: float, max_ranges: int) -> np.ndarray:
+    """Sorted k-grams that split the suffixes at repeated anchors into ranges of about per_range sampled ones. The sample is sorted and thinned out by tasks; only one k-gram a range comes to the driver."""
     k = length // 2
-    thin = max(1, range_bytes * 2 // (k + 2) // sampled // PER_RANGE)
 
-    def sample(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for _, _, data, offsets in chunks(batch, "text"):
-                _, position, _, _, hashes = anchors(data, offsets, length)
-                grams = [data[p : p + k].tobytes() for p in position[mix(hashes + position.astype(np.uint64)) % np.uint64(thin) == 0]]
-                yield pa.RecordBatch.from_arrays([pa.array(grams, pa.binary())], ["gram"])
+            for payload in batch.column("payload").to_pylist():
+                yield pa.RecordBatch.from_arrays([pa.array([g.tobytes() for g in unpacked(payload)[0]], pa.binary())], ["gram"])
 
-    some = docs.where(F.pmod("key", F.lit(sampled)) == 0).dropDuplicates(["key"]).select("text").mapInArrow(sample, "gram binary")
-    some = written(some)
+    some = written(found.where("bucket < 0").mapInArrow(grams, "gram binary"))
     many = some.count()
-    step = max(1.0, many / ranges)
+    step = max(1.0, per_range, many / max_ranges)
 
     def thinned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = 0
@@ -405,23 +417,26 @@ def splitting_grams(docs: DataFrame, length: int, ranges: int, range_bytes: int,
     return np.array([r.gram for r in ordered.mapInArrow(thinned, "gram binary").orderBy("gram").collect()], f"S{k}")
 
 
-def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 100, digest: bool = False, bucket_bytes: int = 8 << 20, range_bytes: int = 8 << 20, max_ranges: int = 2_000_000, sampled: int = 64) -> DataFrame:
+def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 100, digest: bool = False, bucket_bytes: int = 8 << 20, range_bytes: int = 8 << 20, max_ranges: int = 2_000_000) -> DataFrame:
     """One row per row of df: id, n_bytes, n_removed, n_spans, kept (the bytes that stay, or their SHA-256).
 
-    Documents are dealt into buckets of about bucket_bytes of text. Suffixes are dealt into ranges of about range_bytes of
-    text, or wider ones where there would be more than max_ranges; the splitters that are broadcast have length / 2 bytes a range."""
+    Documents are dealt into buckets of about bucket_bytes of text. Suffixes are dealt into ranges of as many as range_bytes
+    of text have if all are repeated, or wider ones where there would be more than max_ranges; the splitters that are
+    broadcast have length / 2 bytes a range."""
     missing = F.lit(-(1 << 63))
     text = text_or_empty(text_col)
     docs = df.select(F.coalesce(F.col(id_col).cast("bigint"), missing).alias("id"), row_key(id_col, text).alias("key"), text.alias("text"))
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n = max(1, -(-total // bucket_bytes))
 
-    splitters = df.sparkSession.sparkContext.broadcast(splitting_grams(docs, length, min(max_ranges, max(1, -(-total // range_bytes))), range_bytes, sampled))
-
+    # A text has about 2 anchors in length / 2 + 2 bytes.
+    suffixes = max(range_bytes, total // max_ranges) * 2 / (length // 2 + 2)
+    thin = max(1, int(suffixes) // PER_RANGE)
     dealt = lambda x: x.repartition(n, "bucket").groupBy("bucket")
-    found = dealt(docs.mapInArrow(_sent_anchors(length, n), BLOCKS)).applyInPandas(_repeated_anchors(n), BLOCKS)
+    found = written(dealt(docs.mapInArrow(_sent_anchors(length, n, thin), BLOCKS)).applyInPandas(_repeated_anchors(n), BLOCKS))
+    splitters = df.sparkSession.sparkContext.broadcast(splitting_grams(found, length, suffixes / thin, max_ranges))
     texts = docs.mapInArrow(sent_texts(n), BLOCKS)
-    suffixes = dealt(texts).cogroup(dealt(found)).applyInPandas(_sent_suffixes(length, splitters), BLOCKS)
+    suffixes = dealt(texts).cogroup(dealt(found.where("bucket >= 0"))).applyInPandas(_sent_suffixes(length, splitters), BLOCKS)
     marked = written(dealt(suffixes).applyInPandas(_marked_spans(length, n), BLOCKS))
     across = dealt(marked.where(F.col("bucket") >= n)).applyInPandas(_across(length, n), BLOCKS)
     spans = marked.where(F.col("bucket") < n).unionByName(across)
