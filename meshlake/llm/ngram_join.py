@@ -41,7 +41,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .blocks import BLOCKS, block_rows, by_bucket, doc_bucket, first_rows, numbers_of, packed, planes, runs_of, sent_texts, texts_of, unpacked
+from .blocks import BLOCKS, block_rows, by_bucket, doc_bucket, first_rows, give_back, numbers_of, packed, planes, runs_of, sent_texts, texts_of, unpacked
 from .common import row_key, text_or_empty, written
 from .components import components
 from .repeats import join_groups
@@ -146,6 +146,8 @@ def _sent_shingles(size: int, percent: int, n: int):
                     held, many = [], 0
         if many:
             yield flush(*map(np.concatenate, zip(*held)))
+        held = None
+        give_back()
 
     return send
 
@@ -177,6 +179,7 @@ def _frequencies(n: int):
             for b, i in by_bucket(doc_bucket(of[keep], n)) if len(keep) else ():
                 i = keep[i]
                 out.append((b, packed(of[i], token[i], total[i].astype(np.uint8))))
+        give_back()
         return pd.DataFrame(out, columns=["bucket", "payload"])
 
     return count
@@ -218,6 +221,7 @@ def _measured(size: int, percent: int):
                     some = slice(low[i], high[i])
                     first = _first_order(grams, token[some], frequency[some], percent)
                     rows.append((ids[i], keys[i], many[i], len(grams), signature(grams), first.view(np.int64).tolist(), grams.tobytes() if len(first) else None))
+        give_back()
         return pd.DataFrame(rows, columns=["id", "key", "many", "n", "sig", "tokens", "grams"])
 
     return measure

@@ -34,6 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .blocks import give_back
 from .common import text_or_empty, written
 
 #: Words kept in each of the two generations of a worker's cache of token ids.
@@ -109,8 +110,8 @@ def pieces(df: DataFrame, tokenizer_path: str, capacity: int, end_id: int, id_co
         coder, end = _coder(tokenizer_path), int(end_id).to_bytes(4, "little")
         for batch in batches:
             row, piece, start, length, crc = [], [], [], [], []
-            for i, raw in enumerate(batch.column("text").to_pylist()):
-                ids = coder.encode(raw) + end
+            for i, raw in enumerate(batch.column("text")):
+                ids = coder.encode(raw.as_py()) + end
                 for k, at in enumerate(range(0, len(ids), 4 * capacity)):
                     part = ids[at : at + 4 * capacity]
                     row.append(i)
@@ -120,6 +121,7 @@ def pieces(df: DataFrame, tokenizer_path: str, capacity: int, end_id: int, id_co
                     crc.append(zlib.crc32(part))
             ids = batch.column("id").take(pa.array(row, pa.int64()))
             yield pa.RecordBatch.from_arrays([ids, pa.array(piece, pa.int32()), *(pa.array(x, pa.int64()) for x in (start, length, crc))], ["id", "piece", "start", "length", "ids_crc32"])
+        give_back()
 
     kind = df.schema[id_col].dataType.simpleString()
     texts = df.select(F.col(id_col).alias("id"), text_or_empty(text_col).cast("binary").alias("text"))
