@@ -38,7 +38,7 @@ from .blocks import give_back
 from .common import text_or_empty, written
 
 #: Words kept in each of the two generations of a worker's cache of token ids.
-CACHED_WORDS = 400_000
+CACHED_WORDS = 200_000
 _coders: dict[str, WordCoder] = {}
 
 
