@@ -110,8 +110,9 @@ def count_in_range(df: DataFrame, low: float, high: float) -> DataFrame:
 
 
 def n_rows(df: DataFrame) -> int:
-    """Rows of a matrix: the greatest number and one."""
-    return (df.agg(F.max("row_id")).first()[0] or -1) + 1
+    """Rows of a matrix: the greatest number and one; 0 of an empty one."""
+    greatest = df.agg(F.max("row_id")).first()[0]
+    return 0 if greatest is None else greatest + 1
 
 
 def get_at(df: DataFrame, rows: slice, cols: slice, width: int) -> DataFrame:
@@ -150,6 +151,15 @@ def from_list(spark: SparkSession, rows: list[list[float]]) -> DataFrame:
     return spark.createDataFrame([(k, [float(v) for v in r]) for k, r in enumerate(rows)], "row_id bigint, vals array<double>")
 
 
+def from_rows(df: DataFrame, order: list[str], columns: list[str]) -> DataFrame:
+    """A matrix of columns of a table, its rows in an order; columns must be numbers, of one kind once they are doubles."""
+    kinds = dict(df.dtypes)
+    wrong = [c for c in columns if kinds[c] not in ("tinyint", "smallint", "int", "bigint", "float", "double") and not kinds[c].startswith("decimal")]
+    if wrong:
+        raise ValueError(f"columns {wrong} are no numbers")
+    return dense_ids(df.select(*dict.fromkeys([*order, *columns])), order).select("row_id", F.array(*(F.col(c).cast("double") for c in columns)).alias("vals"))
+
+
 def flatten(df: DataFrame, width: int) -> DataFrame:
     """(cell, val) of every cell, numbered in row-major order."""
     return cells(df).select((F.col("n") * width + F.col("m")).alias("cell"), "val")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import vec
@@ -52,9 +52,52 @@ def smoothed(df: DataFrame, order: str, value: str, sigma: float) -> DataFrame:
     return df.join(sums, order)
 
 
+def histogram_extrema(histogram: DataFrame, order: str = "bin", value: str = "n", sigma: float = 3.0, reach: int = 5, filtered: bool = True) -> DataFrame:
+    """(order, value, kind): the maxima and minima of a histogram, one row for each bin from its first to its last.
+
+    The first bin that holds something is set to 0 and counts as a minimum; the rest is smoothed by a normal curve with
+    mirrored ends, and a bin is an extreme if its smoothed value is beyond those of `reach` bins on either side. Filtered,
+    a maximum stays if it is by half the mean count over the nearest minimum before it, or by as much under the nearest one
+    behind it, and a minimum if it is beside such a maximum. Rows are bins, so windows without keys are small."""
+    first = histogram.where(F.col(value) > 0).agg(F.min(order).alias("_first"))
+    ends = histogram.agg(F.min(order).alias("_low"), F.max(order).alias("_high"))
+    bins = histogram.crossJoin(F.broadcast(first)).crossJoin(F.broadcast(ends))  # one row each
+    bins = bins.withColumn("_v", F.when(F.col(order) == F.col("_first"), 0.0).otherwise(F.col(value).cast("double")))
+    n = F.col("_high") - F.col("_low") + 1
+    wide = max(1, int(4 * sigma + 0.5))
+    weights = [math.exp(-k * k / (2 * sigma * sigma)) for k in range(-wide, wide + 1)]
+    steps = F.array(*(F.struct(F.lit(k).alias("k"), F.lit(w / sum(weights)).alias("w")) for k, w in zip(range(-wide, wide + 1), weights)))
+    # Each bin asks for its neighbours; places beyond an end are mirrored, the end itself twice.
+    asked = bins.select(F.col(order).alias("_to"), n.alias("_n"), "_low", F.explode(steps).alias("_s"))
+    place = F.pmod(F.col("_to") - F.col("_low") + F.col("_s.k"), 2 * F.col("_n"))
+    asked = asked.select("_to", F.col("_s.w").alias("_w"), (F.least(place, 2 * F.col("_n") - 1 - place) + F.col("_low")).alias(order))
+    smooth = asked.join(bins.select(order, "_v"), order).groupBy(F.col("_to").alias(order)).agg(F.sum(F.col("_w") * F.col("_v")).alias("_smooth"))
+    bins = bins.join(smooth, order)
+    w = Window.orderBy(order)
+    near = lambda f: f(*(g("_smooth", k).over(w) for k in range(1, reach + 1) for g in (F.lag, F.lead)))
+    # Near an end a bin is compared with those that are there; an end is no extreme.
+    inner = (F.col(order) > F.col("_low")) & (F.col(order) < F.col("_high"))
+    kind = F.when(inner & (F.col("_smooth") > near(F.greatest)), "max").when(inner & (F.col("_smooth") < near(F.least)), "min")
+    found = bins.withColumn("kind", F.when(F.col(order) == F.col("_first"), "min").otherwise(kind))
+    mean = found.agg((F.avg("_v") * 0.5).alias("_limit"))
+    found = found.where("kind is not null").crossJoin(F.broadcast(mean))  # one row
+    if filtered:
+        least = F.when(F.col("kind") == "min", F.struct(F.col(order).alias("o"), F.col("_v").alias("v")))
+        before = F.last(least, True).over(w.rowsBetween(Window.unboundedPreceding, -1))
+        behind = F.first(least, True).over(w.rowsBetween(1, Window.unboundedFollowing))
+        found = found.withColumns({"_l": before, "_r": behind})
+        stays = (F.col("kind") == "max") & (F.coalesce(F.col("_v") - F.col("_l.v") > F.col("_limit"), F.lit(False)) | F.coalesce(F.col("_r.v") - F.col("_v") > F.col("_limit"), F.lit(False)))
+        found = found.withColumns({"_stays": stays, "_run": F.sum((F.col("kind") == "min").cast("int")).over(w)})
+        # Maxima between two minima are beside both of them.
+        kept = found.groupBy("_run").agg(F.bool_or("_stays").alias("_kept")).where("_kept")
+        beside = kept.select(F.explode(F.array("_run", F.col("_run") + 1)).alias("_run")).distinct().withColumn("_beside", F.lit(True))
+        found = found.join(beside, "_run", "left").where(F.col("_stays") | ((F.col("kind") == "min") & F.col("_beside")))
+    return found.select(order, F.col("_v").alias(value), "kind")
+
+
 def is_ct(histogram: DataFrame, order: str = "bin", value: str = "n", sigma: float = 3.0, least: int = 3) -> DataFrame:
-    """(is_ct): whether a smoothed histogram has more than `least` maxima."""
-    peaks = agg.extrema(smoothed(histogram, order, value, sigma).select(order, "smooth"), order, "smooth").where("kind = 'max'")
+    """(is_ct): whether a histogram has more than `least` maxima, as `histogram_extrema` finds and filters them."""
+    peaks = histogram_extrema(histogram, order, value, sigma).where("kind = 'max'")
     return peaks.agg((F.count("*") > least).alias("is_ct"))
 
 

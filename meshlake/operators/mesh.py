@@ -138,10 +138,15 @@ def evaluate_at(places: DataFrame, elements: DataFrame, values: DataFrame, elem_
     return places.join(corners, "elem_id").select("elem_id", "point_id", total.alias("val"))
 
 
-def random_points(spark: SparkSession, n: int) -> DataFrame:
-    """(id, x, y, w): points of the unit square and a weight, all from hashes of their numbers."""
-    part = lambda k: F.conv(F.substring(F.md5(F.col("id").cast("string")), k, 8), 16, 10).cast("bigint")
-    return spark.range(n).select("id", (part(1) / 4294967296.0).alias("x"), (part(9) / 4294967296.0).alias("y"), part(17).alias("w"))
+def positions_at(places: DataFrame, elements: DataFrame, nodes: DataFrame, elem_type: str) -> DataFrame:
+    """places (elem_id, xi, ...) with p, the point there: nodes weighted by their functions; null where a node is missing. nodes: (node_id, p)."""
+    from .spatial import with_corners
+
+    dims = basis.GEOMETRIES[basis.element_type(elem_type)[0]][0]
+    weights = F.array(*basis.lagrange(elem_type, [F.get("xi", k) for k in range(dims)]))
+    joined = places.join(with_corners(elements, nodes).select("elem_id", "cnodes"), "elem_id").withColumn("_w", weights)
+    total = lambda c: F.aggregate(F.zip_with("cnodes", "_w", lambda p, w: p[c] * w), F.lit(0.0), lambda s, v: s + v)
+    return joined.withColumn("p", F.struct(*(total(c).alias(c) for c in "xyz"))).drop("cnodes", "_w")
 
 
 def hermite_matrices(a: DataFrame, b: DataFrame, start: DataFrame, end: DataFrame, t: float) -> DataFrame:

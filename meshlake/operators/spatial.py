@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import math
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import basis, vec
+from .grid import CELL, box_of, levels_of, with_box_cells, with_point_cells
+from .stored import stored
 
 
 def cell(p: Column, low: tuple, high: tuple, depth: int) -> list[Column]:
@@ -54,9 +57,9 @@ def dedup_nodes(nodes: DataFrame, digits: int = 9) -> DataFrame:
     """(node_id, keep_id): nodes with equal rounded coordinates share the least id.
 
     Equality by rounding is transitive, unlike a distance: nodes nearer than the rounding step stay apart if an edge of rounding lies between them."""
-    key = [F.round(F.col("p")[c], digits).alias(f"_{c}") for c in "xyz"]
-    least = F.min("node_id").over(Window.partitionBy("_x", "_y", "_z"))
-    return nodes.select("node_id", *key).withColumn("keep_id", least).select("node_id", "keep_id")
+    keyed = nodes.select("node_id", F.struct(*(F.round(F.col("p")[c], digits).alias(c) for c in "xyz")).alias("_key"))
+    least = keyed.groupBy("_key").agg(F.min("node_id").alias("keep_id"))
+    return keyed.join(least.withColumnRenamed("_key", "_k"), F.col("_key").eqNullSafe(F.col("_k"))).select("node_id", "keep_id")
 
 
 def reindex(index: DataFrame, key: str = "elem_id", ids: str = "node_ids") -> DataFrame:
@@ -135,19 +138,17 @@ def tet_xi(p: Column, a: Column, b: Column, c: Column, d: Column) -> Column:
     return vec.vec(vec.dot(r, vec.cross(v, w)) / det, vec.dot(u, vec.cross(r, w)) / det, vec.dot(u, vec.cross(v, r)) / det)
 
 
-def locate(points: DataFrame, tets: DataFrame, low: tuple, high: tuple, depth: int, eps: float = 1e-9) -> DataFrame:
+def locate(points: DataFrame, tets: DataFrame, size: float, eps: float = 1e-9) -> DataFrame:
     """(id, elem_id, xi): the tetrahedra that hold points (id, p). tets: (elem_id, a, b, c, d).
 
-    Points meet the tetrahedra whose bounding boxes touch their grid cell, so depth should make cells about as large as elements."""
-    corners = F.array("a", "b", "c", "d")
-    least = vec.vec(*(F.array_min(F.transform(corners, lambda p: p[c])) for c in "xyz"))
-    most = vec.vec(*(F.array_max(F.transform(corners, lambda p: p[c])) for c in "xyz"))
-    key = lambda x, y, z: x + y * (1 << depth) + z * (1 << 2 * depth)
-    ends = [F.sequence(i, j) for i, j in zip(cell(least, low, high, depth), cell(most, low, high, depth))]
-    placed = tets.withColumn("_x", F.explode(ends[0])).withColumn("_y", F.explode(ends[1])).withColumn("_z", F.explode(ends[2]))
-    placed = placed.withColumn("_cell", key(F.col("_x"), F.col("_y"), F.col("_z"))).drop("_x", "_y", "_z")
-    found = points.withColumn("_cell", key(*cell(F.col("p"), low, high, depth))).join(placed, "_cell")
-    found = found.withColumn("xi", tet_xi(F.col("p"), F.col("a"), F.col("b"), F.col("c"), F.col("d")))
+    Tetrahedra are dealt to the few cells of their level that their boxes touch, points to one cell of each level; a pair
+    whose point lies outside the box goes no further. Cells of level 0 should be about as large as small elements."""
+    low, high = box_of([F.col(c) for c in "abcd"])
+    boxed = stored(tets.select("elem_id", *"abcd", low.alias("_low_at"), high.alias("_high_at")))
+    placed = stored(with_box_cells(boxed, F.col("_low_at"), F.col("_high_at"), size))
+    asked = with_point_cells(points.select("id", "p"), F.col("p"), size, levels_of(placed) or [0])
+    found = asked.join(placed, CELL).where(reduce(lambda x, y: x & y, (F.col("p")[c].between(F.col("_low_at")[c] - size * eps, F.col("_high_at")[c] + size * eps) for c in "xyz")))
+    found = found.withColumn("xi", tet_xi(F.col("p"), *(F.col(c) for c in "abcd")))
     total = F.col("xi.x") + F.col("xi.y") + F.col("xi.z")
     inside = (F.least("xi.x", "xi.y", "xi.z") >= -eps) & (total <= 1 + eps)
     return found.where(inside).select("id", "elem_id", "xi")
@@ -166,6 +167,36 @@ def thin_points(points: DataFrame, distance: float, priority: str) -> DataFrame:
     return placed.join(sent, (placed["_a"] == sent["_a"]) & (placed["_b"] == sent["_b"]) & near, "left_anti").drop("_a", "_b")
 
 
+def maximal_points(points: DataFrame, distance: float, priority: str, coordinates: tuple[str, ...] = ("x", "y")) -> DataFrame:
+    """The points (id, coordinates, priority) that a greedy choice by priority, then id, takes when no two may be nearer than a distance: a maximal Poisson-disc sample.
+
+    A round takes every point that is first among those within the distance that are left, and drops their neighbours; it
+    ends when none is left, after about log n rounds for random priorities. Cells are so small that only one point of a
+    cell can be taken, its first. So a point meets one point of each of the cells around it, however dense they are."""
+    side, reach = distance / math.sqrt(len(coordinates)), math.ceil(math.sqrt(len(coordinates)))
+    cells = [f"_c{k}" for k in range(len(coordinates))]
+    order = F.struct(F.col(priority).alias("p"), F.col("id").alias("id"))
+    left = stored(points.select("id", *coordinates, priority, order.alias("_o"), *(F.floor(F.col(c) / side).alias(k) for c, k in zip(coordinates, cells))))
+    chosen = left.limit(0)
+
+    def around(df: DataFrame) -> DataFrame:
+        for k in cells:
+            df = df.withColumn("_s", F.explode(F.sequence(F.col(k) - reach, F.col(k) + reach))).drop(k).withColumnRenamed("_s", k)
+        return df
+
+    near = reduce(lambda a, b: a + b, (F.pow(F.col(c) - F.col(f"_f{k}"), 2) for k, c in enumerate(coordinates))) < distance * distance
+    while not left.isEmpty():
+        first = left.groupBy(*cells).agg(F.min_by(F.struct("id", *coordinates, priority, "_o"), "_o").alias("_w")).select(*cells, "_w.*")
+        first = stored(first)
+        rivals = around(left.select(*coordinates, F.col("_o").alias("_r"), *cells)).join(first.select(*cells, F.col("_o"), *(F.col(c).alias(f"_f{k}") for k, c in enumerate(coordinates))), cells)
+        blocked = rivals.where((F.col("_r") < F.col("_o")) & near).select(*cells).distinct()
+        taken = stored(first.join(blocked, cells, "left_anti").select(*left.columns))
+        chosen = chosen.unionByName(taken)
+        gone = left.join(around(taken.select(*cells, *(F.col(c).alias(f"_f{k}") for k, c in enumerate(coordinates)))), cells).where(near).select("id")
+        left = stored(left.join(gone, "id", "left_anti"))
+    return points.join(chosen.select("id"), "id", "left_semi")
+
+
 def nearest_plane(points: DataFrame, planes: DataFrame, key: str) -> DataFrame:
     """points (key, id, p) with the nearest plane (key, plane_id, at, normal) of their key and the point projected on it; ties go to the least plane.
 

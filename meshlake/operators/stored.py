@@ -27,6 +27,35 @@ def stored(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def around(df: DataFrame, keys: list[str], order: list[str], value: str, rows_per_task: int = 1_000_000) -> DataFrame:
+    """df with `before` and `after`: a value's last one that is not null up to a row of its key in an order, and the first one from it on.
+
+    A key may span many tasks: rows are range-partitioned by key and order and written once; of each key's part only its
+    first and last value go on to the others. Few enough rows for one task are not written. Ties are in any order."""
+    n = df.count()
+    tied = df.withColumn("_tie", F.monotonically_increasing_id())
+    parts = tied.withColumn("_part", F.lit(0))
+    if n > rows_per_task:
+        parts = tied.repartitionByRange(-(-n // rows_per_task), *keys, *order, "_tie")
+        parts = stored(parts.withColumn("_part", F.spark_partition_id()))
+    w = Window.partitionBy("_part", *keys).orderBy(*order, "_tie")
+    own = {"before": F.last(value, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0)), "after": F.first(value, ignorenulls=True).over(w.rowsBetween(0, Window.unboundedFollowing))}
+    found = parts.withColumns(own)
+    if n > rows_per_task:
+        at = F.when(F.col(value).isNotNull(), F.struct(*order, "_tie"))
+        ends = parts.groupBy(*keys, "_part").agg(F.max_by(value, at).alias("_last"), F.min_by(value, at).alias("_first"))
+        across = Window.partitionBy(*keys).orderBy("_part")
+        past = F.last("_last", ignorenulls=True).over(across.rowsBetween(Window.unboundedPreceding, -1))
+        next_ = F.first("_first", ignorenulls=True).over(across.rowsBetween(1, Window.unboundedFollowing))
+        ends = ends.select(*(F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)), F.col("_part").alias("_p"), past.alias("_past"), next_.alias("_next"))
+        same = F.col("_part") == F.col("_p")
+        for i, k in enumerate(keys):
+            same = same & F.col(k).eqNullSafe(F.col(f"_k{i}"))
+        found = found.join(ends, same).withColumns({"before": F.coalesce("before", "_past"), "after": F.coalesce("after", "_next")})
+        found = found.drop("_p", "_past", "_next", *(f"_k{i}" for i in range(len(keys))))
+    return found.drop("_tie", "_part")
+
+
 def numbered(df: DataFrame, keys: list[str], order: list[str], out: str = "row_id", rows_per_task: int = 1_000_000) -> DataFrame:
     """df with numbers from 0 within each key (over all rows without keys), in an order; a key may span many tasks.
 

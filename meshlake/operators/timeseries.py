@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import basis
-from .stored import numbered
+from .stored import around, numbered
 
 
 def timestep_groups(df: DataFrame, keys: list[str], time: str, tie: str) -> DataFrame:
@@ -14,19 +14,16 @@ def timestep_groups(df: DataFrame, keys: list[str], time: str, tie: str) -> Data
     return numbered(df, keys, [time, tie], "step").groupBy("step").agg(F.avg(time).alias("step_time"), F.count("*").alias("n"), F.min(tie).alias("first_id"), F.max(tie).alias("last_id"))
 
 
-def nearest(times: DataFrame, steps: DataFrame, keys: list[str], time: str, step_time: str, tie: str) -> DataFrame:
+def nearest(times: DataFrame, steps: DataFrame, keys: list[str], time: str, step_time: str, tie: str, rows_per_task: int = 1_000_000) -> DataFrame:
     """For each row of times the row of steps with the nearest time and the least tie of equal ones.
 
-    An as-of join by windows: both sides are sorted together once per key; the nearest step lies just before or just after."""
+    An as-of join: both sides are sorted together once; the nearest step lies just before or just after. A key may span many tasks."""
     at = lambda df, c, own: df.select(*keys, F.col(c).cast("double").alias("_t"), F.lit(own).alias("_own"), (F.struct(*[x for x in df.columns if x not in keys])).alias("_row"))
     left = at(times, time, 1).withColumnRenamed("_row", "_left")
     groups = steps.groupBy(*keys, F.col(step_time).alias("_s")).agg(F.min(tie).alias("_tie"))
     right = groups.select(*keys, F.col("_s").cast("double").alias("_t"), F.lit(0).alias("_own"), F.struct(F.col("_s").cast("double").alias("t"), F.col("_tie").alias("tie")).alias("_step"))
     both = left.withColumn("_step", F.lit(None).cast(right.schema["_step"].dataType)).unionByName(right.withColumn("_left", F.lit(None).cast(left.schema["_left"].dataType)))
-    w = Window.partitionBy(*keys).orderBy("_t", "_own")
-    before = F.last("_step", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0))
-    after = F.first("_step", ignorenulls=True).over(w.rowsBetween(0, Window.unboundedFollowing))
-    found = both.withColumns({"_b": before, "_a": after}).where("_own = 1")
+    found = around(both, keys, ["_t", "_own"], "_step", rows_per_task).withColumnsRenamed({"before": "_b", "after": "_a"}).where("_own = 1")
     gap = lambda c: F.abs(F.col(c)["t"] - F.col("_t"))
     take_after = F.col("_b").isNull() | (gap("_a") < gap("_b")) | ((gap("_a") == gap("_b")) & (F.col("_a")["tie"] < F.col("_b")["tie"]))
     best = F.when(F.col("_a").isNotNull() & take_after, F.col("_a")).otherwise(F.col("_b"))
@@ -73,13 +70,14 @@ def sequence_times(df: DataFrame, order: list[str], per_step: int, times: float,
 
 
 def successive(df: DataFrame, keys: list[str], order: list[str], value: str, cyclic: bool = False) -> DataFrame:
-    """Each value with the next one; the last with the first if cyclic, else without a row."""
-    w = Window.partitionBy(*keys).orderBy(*order)
-    after = F.lead(value).over(w)
-    last = F.lead(F.lit(1)).over(w).isNull()
-    first = F.first(value).over(w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
-    out = df.withColumns({"next_value": F.when(last, first).otherwise(after) if cyclic else after, "_last": last})
-    return (out if cyclic else out.where("not _last")).drop("_last")
+    """Each value with the next one; the last with the first if cyclic, else without a row. Rows meet by their numbers, so a key may span many tasks; keys are not null."""
+    ranked = numbered(df, keys, order, "_k")
+    place = F.col("_k") - 1
+    if cyclic:
+        sizes = ranked.groupBy(*keys).agg(F.count("*").alias("_n"))
+        place = F.pmod(F.col("_k") - 1, F.col("_n"))
+    after = (ranked.join(sizes, keys) if cyclic else ranked).select(*keys, place.alias("_k"), F.col(value).alias("next_value"))
+    return ranked.join(after, [*keys, "_k"]).drop("_k")
 
 
 def chunks(df: DataFrame, keys: list[str], order: list[str], value: str, width: int) -> DataFrame:
@@ -90,8 +88,9 @@ def chunks(df: DataFrame, keys: list[str], order: list[str], value: str, width:
 
 
 def displacement(df: DataFrame, key: str, order: list[str], value: str) -> DataFrame:
-    first = F.first(value).over(Window.partitionBy(key).orderBy(*order))
-    return df.withColumn("displacement", F.abs(F.col(value) - first))
+    """df with how far a value is from that of its key's first row."""
+    first = df.groupBy(key).agg(F.min_by(value, F.struct(*order)).alias("_first"))
+    return df.join(first, key).withColumn("displacement", F.abs(F.col(value) - F.col("_first"))).drop("_first")
 
 
 def extract_steps(df: DataFrame, keys: list[str], time: str, tie: str, wanted: list[float], renumber: bool = False) -> DataFrame:

@@ -68,10 +68,11 @@ def shift(df: DataFrame, shifts: DataFrame, keys: list[str], rows: int, cols: in
     return moved.where(F.col("row").between(0, rows - 1) & F.col("col").between(0, cols - 1))
 
 
-def sample_stack(points: DataFrame, stack: DataFrame, rows: int, cols: int, slices: int) -> DataFrame:
+def sample_stack(points: DataFrame, stack: DataFrame, rows: int, cols: int, slices: int, keys: list[str] | None = None) -> DataFrame:
     """(id, val): trilinear samples at points (id, x, y, z) of the unit cube; outside 0. stack: (slice, row, col, val), absent pixels count 0.
 
-    Each point meets its eight pixels by their place; with one slice this is bilinear."""
+    Each point meets its eight pixels by their place; with one slice this is bilinear. With keys, points and stacks have them and meet within them."""
+    keys = keys or []
     inside = F.col("x").between(0, 1) & F.col("y").between(0, 1) & F.col("z").between(0, 1)
     at = {"row": F.col("y") * (rows - 1), "col": F.col("x") * (cols - 1), "slice": F.col("z") * (slices - 1)}
     corners = []
@@ -83,10 +84,32 @@ def sample_stack(points: DataFrame, stack: DataFrame, rows: int, cols: int, slic
             weight = weight * (share if up else 1.0 - share)
             parts.append((F.floor(c) + up).cast("bigint").alias(name))
         corners.append(F.struct(*parts, weight.alias("w")))
-    wide = points.where(inside).select("id", F.explode(F.array(*corners)).alias("c")).where("c.w > 0").select("id", "c.*")
-    cells = stack.select(*(F.col(c).cast("bigint").alias(c) for c in ("row", "col", "slice")), "val")
-    sums = wide.join(cells, ["row", "col", "slice"], "left").groupBy("id").agg(F.sum(F.col("w") * F.coalesce("val", F.lit(0.0))).alias("val"))
-    return points.select("id").join(sums, "id", "left").select("id", F.coalesce("val", F.lit(0.0)).alias("val"))
+    wide = points.where(inside).select(*keys, "id", F.explode(F.array(*corners)).alias("c")).where("c.w > 0").select(*keys, "id", "c.*")
+    cells = stack.select(*keys, *(F.col(c).cast("bigint").alias(c) for c in ("row", "col", "slice")), "val")
+    sums = wide.join(cells, [*keys, "row", "col", "slice"], "left").groupBy(*keys, "id").agg(F.sum(F.col("w") * F.coalesce("val", F.lit(0.0))).alias("val"))
+    return points.select(*keys, "id").join(sums, [*keys, "id"], "left").select(*keys, "id", F.coalesce("val", F.lit(0.0)).alias("val"))
+
+
+def resample_volume(df: DataFrame, keys: list[str], shape: tuple[int, int, int], new: tuple[int, int, int]) -> DataFrame:
+    """(keys, slice, row, col, val): volumes of a shape (slices, rows, cols) on another grid over the same space, ends on ends; absent pixels count 0."""
+    names = ("slice", "row", "col")
+    grid = df.select(*keys).distinct() if keys else df.sparkSession.range(1).select()
+    for c, n in zip(names, new):
+        grid = grid.withColumn(c, F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
+    place = [F.col(c) / float(max(1, n - 1)) for c, n in zip(names, new)]
+    asked = grid.select(*keys, F.struct(*names).alias("id"), place[2].alias("x"), place[1].alias("y"), place[0].alias("z"))
+    found = sample_stack(asked, df, shape[1], shape[2], shape[0], keys)
+    return found.select(*keys, "id.*", "val")
+
+
+def merge_volumes(frames: list[tuple[DataFrame, tuple[int, int, int]]], keys: list[str], new: tuple[int, int, int], how: str = "max") -> DataFrame:
+    """Volumes (frame, shape) of several shapes resampled to one grid and merged voxel by voxel: a union and one aggregation."""
+    kinds = {"max": F.max, "min": F.min, "avg": F.avg, "sum": F.sum}
+    parts = [resample_volume(df, keys, shape, new) for df, shape in frames]
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return out.groupBy(*keys, "slice", "row", "col").agg(kinds[how]("val").alias("val"))
 
 
 def dilate_volume(df: DataFrame, keys: list[str], reach: int) -> DataFrame:
@@ -155,16 +178,6 @@ def mask_volume(df: DataFrame, keys: list[str], voxel: float) -> DataFrame:
     return most.select(*keys, (F.col("_n") * float(voxel)).alias("volume"))
 
 
-def motion(df: DataFrame, keys: list[str], time: str, steps: int) -> DataFrame:
-    """(keys, motion): the magnitudes of a pixel's Fourier terms over time, without the constant one, summed. Absent steps count 0.
-
-    Each value is sent to the terms it adds to, and partial sums combine before the shuffle."""
-    terms = df.select(*keys, F.col(time).alias("_t"), "val", F.explode(F.sequence(F.lit(1), F.lit(steps - 1))).alias("_k"))
-    angle = F.col("_k") * F.col("_t") * (2 * math.pi / steps)
-    sums = terms.groupBy(*keys, "_k").agg(F.sum(F.col("val") * F.cos(angle)).alias("_re"), F.sum(F.col("val") * F.sin(angle)).alias("_im"))
-    return sums.groupBy(*keys).agg(F.sum(F.sqrt(F.col("_re") ** 2 + F.col("_im") ** 2)).alias("motion"))
-
-
 def over_percentile(df: DataFrame, keys: list[str], value: str, share: float) -> DataFrame:
     """Rows of at least their keys' percentile."""
     limits = df.groupBy(*keys).agg(F.percentile(value, share).alias("_p"))
@@ -179,6 +192,23 @@ def image_stack(spark: SparkSession, width: int, height: int, slices: int, steps
     return spark.range(width * height * slices * steps).select(image.alias("image_id"), (image % slices).alias("slice"), step.alias("step"), (start + step * float(interval)).alias("ts"), (F.floor(i / width) % height).alias("row"), (i % width).alias("col"))
 
 
+def image_stacks(objects: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, image_id, slice, step, ts, row, col) of a generated image object for each row of (keys, width, height, slices, steps, start, interval), numbered as by `image_stack`."""
+    count = lambda c: F.explode(F.sequence(F.lit(0).cast("bigint"), F.col(c).cast("bigint") - 1))
+    wide = objects.withColumn("step", count("steps")).withColumn("slice", count("slices")).withColumn("row", count("height")).withColumn("col", count("width"))
+    return wide.select(*keys, (F.col("step") * F.col("slices") + F.col("slice")).alias("image_id"), "slice", "step", (F.col("start") + F.col("step") * F.col("interval")).alias("ts"), "row", "col")
+
+
+def from_flat(df: DataFrame, keys: list[str], values: str, shape: tuple[int, int, int, int], interval: float = 1.0, start: float = 0.0) -> DataFrame:
+    """Flat arrays, x fastest, of a 4-D shape (x, y, z, t) as pixels of image objects: (keys, image_id, slice, step, ts, row, col, val)."""
+    width, height, slices, _ = shape
+    wide = df.select(*keys, F.posexplode(values).alias("_i", "val"))
+    i = F.col("_i").cast("bigint")
+    image = F.floor(i / (width * height))
+    step = F.floor(image / slices)
+    return wide.select(*keys, image.alias("image_id"), (image % slices).alias("slice"), step.alias("step"), (start + step * float(interval)).alias("ts"), (F.floor(i / width) % height).alias("row"), (i % width).alias("col"), F.col("val").cast("double").alias("val"))
+
+
 def ellipsoid(stack: DataFrame, center: tuple, radii: tuple, shell: float = 0.1) -> DataFrame:
     """stack with val 1 in the shell of an ellipsoid (col, row, slice), 0 elsewhere."""
     d = F.sqrt(sum(((F.col(c) - float(m)) / float(r)) ** 2 for c, m, r in zip(("col", "row", "slice"), center, radii)))
@@ -248,25 +278,6 @@ def slice_triangles(tets: DataFrame, at: Column, normal: Column) -> DataFrame:
     return iso_triangles(tets.withColumn("corners", valued), 0.0)
 
 
-def low_pass(df: DataFrame, keys: list[str], rows: int, cols: int, radius: float) -> DataFrame:
-    """(keys, row, col, val): images without frequencies beyond a radius, counted in periods over the image; absent pixels count 0.
-
-    The Fourier sums go along rows, then columns, and back; each is an aggregation whose partial sums combine before the shuffle."""
-
-    def along(x: DataFrame, source: str, target: str, n: int, others: list[str], sign: int) -> DataFrame:
-        angle = F.col("_k") * F.col(source) * (2 * math.pi * sign / n)
-        wide = x.withColumn("_k", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
-        turned = {"re": F.col("re") * F.cos(angle) - F.col("im") * F.sin(angle), "im": F.col("re") * F.sin(angle) + F.col("im") * F.cos(angle)}
-        return wide.groupBy(*keys, *others, F.col("_k").alias(target)).agg(*(F.sum(c).alias(k) for k, c in turned.items()))
-
-    x = df.select(*keys, "row", "col", F.col("val").alias("re"), F.lit(0.0).alias("im"))
-    x = along(along(x, "row", "u", rows, ["col"], -1), "col", "v", cols, ["u"], -1)
-    distance = lambda c, n: F.least(F.col(c), n - F.col(c))
-    x = x.where(F.pow(distance("u", rows), 2) + F.pow(distance("v", cols), 2) <= radius * radius)
-    x = along(along(x, "u", "row", rows, ["v"], 1), "v", "col", cols, ["row"], 1)
-    return x.select(*keys, "row", "col", (F.col("re") / (rows * cols)).alias("val"))
-
-
 def mask_edges(mask: DataFrame, keys: list[str]) -> DataFrame:
     """(keys, row, col, dr, dc): the sides of a mask's pixels beyond which there is none of it: the contours of its objects and of their holes."""
     sides = F.array(*(F.struct(F.lit(a).alias("dr"), F.lit(b).alias("dc")) for a, b in ((-1, 0), (1, 0), (0, -1), (0, 1))))

@@ -8,13 +8,32 @@ from ..functions import basis, vec
 from ..operators import agg, mesh, spatial
 from .registry import query, table
 
-#: SQL for the points p, q, r and s in the first twelve dimensions of an embedding.
-POINTS = "WITH e AS (SELECT vec_id, label, " + ", ".join(f"embedding[{3 * k + j + 1}]::DOUBLE AS {n}{c}" for k, n in enumerate("pqrs") for j, c in enumerate("xyz")) + " FROM embeddings) "
+#: SQL for four points p, q, r and s in twelve dimensions of an embedding, from each fourth one on, around the end: sixteen rows a vector.
+POINTS = "WITH e AS (SELECT vec_id * 16 + g AS vec_id, label, " + ", ".join(f"embedding[(4 * g + {3 * k + j}) % 64 + 1]::DOUBLE AS {n}{c}" for k, n in enumerate("pqrs") for j, c in enumerate("xyz")) + " FROM embeddings, range(0, 16) t(g)) "
 
 
 def points(spark, d):
-    e = table(spark, d, "embeddings")
-    return e.select("vec_id", "label", *(vec.from_array(F.col("embedding"), 3 * k).alias(n) for k, n in enumerate("pqrs")))
+    """(vec_id, label, p, q, r, s): the points are made as they are exploded, so that formulas over them do not repeat how."""
+    value = lambda g, k: F.get("embedding", (g * 4 + k) % 64).cast("double")
+    group = lambda g: F.struct(g.alias("g"), *(vec.vec(*(value(g, 3 * k + j) for j in range(3))).alias(n) for k, n in enumerate("pqrs")))
+    e = table(spark, d, "embeddings").select("vec_id", "label", F.explode(F.transform(F.sequence(F.lit(0), F.lit(15)), group)).alias("x"))
+    return e.select((F.col("vec_id") * 16 + F.col("x.g")).alias("vec_id"), "label", *(F.col(f"x.{n}").alias(n) for n in "pqrs"))
+
+
+#: SQL for parts as nodes of a lattice of 10 × 10 in layers, and its hexahedra.
+LATTICE = """WITH n AS (SELECT p_partkey AS id, p_partkey % 10 AS x, p_partkey // 10 % 10 AS y, p_partkey // 100 AS z, p_retailprice AS val, p_size::DOUBLE AS size FROM part),
+e AS (SELECT a.id, a.x, a.y, a.z FROM n a WHERE a.x < 9 AND a.y < 9 AND (SELECT count(*) FROM n b WHERE b.id IN (a.id + 1, a.id + 10, a.id + 11, a.id + 100, a.id + 101, a.id + 110, a.id + 111)) = 7) """
+
+
+def part_lattice(spark, d):
+    """(nodes, elements): parts by their number on a lattice of 10 × 10 in layers, and the hexahedra whose eight corners are there."""
+    key = F.col("p_partkey").cast("bigint")
+    at = vec.vec((key % 10).cast("double"), (F.floor(key / 10) % 10).cast("double"), F.floor(key / 100).cast("double"))
+    nodes = table(spark, d, "part").select(key.alias("node_id"), at.alias("p"), F.col("p_retailprice").alias("val"), F.col("p_size").cast("double").alias("size"))
+    steps = [a + 10 * b + 100 * c for c in (0, 1) for b in (0, 1) for a in (0, 1)]
+    firsts = nodes.where("p.x < 9 and p.y < 9").select(F.col("node_id").alias("elem_id"), F.array(*(F.col("node_id") + s for s in steps)).alias("node_ids"))
+    whole = firsts.select("elem_id", F.explode("node_ids").alias("node_id")).join(nodes.select("node_id"), "node_id").groupBy("elem_id").agg(F.count("*").alias("n")).where("n = 8")
+    return nodes, firsts.join(whole.select("elem_id"), "elem_id", "left_semi")
 
 
 def out(df, **cols):
@@ -91,22 +110,22 @@ def _(spark, d):
     return out(t, near=F.get("t", 0), far=F.get("t", 1))
 
 
-@query("aabb_agg", "WITH e AS (SELECT label, embedding[1]::DOUBLE AS x, embedding[2]::DOUBLE AS y, embedding[3]::DOUBLE AS z FROM embeddings) SELECT label, round(min(x), 6) AS min_x, round(max(x), 6) AS max_x, round((min(y) + max(y)) / 2, 6) AS center_y, round(sqrt(((max(x) - min(x)) / 2) ** 2 + ((max(y) - min(y)) / 2) ** 2 + ((max(z) - min(z)) / 2) ** 2), 6) AS radius FROM e GROUP BY 1")
+@query("aabb_agg", POINTS + "SELECT label, round(min(x), 6) AS min_x, round(max(x), 6) AS max_x, round((min(y) + max(y)) / 2, 6) AS center_y, round(sqrt(((max(x) - min(x)) / 2) ** 2 + ((max(y) - min(y)) / 2) ** 2 + ((max(z) - min(z)) / 2) ** 2), 6) AS radius FROM (SELECT label, px AS x, py AS y, pz AS z FROM e) GROUP BY 1")
 def _(spark, d):
     boxes = agg.aabb(points(spark, d), ["label"], F.col("p"))
     return boxes.select("label", *(F.round(c, 6).alias(c) for c in ("min_x", "max_x", "center_y", "radius")))
 
 
 LEAF = "(least(7, greatest(0, floor(({c} + 0.5) / 1.0 * 8)))::BIGINT)"
-_bits = " + ".join(f"(((({LEAF.format(c='embedding[%d]::DOUBLE' % (k + 1))}) >> {b}) & 1) << {3 * b + k})" for b in range(3) for k in range(3))
+_bits = " + ".join(f"(((({LEAF.format(c='p' + 'xyz'[k])}) >> {b}) & 1) << {3 * b + k})" for b in range(3) for k in range(3))
 
 
-@query("octree_key", f"SELECT vec_id, {_bits} AS leaf FROM embeddings")
+@query("octree_key", POINTS + f"SELECT vec_id, {_bits} AS leaf FROM e")
 def _(spark, d):
     return points(spark, d).select("vec_id", spatial.leaf_key(F.col("p"), (-0.5,) * 3, (0.5,) * 3, 3).alias("leaf"))
 
 
-@query("octree_csr", f"SELECT {_bits} AS leaf, list(vec_id ORDER BY vec_id) AS members, count(*) AS n FROM embeddings GROUP BY 1")
+@query("octree_csr", POINTS + f"SELECT {_bits} AS leaf, list(vec_id ORDER BY vec_id) AS members, count(*) AS n FROM e GROUP BY 1")
 def _(spark, d):
     keyed = points(spark, d).select("vec_id", spatial.leaf_key(F.col("p"), (-0.5,) * 3, (0.5,) * 3, 3).alias("leaf"))
     return keyed.groupBy("leaf").agg(F.array_sort(F.collect_list("vec_id")).alias("members"), F.count("*").alias("n"))
@@ -132,11 +151,10 @@ def _(spark, d):
     return spatial.external(faces)
 
 
-@query("dedup_nodes", "SELECT vec_id AS node_id, min(vec_id) OVER (PARTITION BY round(embedding[1]::DOUBLE, 2), round(embedding[2]::DOUBLE, 2), round(embedding[3]::DOUBLE, 1)) AS keep_id FROM (SELECT vec_id, [embedding[1], embedding[2], 0] AS embedding FROM embeddings)")
+@query("dedup_nodes", POINTS + "SELECT vec_id AS node_id, min(vec_id) OVER (PARTITION BY round(px, 2), round(py, 2)) AS keep_id FROM e")
 def _(spark, d):
-    e = table(spark, d, "embeddings")
-    flat = vec.vec(F.get("embedding", 0).cast("double"), F.get("embedding", 1).cast("double"), 0)
-    return spatial.dedup_nodes(e.select(F.col("vec_id").alias("node_id"), flat.alias("p")), 2)
+    flat = vec.vec(F.col("p.x"), F.col("p.y"), 0)
+    return spatial.dedup_nodes(points(spark, d).select(F.col("vec_id").alias("node_id"), flat.alias("p")), 2)
 
 
 @query("reindex_nodes", """WITH u AS (SELECT l_partkey AS node_id, min(l_orderkey * 100 + l_linenumber) AS f FROM lineitem GROUP BY 1) SELECT node_id, row_number() OVER (ORDER BY f, node_id) - 1 AS new_id FROM u""")
@@ -145,20 +163,24 @@ def _(spark, d):
     return spatial.reindex(index)
 
 
-@query("unique_edges", """WITH t AS (SELECT l_orderkey AS elem_id, list(l_partkey ORDER BY l_linenumber, l_partkey) AS ids FROM lineitem GROUP BY 1 HAVING count(*) >= 3),
-e AS (SELECT ids[1] AS a, ids[2] AS b FROM t UNION ALL SELECT ids[2], ids[3] FROM t UNION ALL SELECT ids[3], ids[1] FROM t) SELECT DISTINCT least(a, b) AS a, greatest(a, b) AS b FROM e WHERE a <> b""")
+#: SQL for the fans of triangles of `triangles`.
+FANS = """WITH o AS (SELECT l_orderkey AS key, list(l_partkey ORDER BY l_linenumber, l_partkey) AS l FROM lineitem GROUP BY 1 HAVING count(*) >= 3),
+t AS (SELECT key * 100 + k AS elem_id, [l[1], l[k + 1], l[k + 2]] AS ids FROM (SELECT key, l, unnest(range(1, len(l) - 1)) AS k FROM o)) """
+
+
+@query("unique_edges", FANS + """, e AS (SELECT ids[1] AS a, ids[2] AS b FROM t UNION ALL SELECT ids[2], ids[3] FROM t UNION ALL SELECT ids[3], ids[1] FROM t) SELECT DISTINCT least(a, b) AS a, greatest(a, b) AS b FROM e WHERE a <> b""")
 def _(spark, d):
     return mesh.unique_edges(triangles(spark, d)).where("a <> b")
 
 
 def triangles(spark, d):
-    """The first three parts of every order with so many lines, as a triangle of nodes."""
+    """The parts of every order's lines as a fan of triangles around the first; orders of fewer than three lines have none."""
     lines = table(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("elem_id")).agg(F.transform(F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey"))), lambda c: c["l_partkey"]).alias("ids"))
-    return lines.where(F.size("ids") >= 3).select("elem_id", F.slice("ids", 1, 3).alias("node_ids"))
+    fans = lines.where(F.size("ids") >= 3).withColumn("k", F.explode(F.sequence(F.lit(1), F.size("ids") - 2)))
+    return fans.select((F.col("elem_id") * 100 + F.col("k")).alias("elem_id"), F.array(F.get("ids", F.lit(0)), F.get("ids", F.col("k")), F.get("ids", F.col("k") + 1)).alias("node_ids"))
 
 
-@query("iso_edges", """WITH t AS (SELECT l_orderkey AS elem_id, list(l_partkey ORDER BY l_linenumber, l_partkey) AS ids FROM lineitem GROUP BY 1 HAVING count(*) >= 3),
-e AS (SELECT elem_id, 0 AS edge, ids[1] AS a, ids[2] AS b FROM t UNION ALL SELECT elem_id, 1, ids[2], ids[3] FROM t UNION ALL SELECT elem_id, 2, ids[3], ids[1] FROM t),
+@query("iso_edges", FANS + """, e AS (SELECT elem_id, 0 AS edge, ids[1] AS a, ids[2] AS b FROM t UNION ALL SELECT elem_id, 1, ids[2], ids[3] FROM t UNION ALL SELECT elem_id, 2, ids[3], ids[1] FROM t),
 v AS (SELECT elem_id, edge, x.p_retailprice AS va, y.p_retailprice AS vb FROM e JOIN part x ON x.p_partkey = a JOIN part y ON y.p_partkey = b)
 SELECT elem_id, edge, round((910.05 - va) / (vb - va), 6) AS t FROM v WHERE least(va, vb) <= 910.05 AND greatest(va, vb) >= 910.05 AND va <> vb""")
 def _(spark, d):
@@ -166,8 +188,7 @@ def _(spark, d):
     return mesh.iso_crossings(triangles(spark, d), values, 910.05).select("elem_id", "edge", F.round("t", 6).alias("t"))
 
 
-@query("element_values", """WITH t AS (SELECT l_orderkey AS elem_id, list(l_partkey ORDER BY l_linenumber, l_partkey) AS ids FROM lineitem GROUP BY 1 HAVING count(*) >= 3)
-SELECT elem_id, round(0.5 * x.p_retailprice + 0.25 * y.p_retailprice + 0.25 * z.p_retailprice, 4) AS val FROM t JOIN part x ON x.p_partkey = ids[1] JOIN part y ON y.p_partkey = ids[2] JOIN part z ON z.p_partkey = ids[3]""")
+@query("element_values", FANS + """SELECT elem_id, round(0.5 * x.p_retailprice + 0.25 * y.p_retailprice + 0.25 * z.p_retailprice, 4) AS val FROM t JOIN part x ON x.p_partkey = ids[1] JOIN part y ON y.p_partkey = ids[2] JOIN part z ON z.p_partkey = ids[3]""")
 def _(spark, d):
     values = table(spark, d, "part").select(F.col("p_partkey").alias("node_id"), F.col("p_retailprice").alias("val"))
     return mesh.evaluate(triangles(spark, d), values, "Tri1NL", (0.25, 0.25)).select("elem_id", F.round("val", 4).alias("val"))
@@ -193,7 +214,7 @@ def _(spark, d):
     return out(points(spark, d), det=vec.determinant([[v[c] for c in "xyz"] for v in (F.col("p"), F.col("q"), F.col("r"))]))
 
 
-@query("points_in_polygon", "SELECT vec_id AS id FROM embeddings WHERE abs(embedding[1]::DOUBLE) + abs(embedding[2]::DOUBLE) < 0.15")
+@query("points_in_polygon", POINTS + "SELECT vec_id AS id FROM e WHERE abs(px) + abs(py) < 0.15")
 def _(spark, d):
     corners = [(0.15, 0.0), (0.0, 0.15), (-0.15, 0.0), (0.0, -0.15)]
     edges = spark.createDataFrame([(0, *a, *b) for a, b in zip(corners, corners[1:] + corners[:1])], "poly int, x1 double, y1 double, x2 double, y2 double")

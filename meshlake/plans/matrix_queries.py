@@ -106,9 +106,9 @@ def _(spark, d):
     return rounded(matrix.apply_expression(embedding_matrix(spark, d), "val * k + n - m", rows=(0, 100), cols=(0, 8), k=3))
 
 
-@query("mat_from_list", "SELECT * FROM (VALUES (0::BIGINT, [1.0::DOUBLE, 2.0]), (1, [3.0, 4.5])) v(row_id, vals)")
+@query("mat_from_list", "SELECT row_number() OVER (ORDER BY o_orderkey) - 1 AS row_id, [o_orderkey::DOUBLE, o_custkey::DOUBLE, o_totalprice] AS vals FROM orders")
 def _(spark, d):
-    return matrix.from_list(spark, [[1, 2], [3, 4.5]])
+    return matrix.from_rows(table(spark, d, "orders"), ["o_orderkey"], ["o_orderkey", "o_custkey", "o_totalprice"])
 
 
 @query("mat_iterate", """WITH a AS (SELECT vec_id * 64 + i - 1 AS cell, round(embedding[i]::DOUBLE, 6) AS val FROM embeddings, range(1, 65) t(i))

@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import agg
+from ..operators import agg, measures
+from .geometry_queries import POINTS, points
 from .registry import query, table
 
 BASE = "WITH b AS (SELECT c_nationkey AS region, year(l_shipdate) AS year, l_extendedprice AS v FROM lineitem JOIN orders ON o_orderkey = l_orderkey JOIN customer ON c_custkey = o_custkey) "
@@ -62,22 +63,32 @@ def _(spark, d):
     return agg.histogram(table(spark, d, "lineitem").select("l_quantity"), "l_quantity", 0, 60)
 
 
-@query("histogram_extrema", """WITH h AS (SELECT floor(o_totalprice / 5000)::BIGINT AS bin, count(*) AS n FROM orders GROUP BY 1), w AS (SELECT bin, n, lag(n) OVER (ORDER BY bin) AS a, lead(n) OVER (ORDER BY bin) AS b FROM h)
-SELECT bin, n, CASE WHEN n > a THEN 'max' ELSE 'min' END AS kind FROM w WHERE (n > a AND n > b) OR (n < a AND n < b)""")
+#: SQL for the extremes of a histogram h (bin, n) of bins from 0 to {last}.
+EXTREMA = """, f AS (SELECT min(bin) AS first FROM h WHERE n > 0), v AS (SELECT bin, CASE WHEN bin = first THEN 0 ELSE n END::DOUBLE AS v FROM h, f), k AS (SELECT k, exp(-k * k / 18.0) AS w FROM range(-12, 13) t(k)),
+s AS (SELECT a.bin, any_value(a.v) AS v, sum(w / (SELECT sum(w) FROM k) * b.v) AS s FROM v a, k, v b WHERE b.bin = least(((a.bin + k) % {twice} + {twice}) % {twice}, {twice} - 1 - ((a.bin + k) % {twice} + {twice}) % {twice}) GROUP BY 1),
+n AS (SELECT a.bin, any_value(a.v) AS v, any_value(a.s) AS s, max(b.s) AS hi, min(b.s) AS lo FROM s a JOIN s b ON abs(a.bin - b.bin) BETWEEN 1 AND 5 GROUP BY 1),
+x AS (SELECT bin, v, CASE WHEN bin = first THEN 'min' WHEN bin NOT IN (0, {last}) AND s > hi THEN 'max' WHEN bin NOT IN (0, {last}) AND s < lo THEN 'min' END AS kind FROM n, f),
+l AS (SELECT a.bin, a.v, max(b.bin) FILTER (b.bin < a.bin) AS l, min(b.bin) FILTER (b.bin > a.bin) AS r, arg_max(b.v, b.bin) FILTER (b.bin < a.bin) AS lv, arg_min(b.v, b.bin) FILTER (b.bin > a.bin) AS rv FROM x a LEFT JOIN x b ON b.kind = 'min' WHERE a.kind = 'max' GROUP BY 1, 2),
+m AS (SELECT * FROM l WHERE coalesce(v - lv > (SELECT avg(v) * 0.5 FROM v), false) OR coalesce(rv - v > (SELECT avg(v) * 0.5 FROM v), false)),
+y AS (SELECT bin, v AS n, 'max' AS kind FROM m UNION ALL SELECT bin, v, 'min' FROM x WHERE kind = 'min' AND (bin IN (SELECT l FROM m) OR bin IN (SELECT r FROM m))) """
+
+
+@query("histogram_extrema", "WITH h AS (SELECT b AS bin, count(o_orderkey) AS n FROM range(0, 120) t(b) LEFT JOIN orders ON floor(o_totalprice / 5000 + 0.5) = b GROUP BY 1)" + EXTREMA.format(last=119, twice=240) + "SELECT * FROM y")
 def _(spark, d):
-    h = table(spark, d, "orders").groupBy(F.floor(F.col("o_totalprice") / 5000).alias("bin")).agg(F.count("*").alias("n"))
-    return agg.extrema(h, "bin", "n")
+    """Peaks and valleys of the prices of orders."""
+    h = agg.histogram(table(spark, d, "orders").select((F.col("o_totalprice") / 5000).alias("v")), "v", 0, 120)
+    return measures.histogram_extrema(h)
 
 
-@query("aha_bucket", """WITH a AS (SELECT vec_id, (atan2(embedding[2]::DOUBLE, embedding[1]::DOUBLE) + pi()) / (2 * pi()) AS t, embedding[3]::DOUBLE * 3 + 0.5 AS h FROM embeddings),
+@query("aha_bucket", POINTS + """, a AS (SELECT vec_id, (atan2(py, px) + pi()) / (2 * pi()) AS t, pz * 3 + 0.5 AS h FROM e),
 s AS (SELECT *, [2, 3, 4, 5, 6, 1][least(floor(t * 6), 5)::INT + 1] AS six, [13, 14, 15, 16][(floor(t * 4 + 5 / 6.0)::INT % 4) + 1] AS four FROM a)
 SELECT vec_id, (CASE WHEN h < 0 THEN 18 WHEN h < 0.9 / 3 THEN six WHEN h < 0.9 * 2 / 3 THEN six + 6 WHEN h < 0.9 THEN four ELSE 17 END)::BIGINT AS region, (18 + least(floor(t * 6), 5))::BIGINT AS cavity FROM s""")
 def _(spark, d):
     import math
 
-    turn = (F.atan2(F.get("embedding", 1).cast("double"), F.get("embedding", 0).cast("double")) + math.pi) / (2 * math.pi)
-    height = F.get("embedding", 2).cast("double") * 3 + 0.5
-    return table(spark, d, "embeddings").select("vec_id", agg.heart_segment(height, turn, 0.9).alias("region"), agg.cavity_segment(turn).alias("cavity"))
+    turn = (F.atan2(F.col("p.y"), F.col("p.x")) + math.pi) / (2 * math.pi)
+    height = F.col("p.z") * 3 + 0.5
+    return points(spark, d).select("vec_id", agg.heart_segment(height, turn, 0.9).alias("region"), agg.cavity_segment(turn).alias("cavity"))
 
 
 @query("dataset_profile", """SELECT 'part' AS name, count(*) AS n, 6 AS m FROM part UNION ALL SELECT 'orders', count(*), 6 FROM orders UNION ALL SELECT 'lineitem', count(*), 11 FROM lineitem""")

@@ -6,6 +6,8 @@ from pyspark.sql import functions as F
 
 from ..functions import basis, vec
 from ..operators import agg, measures, mesh, timeseries
+from .geometry_queries import LATTICE, POINTS, part_lattice, points
+from .measure_queries import EXTREMA
 from .registry import query, table
 from .time_queries import SECONDS, events
 
@@ -61,7 +63,7 @@ def _(spark, d):
     return measures.smoothed(bins, "bin", "n", 3.0).select("bin", F.round("smooth", 6).alias("smooth"))
 
 
-@query("histogram_is_ct", _BINS + ", m AS (SELECT v, lag(v) OVER (ORDER BY bin) AS a, lead(v) OVER (ORDER BY bin) AS b FROM s) SELECT count(*) > 3 AS is_ct FROM m WHERE v > a AND v > b")
+@query("histogram_is_ct", "WITH h AS (SELECT b AS bin, count(p_partkey) AS n FROM range(0, 51) t(b) LEFT JOIN part ON p_size = b GROUP BY 1)" + EXTREMA.format(last=50, twice=102) + "SELECT count(*) > 3 AS is_ct FROM y WHERE kind = 'max'")
 def _(spark, d):
     return measures.is_ct(agg.histogram(table(spark, d, "part").select(F.col("p_size").alias("v")), "v", 0, 51))
 
@@ -172,11 +174,12 @@ def _(spark, d):
     return table(spark, d, "events").select("event_id", F.round(w[0], 8).alias("w0"), F.round(w[2], 8).alias("w2"))
 
 
-@query("basis_faces", """SELECT * FROM (VALUES ('Hex', 0, [0::BIGINT, 2, 4, 6]), ('Hex', 1, [0, 1, 4, 5]), ('Hex', 2, [0, 1, 2, 3]), ('Hex', 3, [1, 3, 5, 7]), ('Hex', 4, [2, 3, 6, 7]), ('Hex', 5, [4, 5, 6, 7]),
-('Tet', 0, [0, 2, 3]), ('Tet', 1, [0, 1, 3]), ('Tet', 2, [0, 1, 2]), ('Tet', 3, [1, 2, 3])) v(geometry, face, nodes)""")
+@query("basis_faces", LATTICE + """SELECT id AS elem_id, f::INT AS face, list_transform(s, lambda k: id + k % 2 + k // 2 % 2 * 10 + k // 4 * 100) AS nodes FROM e, (VALUES (0, [0::BIGINT, 2, 4, 6]), (1, [0, 1, 4, 5]), (2, [0, 1, 2, 3]), (3, [1, 3, 5, 7]), (4, [2, 3, 6, 7]), (5, [4, 5, 6, 7])) v(f, s)""")
 def _(spark, d):
-    rows = [(g, k, f) for g in ("Hex", "Tet") for k, f in enumerate(basis.face_nodes(g, 1))]
-    return spark.createDataFrame(rows, "geometry string, face int, nodes array<bigint>")
+    """The nodes of every side of hexahedra, by the places of the basis."""
+    _, elements = part_lattice(spark, d)
+    sides = F.array(*(F.array(*(F.get("node_ids", k) for k in side)) for side in basis.face_nodes("Hex", 1)))
+    return elements.select("elem_id", F.posexplode(sides).alias("face", "nodes"))
 
 
 @query("wave_color", "SELECT event_id, round(CASE WHEN v <= 60 THEN 1 - v / 60 WHEN v <= 130 THEN 0 WHEN v <= 200 THEN (v - 130) / 70 ELSE 1 END, 6) AS r, round(CASE WHEN v <= 60 THEN 0 WHEN v <= 110 THEN (v - 60) / 50 WHEN v <= 200 THEN 1 WHEN v <= 265 THEN 1 - (v - 200) / 65 ELSE 0 END, 6) AS g, round(CASE WHEN v <= 110 THEN 1 WHEN v <= 130 THEN 1 - (v - 110) / 20 ELSE 0 END, 6) AS b FROM (SELECT event_id, (value - floor(value)) * 400 AS v FROM events)")
@@ -194,46 +197,48 @@ def _(spark, d):
     return rounded(mesh.hermite_matrices(part(0), part(1), part(2), part(3), 0.25))
 
 
-@query("mesh_representation", """SELECT e AS elem_id, f::INT AS face, 2::BIGINT AS n FROM range(0, 64) s(e), range(0, 6) t(f)
-WHERE CASE f WHEN 0 THEN e // 16 = 0 WHEN 1 THEN e // 16 = 3 WHEN 2 THEN e // 4 % 4 = 0 WHEN 3 THEN e // 4 % 4 = 3 WHEN 4 THEN e % 4 = 0 ELSE e % 4 = 3 END""")
+@query("mesh_representation", LATTICE + """, s AS (SELECT id, f::INT AS face, id + CASE f WHEN 1 THEN 100 WHEN 3 THEN 10 WHEN 5 THEN 1 ELSE 0 END AS place, f // 2 AS axis FROM e, range(0, 6) t(f))
+SELECT any_value(id) AS elem_id, any_value(face) AS face, 2::BIGINT AS n FROM s GROUP BY place, axis HAVING count(*) = 1""")
 def _(spark, d):
-    """The triangles of the outer faces of a box of 4 × 4 × 4 hexahedra."""
-    _, elements = mesh.box_grid(spark, 4, 4, 4)
+    """The triangles of the outer faces of the parts' lattice."""
+    _, elements = part_lattice(spark, d)
     return mesh.representation(elements, "Hex").groupBy("elem_id", "face").agg(F.count("*").alias("n"))
 
 
-@query("grid_triangles", """SELECT e AS elem_id, f::INT AS face, p::INT AS part FROM range(0, 27) s(e), range(0, 6) t(f), range(0, 2) u(p)""")
+@query("grid_triangles", LATTICE + """, t AS (SELECT id, f::INT AS face, c FROM e, (VALUES (0, [0, 1, 10, 11]), (1, [100, 101, 110, 111]), (2, [0, 1, 100, 101]), (3, [10, 11, 110, 111]), (4, [0, 10, 100, 110]), (5, [1, 11, 101, 111])) v(f, c))
+SELECT id AS elem_id, face, p::INT AS part, CASE p WHEN 0 THEN [id + c[1], id + c[2], id + c[3]] ELSE [id + c[2], id + c[4], id + c[3]] END AS node_ids FROM t, range(0, 2) u(p)""")
 def _(spark, d):
-    _, elements = mesh.box_grid(spark, 3, 3, 3)
-    return mesh.triangulate(elements, "Hex").select("elem_id", "face", "part")
+    _, elements = part_lattice(spark, d)
+    return mesh.triangulate(elements, "Hex").select("elem_id", "face", "part", "node_ids")
 
 
-@query("grid_nodes", "SELECT i AS node_id, round(i % 4 / 3.0, 6)::DOUBLE AS x, round(i // 4 % 4 / 3.0, 6)::DOUBLE AS y, round(i // 16 / 3.0, 6)::DOUBLE AS z FROM range(0, 64) t(i)")
+@query("grid_nodes", LATTICE + "SELECT id AS elem_id, k::INT AS k, x + k % 3 / 2.0::DOUBLE AS x, y + k // 3 % 3 / 2.0::DOUBLE AS y, z + k // 9 / 2.0::DOUBLE AS z FROM e, range(0, 27) t(k)")
 def _(spark, d):
-    nodes, _ = mesh.box_grid(spark, 3, 3, 3)
-    return nodes.select("node_id", *(F.round(f"p.{c}", 6).alias(c) for c in "xyz"))
+    """The points of hexahedra refined once: corners, middles of edges and faces, and the center."""
+    nodes, elements = part_lattice(spark, d)
+    found = mesh.positions(elements, nodes.select("node_id", "p"), "Hex1NL", mesh.xi_template("Hex", 1))
+    return found.select("elem_id", "k", *(F.round(f"p.{c}", 6).alias(c) for c in "xyz"))
 
 
-@query("element_points", "SELECT e AS elem_id, k::INT AS k, round((e % 3 + 0.25 + 0.5 * k) / 3.0, 6)::DOUBLE AS x, round((e // 3 % 3 + 0.5) / 3.0, 6)::DOUBLE AS y FROM range(0, 27) s(e), range(0, 2) t(k)")
+@query("element_points", LATTICE + "SELECT id AS elem_id, k::INT AS k, x + 0.25 + 0.5 * k::DOUBLE AS x, y + 0.5::DOUBLE AS y FROM e, range(0, 2) t(k)")
 def _(spark, d):
-    nodes, elements = mesh.box_grid(spark, 3, 3, 3)
-    found = mesh.positions(elements, nodes, "Hex1NL", [(0.25, 0.5, 0.5), (0.75, 0.5, 0.5)])
+    nodes, elements = part_lattice(spark, d)
+    found = mesh.positions(elements, nodes.select("node_id", "p"), "Hex1NL", [(0.25, 0.5, 0.5), (0.75, 0.5, 0.5)])
     return found.select("elem_id", "k", F.round("p.x", 6).alias("x"), F.round("p.y", 6).alias("y"))
 
 
-@query("plane_cut_edges", "SELECT e AS elem_id, count(*) AS n, 0.5::DOUBLE AS x FROM range(0, 27) s(e), range(0, 4) t(k) WHERE e % 3 = 1 GROUP BY 1")
+@query("plane_cut_edges", LATTICE + "SELECT id AS elem_id, 4::BIGINT AS n, 4.25::DOUBLE AS x FROM e WHERE x = 4")
 def _(spark, d):
-    nodes, elements = mesh.box_grid(spark, 3, 3, 3)
-    cut = mesh.slice_plane(elements, nodes, (0.5, 0.0, 0.0), (1.0, 0.0, 0.0), "Hex")
+    nodes, elements = part_lattice(spark, d)
+    cut = mesh.slice_plane(elements, nodes.select("node_id", "p"), (4.25, 0.0, 0.0), (1.0, 0.0, 0.0), "Hex")
     return cut.groupBy("elem_id").agg(F.count("*").alias("n"), F.round(F.max("p.x"), 9).alias("x"))
 
 
-@query("vertex_normals", """WITH t AS (SELECT vec_id, (vec_id * 3 + k) % 50 AS node, k FROM embeddings, range(0, 3) t(k)), c AS (SELECT vec_id, embedding[1]::DOUBLE AS ax, embedding[2]::DOUBLE AS ay, embedding[3]::DOUBLE AS az, embedding[4]::DOUBLE AS bx, embedding[5]::DOUBLE AS by_, embedding[6]::DOUBLE AS bz, embedding[7]::DOUBLE AS cx, embedding[8]::DOUBLE AS cy, embedding[9]::DOUBLE AS cz FROM embeddings),
+@query("vertex_normals", POINTS + """, t AS (SELECT vec_id, (vec_id * 3 + k) % 50 AS node, k FROM e, range(0, 3) t(k)), c AS (SELECT vec_id, px AS ax, py AS ay, pz AS az, qx AS bx, qy AS by_, qz AS bz, rx AS cx, ry AS cy, rz AS cz FROM e),
 n AS (SELECT vec_id, (by_ - ay) * (cz - az) - (bz - az) * (cy - ay) AS x, (bz - az) * (cx - ax) - (bx - ax) * (cz - az) AS y, (bx - ax) * (cy - ay) - (by_ - ay) * (cx - ax) AS z FROM c), u AS (SELECT vec_id, x / sqrt(x * x + y * y + z * z) AS x, y / sqrt(x * x + y * y + z * z) AS y, z / sqrt(x * x + y * y + z * z) AS z FROM n),
 s AS (SELECT node, sum(x) AS x, sum(y) AS y, sum(z) AS z FROM t JOIN u USING (vec_id) GROUP BY 1) SELECT node AS node_id, round(x / sqrt(x * x + y * y + z * z), 6) AS x, round(z / sqrt(x * x + y * y + z * z), 6) AS z FROM s""")
 def _(spark, d):
     from ..operators import spatial
-    from .geometry_queries import points
 
     ids = F.array(*((F.col("vec_id") * 3 + k) % 50 for k in range(3)))
     triangles = points(spark, d).select(ids.alias("node_ids"), F.col("p").alias("a"), F.col("q").alias("b"), F.col("r").alias("c"))

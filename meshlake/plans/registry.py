@@ -27,4 +27,4 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-from . import format_queries, geometry_queries, image_queries, matrix_queries, measure_queries, object_queries, spatial_queries, text_queries, time_queries, volume_queries  # noqa: E402, F401
+from . import format_queries, geometry_queries, image_queries, matrix_queries, measure_queries, object_queries, shape_queries, spatial_queries, text_queries, time_queries, volume_queries  # noqa: E402, F401

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scalars, vec
 from ..operators import agg, mesh, spatial
-from .geometry_queries import POINTS, out, points
+from .geometry_queries import FANS, POINTS, out, points
 from .registry import query, table
 
 
@@ -90,8 +90,8 @@ def _(spark, d):
     return out(xi, xi_x=F.col("xi.x"), xi_y=F.col("xi.y"), xi_z=F.col("xi.z"), back_x=vec.plane_position(F.col("xi"), at, q, 10, 20)["x"], pixel_x=pixel["x"], pixel_y=pixel["y"])
 
 
-_leaf = lambda c: f"(least(7, greatest(0, floor((embedding[{c}]::DOUBLE + 0.5) * 8)))::BIGINT)"
-LEAVES = "WITH c AS (SELECT vec_id, label, " + ", ".join(f"{_leaf(k + 1)} AS {n}" for k, n in enumerate("ijk")) + " FROM embeddings), l AS (SELECT *, " + " + ".join(f"(({n} >> {b} & 1) << {3 * b + k})" for b in range(3) for k, n in enumerate("ijk")) + " AS leaf FROM c) "
+_leaf = lambda c: f"(least(7, greatest(0, floor((p{c} + 0.5) * 8)))::BIGINT)"
+LEAVES = POINTS + ", c AS (SELECT vec_id, label, " + ", ".join(f"{_leaf(c)} AS {n}" for c, n in zip("xyz", "ijk")) + " FROM e), l AS (SELECT *, " + " + ".join(f"(({n} >> {b} & 1) << {3 * b + k})" for b in range(3) for k, n in enumerate("ijk")) + " AS leaf FROM c) "
 
 
 def leaf_points(spark, d):
@@ -126,16 +126,16 @@ def _(spark, d):
 
 
 @query("locate_points", POINTS + """, t AS (SELECT vec_id AS elem_id, px AS ax, py AS ay, pz AS az, qx - px AS ux, qy - py AS uy, qz - pz AS uz, rx - px AS vx, ry - py AS vy, rz - pz AS vz, sx - px AS wx, sy - py AS wy, sz - pz AS wz FROM e),
-j AS (SELECT e.vec_id AS id, t.*, e.qx - ax AS x, e.ry - ay AS y, e.sz - az AS z, ux * (vy * wz - vz * wy) + uy * (vz * wx - vx * wz) + uz * (vx * wy - vy * wx) AS det FROM e, t WHERE e.vec_id % 20 = 0),
+j AS (SELECT e.vec_id AS id, t.*, e.qx - ax AS x, e.ry - ay AS y, e.sz - az AS z, ux * (vy * wz - vz * wy) + uy * (vz * wx - vx * wz) + uz * (vx * wy - vy * wx) AS det FROM e, t WHERE e.vec_id % 320 = 0),
 k AS (SELECT id, elem_id, (x * (vy * wz - vz * wy) + y * (vz * wx - vx * wz) + z * (vx * wy - vy * wx)) / det AS a, (ux * (y * wz - z * wy) + uy * (z * wx - x * wz) + uz * (x * wy - y * wx)) / det AS b,
 (ux * (vy * z - vz * y) + uy * (vz * x - vx * z) + uz * (vx * y - vy * x)) / det AS c FROM j)
 SELECT id, elem_id, round(a, 4) AS xi_x, round(b, 4) AS xi_y FROM k WHERE least(a, b, c) >= -1e-9 AND a + b + c <= 1 + 1e-9""")
 def _(spark, d):
-    """A stated query set, each twentieth point, against all tetrahedra."""
+    """A stated query set, the first point of each twentieth vector, against all tetrahedra."""
     pts = points(spark, d)
     tets = pts.select(F.col("vec_id").alias("elem_id"), *(F.col(c).alias(n) for c, n in zip("pqrs", "abcd")))
-    asked = pts.where("vec_id % 20 = 0").select(F.col("vec_id").alias("id"), vec.vec(F.col("q.x"), F.col("r.y"), F.col("s.z")).alias("p"))
-    found = spatial.locate(asked, tets, (-0.5,) * 3, (0.5,) * 3, 2)
+    asked = pts.where("vec_id % 320 = 0").select(F.col("vec_id").alias("id"), vec.vec(F.col("q.x"), F.col("r.y"), F.col("s.z")).alias("p"))
+    found = spatial.locate(asked, tets, 0.1)
     return found.select("id", "elem_id", F.round("xi.x", 4).alias("xi_x"), F.round("xi.y", 4).alias("xi_y"))
 
 
@@ -146,16 +146,17 @@ def _(spark, d):
     return mesh.of_regions(tris, parents, "tri_elem", "region", [1, 3]).select("region", "tri_elem", "part")
 
 
-@query("reinterpolate", """WITH e AS (SELECT l_orderkey AS elem_id, l_linenumber AS k, p_retailprice AS v, count(*) OVER (PARTITION BY l_orderkey) AS n, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey) AS i FROM lineitem JOIN part ON p_partkey = l_partkey),
-t AS (SELECT elem_id, max(v) FILTER (i = 1) AS a, max(v) FILTER (i = 2) AS b, max(v) FILTER (i = 3) AS c FROM e WHERE n >= 3 GROUP BY 1),
-p AS (SELECT l_orderkey AS elem_id, l_linenumber AS point_id, l_discount * 2 AS x, l_tax * 2 AS y FROM lineitem)
-SELECT elem_id, point_id, round((1 - x - y) * a + x * b + y * c, 4) AS val FROM p JOIN t USING (elem_id)""")
+@query("reinterpolate", FANS + """, v AS (SELECT elem_id, a.p_retailprice AS a, b.p_retailprice AS b, c.p_retailprice AS c FROM t JOIN part a ON a.p_partkey = ids[1] JOIN part b ON b.p_partkey = ids[2] JOIN part c ON c.p_partkey = ids[3]),
+p AS (SELECT l_orderkey AS key, l_linenumber AS point_id, l_discount * 2 AS x, l_tax * 2 AS y FROM lineitem)
+SELECT elem_id, point_id, round((1 - x - y) * a + x * b + y * c, 4) AS val FROM p JOIN v ON elem_id // 100 = key""")
 def _(spark, d):
     from .geometry_queries import triangles
 
     values = table(spark, d, "part").select(F.col("p_partkey").alias("node_id"), F.col("p_retailprice").alias("val"))
-    stored_xi = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("elem_id"), F.col("l_linenumber").alias("point_id"), F.array(F.col("l_discount") * 2, F.col("l_tax") * 2).alias("xi"))
-    return mesh.evaluate_at(stored_xi, triangles(spark, d), values, "Tri1NL").select("elem_id", "point_id", F.round("val", 4).alias("val"))
+    fans = triangles(spark, d)
+    lines = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("key"), F.col("l_linenumber").alias("point_id"), F.array(F.col("l_discount") * 2, F.col("l_tax") * 2).alias("xi"))
+    stored_xi = lines.join(fans.select("elem_id", F.floor(F.col("elem_id") / 100).alias("key")), "key").select("elem_id", "point_id", "xi")
+    return mesh.evaluate_at(stored_xi, fans, values, "Tri1NL").select("elem_id", "point_id", F.round("val", 4).alias("val"))
 
 
 @query("free_form", POINTS + """, b AS (SELECT vec_id, px, (px + 0.5) AS x, (py + 0.5) AS y, (pz + 0.5) AS z FROM e)
@@ -166,10 +167,12 @@ def _(spark, d):
     return out(points(spark, d), moved_x=moved["x"])
 
 
-@query("blue_noise", """WITH p AS (SELECT id, ('0x' || substr(md5(id::VARCHAR), 1, 8))::BIGINT / 4294967296.0 AS x, ('0x' || substr(md5(id::VARCHAR), 9, 8))::BIGINT / 4294967296.0 AS y, ('0x' || substr(md5(id::VARCHAR), 17, 8))::BIGINT AS w FROM range(0, 400) t(id))
-SELECT id, round(x, 6) AS x, round(y, 6) AS y FROM p WHERE NOT EXISTS (SELECT 1 FROM p q WHERE (q.x - p.x) ** 2 + (q.y - p.y) ** 2 < 0.0025 AND (q.w < p.w OR (q.w = p.w AND q.id < p.id)))""")
+@query("blue_noise", """WITH p AS (SELECT event_id AS id, value AS x, minute(ts) + second(ts) / 60.0::DOUBLE AS y, ('0x' || substr(md5(event_id::VARCHAR), 1, 8))::BIGINT AS w FROM events)
+SELECT id, round(x, 6) AS x, round(y, 6) AS y FROM p WHERE NOT EXISTS (SELECT 1 FROM p q WHERE abs(q.x - p.x) < 2 AND (q.x - p.x) ** 2 + (q.y - p.y) ** 2 < 4 AND (q.w < p.w OR (q.w = p.w AND q.id < p.id)))""")
 def _(spark, d):
-    found = spatial.thin_points(mesh.random_points(spark, 400), 0.05, "w")
+    w = F.conv(F.substring(F.md5(F.col("event_id").cast("string")), 1, 8), 16, 10).cast("bigint")
+    e = table(spark, d, "events").select(F.col("event_id").alias("id"), F.col("value").alias("x"), (F.minute("ts") + F.second("ts") / 60.0).alias("y"), w.alias("w"))
+    found = spatial.thin_points(e, 2.0, "w")
     return found.select("id", F.round("x", 6).alias("x"), F.round("y", 6).alias("y"))
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import vec
-from ..operators import images, spatial, volumes
+from ..operators import images, lines, spatial, volumes
 from .geometry_queries import POINTS, out, points
 from .image_queries import KEYS, PIXELS, pixels
 from .registry import query, table
@@ -75,23 +75,22 @@ def _(spark, d):
     return merged.withColumn("val", F.round("val", 4))
 
 
-@query("stack_samples", PIXELS + """, e AS (SELECT vec_id, embedding[1]::DOUBLE + 0.5 AS x, embedding[2]::DOUBLE + 0.5 AS y, embedding[3]::DOUBLE + 0.5 AS z FROM embeddings),
+@query("stack_samples", POINTS + PIXELS.replace("WITH", ",") + """, b AS (SELECT vec_id, px + 0.5 AS x, py + 0.5 AS y, pz + 0.5 AS z FROM e),
 k AS (SELECT vec_id, floor(y * 23)::BIGINT + a AS row, floor(x * 15)::BIGINT + b AS col, floor(z * 3)::BIGINT + c AS image_id, abs(1 - a - (y * 23 - floor(y * 23))) * abs(1 - b - (x * 15 - floor(x * 15))) * abs(1 - c - (z * 3 - floor(z * 3))) AS w
-FROM e, (VALUES (0), (1)) s(a), (VALUES (0), (1)) t(b), (VALUES (0), (1)) u(c) WHERE x BETWEEN 0 AND 1 AND y BETWEEN 0 AND 1 AND z BETWEEN 0 AND 1), v AS (SELECT vec_id, sum(coalesce(val, 0) * w) AS val FROM k LEFT JOIN p USING (row, col, image_id) GROUP BY 1)
-SELECT vec_id AS id, round(coalesce(val, 0), 4) AS val FROM e LEFT JOIN v USING (vec_id)""")
+FROM b, (VALUES (0), (1)) s(a), (VALUES (0), (1)) t(b), (VALUES (0), (1)) u(c) WHERE x BETWEEN 0 AND 1 AND y BETWEEN 0 AND 1 AND z BETWEEN 0 AND 1), v AS (SELECT vec_id, sum(coalesce(val, 0) * w) AS val FROM k LEFT JOIN p USING (row, col, image_id) GROUP BY 1)
+SELECT vec_id AS id, round(coalesce(val, 0), 4) AS val FROM b LEFT JOIN v USING (vec_id)""")
 def _(spark, d):
     asked = points(spark, d).select(F.col("vec_id").alias("id"), *((F.col(f"p.{c}") + 0.5).alias(c) for c in "xyz"))
     stack = pixels(spark, d).withColumnRenamed("image_id", "slice")
     return volumes.sample_stack(asked, stack, 24, 16, 4).withColumn("val", F.round("val", 4))
 
 
-@query("bilinear_samples", PIXELS + """, e AS (SELECT vec_id, embedding[1]::DOUBLE + 0.5 AS x, embedding[2]::DOUBLE + 0.5 AS y FROM embeddings),
-k AS (SELECT vec_id, floor(y * 23)::BIGINT + a AS row, floor(x * 15)::BIGINT + b AS col, abs(1 - a - (y * 23 - floor(y * 23))) * abs(1 - b - (x * 15 - floor(x * 15))) AS w FROM e, (VALUES (0), (1)) s(a), (VALUES (0), (1)) t(b) WHERE x BETWEEN 0 AND 1 AND y BETWEEN 0 AND 1),
-v AS (SELECT vec_id, sum(coalesce(val, 0) * w) AS val FROM k LEFT JOIN (SELECT * FROM p WHERE image_id = 0) USING (row, col) GROUP BY 1) SELECT vec_id AS id, round(coalesce(val, 0), 4) AS val FROM e LEFT JOIN v USING (vec_id)""")
+@query("bilinear_samples", POINTS + PIXELS.replace("WITH", ",") + """, g AS (SELECT vec_id, px + 0.5 AS x, py + 0.5 AS y FROM e),
+k AS (SELECT vec_id, vec_id % 4 AS image_id, floor(y * 23)::BIGINT + a AS row, floor(x * 15)::BIGINT + b AS col, abs(1 - a - (y * 23 - floor(y * 23))) * abs(1 - b - (x * 15 - floor(x * 15))) AS w FROM g, (VALUES (0), (1)) s(a), (VALUES (0), (1)) t(b) WHERE x BETWEEN 0 AND 1 AND y BETWEEN 0 AND 1),
+v AS (SELECT vec_id, sum(coalesce(val, 0) * w) AS val FROM k LEFT JOIN p USING (image_id, row, col) GROUP BY 1) SELECT vec_id AS id, round(coalesce(val, 0), 4) AS val FROM g LEFT JOIN v USING (vec_id)""")
 def _(spark, d):
-    asked = points(spark, d).select(F.col("vec_id").alias("id"), (F.col("p.x") + 0.5).alias("x"), (F.col("p.y") + 0.5).alias("y"), F.lit(0.0).alias("z"))
-    one = pixels(spark, d).where("image_id = 0").withColumnRenamed("image_id", "slice")
-    return volumes.sample_stack(asked, one, 24, 16, 1).withColumn("val", F.round("val", 4))
+    asked = points(spark, d).select(F.col("vec_id").alias("id"), (F.col("p.x") + 0.5).alias("x"), (F.col("p.y") + 0.5).alias("y"), ((F.col("vec_id") % 4) / 3.0).alias("z"))
+    return volumes.sample_stack(asked, pixels(spark, d).withColumnRenamed("image_id", "slice"), 24, 16, 4).withColumn("val", F.round("val", 4))
 
 
 @query("dilate_volume", PIXELS + "SELECT a.image_id AS slice, a.row, a.col, a.val, max(b.val) AS dilated FROM p a JOIN p b ON abs(a.image_id - b.image_id) <= 1 AND abs(a.row - b.row) <= 1 AND abs(a.col - b.col) <= 1 GROUP BY 1, 2, 3, 4")
@@ -133,7 +132,7 @@ def _(spark, d):
 
 @query("motion_fft", PIXELS + """, k AS (SELECT image_id, col, k, sum(val * cos(2 * pi() * k * row / 24)) AS re, sum(val * sin(2 * pi() * k * row / 24)) AS im FROM p, range(1, 24) t(k) GROUP BY ALL) SELECT image_id, col, round(sum(sqrt(re * re + im * im)), 3) AS motion FROM k GROUP BY ALL""")
 def _(spark, d):
-    return volumes.motion(pixels(spark, d), ["image_id", "col"], "row", 24).withColumn("motion", F.round("motion", 3))
+    return lines.motion(pixels(spark, d), ["image_id", "col"], "row", 24).withColumn("motion", F.round("motion", 3))
 
 
 @query("motion_mask", PIXELS + ", q AS (SELECT image_id, quantile_cont(val, 0.9) AS q FROM p GROUP BY 1) SELECT image_id, row, col FROM p JOIN q USING (image_id) WHERE val >= q")
@@ -141,15 +140,20 @@ def _(spark, d):
     return volumes.over_percentile(pixels(spark, d), KEYS, "val", 0.9).select("image_id", "row", "col")
 
 
-@query("image_stack", """SELECT i // 12 AS image_id, i // 12 % 3 AS slice, i // 36 AS step, 10 + i // 36 * 0.5::DOUBLE AS ts, i // 4 % 3 AS row, i % 4 AS col,
-CASE WHEN abs(sqrt(((i % 4 - 1.5) / 1.5) ** 2 + ((i // 4 % 3 - 1) / 1.0) ** 2 + ((i // 12 % 3 - 1) / 1.0) ** 2) - 1) <= 0.2 THEN 1.0 ELSE 0.0 END::DOUBLE AS val FROM range(0, 72) t(i)""")
+@query("image_stack", """WITH o AS (SELECT p_partkey AS obj, p_size % 4 + 2 AS w, p_size % 3 + 2 AS h, p_partkey % 3 + 1 AS n, p_size::DOUBLE AS start FROM part), c AS (SELECT *, unnest(range(0, w * h * n * 2)) AS i FROM o)
+SELECT obj, i // (w * h) AS image_id, i // (w * h) % n AS slice, i // (w * h * n) AS step, start + i // (w * h * n) * 0.5 AS ts, i // w % h AS row, i % w AS col,
+CASE WHEN abs(sqrt(((i % w - 1.5) / 1.5) ** 2 + ((i // w % h - 1) / 1.0) ** 2 + ((i // (w * h) % n - 1) / 1.0) ** 2) - 1) <= 0.2 THEN 1.0 ELSE 0.0 END::DOUBLE AS val FROM c""")
 def _(spark, d):
-    return volumes.ellipsoid(volumes.image_stack(spark, 4, 3, 3, 2, 0.5, 10.0), (1.5, 1, 1), (1.5, 1, 1), 0.2)
+    """A generated stack for every part, with a size, a number of slices and a start of its own."""
+    size = F.col("p_size").cast("bigint")
+    objects = table(spark, d, "part").select(F.col("p_partkey").alias("obj"), (size % 4 + 2).alias("width"), (size % 3 + 2).alias("height"), (F.col("p_partkey") % 3 + 1).alias("slices"), F.lit(2).alias("steps"), size.cast("double").alias("start"), F.lit(0.5).alias("interval"))
+    return volumes.ellipsoid(volumes.image_stacks(objects, ["obj"]), (1.5, 1, 1), (1.5, 1, 1), 0.2)
 
 
-@query("image_from_array", "SELECT i // 693 AS image_id, i // 693 % 5 AS slice, i // 3465 AS step, i // 3465 * 2.0::DOUBLE AS ts, i // 21 % 33 AS row, i % 21 AS col, ((i % 21 + 1) * 1000 + (i // 21 % 33 + 1) * 100 + (i // 693 % 5 + 1) * 10 + i // 3465 + 1)::BIGINT AS val FROM range(0, 13860) t(i)")
+@query("image_from_array", "SELECT vec_id, i // 8 AS image_id, i // 8 % 4 AS slice, i // 32 AS step, i // 32 * 2.0::DOUBLE AS ts, i // 4 % 2 AS row, i % 4 AS col, round(embedding[i + 1]::DOUBLE, 6) AS val FROM embeddings, range(0, 64) t(i)")
 def _(spark, d):
-    return volumes.from_array(spark, (21, 33, 5, 4), lambda x, y, z, t: (x + 1) * 1000 + (y + 1) * 100 + (z + 1) * 10 + t + 1, 2.0)
+    """Every vector as a 4-D array of 4 × 2 × 4 × 2 values."""
+    return volumes.from_flat(table(spark, d, "embeddings"), ["vec_id"], "embedding", (4, 2, 4, 2), 2.0).withColumn("val", F.round("val", 6))
 
 
 def contours(spark, d):
@@ -176,14 +180,14 @@ def _(spark, d):
     return found.select("user_id", "k", F.round("p.x", 4).alias("x"))
 
 
-@query("contour_mask", """WITH g AS (SELECT a AS row, b AS col FROM range(0, 40) s(a), range(0, 40) t(b)) SELECT poly, row, col, CASE WHEN poly = 1 THEN 2 ELSE 1 END AS label FROM g, (VALUES (0), (1)) v(poly) WHERE abs(col + 0.25 - 20) + abs(row + 0.3 - 20) < (poly + 1) * 8""")
+@query("contour_mask", CONTOURS + """, g AS (SELECT a AS row, b AS col, b * 2 + 0.25::DOUBLE AS gx, a * 1.5 + 0.3::DOUBLE AS gy FROM range(0, 40) s(a), range(0, 40) t(b))
+SELECT user_id AS poly, row, col, (1 + user_id % 2)::INT AS label FROM n, g WHERE (y > gy) <> (v > gy) AND gx < (u - x) * (gy - y) / (v - y) + x GROUP BY user_id, row, col HAVING count(*) % 2 = 1""")
 def _(spark, d):
-    corners = lambda r: [(20.0 + r, 20.0), (20.0, 20.0 + r), (20.0 - r, 20.0), (20.0, 20.0 - r)]
-    edges = [(k, *a, *b) for k in (0, 1) for a, b in zip(corners(8.0 * (k + 1)), corners(8.0 * (k + 1))[1:] + corners(8.0 * (k + 1))[:1])]
-    edges = spark.createDataFrame(edges, "poly int, x1 double, y1 double, x2 double, y2 double")
-    grid = spark.range(1600).select("id", (F.col("id") % 40 + 0.25).alias("x"), (F.floor(F.col("id") / 40) + 0.3).alias("y"))
+    """The pixels of a grid within every user's contour, seen along z, labelled by kind of contour."""
+    edges = volumes.closed_pairs(contours(spark, d), ["user_id"]).select(F.col("user_id").alias("poly"), F.col("p.x").alias("x1"), F.col("p.y").alias("y1"), F.col("q.x").alias("x2"), F.col("q.y").alias("y2"))
+    grid = spark.range(1600).select("id", (F.col("id") % 40 * 2 + 0.25).alias("x"), (F.floor(F.col("id") / 40) * 1.5 + 0.3).alias("y"))
     inside = spatial.points_in_polygon(grid, edges, 4.0)
-    return inside.select("poly", F.floor(F.col("id") / 40).alias("row"), (F.col("id") % 40).alias("col"), F.when(F.col("poly") == 1, 2).otherwise(1).alias("label"))
+    return inside.select("poly", F.floor(F.col("id") / 40).alias("row"), (F.col("id") % 40).alias("col"), (1 + F.col("poly") % 2).cast("int").alias("label"))
 
 
 _corners = "list_reverse_sort([{'val': px + py, 'x': px, 'y': py}, {'val': qx + qy, 'x': qx, 'y': qy}, {'val': rx + ry, 'x': rx, 'y': ry}, {'val': sx + sy, 'x': sx, 'y': sy}])"
@@ -209,7 +213,7 @@ def _(spark, d):
 @query("low_pass", PIXELS + """, k AS (SELECT dr, dc, sum(cos(2 * pi() * (u * dr / 24 + v * dc / 16))) / 384 AS g FROM range(0, 24) a(u), range(0, 16) b(v), range(-23, 24) c(dr), range(-15, 16) d(dc) WHERE least(u, 24 - u) ** 2 + least(v, 16 - v) ** 2 <= 9 GROUP BY 1, 2)
 SELECT image_id, r::INT AS row, c::INT AS col, round(sum(val * g), 4) AS val FROM p, range(0, 24) s(r), range(0, 16) t(c), k WHERE dr = r - row AND dc = c - col GROUP BY 1, 2, 3""")
 def _(spark, d):
-    return volumes.low_pass(pixels(spark, d), KEYS, 24, 16, 3.0).withColumn("val", F.round("val", 4))
+    return lines.low_pass(pixels(spark, d), KEYS, {"row": 24, "col": 16}, 3.0).withColumn("val", F.round("val", 4))
 
 
 @query("mask_contours", MASK + "SELECT m.image_id, m.row, m.col, dr, dc FROM m, (VALUES (-1, 0), (1, 0), (0, -1), (0, 1)) v(dr, dc) WHERE NOT EXISTS (SELECT 1 FROM m n WHERE n.image_id = m.image_id AND n.row = m.row + dr AND n.col = m.col + dc)")

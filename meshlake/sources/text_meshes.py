@@ -118,13 +118,33 @@ def vtk_points(spark: SparkSession, path) -> DataFrame:
     return cells.groupBy("file", F.floor(F.col("at") / 3).alias("row_id")).agg(F.transform(F.array_sort(F.collect_list(F.struct("at", F.col("token").cast("double").alias("v")))), lambda c: c["v"]).alias("vals"))
 
 
+#: Numbers of VTK's cell types by the name of an element, whose corners VTK lists around a face where they are four or eight.
+VTK_CELLS = {"Line": 3, "Tri": 5, "Quad": 9, "Tet": 10, "Hex": 12}
+#: VTK's cell types that list corners with x fastest.
+VTK_PLAIN = {"Quad": 8, "Hex": 11}
+
+
 def vtk_cells(spark: SparkSession, path) -> DataFrame:
-    """(file, row_id, node_ids) of the CELLS or POLYGONS of legacy ASCII VTK files, a line each."""
+    """(file, row_id, geometry, node_ids) of the CELLS or POLYGONS of legacy ASCII VTK files, a line each; files in a folder name=… go by that name.
+
+    Corners come in the order of the library, x fastest; geometry is null for polygons and for types it has no name for."""
     body = F.regexp_extract("text", r"(?is)(?:CELLS|POLYGONS)\s+\d+\s+\d+\s+([0-9\s]+)", 1)
     lines = F.filter(F.split(body, r"\n"), lambda x: F.trim(x) != "")
-    rows = files(spark, path).select("file", F.posexplode(lines).alias("row_id", "line"))
+    source = _named(spark, path).withColumnRenamed("name", "file")
+    rows = source.select("file", F.posexplode(lines).alias("row_id", "line"))
     ids = F.transform(F.split(F.trim("line"), r"\s+"), lambda v: v.cast("bigint"))
-    return rows.select("file", "row_id", F.slice(ids, F.lit(2), F.get(ids, 0).cast("int")).alias("node_ids"))
+    cells = rows.select("file", "row_id", F.slice(ids, F.lit(2), F.get(ids, 0).cast("int")).alias("node_ids"))
+    types = F.filter(F.split(F.regexp_extract("text", r"(?is)CELL_TYPES\s+\d+\s+([0-9\s]+)", 1), r"\s+"), lambda w: w != "")
+    kinds = source.select("file", F.posexplode(types).alias("row_id", "_type"))
+    named, plain = F.lit(None), F.lit(False)
+    for name, number in VTK_CELLS.items():
+        named = F.when(F.col("_type").cast("int") == number, name).otherwise(named)
+    for name, number in VTK_PLAIN.items():
+        named = F.when(F.col("_type").cast("int") == number, name).otherwise(named)
+        plain = plain | F.coalesce(F.col("_type").cast("int") == number, F.lit(False))
+    joined = cells.join(kinds, ["file", "row_id"], "left").withColumns({"geometry": named, "_plain": plain})
+    around = lambda g: (F.col("geometry") == g) & ~F.col("_plain")
+    return joined.select("file", "row_id", "geometry", x_fastest(F.col("node_ids"), around("Quad"), around("Hex")).alias("node_ids"))
 
 
 def key_values(spark: SparkSession, path, separator: str = "=") -> DataFrame:
@@ -140,11 +160,52 @@ def key_values(spark: SparkSession, path, separator: str = "=") -> DataFrame:
 
 def par_rows(spark: SparkSession, path) -> DataFrame:
     """(file, row_id, vals) of the image rows of PAR headers: lines that begin with a number."""
-    lines = files(spark, path).select("file", F.posexplode(F.split("text", r"\r?\n")).alias("row_id", "line"))
+    text = spark.read.option("pathGlobFilter", "*.{par,PAR}").text([path] if isinstance(path, str) else list(path), wholetext=True)
+    named = text.select(F.element_at(F.split(F.col("_metadata.file_path"), "/"), -1).alias("file"), F.col("value").alias("text"))
+    lines = named.select("file", F.posexplode(F.split("text", r"\r?\n")).alias("row_id", "line"))
     rows = lines.where(F.col("line").rlike(r"^\s*\d"))
     return rows.select("file", "row_id", F.transform(F.split(F.trim("line"), r"\s+"), lambda v: v.try_cast("double")).alias("vals"))
 
 
+#: Columns of a PAR image row, from 0.
+PAR = {"slice": 0, "dynamic": 2, "phase": 3, "image_type": 4, "bits": 7, "width": 9, "height": 10, "intercept": 11, "slope": 12, "trigger": 32}
+
+
+def par_pixels(spark: SparkSession, path, rescaled: bool = True) -> DataFrame:
+    """(file, image_type, dynamic, phase, slice, ts, row, col, val) of PAR headers and the REC files of the same name beside them.
+
+    Images lie in the REC file in the order of the header's rows. Values are slope × stored + intercept, or as stored. A REC
+    file of another size than its header says is an error. One file is read by one task."""
+    import numpy as np
+    import pandas as pd
+
+    rows = par_rows(spark, path)
+    field = {k: F.get("vals", n) for k, n in PAR.items()}
+    images = rows.groupBy("file").agg(F.array_sort(F.collect_list(F.struct("row_id", *(c.alias(k) for k, c in field.items())))).alias("images"))
+    stem = lambda c: F.regexp_replace(c, r"\.[^.]*$", "")
+    folder = path if isinstance(path, str) else list(path)
+    found = spark.read.format("binaryFile").option("pathGlobFilter", "*.{rec,REC}").load(folder).select(stem(F.element_at(F.split("path", "/"), -1)).alias("_stem"), "content")
+    joined = images.withColumn("_stem", stem("file")).join(found, "_stem").select("file", "images", "content")
+    names = "file string, image_type int, dynamic int, phase int, slice int, ts double, row int, col int, val double"
+
+    def read(batches):
+        for pdf in batches:
+            for file, images, content in zip(pdf.file, pdf.images, pdf.content):
+                at, data = 0, bytes(content)
+                sizes = [int(i["width"]) * int(i["height"]) * int(i["bits"]) // 8 for i in images]
+                if sum(sizes) != len(data):
+                    raise ValueError(f"the pixels of {file} have {len(data)} bytes, its header says {sum(sizes)}")
+                for i, size in zip(images, sizes):
+                    grid = np.frombuffer(data, f"<u{int(i['bits']) // 8}", size * 8 // int(i["bits"]), at).astype(float).reshape(int(i["height"]), int(i["width"]))
+                    at += size
+                    grid = grid * i["slope"] + i["intercept"] if rescaled else grid
+                    row, col = np.indices(grid.shape)
+                    told = {"file": file, "image_type": int(i["image_type"]), "dynamic": int(i["dynamic"]), "phase": int(i["phase"]), "slice": int(i["slice"]), "ts": float(i["trigger"])}
+                    yield pd.DataFrame(told | {"row": row.ravel(), "col": col.ravel(), "val": grid.ravel()})
+
+    return joined.mapInPandas(read, names)
+
+
 def _write_lines(lines: DataFrame, path: str) -> None:
     """(name, part, row_id, line) as one text file per name below path/name=…, by part and row; a file is one task's."""
     lines.repartition("name").sortWithinPartitions("name", "part", "row_id").select("name", "line").write.partitionBy("name").text(path)
@@ -163,15 +224,22 @@ def _rows(df: DataFrame, part: int, line: Column) -> DataFrame:
 
 
 def write_vtk(nodes: DataFrame, cells: DataFrame, path: str, fields: DataFrame | None = None) -> None:
-    """Legacy ASCII VTK files of meshes: nodes (name, row_id, vals), cells (name, row_id, node_ids) and a node field (name, row_id, vals)."""
+    """Legacy ASCII VTK files of meshes: nodes (name, row_id, vals), cells (name, row_id, node_ids) and a node field (name, row_id, vals).
+
+    cells may have a column geometry (Line, Tri, Quad, Tet or Hex); without it, it follows from the number of corners, four
+    being a tetrahedron. Corners of squares and hexahedra are written around their faces."""
+    guess = F.size("node_ids")
+    guess = F.when(guess == 2, "Line").when(guess == 3, "Tri").when(guess == 4, "Tet").when(guess == 8, "Hex")
+    named = F.coalesce("geometry", guess) if "geometry" in cells.columns else guess
+    cells = cells.withColumn("_geometry", named).withColumn("node_ids", x_fastest(F.col("node_ids"), F.col("_geometry") == "Quad", F.col("_geometry") == "Hex"))
     count = F.count("*").cast("string")
     lines = _heads(nodes, 0, F.lit("# vtk DataFile Version 3.0\nmesh\nASCII\nDATASET UNSTRUCTURED_GRID"))
     lines = lines.unionByName(_heads(nodes, 1, F.concat(F.lit("POINTS "), count, F.lit(" double")))).unionByName(_rows(nodes, 1, _joined("vals")))
     lines = lines.unionByName(_heads(cells, 2, F.concat(F.lit("CELLS "), count, F.lit(" "), (F.count("*") + F.sum(F.size("node_ids"))).cast("string"))))
     lines = lines.unionByName(_rows(cells, 2, F.concat_ws(" ", F.size("node_ids").cast("string"), _joined("node_ids"))))
-    kinds = F.size("node_ids")
-    #: Cell types of VTK by the number of corners.
-    kind = F.when(kinds == 2, "3").when(kinds == 3, "5").when(kinds == 4, "10").when(kinds == 8, "11").otherwise("7")
+    kind = F.lit("7")
+    for name, number in VTK_CELLS.items():
+        kind = F.when(F.col("_geometry") == name, str(number)).otherwise(kind)
     lines = lines.unionByName(_heads(cells, 3, F.concat(F.lit("CELL_TYPES "), count))).unionByName(_rows(cells, 3, kind))
     if fields is not None:
         lines = lines.unionByName(_heads(fields, 4, F.concat(F.lit("POINT_DATA "), count, F.lit("\nSCALARS field double 1\nLOOKUP_TABLE default")))).unionByName(_rows(fields, 4, _joined("vals")))

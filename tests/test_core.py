@@ -74,7 +74,7 @@ def test_locate_finds_the_same_as_all_pairs(spark):
     xyz = "struct<x:double,y:double,z:double>"
     df = spark.createDataFrame([(k, *(p(c) for c in t)) for k, t in enumerate(tets)], f"elem_id int, a {xyz}, b {xyz}, c {xyz}, d {xyz}")
     asked = spark.createDataFrame([(k, p(v)) for k, v in enumerate(points)], f"id int, p {xyz}")
-    got = {(r.id, r.elem_id) for r in spatial.locate(asked, df, (-1,) * 3, (1,) * 3, 2).collect()}
+    got = {(r.id, r.elem_id) for r in spatial.locate(asked, df, 0.3).collect()}
     want = set()
     for k, t in enumerate(tets):
         xi = np.linalg.solve((t[1:] - t[0]).T, (points - t[0]).T)
@@ -109,7 +109,7 @@ def test_contour_of_a_square(spark):
 
 
 def test_sinks_refuse_to_overwrite_and_readers_by_name(spark, tmp_path):
-    volume = spark.createDataFrame([("a.nii", [2, 3, 1], [1.0, 2.0, 3.0], [4.0, 5.0, 6.0], [float(k) for k in range(6)])], binary_images.VOLUME)
+    volume = spark.createDataFrame([("a.nii", [2, 3, 1], [1.0, 2.0, 3.0], [4.0, 5.0, 6.0], [float(k) for k in range(6)], binary_images.UPRIGHT, 0.0, 1.0)], binary_images.VOLUME)
     folder = str(tmp_path / "out")
     binary_sinks.write_binary(binary_sinks.encoded(volume, "nifti"), folder)
     with pytest.raises(FileExistsError):
