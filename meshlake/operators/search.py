@@ -52,8 +52,8 @@ def _starts(geometry: str, level: int) -> np.ndarray:
 def invert(corners: np.ndarray, points: np.ndarray, geometry: str, order: int, steps: int, levels: int, eps: float) -> np.ndarray:
     """The coordinates of points in their elements, nan where a point lies outside. corners: (n, nodes, 3).
 
-    Newton steps start from the middle of the element. What has not come to a place within it starts again from the
-    middles of its parts, halved level by level."""
+    Newton steps start from the middle of the element. What has not come to the point starts again from the middles of
+    its parts, halved level by level; what has come to it outside the element is outside, as elements do not fold."""
     powers = np.array(basis.exponents(geometry, order))
     dims, simplex = basis.GEOMETRIES[geometry]
     weights = np.einsum("im,nic->nmc", basis.lagrange_coefficients(geometry, order), corners)
@@ -85,9 +85,9 @@ def invert(corners: np.ndarray, points: np.ndarray, geometry: str, order: int, s
                 xi = np.clip(xi - np.linalg.solve(left, right[:, :, None])[:, :, 0], -1.0, 2.0)
             off = np.abs(np.einsum("nm,nmc->nc", monomials(xi), w) - points[todo]).max(1)
             inside = (xi >= -eps).all(1) & ((xi.sum(1) <= 1 + eps) if simplex else (xi <= 1 + eps).all(1))
-            good = inside & (off <= max(eps, 1e-9) * size[todo])
-            out[todo[good]] = xi[good]
-            todo = todo[~good]
+            close = off <= max(eps, 1e-9) * size[todo]
+            out[todo[close & inside]] = xi[close & inside]
+            todo = todo[~close]
     return out
 
 
@@ -119,7 +119,10 @@ def locate(points: DataFrame, elements: DataFrame, nodes: DataFrame, elem_type:
     hulls = stored(whole.select("elem_id", "cnodes", control_points("cnodes", geometry, order).alias("_hull")))
     low, high = box_of(F.col("_hull"))
     boxed = stored(hulls.select("elem_id", "cnodes", low.alias("_a"), high.alias("_b")))
-    placed = stored(with_box_cells(boxed, F.col("_a"), F.col("_b"), size).drop("_a", "_b"))
+    placed = stored(with_box_cells(boxed, F.col("_a"), F.col("_b"), size))
     kinds = {k: t for k, t in points.dtypes + elements.dtypes}
-    pairs = with_point_cells(stored(points.select("id", "p")), F.col("p"), size, levels_of(placed) or [0]).join(placed, CELL).select("id", "p", "elem_id", "cnodes")
+    pairs = with_point_cells(stored(points.select("id", "p")), F.col("p"), size, levels_of(placed) or [0]).join(placed, CELL)
+    for c in "xyz":
+        pairs = pairs.where(F.col("p")[c].between(F.col("_a")[c] - size * eps, F.col("_b")[c] + size * eps))
+    pairs = pairs.select("id", "p", "elem_id", "cnodes")
     return pairs.mapInArrow(_inverted(geometry, order, steps, levels, eps), f"id {kinds['id']}, elem_id {kinds['elem_id']}, xi array<double>")

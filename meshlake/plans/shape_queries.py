@@ -301,7 +301,7 @@ def _(spark, d):
 
 @query("contour_triangles", """WITH p AS (SELECT user_id, event_id, value AS x, minute(ts) + second(ts) / 60.0::DOUBLE AS y FROM events), c AS (SELECT user_id, avg(x) AS cx, avg(y) AS cy, count(*) AS n FROM p GROUP BY 1 HAVING count(*) >= 3),
 a AS (SELECT user_id, n, x, y, atan2(y - cy, x - cx) AS t, event_id FROM p JOIN c USING (user_id)), s AS (SELECT user_id, n, x, y, coalesce(lead(x) OVER w, first_value(x) OVER w) AS u, coalesce(lead(y) OVER w, first_value(y) OVER w) AS v FROM a WINDOW w AS (PARTITION BY user_id ORDER BY t, event_id))
-SELECT user_id, any_value(n) - 2 AS triangles, round(abs(sum(x * v - y * u)) / 2, 3) AS area FROM s GROUP BY 1""")
+SELECT user_id, any_value(n) - 2 AS triangles, round(abs(sum(x * v - y * u)) / 2, 6) AS area FROM s GROUP BY 1""")
 def _(spark, d):
     """The users' events around their middle as contours, cut into triangles by their ears: the areas add up to that of the contour."""
     p = table(spark, d, "events").select("user_id", "event_id", F.col("value").alias("x"), (F.minute("ts") + F.second("ts") / 60.0).alias("y"))
@@ -309,4 +309,4 @@ def _(spark, d):
     around = p.join(c, "user_id").withColumn("t", F.atan2(F.col("y") - F.col("cy"), F.col("x") - F.col("cx")))
     points = numbered(around, ["user_id"], ["t", "event_id"], "at").select("user_id", "at", vec.vec(F.col("x"), F.col("y"), 0.0).alias("p"))
     found = surfaces.contour_triangles(points, ["user_id"])
-    return found.groupBy("user_id").agg(F.count("*").alias("triangles"), F.round(F.sum(vec.triangle_area(F.col("a"), F.col("b"), F.col("c"))), 3).alias("area"))
+    return found.groupBy("user_id").agg(F.count("*").alias("triangles"), F.round(F.sum(vec.triangle_area(F.col("a"), F.col("b"), F.col("c"))), 6).alias("area"))
