@@ -47,5 +47,7 @@ def drop_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     marked = marked_repeats(rows, F.xxhash64("digest"), df.count(), bits_per_row, max_bits)
     several = marked.where("maybe")
     keep = several.groupBy("digest").agg(F.min("id").alias("keep_id"))
-    stay = several.join(keep.withColumnRenamed("digest", "d"), (F.col("digest") == F.col("d")) & F.col("id").eqNullSafe(F.col("keep_id")), "left_semi")
-    return marked.where("not maybe").select("row").unionByName(stay.dropDuplicates(["digest"]).select("row")).select("row.*")
+    # One row of each text and id before they are joined, so that no task gets all repeats of a row.
+    one = several.groupBy("digest", "id").agg(F.first("row").alias("row"))
+    stay = one.join(keep.withColumnRenamed("digest", "d"), (F.col("digest") == F.col("d")) & F.col("id").eqNullSafe(F.col("keep_id")), "left_semi")
+    return marked.where("not maybe").select("row").unionByName(stay.select("row")).select("row.*")

@@ -505,6 +505,30 @@ def test_pipeline(spark):
     assert sorted(r.doc_id for r in packed if r.piece == 0) == sorted(r.doc_id for r in docs.collect())
 
 
+def test_pipeline_odd(spark, odd, tmp_path):
+    """Repeated rows, null ids, null sources and texts, and an empty table go through all stages."""
+    import corpus_pipeline
+
+    data = "/root/testdata/sf0.001"
+    names = ["doc_id", "text", "lang", "source", "n_chars"]
+    docs = queries.documents(spark, data).limit(60)
+    more = docs.limit(20).unionByName(docs.limit(20).withColumn("doc_id", F.lit(None).cast("bigint")))
+    docs.unionByName(more).unionByName(odd.select(*names)).write.parquet(str(tmp_path / "a/documents.parquet"))
+    docs.limit(0).write.parquet(str(tmp_path / "b/documents.parquet"))
+    for folder in "ab":
+        spark.read.parquet(f"{data}/labels.parquet").write.parquet(str(tmp_path / folder / "labels.parquet"))
+    rows = spark.read.parquet(str(tmp_path / "a/documents.parquet"))
+    kept = corpus_pipeline.written(corpus_pipeline.drop_copies(spark, corpus_pipeline.keep_good(spark, rows, str(tmp_path / "a")), str(tmp_path / "a")))
+    texts = [re.sub(SPACE + "+", " ", r.text or "") for r in kept.collect()]
+    assert kept.columns == names and len(texts) == len(set(texts)) and len(texts) > 20
+    packed = corpus_pipeline.run(spark, str(tmp_path / "a")).collect()
+    total = defaultdict(int)
+    for r in packed:
+        total[r.sequence_id] += r.length
+    assert packed and max(total.values()) <= 4096
+    assert corpus_pipeline.run(spark, str(tmp_path / "b")).count() == 0
+
+
 def test_left_out(tmp_path):
     """Without both folders and the pipeline the entry point imports and has the other queries; an error inside is not swallowed."""
     root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
