@@ -16,8 +16,15 @@ BLOCKS = "bucket int, payload binary"
 _trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
 
 
-def give_back() -> None:
-    """Returns what a task has freed to the system: a worker lives on, and the next stage's other tasks need the memory."""
+#: What operators keep in a worker from one task of theirs to the next.
+CACHES: list[dict] = []
+
+
+def give_back(keep: dict | None = None) -> None:
+    """Returns what a task has freed to the system, and what other operators keep: a worker lives on through many stages, and their tasks need the memory."""
+    for cache in CACHES:
+        if cache is not keep:
+            cache.clear()
     pa.default_memory_pool().release_unused()
     if _trim:
         _trim(0)
@@ -74,6 +81,7 @@ def sent_texts(n: int):
     """Blocks of whole documents by their key; equal rows of a batch are sent once."""
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        give_back()
         for batch in batches:
             batch, many = first_rows(batch)
             keys, ids = batch.column("key").to_numpy(), batch.column("id").to_numpy()

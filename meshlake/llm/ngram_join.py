@@ -131,6 +131,7 @@ def _sent_shingles(size: int, percent: int, n: int):
         return block_rows(out)
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        give_back()
         held, many = [], 0
         for batch in batches:
             batch, _ = first_rows(batch)

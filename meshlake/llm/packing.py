@@ -34,12 +34,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .blocks import give_back
+from .blocks import CACHES, give_back
 from .common import text_or_empty, written
 
 #: Words kept in each of the two generations of a worker's cache of token ids.
 CACHED_WORDS = 200_000
 _coders: dict[str, WordCoder] = {}
+CACHES.append(_coders)
 
 
 class Recent(dict):
@@ -107,6 +108,7 @@ def pieces(df: DataFrame, tokenizer_path: str, capacity: int, end_id: int, id_co
     """(id, piece, start, length, ids_crc32) of every piece of every document."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        give_back(_coders)
         coder, end = _coder(tokenizer_path), int(end_id).to_bytes(4, "little")
         for batch in batches:
             row, piece, start, length, crc = [], [], [], [], []
@@ -121,7 +123,7 @@ def pieces(df: DataFrame, tokenizer_path: str, capacity: int, end_id: int, id_co
                     crc.append(zlib.crc32(part))
             ids = batch.column("id").take(pa.array(row, pa.int64()))
             yield pa.RecordBatch.from_arrays([ids, pa.array(piece, pa.int32()), *(pa.array(x, pa.int64()) for x in (start, length, crc))], ["id", "piece", "start", "length", "ids_crc32"])
-        give_back()
+        give_back(_coders)
 
     kind = df.schema[id_col].dataType.simpleString()
     texts = df.select(F.col(id_col).alias("id"), text_or_empty(text_col).cast("binary").alias("text"))

@@ -27,7 +27,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import free_name, text_or_empty
+from .blocks import give_back
+from .common import text_or_empty
 from .textbytes import BASE, LOWER, chunks, distinct_pairs, mix, prefix_hashes, span_hashes, words
 
 BITS = 18
@@ -170,6 +171,7 @@ def score(df: DataFrame, scorer: Scorer, id_col: str = "doc_id", text_col: str =
     shared = df.sparkSession.sparkContext.broadcast(scorer)
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        give_back()
         for batch in batches:
             parts = [np.zeros(0)]
             for a, b, data, offsets in chunks(batch, "text"):
@@ -183,13 +185,15 @@ def score(df: DataFrame, scorer: Scorer, id_col: str = "doc_id", text_col: str =
 def keep(df: DataFrame, scorer: Scorer, text_col: str = "text", least: float = 0.5) -> DataFrame:
     """The rows of df with at least this score, with all their columns, in one pass."""
     shared = df.sparkSession.sparkContext.broadcast(scorer)
-    extra = free_name(df, "scored_text")
+    at = [c.lower() for c in df.columns].index(text_col.lower())
 
     def kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        give_back()
         for batch in batches:
-            for a, b, data, offsets in chunks(batch, extra):
+            texts = pa.RecordBatch.from_arrays([batch.column(at).cast(pa.string()).fill_null("")], ["text"])
+            for a, b, data, offsets in chunks(texts, "text"):
                 good = shared.value.scores(*features(data, offsets), b - a) >= least
-                rows = batch.slice(a, b - a).filter(pa.array(good))
-                yield rows.select([n for n in rows.schema.names if n != extra])
+                yield batch.slice(a, b - a).filter(pa.array(good))
+        give_back()
 
-    return df.withColumn(extra, text_or_empty(text_col)).mapInArrow(kept, df.schema)
+    return df.mapInArrow(kept, df.schema)
