@@ -43,6 +43,12 @@ def lagrange_coefficients(geometry: str, order: int) -> np.ndarray:
     return np.linalg.inv(vandermonde).T
 
 
+def weights_at(geometry: str, order: int, xi: tuple[float, ...]) -> list[float]:
+    """The values of all nodal functions at a place known on the driver."""
+    monomials = np.prod(np.array(xi) ** np.array(exponents(geometry, order)), 1)
+    return (lagrange_coefficients(geometry, order) @ monomials).round(12).tolist()
+
+
 def lagrange(name: str, xi: list[Column]) -> list[Column]:
     """The values of all nodal functions of an element type."""
     geometry, order, _ = element_type(name)
@@ -138,16 +144,17 @@ def piecewise_catmull_rom(t: Column, n: int, circular: bool = False) -> list[Col
     pieces = n if circular else n - 1
     piece = F.least(F.floor(t * pieces), F.lit(pieces - 1))
     local = catmull_rom(t * pieces - piece)
-    out = []
-    for k in range(n):
-        total = F.lit(0.0)
-        for p in range(pieces):
-            for j in range(4):
-                at = (p + j - 1) % n if circular else min(max(p + j - 1, 0), n - 1)
-                if at == k:
-                    total = total + F.when(piece == p, local[j]).otherwise(0.0)
-        out.append(total)
-    return out
+    # Four control points count at a place; each weight asks for these four only.
+    places = [F.pmod(piece + j - 1, F.lit(n)) if circular else F.least(F.greatest(piece + j - 1, F.lit(0)), F.lit(n - 1)) for j in range(4)]
+    return [combine([F.when(at == k, 1.0).otherwise(0.0) for at in places], local) for k in range(n)]
+
+
+def piecewise_catmull_rom_value(values: Column, t: Column, n: int, circular: bool = False) -> Column:
+    """The curve through an array of n values at t: the four that count are looked up, however many there are."""
+    pieces = n if circular else n - 1
+    piece = F.least(F.floor(t * pieces), F.lit(pieces - 1))
+    places = [F.pmod(piece + j - 1, F.lit(n)) if circular else F.least(F.greatest(piece + j - 1, F.lit(0)), F.lit(n - 1)) for j in range(4)]
+    return combine(catmull_rom(t * pieces - piece), [F.get(values, at.cast("int")) for at in places])
 
 
 def rational(weights: list[float], shares: list[Column]) -> list[Column]:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -123,6 +124,37 @@ def xi_template(geometry: str, refine: int) -> list[tuple[float, ...]]:
     return [tuple(map(float, p)) for p in basis.node_positions(geometry, refine + 1)]
 
 
+def line_template(elem_type: str, refine: int) -> list[tuple[float, list[float]]]:
+    """Places along a line element cut into refine + 1 parts, with the weight of every node there."""
+    geometry, order, _ = basis.element_type(elem_type)
+    if geometry != "Line":
+        raise ValueError(f"{elem_type} is no line")
+    return [(float(x), basis.weights_at(geometry, order, (float(x),))) for x in np.linspace(0, 1, refine + 2)]
+
+
+def face_template(elem_type: str, refine: int) -> list[tuple[int, tuple[float, ...], tuple[float, ...], list[float]]]:
+    """(face, place on the face, place in the element, weight of every node) of the points of every face refined so many times."""
+    geometry, order, _ = basis.element_type(elem_type)
+    corners, out = basis.node_positions(geometry, 1), []
+    for face, ids in enumerate(basis.face_nodes(geometry, 1)):
+        kind = {2: "Line", 3: "Tri", 4: "Quad"}[len(ids)]
+        first, arms = corners[ids[0]], corners[ids[1:3]] - corners[ids[0]]
+        for place in basis.node_positions(kind, refine + 1):
+            xi = tuple(map(float, first + place @ arms[: len(place)]))
+            out.append((face, tuple(map(float, place)), xi, basis.weights_at(geometry, order, xi)))
+    return out
+
+
+def face_points(elements: DataFrame, nodes: DataFrame, elem_type: str, refine: int) -> DataFrame:
+    """(elem_id, face, k, p): the points of the refined faces of elements. nodes: (node_id, p)."""
+    template = face_template(elem_type, refine)
+    places = F.array(*(F.lit(t[0]) for t in template))
+    first = {f: min(k for k, t in enumerate(template) if t[0] == f) for f in {t[0] for t in template}}
+    starts = F.array(*(F.lit(first[t[0]]) for t in template))
+    found = positions(elements, nodes, elem_type, [t[2] for t in template])
+    return found.select("elem_id", F.get(places, F.col("k")).alias("face"), (F.col("k") - F.get(starts, F.col("k"))).alias("k"), "p")
+
+
 def of_regions(parts: DataFrame, parents: DataFrame, key: str, region: str, chosen: list) -> DataFrame:
     """Parts of elements whose parent lies in a chosen region, with that region; rows of other regions go before the join."""
     return parts.join(parents.where(F.col(region).isin(chosen)).select(key, region), key)

@@ -310,3 +310,21 @@ def _(spark, d):
     points = numbered(around, ["user_id"], ["t", "event_id"], "at").select("user_id", "at", vec.vec(F.col("x"), F.col("y"), 0.0).alias("p"))
     found = surfaces.contour_triangles(points, ["user_id"])
     return found.groupBy("user_id").agg(F.count("*").alias("triangles"), F.round(F.sum(vec.triangle_area(F.col("a"), F.col("b"), F.col("c"))), 6).alias("area"))
+
+
+@query("face_points", LATTICE + """, p AS (SELECT id, x, y, z, f, k, f % 3 AS axis, f // 3 AS side, k % 3 / 2.0::DOUBLE AS u, k // 3 / 2.0::DOUBLE AS v FROM e, range(0, 6) s(f), range(0, 9) t(k))
+SELECT id AS elem_id, f::INT AS face, k::INT AS k, x + CASE axis WHEN 0 THEN side ELSE u END AS x, y + CASE axis WHEN 0 THEN u WHEN 1 THEN side ELSE v END AS y, z + CASE axis WHEN 2 THEN side ELSE v END AS z FROM p""")
+def _(spark, d):
+    """Nine points on every face of hexahedra."""
+    nodes, elements = part_lattice(spark, d)
+    found = mesh.face_points(elements, nodes.select("node_id", "p"), "Hex1NL", 1)
+    return found.select("elem_id", "face", "k", *(F.round(f"p.{c}", 6).alias(c) for c in "xyz"))
+
+
+@query("closed_curves", """WITH e AS (SELECT vec_id, list_transform(embedding, lambda v: v::DOUBLE) AS v, (vec_id * 37 % 100) / 100.0::DOUBLE AS t FROM embeddings), p AS (SELECT vec_id, v, floor(t * 64)::BIGINT AS k, t * 64 - floor(t * 64) AS t FROM e)
+SELECT vec_id, round(0.5 * (v[(k + 63) % 64 + 1] * (2 * t ** 2 - t - t ** 3) + v[k % 64 + 1] * (3 * t ** 3 - 5 * t ** 2 + 2) + v[(k + 1) % 64 + 1] * (4 * t ** 2 + t - 3 * t ** 3) + v[(k + 2) % 64 + 1] * (t ** 3 - t ** 2)), 6) AS val FROM p""")
+def _(spark, d):
+    """A closed curve through the 64 values of every vector, at a place of its own."""
+    t = (F.col("vec_id") * 37 % 100) / 100.0
+    values = F.transform("embedding", lambda v: v.cast("double"))
+    return table(spark, d, "embeddings").select("vec_id", F.round(basis.piecewise_catmull_rom_value(values, t, 64, circular=True), 6).alias("val"))

@@ -70,5 +70,8 @@ def _(spark, d):
 def _(spark, d):
     """The first name that a pattern matches."""
     part = table(spark, d, "part")
-    pattern = part.where("p_partkey = 7").first().p_type[:3] + "*"
+    asked = part.where("p_partkey = 7").first()
+    if asked is None:
+        return part.select("p_partkey", "p_type").limit(0)
+    pattern = asked.p_type[:3] + "*"
     return strings.find_name(part, "p_type", pattern, "p_partkey").select("p_partkey", "p_type")

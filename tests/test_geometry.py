@@ -297,3 +297,16 @@ def test_box_cells(spark):
     df = spark.createDataFrame([(k, (0.3, 0.3, 0.3), (0.3 + 10.0**k,) * 3) for k in range(-3, 6)], f"k int, a {XYZ}, b {XYZ}")
     counts = grid.with_box_cells(df, F.col("a"), F.col("b"), 0.1).groupBy("k").count().collect()
     assert len(counts) == 9 and all(r["count"] <= 27 for r in counts)
+
+
+def test_templates():
+    from meshlake.operators import mesh
+
+    for name, faces, points in (("Tet2NL", 4, 6), ("Hex1NL", 6, 9), ("Tri1NL", 3, 3)):
+        found = mesh.face_template(name, 1)
+        geometry, order, _ = basis.element_type(name)
+        assert len(found) == faces * points and all(abs(sum(w) - 1) < 1e-9 for *_, w in found)
+        places = basis.node_positions(geometry, order)
+        assert all(np.abs(np.array(w) @ places - xi).max() < 1e-9 for _, _, xi, w in found)
+    line = mesh.line_template("Line2NL", 3)
+    assert [x for x, _ in line] == [0, 0.25, 0.5, 0.75, 1] and line[0][1] == [1, 0, 0] and line[4][1] == [0, 0, 1]
