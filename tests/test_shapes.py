@@ -1,6 +1,7 @@
 """Generated shapes, motion masks and histograms against plain numpy; DICOM, XML and oriented images."""
 
 import base64
+import itertools
 import math
 import os
 import struct
@@ -57,16 +58,21 @@ def test_plane_circle_tube(spark):
     assert tuple(board.d) == (0.5, 0.5, 0.0)
 
 
+def in_triangle(p, corners):
+    """Whether a point lies in a closed triangle, which may be a segment or a point."""
+    turns = [(b[0] - a[0]) * (p[1] - a[1]) - (b[1] - a[1]) * (p[0] - a[0]) for a, b in zip(corners, corners[1:] + corners[:1])]
+    if any(turns):
+        return min(turns) >= 0 or max(turns) <= 0
+    return all(min(c[i] for c in corners) <= p[i] <= max(c[i] for c in corners) for i in (0, 1))
+
+
 def test_convex_hull(spark):
     rng = np.random.default_rng(4)
     rows, want = [], set()
     for k in range(5):
         points = rng.integers(0, 15, (rng.integers(1, 9), 2)) if k else np.array([[2, 3], [2, 9]])
         rows += [(k, int(r), int(c)) for r, c in points]
-        for p in np.ndindex(15, 15):
-            # Within the hull unless some direction has all points strictly behind.
-            best = max(((p - q) @ d > 1e-9) for q, d in [(points[np.argmax(points @ d)], d) for d in [np.array([math.cos(t), math.sin(t)]) for t in np.linspace(0, 2 * math.pi, 20001)]])
-            want |= set() if best else {(k, *p)}
+        want |= {(k, *p) for p in np.ndindex(15, 15) if any(in_triangle(p, t) for t in map(list, itertools.combinations_with_replacement(points.tolist(), 3)))}
     got = {(r.im, r.row, r.col) for r in masks.convex_hull(spark.createDataFrame(rows, "im int, row int, col int"), ["im"]).collect()}
     assert got == want
 
