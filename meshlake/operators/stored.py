@@ -9,6 +9,18 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
+_paths: list[str] = []
+
+
+def clear_stored(spark: SparkSession) -> int:
+    """Deletes the tables and folders that operators made in this process; results that were not taken yet can no longer be. Gives their number."""
+    gone = 0
+    while _paths:
+        path = spark._jvm.org.apache.hadoop.fs.Path(_paths.pop())
+        gone += bool(path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True))
+    return gone
+
+
 def shared_path(spark: SparkSession, kind: str = "table") -> str:
     """A new path in the folder of spark.checkpoint.dir; a temporary folder only where that is unset and Spark runs in one process."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
@@ -17,7 +29,8 @@ def shared_path(spark: SparkSession, kind: str = "table") -> str:
             raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         found = "file://" + tempfile.mkdtemp(prefix="meshlake-")
         spark.sparkContext.setCheckpointDir(found)
-    return f"{found.rstrip('/')}/{kind}-{uuid.uuid4().hex}"
+    _paths.append(f"{found.rstrip('/')}/{kind}-{uuid.uuid4().hex}")
+    return _paths[-1]
 
 
 def stored(df: DataFrame) -> DataFrame:

@@ -131,3 +131,14 @@ def test_dicom_zip_implicit_and_foreign_files(spark, tmp_path):
     assert [r.val for r in dicom.pixels(spark, str(tmp_path)).orderBy("row", "col").collect()] == [1.0, 3.0, 5.0, 7.0, 9.0, 11.0]
     assert [r.val for r in dicom.pixels(spark, str(tmp_path), overlay=True).orderBy("row", "col").collect()] == [1.0, 0, 0, 0, 0, 1.0]
     assert os.path.exists(tmp_path / "a.zip") and dicom.elements(b"short") is None
+
+
+def test_clear_stored(spark):
+    import os
+
+    from meshlake.operators import stored
+
+    table = stored.stored(spark.range(5))
+    path = stored._paths[-1].removeprefix("file://")
+    assert table.count() == 5 and os.path.isdir(path)
+    assert stored.clear_stored(spark) > 0 and not os.path.isdir(path) and not stored._paths
