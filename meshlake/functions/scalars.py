@@ -23,6 +23,13 @@ def clamp_inside(v: Column, low: float, high: float) -> Column:
     return clamp(v, low + 10 * EPSILON, high - 10 * EPSILON)
 
 
+def round_signed(v: Column, digits: int) -> Column:
+    """v to so many digits; what is rounded to zero keeps its sign, as by IEEE division, so that arrays are equal as texts too. Not finite or too large values stay."""
+    power = 10.0**digits
+    near = F.round(v * power, 0) / power
+    return F.when(F.abs(v) < 1e300, F.when(near == 0, F.signum(v) * 0.0).otherwise(near)).otherwise(v)
+
+
 def lerp(t, a, b) -> Column:
     return vec.num(a) + (vec.num(b) - vec.num(a)) * t
 

@@ -10,7 +10,7 @@ from .registry import query, table
 
 
 def rounded(df, digits: int = 6):
-    return df.withColumn("vals", F.transform("vals", lambda v: F.round(v, digits)))
+    return df.withColumn("vals", F.transform("vals", lambda v: scalars.round_signed(v, digits)))
 
 
 def embedding_matrix(spark, d):

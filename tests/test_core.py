@@ -142,3 +142,13 @@ def test_clear_stored(spark):
     path = stored._paths[-1].removeprefix("file://")
     assert table.count() == 5 and os.path.isdir(path)
     assert stored.clear_stored(spark) > 0 and not os.path.isdir(path) and not stored._paths
+
+
+def test_rounded_cells_keep_the_sign_of_zero(spark):
+    from meshlake.plans.matrix_queries import rounded
+
+    vals = [-2e-7, 2e-7, -0.0, 0.0, -0.0000005, 1.0000005, -1.25, 0.0078125, float("inf"), 1e305]
+    got = rounded(spark.createDataFrame([(0, vals)], "row_id bigint, vals array<double>")).first().vals
+    import duckdb
+
+    assert repr(got) == repr(duckdb.connect().execute("SELECT list_transform(?::DOUBLE[], lambda v: round(v, 6))", [vals]).fetchone()[0])
