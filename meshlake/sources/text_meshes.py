@@ -73,7 +73,7 @@ def write_cheart(df: DataFrame, path: str, kind: str = "values", shift: int = 0)
     width = F.max(F.size("vals"))
     header = df.groupBy("name").agg(F.concat_ws(" ", F.count("*").cast("string"), width.cast("string")).alias("line")).withColumn("row_id", F.lit(-1).cast("bigint"))
     lines = df.select("name", F.array_join(F.transform("vals", lambda v: (v + shift).cast("string")), " ").alias("line"), F.col("row_id").cast("bigint").alias("row_id"))
-    out = header.select("name", "line", "row_id").unionByName(lines).repartition("name").sortWithinPartitions("name", "row_id")
+    out = _by_name(header.select("name", "line", "row_id").unionByName(lines)).sortWithinPartitions("name", "row_id")
     out.select("name", "line").write.partitionBy("name").text(path)
 
 
@@ -206,9 +206,14 @@ def par_pixels(spark: SparkSession, path, rescaled: bool = True) -> DataFrame:
     return joined.mapInPandas(read, names)
 
 
+def _by_name(lines: DataFrame) -> DataFrame:
+    """Rows of a name in one task. By a hash of it: Spark takes a union of parts that are dealt by name to be so itself, leaves the exchange out and then joins tasks of each part apart."""
+    return lines.repartition(F.xxhash64("name"))
+
+
 def _write_lines(lines: DataFrame, path: str) -> None:
     """(name, part, row_id, line) as one text file per name below path/name=…, by part and row; a file is one task's."""
-    lines.repartition("name").sortWithinPartitions("name", "part", "row_id").select("name", "line").write.partitionBy("name").text(path)
+    _by_name(lines).sortWithinPartitions("name", "part", "row_id").select("name", "line").write.partitionBy("name").text(path)
 
 
 def _joined(values: str | Column) -> Column:

@@ -99,3 +99,12 @@ def test_unique_names_beyond_99(spark):
     df = spark.range(1234).select("id", F.lit("a").alias("name")).union(spark.createDataFrame([(0, "b"), (1, "b"), (2, None)], "id bigint, name string"))
     got = [r.unique_name for r in strings.unique_names(df, "name", "id").orderBy("name", "id").collect()]
     assert got == [None, "a", *(f"a_{k:02d}" for k in range(1, 1234)), "b", "b_01"]
+
+
+def test_stores_of_many_names_are_whole_files(spark, tmp_path):
+    """Both parts come dealt by name and are large enough to be read by several tasks."""
+    e = spark.range(400 * 300).groupBy((F.col("id") % 300).cast("string").alias("name")).agg(F.collect_list(F.sha2(F.col("id").cast("string"), 512)).alias("e"))
+    part = lambda key: e.select("name", F.lit(key).alias("key"), F.array_join("e", " ").alias("value"))
+    text_meshes.write_key_values(part("a").unionByName(part("b")).withColumn("section", F.lit("s")), str(tmp_path / "out"))
+    assert all(len(list(f.glob("*.txt"))) == 1 for f in (tmp_path / "out").glob("name=*"))
+    assert text_meshes.stores(spark, str(tmp_path / "out")).where("section = 's'").count() == 600
