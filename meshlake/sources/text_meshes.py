@@ -270,10 +270,11 @@ def vtu_arrays(spark: SparkSession, path: str) -> DataFrame:
     attribute = lambda k: F.regexp_extract("a", k + '="([^"]*)"', 1)
     width = F.coalesce(attribute("NumberOfComponents").try_cast("int"), F.lit(1))
     words = F.filter(F.split(F.regexp_extract("a", "(?s)>(.*)$", 1), r"\s+"), lambda w: w != "")
-    rows = parts.select("name", attribute("Name").alias("array"), width.alias("m"), words.alias("w"))
-    rows = rows.withColumn("k", F.explode(F.sequence(F.lit(0), F.floor(F.size("w") / F.col("m")).cast("int") - 1)))
-    vals = F.transform(F.slice("w", F.col("k") * F.col("m") + 1, F.col("m")), lambda v: v.cast("double"))
-    return rows.select("name", "array", F.col("k").cast("bigint").alias("row_id"), vals.alias("vals"))
+    # Each word is a row of its own before rows are put together: an array that goes along with each of its rows would grow with their square.
+    cells = parts.select("name", attribute("Name").alias("array"), width.alias("m"), words.alias("w")).select("name", "array", "m", F.posexplode("w").alias("at", "token"))
+    cells = cells.select("name", "array", F.floor(F.col("at") / F.col("m")).alias("row_id"), "m", (F.col("at") % F.col("m")).alias("k"), F.col("token").cast("double").alias("v"))
+    rows = cells.groupBy("name", "array", "row_id", "m").agg(F.array_sort(F.collect_list(F.struct("k", "v"))).alias("c"))
+    return rows.where(F.size("c") == F.col("m")).select("name", "array", "row_id", F.transform("c", lambda c: c["v"]).alias("vals"))
 
 
 def _named(spark: SparkSession, path: str) -> DataFrame:
@@ -313,7 +314,9 @@ def matrices(spark: SparkSession, path: str) -> DataFrame:
     df = _named(spark, path).select(F.get(lines, 0).alias("name"), F.slice(lines, 4, 1 << 30).alias("rest"))
     note = lambda x: F.contains(x, F.lit(" = "))
     meta = F.map_from_entries(F.transform(F.filter("rest", note), lambda x: F.struct(F.get(F.split(x, " = "), 0), F.get(F.split(x, " = "), 1))))
-    rows = df.select("name", meta.alias("meta"), F.posexplode(F.filter("rest", lambda x: ~note(x) & (F.trim(x) != ""))).alias("row_id", "line"))
+    # The notes are read before lines become rows, else once for each of them.
+    df = df.select("name", meta.alias("meta"), F.filter("rest", lambda x: ~note(x) & (F.trim(x) != "")).alias("lines"))
+    rows = df.select("name", "meta", F.posexplode("lines").alias("row_id", "line"))
     return rows.select("name", "meta", F.col("row_id").cast("bigint").alias("row_id"), F.transform(F.split(F.trim("line"), r"\s+"), lambda v: v.cast("double")).alias("vals"))
 
 

@@ -108,3 +108,16 @@ def test_stores_of_many_names_are_whole_files(spark, tmp_path):
     text_meshes.write_key_values(part("a").unionByName(part("b")).withColumn("section", F.lit("s")), str(tmp_path / "out"))
     assert all(len(list(f.glob("*.txt"))) == 1 for f in (tmp_path / "out").glob("name=*"))
     assert text_meshes.stores(spark, str(tmp_path / "out")).where("section = 's'").count() == 600
+
+
+def test_long_files_do_not_take_time_by_their_square(spark, tmp_path):
+    """Without what goes along with each row, both files are read in seconds; with it in many minutes."""
+    import time
+
+    rows = spark.range(40_000).select(F.lit("a1").alias("name"), F.col("id").alias("row_id"), F.array(F.col("id") + 0.5, F.col("id") * 2.0).alias("vals"))
+    text_meshes.write_vtu(rows.withColumn("array", F.lit("points")), str(tmp_path / "vtu"))
+    text_meshes.write_matrix(rows, str(tmp_path / "matrix"), "matrix", {"unit": "mm"})
+    start = time.perf_counter()
+    for found in (text_meshes.vtu_arrays(spark, str(tmp_path / "vtu")), text_meshes.matrices(spark, str(tmp_path / "matrix")).where("meta['unit'] = 'mm'")):
+        assert found.join(rows.withColumnRenamed("vals", "want"), ["name", "row_id"]).where("vals = want").count() == 40_000
+    assert time.perf_counter() - start < 60
