@@ -226,7 +226,7 @@ def pixels(spark: SparkSession, path: str, crop: tuple[int, int, int, int] | Non
 
 
 def encode(h: dict, vals: np.ndarray, bits: np.ndarray | None = None, tags: dict[tuple[int, int], tuple[bytes, bytes]] | None = None) -> bytes:
-    """A DICOM file of one plane of unsigned 16-bit values, with an overlay plane if given, and with further elements: tags to value type and bytes."""
+    """A DICOM file of one plane of whole values, of 16 bits or, where these do not hold them, 32, signed if one is negative, with an overlay plane if given, and with further elements: tags to value type and bytes."""
     pad = lambda v, c=b" ": v + c * (len(v) % 2)
     numbers = lambda v: "\\".join(f"{x:.10g}" for x in v).encode()
 
@@ -236,14 +236,19 @@ def encode(h: dict, vals: np.ndarray, bits: np.ndarray | None = None, tags: dict
 
     texts = {"description": (b"LO", h["description"].encode("latin-1")), "time": (b"DS", numbers([h["time"]])), "series_uid": (b"UI", h["series_uid"].encode()), "series_number": (b"IS", str(int(h["series_number"])).encode()), "instance": (b"IS", str(int(h["instance"])).encode()), "position": (b"DS", numbers(h["position"])), "orientation": (b"DS", numbers(h["orientation"])), "spacing": (b"DS", numbers(h["spacing"])), "intercept": (b"DS", numbers([h["intercept"]])), "slope": (b"DS", numbers([h["slope"]]))}
     parts = {TAGS[k]: element(TAGS[k], kind, pad(v, b"\0" if kind == b"UI" else b" ")) for k, (kind, v) in texts.items()}
-    for k, v in {"rows": h["rows"], "cols": h["cols"], "bits": 16, "signed": 0}.items():
+    vals = np.asarray(vals, float)
+    signed = int(vals.min(initial=0) < 0)
+    bits_of = next((n for n in (16, 32) if vals.min(initial=0) >= -signed * 2.0 ** (n - 1) and vals.max(initial=0) < 2.0 ** (n - signed)), None)
+    if bits_of is None:
+        raise ValueError("the values of a plane need more than 32 bits")
+    for k, v in {"rows": h["rows"], "cols": h["cols"], "bits": bits_of, "signed": signed}.items():
         parts[TAGS[k]] = element(TAGS[k], b"US", struct.pack("<H", v))
     for tag, (kind, value) in (tags or {}).items():
         parts[tag] = element(tag, kind, pad(value, b"\0" if kind == b"UI" else b" "))
     if bits is not None:
         parts[OVERLAY_ROWS], parts[OVERLAY_COLS] = (element(t, b"US", struct.pack("<H", v)) for t, v in ((OVERLAY_ROWS, h["rows"]), (OVERLAY_COLS, h["cols"])))
         parts[OVERLAY] = element(OVERLAY, b"OW", pad(np.packbits(np.asarray(bits, np.uint8), bitorder="little").tobytes(), b"\0"))
-    parts[PIXELS] = element(PIXELS, b"OW", pad(np.asarray(vals).astype("<u2").tobytes(), b"\0"))
+    parts[PIXELS] = element(PIXELS, b"OW", pad(vals.astype(f"<{'i' if signed else 'u'}{bits_of // 8}").tobytes(), b"\0"))
     meta = element((2, 0x10), b"UI", pad(b"1.2.840.10008.1.2.1", b"\0"))
     return b"\0" * 128 + b"DICM" + meta + b"".join(parts[k] for k in sorted(parts))
 

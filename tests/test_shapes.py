@@ -146,6 +146,16 @@ def plane_row(k, **more):
     return {"file": f"{k}.dcm", "series_uid": "1.2", "series_number": 1.0, "description": "d", "instance": float(k), "time": k * 0.5, "position": [0.0, 0.0, float(k % 2)], "orientation": [1.0, 0, 0, 0, 1.0, 0], "spacing": [1.0, 1.0], "slope": 1.0, "intercept": 0.0, "rows": 2, "cols": 3} | more
 
 
+def test_dicom_values_beyond_16_bits(spark, tmp_path):
+    planes = {"a": [0, 1, 2, 3, 4, 65535], "b": [0, 65536, 195000, 1, 2, 3], "c": [-1, 32767, 0, 1, 2, 3], "d": [-70000, 70000, 0, 1, 2, 3]}
+    for k, (name, vals) in enumerate(planes.items()):
+        (tmp_path / f"{name}.dcm").write_bytes(dicom.encode(plane_row(k), np.array(vals, float)))
+    got = dicom.pixels(spark, str(tmp_path)).orderBy("file", "row", "col").collect()
+    assert {n: [r.val for r in got if r.file == f"{n}.dcm"] for n in planes} == planes
+    with pytest.raises(ValueError):
+        dicom.encode(plane_row(0), np.array([0, 0, 0, 0, 0, 2.0**32]))
+
+
 def test_dicom_damage_and_index(spark, tmp_path):
     folder = tmp_path / "d"
     folder.mkdir()
