@@ -170,13 +170,16 @@ def evaluate_at(places: DataFrame, elements: DataFrame, values: DataFrame, elem_
     return places.join(corners, "elem_id").select("elem_id", "point_id", total.alias("val"))
 
 
-def positions_at(places: DataFrame, elements: DataFrame, nodes: DataFrame, elem_type: str) -> DataFrame:
-    """places (elem_id, xi, ...) with p, the point there: nodes weighted by their functions; null where a node is missing. nodes: (node_id, p)."""
+def positions_at(places: DataFrame, elements: DataFrame | None, nodes: DataFrame | None, elem_type: str) -> DataFrame:
+    """places (elem_id, xi, ...) with p, the point there: nodes weighted by their functions; null where a node is missing. nodes: (node_id, p).
+
+    Places that have the points of their element's nodes already, as cnodes, meet neither elements nor nodes."""
     from .spatial import with_corners
 
     dims = basis.GEOMETRIES[basis.element_type(elem_type)[0]][0]
     weights = F.array(*basis.lagrange(elem_type, [F.get("xi", k) for k in range(dims)]))
-    joined = places.join(with_corners(elements, nodes).select("elem_id", "cnodes"), "elem_id").withColumn("_w", weights)
+    joined = places if "cnodes" in places.columns else places.join(with_corners(elements, nodes).select("elem_id", "cnodes"), "elem_id")
+    joined = joined.withColumn("_w", weights)
     total = lambda c: F.aggregate(F.zip_with("cnodes", "_w", lambda p, w: p[c] * w), F.lit(0.0), lambda s, v: s + v)
     return joined.withColumn("p", F.struct(*(total(c).alias(c) for c in "xyz"))).drop("cnodes", "_w")
 

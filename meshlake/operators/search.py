@@ -7,11 +7,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+import pyarrow.compute
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import basis
-from .grid import CELL, box_of, levels_of, with_box_cells, with_point_cells
+from .grid import CELL, box_level, levels_of, with_box_cells, with_point_cells
 from .spatial import with_corners
 from .stored import stored
 
@@ -32,13 +33,6 @@ def bernstein_matrix(geometry: str, order: int) -> np.ndarray:
     return np.linalg.inv(values)
 
 
-def control_points(nodes: str, geometry: str, order: int) -> Column:
-    """The control points of an element from the array of its nodes."""
-    rows = F.lit(bernstein_matrix(geometry, order).round(12).tolist())
-    total = lambda w, c: F.aggregate(F.zip_with(w, nodes, lambda a, p: a * p[c]), F.lit(0.0), lambda s, v: s + v)
-    return F.transform(rows, lambda w: F.struct(*(total(w, c).alias(c) for c in "xyz")))
-
-
 def _starts(geometry: str, level: int) -> np.ndarray:
     """Middles of the 2**level parts an axis of the unit element."""
     dims, simplex = basis.GEOMETRIES[geometry]
@@ -91,14 +85,39 @@ def invert(corners: np.ndarray, points: np.ndarray, geometry: str, order: int, s
     return out
 
 
+def _corners(column: pa.Array, rows: int) -> np.ndarray:
+    """Arrays of as many points in each of `rows` rows, as (rows, points, 3); nan for nulls."""
+    return np.stack([c.to_numpy(zero_copy_only=False) for c in column.flatten().flatten()], 1).astype(float).reshape(rows, -1, 3)
+
+
+def _boxes(geometry: str, order: int):
+    """The boxes of the control points of elements with all their nodes, in single precision and rounded outwards: they only choose candidates."""
+    matrix = bernstein_matrix(geometry, order)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            batch = batch.filter(pa.compute.equal(pa.compute.list_value_length(batch.column("cnodes")), len(matrix)))
+            if not batch.num_rows:
+                continue
+            hull = np.einsum("mn,enc->emc", matrix, _corners(batch.column("cnodes"), batch.num_rows))
+            batch, hull = batch.filter(pa.array(np.isfinite(hull).all((1, 2)))), hull[np.isfinite(hull).all((1, 2))]
+            low = np.nextafter(hull.min(1).astype(np.float32), np.float32(-np.inf))
+            high = np.nextafter(hull.max(1).astype(np.float32), np.float32(np.inf))
+            yield pa.RecordBatch.from_arrays([batch.column("elem_id"), *(pa.array(np.ascontiguousarray(side[:, c])) for side in (low, high) for c in range(3))], ["elem_id", *BOX])
+
+    return run
+
+
+BOX = ["_ax", "_ay", "_az", "_bx", "_by", "_bz"]
+
+
 def _inverted(geometry: str, order: int, steps: int, levels: int, eps: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if not batch.num_rows:
                 continue
-            flat = lambda a: np.stack([a.field(c).to_numpy(zero_copy_only=False) for c in "xyz"], 1)
-            corners = flat(batch.column("cnodes").flatten()).reshape(batch.num_rows, -1, 3)
-            xi = invert(corners, flat(batch.column("p")), geometry, order, steps, levels, eps)
+            points = np.stack([batch.column("p").field(c).to_numpy(zero_copy_only=False) for c in "xyz"], 1)
+            xi = invert(_corners(batch.column("cnodes"), batch.num_rows), points, geometry, order, steps, levels, eps)
             found = pa.array(~np.isnan(xi).any(1))
             rows = pa.RecordBatch.from_arrays([batch.column("id"), batch.column("elem_id"), pa.FixedSizeListArray.from_arrays(pa.array(xi.ravel()), xi.shape[1]).cast(pa.list_(pa.float64()))], ["id", "elem_id", "xi"])
             yield rows.filter(found)
@@ -106,23 +125,25 @@ def _inverted(geometry: str, order: int, steps: int, levels: int, eps: float):
     return run
 
 
-def locate(points: DataFrame, elements: DataFrame, nodes: DataFrame, elem_type: str, size: float, steps: int = 12, levels: int = 2, eps: float = 1e-9) -> DataFrame:
+def locate(points: DataFrame, elements: DataFrame, nodes: DataFrame | None, elem_type: str, size: float, steps: int = 12, levels: int = 2, eps: float = 1e-9) -> DataFrame:
     """(id, elem_id, xi): the elements (elem_id, node_ids) of a type such as Hex1NL that hold points (id, p), and the coordinates there.
 
-    An element is dealt to the few cells of its level that the box of its control points touches, a point to one cell
-    of each level, so large elements and small ones may be mixed. An element with a missing node holds nothing. A point
-    on the side of several elements is found in each of them."""
+    Elements that have the points of their nodes already, as cnodes, need no nodes. The box of an element's control
+    points is dealt to the few cells of its level that it touches, a point to one cell of each level, so large elements
+    and small ones may be mixed. Only boxes and points meet by cell; corners go once to the points in their box. An
+    element with a missing node holds nothing. A point on the side of several elements is found in each of them."""
     geometry, order, _ = basis.element_type(elem_type)
-    n = len(basis.exponents(geometry, order))
-    whole = with_corners(elements, nodes).where((F.size("cnodes") == n) & ~F.exists("cnodes", lambda p: p["x"].isNull() | p["y"].isNull() | p["z"].isNull()))
-    # Written step by step: control points, their box and its cells would else be one expression that repeats itself.
-    hulls = stored(whole.select("elem_id", "cnodes", control_points("cnodes", geometry, order).alias("_hull")))
-    low, high = box_of(F.col("_hull"))
-    boxed = stored(hulls.select("elem_id", "cnodes", low.alias("_a"), high.alias("_b")))
-    placed = stored(with_box_cells(boxed, F.col("_a"), F.col("_b"), size))
+    whole = elements if "cnodes" in elements.columns else stored(with_corners(elements, nodes).select("elem_id", "cnodes"))
+    whole = whole.select("elem_id", "cnodes")
     kinds = {k: t for k, t in points.dtypes + elements.dtypes}
-    pairs = with_point_cells(stored(points.select("id", "p")), F.col("p"), size, levels_of(placed) or [0]).join(placed, CELL)
+    boxes = stored(whole.mapInArrow(_boxes(geometry, order), f"elem_id {kinds['elem_id']}, " + ", ".join(f"{c} float" for c in BOX)))
+    corner = lambda names: F.struct(*(F.col(k).cast("double").alias(c) for k, c in zip(names, "xyz")))
+    # Sizes are not estimated from cells and corners, so the joins are told to shuffle: neither side may be small enough to send whole.
+    cell = F.xxhash64(*CELL).alias("_cell")
+    used = levels_of(boxes.select(box_level(corner(BOX[:3]), corner(BOX[3:]), size).alias("level")))
+    placed = with_box_cells(boxes, corner(BOX[:3]), corner(BOX[3:]), size).select(cell, "elem_id", *BOX)
+    pairs = with_point_cells(points.select("id", "p"), F.col("p"), size, used or [0]).select(cell, "id", "p").join(placed.hint("merge"), "_cell")
     for c in "xyz":
-        pairs = pairs.where(F.col("p")[c].between(F.col("_a")[c] - size * eps, F.col("_b")[c] + size * eps))
-    pairs = pairs.select("id", "p", "elem_id", "cnodes")
+        pairs = pairs.where(F.col("p")[c].between(F.col(f"_a{c}") - size * eps, F.col(f"_b{c}") + size * eps))
+    pairs = pairs.select("id", "p", "elem_id").join(whole.hint("merge"), "elem_id").select("id", "p", "elem_id", "cnodes")
     return pairs.mapInArrow(_inverted(geometry, order, steps, levels, eps), f"id {kinds['id']}, elem_id {kinds['elem_id']}, xi array<double>")

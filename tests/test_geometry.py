@@ -101,6 +101,20 @@ def test_locate_in_elements(spark, name):
         assert np.abs(np.array(got[i, e]) - xi).max() < 1e-8
 
 
+def test_locate_sends_corners_once(spark):
+    """Elements that bring their corners; only boxes go to the cells, and corners neither with them nor in a broadcast."""
+    places = basis.node_positions("Hex", 1)
+    cubes = [(e, [tuple(map(float, p + [1.0 * e, 0, 0])) for p in places]) for e in range(6)] + [(6, [None] * 8), (7, [(0.0, 0.0, 0.0)] * 7), (8, None)]
+    elements = spark.createDataFrame(cubes, f"elem_id bigint, cnodes array<{XYZ}>")
+    df = spark.createDataFrame([(0, (0.25, 0.5, 0.75)), (1, (3.0, 0.5, 0.5)), (2, (9.0, 0.0, 0.0)), (3, None)], f"id bigint, p {XYZ}")
+    found = search.locate(df, elements, None, "Hex1NL", 1.0)
+    got = {(r.id, r.elem_id): [round(v, 9) for v in r.xi] for r in found.collect()}
+    assert got == {(0, 0): [0.25, 0.5, 0.75], (1, 2): [1.0, 0.5, 0.5], (1, 3): [0.0, 0.5, 0.5]}
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    boxes = next(line for line in plan.split("\n") if "xxhash64" in line and "_ax" in line)
+    assert "cnodes" not in boxes and "BroadcastHashJoin" not in found._jdf.queryExecution().executedPlan().toString()
+
+
 def test_bernstein_hull():
     for name in ("Hex2NL", "Tet2NL", "Tri3NL", "Line2NL"):
         geometry, order, _ = basis.element_type(name)
