@@ -115,6 +115,24 @@ def test_locate_sends_corners_once(spark):
     assert "cnodes" not in boxes and "BroadcastHashJoin" not in found._jdf.queryExecution().executedPlan().toString()
 
 
+def test_meeting_of_dense_cells(spark, monkeypatch):
+    """All tetrahedra about one place: their cells are cut into parts, their pairs into pieces, and every pair still meets once."""
+    rng = np.random.default_rng(8)
+    tets, points = rng.normal(0, 0.2, (300, 4, 3)), rng.normal(0, 0.1, (40, 3))
+    row = lambda k, c: (k, *(tuple(map(float, p)) for p in c))
+    shape = spark.createDataFrame([row(k, c) for k, c in enumerate(tets)] + [(300, *[(0.1, 0.1, 0.1)] * 4), (301, None, *[(0.1, 0.1, 0.1)] * 3)], "elem_id bigint, " + ", ".join(f"{c} {XYZ}" for c in "abcd"))
+    df = spark.createDataFrame([row(k, [p]) for k, p in enumerate(points)] + [(40, None)], f"id bigint, p {XYZ}")
+    xi = np.linalg.solve(np.swapaxes(tets[:, 1:] - tets[:, :1], 1, 2)[None], (points[:, None] - tets[None, :, 0])[..., None])[..., 0]
+    want = {(i, j) for i, j in zip(*np.nonzero((xi >= 0).all(2) & (xi.sum(2) <= 1)))}
+    whole, seen = grid.meeting, []
+    monkeypatch.setattr(spatial, "meeting", lambda a, b, run, schema: seen.append(b) or whole(a, b, run, schema, 16))
+    found = spatial.locate(df, shape, 0.1).collect()
+    assert len(want) > 200 and len(found) == len(want) and {(r.id, r.elem_id) for r in found} == want
+    assert all(np.allclose(list(r.xi), xi[r.id, r.elem_id], atol=1e-6) for r in found)
+    assert seen[0].groupBy(*grid.CELL).count().agg(F.max("count")).first()[0] > 100
+    assert spatial.locate(df, shape.limit(0), 0.1).count() == 0 and spatial.locate(df.limit(0), shape, 0.1).count() == 0
+
+
 def test_bernstein_hull():
     for name in ("Hex2NL", "Tet2NL", "Tri3NL", "Line2NL"):
         geometry, order, _ = basis.element_type(name)
