@@ -56,6 +56,20 @@ def test_cast(spark, size):
     assert rays.cast(df, tris.limit(0), size).count() == 0 and rays.cast(df.limit(0), tris, size).count() == 0
 
 
+def test_nearest_hits(spark):
+    """First hits without the others: rays that hit soon, late and never, some of which may not hit one of the triangles."""
+    rng = np.random.default_rng(2)
+    corners, origins, ways = triangles_of(rng, 80), rng.uniform(-1.5, 1.5, (30, 3)), rng.normal(size=(30, 3))
+    origins[0], ways[0] = (90, 90, 90), (0, 0, 1)
+    ways /= np.linalg.norm(ways, axis=1)[:, None]
+    tris = spark.createDataFrame([(k, *(tuple(map(float, p)) for p in c)) for k, c in enumerate(corners)], f"tri_id bigint, a {XYZ}, b {XYZ}, c {XYZ}")
+    whole = {r: min(((t, j) for j in range(80) if j != r and (t := brute_ray(origins[r], ways[r], corners[j])) is not None), default=None) for r in range(30)}
+    df = spark.createDataFrame([(k, k, tuple(map(float, o)), tuple(map(float, d))) for k, (o, d) in enumerate(zip(origins, ways))], f"ray_id bigint, skip bigint, origin {XYZ}, direction {XYZ}")
+    got = {r.ray_id: (r.t, r.tri_id) for r in rays.nearest(df, tris, 0.3).collect()}
+    assert got.keys() == {r for r, v in whole.items() if v} and all(got[r][1] == whole[r][1] and abs(got[r][0] - whole[r][0]) < 1e-6 * (1 + got[r][0]) for r in got)
+    assert 0 not in got and rays.nearest(df, tris.limit(0), 0.3).count() == 0 and rays.nearest(df.limit(0), tris, 0.3).count() == 0
+
+
 def test_region_thickness(spark):
     """Two parallel plates: rays of each meet the other at their distance."""
     rows = []
