@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from ..functions import basis, vec
 from .mesh import EDGES
 from .spatial import with_corners
+from .stored import stored
 
 
 def _outward_faces(geometry: str) -> list[list[int]]:
@@ -151,6 +152,10 @@ def contour_triangles(points: DataFrame, keys: list[str]) -> DataFrame:
     return found.select(*keys, "t", *(vec.vec(*(F.col(f"{n}{c}") for c in "xyz")).alias(n) for n in "abc"))
 
 
+#: Rows of a lofted surface that are made at once.
+BLOCK = 1000
+
+
 def loft(rings: DataFrame, key: str, n: int, between: int, closed_at_end: bool = True) -> tuple[DataFrame, DataFrame]:
     """(nodes, triangles) of the surface through rings of n points each, from the first ring to the last.
 
@@ -172,7 +177,12 @@ def loft(rings: DataFrame, key: str, n: int, between: int, closed_at_end: bool =
     if closed_at_end:
         ends = rings.groupBy(key, "level").agg(*(F.avg(f"p.{c}").alias(c) for c in "xyz")).groupBy(key).agg(F.max_by(F.struct("x", "y", "z"), "level").alias("p"))
         nodes = nodes.unionByName(ends.join(last, key).select(key, (F.col("_last") + 1).alias("row"), F.lit(0).cast("bigint").alias("k"), "p"))
-    cells = last.select(key, "_last", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("_last") - (0 if closed_at_end else 1))).alias("row")).select("*", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(n - 1).cast("bigint"))).alias("k"))
+    # A key's rows are made by many tasks: first their blocks, dealt to tasks, then the rows of a block.
+    last = stored(last)
+    top, whole = F.col("_last") - (0 if closed_at_end else 1), last.agg(F.sum("_last")).first()[0] or 0
+    tasks = max(1, -(-int(whole) // BLOCK), int(last.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    blocks = last.withColumn("_first", F.explode(F.when(top >= 0, F.sequence(F.lit(0).cast("bigint"), top, F.lit(BLOCK).cast("bigint"))))).repartition(tasks, key, "_first")
+    cells = blocks.select(key, "_last", F.explode(F.sequence("_first", F.least(F.col("_first") + (BLOCK - 1), top))).alias("row")).select("*", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(n - 1).cast("bigint"))).alias("k"))
     at = lambda up, on: F.struct((F.col("row") + up).alias("row"), ((F.col("k") + on) % n).alias("k"))
     apex = F.struct((F.col("row") + 1).alias("row"), F.lit(0).cast("bigint").alias("k"))
     triangle = lambda *c: F.struct(*(x.alias(m) for x, m in zip(c, "abc")))

@@ -147,6 +147,16 @@ def test_meeting_of_dense_cells(spark, monkeypatch):
     assert spatial.locate(df, shape.limit(0), 0.1).count() == 0 and spatial.locate(df.limit(0), shape, 0.1).count() == 0
 
 
+def test_loft_rows_are_made_by_many_tasks(spark):
+    """A surface of many rings is not one task's; its closed triangles are as many as before."""
+    rings = spark.range(4 * 1500).select(F.lit(1).alias("key"), F.floor(F.col("id") / 4).alias("level"), (F.col("id") % 4).alias("k"), vec.vec(F.col("id") % 4 * 1.0, F.floor(F.col("id") / 4) * 1.0, 0.0).alias("p"))
+    for closed, caps in ((True, 4), (False, 0)):
+        _, faces = surfaces.loft(rings, "key", 4, 2, closed)
+        made = faces.groupBy(F.spark_partition_id()).count().collect()
+        assert len(made) > 2 and sum(r["count"] for r in made) == faces.distinct().count() == 2 * 4 * 3 * 1499 + caps
+    assert surfaces.loft(rings.limit(0), "key", 4, 2)[1].count() == 0 and surfaces.loft(rings.where("level = 0"), "key", 4, 2, False)[1].count() == 0
+
+
 def test_bernstein_hull():
     for name in ("Hex2NL", "Tet2NL", "Tri3NL", "Line2NL"):
         geometry, order, _ = basis.element_type(name)
