@@ -54,11 +54,12 @@ def apply_cell(df: DataFrame, f: Callable[[Column, Column, Column], Column], row
 
 
 def matrix_op(a: DataFrame, b: DataFrame, op: str) -> DataFrame:
-    """Cell by cell over the common part; the rest of a stays."""
+    """Cell by cell over the common part; the rest of a stays, as if 0 were added to it in sums: -0.0 is 0.0 there."""
+    rest = (lambda x: x + 0.0) if op == "add" else (lambda x: x)
     b = b.select("row_id", F.col("vals").alias("other"))
     # zip_with fills the shorter side with nulls, so the result is cut to a's width.
-    both = F.slice(F.zip_with("vals", "other", lambda x, y: F.when(y.isNull(), x).otherwise(OPS[op](x, y))), F.lit(1), F.size("vals"))
-    return a.join(b, "row_id", "left").select("row_id", F.when(F.col("other").isNull(), F.col("vals")).otherwise(both).alias("vals"))
+    both = F.slice(F.zip_with("vals", "other", lambda x, y: F.when(y.isNull(), rest(x)).otherwise(OPS[op](x, y))), F.lit(1), F.size("vals"))
+    return a.join(b, "row_id", "left").select("row_id", F.when(F.col("other").isNull(), F.transform("vals", rest)).otherwise(both).alias("vals"))
 
 
 def reshape(df: DataFrame, width: int, m: int) -> DataFrame:

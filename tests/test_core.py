@@ -152,3 +152,20 @@ def test_rounded_cells_keep_the_sign_of_zero(spark):
     import duckdb
 
     assert repr(got) == repr(duckdb.connect().execute("SELECT list_transform(?::DOUBLE[], lambda v: round(v, 6))", [vals]).fetchone()[0])
+
+
+def test_matrix_queries_equal_sql_as_text(spark, tmp_path):
+    """Values that round to zero from below, zeros of both signs and ties, cell by cell with their sign."""
+    import duckdb
+    import numpy as np
+
+    from meshlake.plans import registry
+
+    v = np.random.default_rng(4).normal(0, 0.125, (240, 64)).astype("float32")
+    v[::3, 5], v[::5, 2], v[::4, 60], v[::7, 9] = -0.0, -2e-7, 0.0, np.float32(-7.0 / 128)
+    spark.createDataFrame([(k, [float(x) for x in row], k % 10) for k, row in enumerate(v)], "vec_id bigint, embedding array<float>, label int").write.parquet(f"{tmp_path}/embeddings.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW embeddings AS SELECT * FROM '{tmp_path}/embeddings.parquet/*.parquet'")
+    for name in ("scalar_ops", "expression", "mat_ops", "reshape", "resize", "row_write", "append_remove", "apply_cell", "apply_row"):
+        got = {r.row_id: repr(r.vals) for r in registry.QUERIES[f"mat_{name}"](spark, str(tmp_path)).collect()}
+        assert got == {k: repr(x) for k, x in con.execute(f"SELECT row_id, vals FROM ({registry.ORACLE_SQL[f'mat_{name}']})").fetchall()}, name
