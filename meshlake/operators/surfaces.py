@@ -111,26 +111,47 @@ def vertices(triangles: DataFrame) -> DataFrame:
 
 
 def _clip(p: np.ndarray) -> list[tuple[int, int, int]]:
-    """Triangles of a simple polygon of points (x, y), by cutting off ears; of what has no ear left, as in a polygon that crosses itself, a fan."""
+    """Triangles of a simple polygon of points (x, y), by cutting off ears; of what has no ear left, as in a polygon that crosses itself, a fan.
+
+    A point in line with its neighbours goes first, as a triangle without area. An ear may not touch other points, as one
+    on its open side would be left on a side of the rest, which then may have no ear; only in polygons that touch
+    themselves it may, first in its corners, then anywhere."""
     turn = lambda a, b, c: (b[0] - a[0]) * (c[1] - a[1]) - (b[1] - a[1]) * (c[0] - a[0])
-    left = list(range(len(p)))
-    if sum(turn((0.0, 0.0), p[i - 1], p[i]) for i in left) < 0:
-        left.reverse()
-    out = []
-    while len(left) > 3:
-        for m in range(len(left)):
-            i, j, k = left[m - 1], left[m], left[(m + 1) % len(left)]
-            others = p[[o for o in left if o not in (i, j, k)]]
-            if turn(p[i], p[j], p[k]) < 0:
-                continue
-            sides = [(b[0] - a[0]) * (others[:, 1] - a[1]) - (b[1] - a[1]) * (others[:, 0] - a[0]) for a, b in ((p[i], p[j]), (p[j], p[k]), (p[k], p[i]))]
-            if not (np.minimum.reduce(sides) > 0).any():
-                out.append((i, j, k))
-                left.pop(m)
-                break
+    left, q = np.arange(len(p)), p.T
+    if turn(np.zeros(2), np.roll(q, 1, 1), q).sum() < 0:
+        left, q = left[::-1], q[:, ::-1]
+    turns = turn(np.roll(q, 1, 1), q, np.roll(q, -1, 1))
+    # What rounding leaves of an area of 0.
+    none = 1e-12 * np.ptp(q, 1).max() ** 2 if len(p) else 0.0
+
+    def ear(m: int, touching: int) -> bool:
+        own = [m - 1, m, (m + 1) % len(left)]
+        a, b, c = (q[:, e].tolist() for e in own)
+        depth = np.minimum(np.minimum(turn(a, b, q), turn(b, c, q)), turn(c, a, q))
+        depth[own] = -np.inf
+        if touching == 2:
+            return depth.max() <= none
+        near = q[:, depth >= -none].T.tolist()
+        return not near or touching == 1 and all(o in (a, b, c) for o in near)
+
+    out, at = [], 0
+    while (n := len(left)) > 3:
+        flat = np.flatnonzero(np.abs(turns) <= none)
+        if len(flat):
+            m = int(flat[0])
         else:
-            return out + [(left[0], left[m], left[m + 1]) for m in range(1, len(left) - 1)]
-    return out + ([tuple(left)] if len(left) == 3 else [])
+            # The search goes on where the last ear was.
+            tips = np.flatnonzero(turns > 0)
+            first = int(np.searchsorted(tips, at))
+            tips = [*tips[first:].tolist(), *tips[:first].tolist()]
+            m = at = next((m for touching in range(3) for m in tips if ear(m, touching)), None)
+        if m is None:
+            return out + [(int(left[0]), int(left[m]), int(left[m + 1])) for m in range(1, n - 1)]
+        out.append((int(left[m - 1]), int(left[m]), int(left[(m + 1) % n])))
+        left, q, turns = np.delete(left, m), np.delete(q, m, 1), np.delete(turns, m)
+        for e in (m - 1, m % (n - 1)):
+            turns[e] = turn(q[:, e - 1].tolist(), q[:, e].tolist(), q[:, (e + 1) % (n - 1)].tolist())
+    return out + ([tuple(left.tolist())] if len(left) == 3 else [])
 
 
 def contour_triangles(points: DataFrame, keys: list[str]) -> DataFrame:

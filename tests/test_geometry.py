@@ -348,6 +348,23 @@ def test_loft(spark):
     assert tube.count() == 2 * n * (levels - 1)
 
 
+def test_contour_triangles(spark):
+    """Diagonals of these contours pass through other points; copies and points in line count, too."""
+    rng = random.Random(3)
+    contours = [[(7, 5), (30, 0), (72, 0), (70, 35), (55, 45), (37, 55), (27, 55), (9, 50), (13, 45), (7, 45)], [(0, 0), (2, 0), (2, 0), (4, 0), (4, 4), (2, 4), (0, 4)]]
+    for n in (12, 60):
+        ps = [(20.0 * rng.randrange(12), float(rng.randrange(60))) for _ in range(n)]
+        cx, cy = (sum(p[k] for p in ps) / n for k in (0, 1))
+        contours.append(sorted(ps, key=lambda p: math.atan2(p[1] - cy, p[0] - cx)))
+    rows = [(c, k, (float(x), float(y), 1.0)) for c, ps in enumerate(contours) for k, (x, y) in enumerate(ps)]
+    found = surfaces.contour_triangles(spark.createDataFrame(rows, f"key int, at int, p {XYZ}"), ["key"])
+    area = vec.triangle_area(F.col("a"), F.col("b"), F.col("c"))
+    got = {r.key: (r.n, r.area) for r in found.groupBy("key").agg(F.count("*").alias("n"), F.sum(area).alias("area")).collect()}
+    for c, ps in enumerate(contours):
+        assert got[c][0] == len(ps) - 2
+        assert abs(got[c][1] - abs(sum(a * y - b * x for (a, b), (x, y) in zip(ps, ps[1:] + ps[:1]))) / 2) < 1e-6
+
+
 def test_box_cells(spark):
     """A box of any size touches a few cells only."""
     df = spark.createDataFrame([(k, (0.3, 0.3, 0.3), (0.3 + 10.0**k,) * 3) for k in range(-3, 6)], f"k int, a {XYZ}, b {XYZ}")
