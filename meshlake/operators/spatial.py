@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import reduce
 
 import numpy as np
@@ -81,17 +81,51 @@ def vertex_normals(triangles: DataFrame) -> DataFrame:
     return sums.select("node_id", F.struct("x", "y", "z").alias("n")).select("node_id", vec.norm(F.col("n")).alias("normal"))
 
 
+#: Points of one y that are looked at together, as bits of a positive number, and neighbours among which they are sought.
+RUN, NEIGHBOURS = 62, 2000
+
+
+def _banded(edges: DataFrame, band: float) -> tuple[DataFrame, Column, Column, Callable[[str], Column]]:
+    """Edges once for each band of y that they pass, whether an edge crosses y, the x where it does, and the band of a y."""
+    at = lambda c: F.floor(F.col(c) / band) if isinstance(c, str) else F.floor(c / band)
+    banded = edges.select("*", F.explode(F.sequence(at(F.least("y1", "y2")), at(F.greatest("y1", "y2")))).alias("_band"))
+    crosses = (F.col("y1") > F.col("y")) != (F.col("y2") > F.col("y"))
+    x = (F.col("x2") - F.col("x1")) * (F.col("y") - F.col("y1")) / F.nullif(F.col("y2") - F.col("y1"), F.lit(0.0)) + F.col("x1")
+    return banded, crosses, x, at
+
+
 def points_in_polygon(points: DataFrame, edges: DataFrame, band: float = 0.05) -> DataFrame:
     """(poly, id): points (id, x, y) inside polygons of edges (poly, x1, y1, x2, y2), by odd crossings.
 
     Points meet only the edges of their band of y, of height `band`; an edge is in all bands that it passes."""
-    at = lambda c: F.floor(F.col(c) / band) if isinstance(c, str) else F.floor(c / band)
-    banded = edges.select("*", F.explode(F.sequence(at(F.least("y1", "y2")), at(F.greatest("y1", "y2")))).alias("_band"))
-    crosses = ((F.col("y1") > F.col("y")) != (F.col("y2") > F.col("y"))) & (F.col("x") < (F.col("x2") - F.col("x1")) * (F.col("y") - F.col("y1")) / F.nullif(F.col("y2") - F.col("y1"), F.lit(0.0)) + F.col("x1"))
-    hits = points.withColumn("_band", at("y")).join(banded, "_band").where(crosses)
+    banded, crosses, x, at = _banded(edges, band)
+    hits = points.withColumn("_band", at("y")).join(banded, "_band").where(crosses & (F.col("x") < x))
     return hits.groupBy("poly", "id").agg(F.count("*").alias("_n")).where("_n % 2 = 1").select("poly", "id")
 
 
+def pixels_in_polygon(pixels: DataFrame, edges: DataFrame, band: float = 0.05) -> DataFrame:
+    """The same for points that share few values of y, as pixels do.
+
+    Neighbours of one y meet an edge together, as a run by x: what lies left of the crossing is a number whose low bits are
+    set, and the bits that an odd number of a polygon's edges set are points inside. So a polygon has a row for each run
+    that it meets, not for each pixel."""
+    banded, crosses, x, at = _banded(edges, band)
+    blocks = pixels.select("id", F.col("x").cast("double"), F.col("y").cast("double")).dropna(subset=["x", "y"]).withColumn("_block", F.floor(F.monotonically_increasing_id() / NEIGHBOURS))
+    rows = blocks.groupBy("y", "_block").agg(F.array_sort(F.collect_list(F.struct("x", "id"))).alias("_p"))
+    cut = F.transform(F.sequence(F.lit(0), F.floor((F.size("_p") - 1) / RUN).cast("int")), lambda k: F.slice("_p", k * RUN + 1, F.lit(RUN)))
+    runs = stored(rows.select("y", F.explode(cut).alias("_p")).select("y", F.col("_p.x").alias("xs"), F.col("_p.id").alias("ids"), F.monotonically_increasing_id().alias("_run")))
+    met = runs.select("_run", "y", "xs", at("y").alias("_band")).join(banded, "_band").where(crosses).select("poly", "_run", "xs", x.alias("_x"), F.lit(0).alias("_left"))
+    # How many points lie left, by halves.
+    half = 1 << RUN.bit_length() - 1
+    while half:
+        met = met.withColumn("_left", F.col("_left") + F.when(F.get("xs", F.col("_left") + (half - 1)) < F.col("_x"), half).otherwise(0))
+        half //= 2
+    bits = F.call_function("shiftleft", F.lit(1).cast("bigint"), F.col("_left")) - 1
+    odd = met.select("poly", "_run", bits.alias("_bits")).groupBy("poly", "_run").agg(F.bit_xor("_bits").alias("_bits")).where("_bits <> 0")
+    inside = odd.join(runs.select("_run", "ids"), "_run").select("poly", "_bits", F.posexplode("ids").alias("_k", "id"))
+    return inside.where("shiftright(_bits, _k) & 1 = 1").select("poly", "id")
+
+
 def ray_hits(triangles: DataFrame, origin: Column, direction: Column) -> DataFrame:
     """triangles (tri_id, a, b, c) that a ray hits, with hit (t, u, v)."""
     return triangles.withColumn("hit", vec.ray_triangle(origin, direction, F.col("a"), F.col("b"), F.col("c"))).where("hit is not null")

@@ -186,7 +186,7 @@ def _(spark, d):
     """The pixels of a grid within every user's contour, seen along z, labelled by kind of contour."""
     edges = volumes.closed_pairs(contours(spark, d), ["user_id"]).select(F.col("user_id").alias("poly"), F.col("p.x").alias("x1"), F.col("p.y").alias("y1"), F.col("q.x").alias("x2"), F.col("q.y").alias("y2"))
     grid = spark.range(1600).select("id", (F.col("id") % 40 * 2 + 0.25).alias("x"), (F.floor(F.col("id") / 40) * 1.5 + 0.3).alias("y"))
-    inside = spatial.points_in_polygon(grid, edges, 4.0)
+    inside = spatial.pixels_in_polygon(grid, edges, 4.0)
     return inside.select("poly", F.floor(F.col("id") / 40).alias("row"), (F.col("id") % 40).alias("col"), (1 + F.col("poly") % 2).cast("int").alias("label"))
 
 

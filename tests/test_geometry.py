@@ -365,6 +365,26 @@ def test_contour_triangles(spark):
         assert abs(got[c][1] - abs(sum(a * y - b * x for (a, b), (x, y) in zip(ps, ps[1:] + ps[:1]))) / 2) < 1e-6
 
 
+def test_pixels_in_polygon(spark):
+    """Rows of pixels longer than a run, a whole row within a polygon, corners on pixels, places without order and pixels without a place."""
+    rng = random.Random(5)
+    pixels = [(k, k % 150 * 0.5, float(k // 150)) for k in range(900)] + [(900 + k, rng.uniform(0, 75), rng.choice([2.5, 3.5])) for k in range(200)]
+    rng.shuffle(pixels)
+    polygons = [[(-5.0, 1.5), (200.0, 1.5), (200.0, 2.5), (-5.0, 2.5)], [(1.0, 0.0), (60.0, 3.0), (40.0, 5.0), (20.0, 2.0), (10.0, 5.0)], [(rng.uniform(-5, 80), rng.uniform(-1, 6)) for _ in range(40)]]
+    edges = [(n, *a, *b) for n, ps in enumerate(polygons) for a, b in zip(ps, ps[1:] + ps[:1])]
+    want = set()
+    for n, ps in enumerate(polygons):
+        for k, x, y in pixels:
+            over = sum((b > y) != (d > y) and x < (c - a) * (y - b) / (d - b) + a for m, a, b, c, d in edges if m == n)
+            want |= {(n, k)} if over % 2 else set()
+    grid = spark.createDataFrame([*pixels, (5000, None, 2.0), (5001, 3.0, None)], "id bigint, x double, y double").repartition(3)
+    frame = spark.createDataFrame(edges, "poly int, x1 double, y1 double, x2 double, y2 double")
+    for found in (spatial.pixels_in_polygon(grid, frame, 2.0), spatial.points_in_polygon(grid, frame, 2.0)):
+        rows = [tuple(r) for r in found.select("poly", "id").collect()]
+        assert len(rows) == len(set(rows)) and set(rows) == want
+    assert {k for n, k in want if n == 0} >= set(range(300, 450))
+
+
 def test_box_cells(spark):
     """A box of any size touches a few cells only."""
     df = spark.createDataFrame([(k, (0.3, 0.3, 0.3), (0.3 + 10.0**k,) * 3) for k in range(-3, 6)], f"k int, a {XYZ}, b {XYZ}")
