@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from functools import reduce
 
 import numpy as np
@@ -75,12 +76,19 @@ def evaluate(elements: DataFrame, values: DataFrame, elem_type: str, xi: tuple[f
 
 
 def positions(elements: DataFrame, nodes: DataFrame, elem_type: str, xi: list[tuple[float, ...]]) -> DataFrame:
-    """(elem_id, k, p): points at places of every element; coordinates are null where a node is missing. nodes: (node_id, p)."""
-    rows = [F.array(*basis.lagrange(elem_type, [F.lit(float(x)) for x in place])) for place in xi]
+    """(elem_id, k, p): points at places of every element; coordinates are null where a node is missing. nodes: (node_id, p).
+
+    An element's nodes come into one row first, and its places are made from that row, so tasks hold a row for each
+    element, not for each place. Nodes are dealt by element before they are gathered, as few would meet before."""
+    geometry, order, _ = basis.element_type(elem_type)
+    n = len(basis.node_positions(geometry, order))
+    weights = F.from_json(F.lit(json.dumps([basis.weights_at(geometry, order, place) for place in xi])), "array<array<double>>")
     wide = elements.select("elem_id", F.posexplode("node_ids").alias("_k", "node_id")).join(nodes, "node_id", "left")
-    wide = wide.select("elem_id", "_k", "p", F.posexplode(F.array(*rows)).alias("k", "_w")).withColumn("_w", F.get("_w", F.col("_k")))
-    sums = wide.groupBy("elem_id", "k").agg(*(_whole(F.col("_w") * F.col(f"p.{c}")).alias(c) for c in "xyz"))
-    return sums.select("elem_id", "k", F.struct("x", "y", "z").alias("p"))
+    dealt = wide.select("elem_id", "_k", *(F.col(f"p.{c}").alias(c) for c in "xyz")).repartition("elem_id")
+    corners = dealt.groupBy("elem_id").agg(F.count("*").alias("_n"), *(F.max(F.when(F.col("_k") == k, F.col(c))).alias(f"_{c}{k}") for c in "xyz" for k in range(n)))
+    placed = corners.select("*", F.posexplode(weights).alias("k", "_w"))
+    at = lambda c: F.when(F.col("_n") == n, basis.combine([F.get("_w", k) for k in range(n)], [F.col(f"_{c}{k}") for k in range(n)]))
+    return placed.select("elem_id", "k", F.struct(*(at(c).alias(c) for c in "xyz")).alias("p"))
 
 
 def slice_plane(elements: DataFrame, nodes: DataFrame, at: tuple, normal: tuple, geometry: str) -> DataFrame:

@@ -385,6 +385,26 @@ def test_pixels_in_polygon(spark):
     assert {k for n, k in want if n == 0} >= set(range(300, 450))
 
 
+def test_positions(spark):
+    """Places of quadratic elements against numpy; none where a node or an entry is missing. Elements are gathered before they have a row for each place."""
+    from meshlake.operators import mesh
+
+    places, xi = basis.node_positions("Tet", 2), [(0.1, 0.2, 0.3), (0.0, 0.5, 0.0), (0.25, 0.25, 0.5)]
+    at = {k: tuple(map(float, p)) for k, p in enumerate(np.random.default_rng(2).uniform(-9, 9, (30, 3)))}
+    cells = [(0, list(range(10))), (1, list(range(29, 9, -2))), (2, [*range(9), 99]), (3, list(range(9)))]
+    nodes = spark.createDataFrame(list(at.items()), f"node_id bigint, p {XYZ}")
+    found = mesh.positions(spark.createDataFrame(cells, "elem_id bigint, node_ids array<bigint>"), nodes, "Tet2NL", xi)
+    got = {(r.elem_id, r.k): tuple(r.p) for r in found.collect()}
+    assert len(got) == 12 and all(got[e, k] == (None, None, None) for e in (2, 3) for k in range(3))
+    for e, ids in cells[:2]:
+        for k, place in enumerate(xi):
+            want = np.array(basis.weights_at("Tet", 2, place)) @ np.array([at[i] for i in ids])
+            assert np.abs(np.array(got[e, k]) - want).max() < 1e-9
+    # From the top of the plan down: the places, then the aggregation, then the nodes.
+    steps = [line for line in found._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Generate" in line or "Aggregate" in line]
+    assert "Generate" in steps[0] and "Aggregate" in steps[1] and len(places) == 10
+
+
 def test_box_cells(spark):
     """A box of any size touches a few cells only."""
     df = spark.createDataFrame([(k, (0.3, 0.3, 0.3), (0.3 + 10.0**k,) * 3) for k in range(-3, 6)], f"k int, a {XYZ}, b {XYZ}")
