@@ -66,11 +66,11 @@ def dedup_nodes(nodes: DataFrame, digits: int = 9) -> DataFrame:
 
 
 def reindex(index: DataFrame, key: str = "elem_id", ids: str = "node_ids") -> DataFrame:
-    """(node_id, new_id): used nodes numbered in the order of their first use. Only one row per node reaches the ordering."""
+    """(node_id, new_id): used nodes numbered in the order of their first use, nodes with the same one by their number. Only one row per node reaches the ordering."""
     used = index.select(F.col(key).alias("_e"), F.posexplode(ids).alias("_k", "node_id")).groupBy("node_id").agg(F.min(F.struct("_e", "_k")).alias("_use"))
     from .matrix import dense_ids
 
-    return dense_ids(used, ["_use"], "new_id").select("node_id", "new_id")
+    return dense_ids(used, ["_use", "node_id"], "new_id").select("node_id", "new_id")
 
 
 def vertex_normals(triangles: DataFrame) -> DataFrame:

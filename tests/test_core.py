@@ -22,6 +22,18 @@ def test_dense_ids_with_payload_over_many_tasks(spark):
         assert w.join(w.select((F.col("row_id") - 1).alias("row_id"), F.col("o").alias("n")), "row_id").where("o > n").count() == 0
 
 
+def test_reindex_numbers_ties_by_node(spark):
+    """Many elements have the same number, so many nodes the same first use."""
+    df = spark.range(3000).select((F.col("id") % 7).alias("elem_id"), F.array(F.col("id") * 1237 % 3001).alias("node_ids")).repartition(5)
+    used = sorted((k % 7, k * 1237 % 3001) for k in range(3000))
+    # Small partitions would be merged to one, in which nodes are in order by themselves.
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        assert [r.node_id for r in spatial.reindex(df).orderBy("new_id").collect()] == [node for _, node in used]
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+
+
 def test_numbered_within_hot_and_null_keys(spark):
     df = spark.range(30_000).select(F.when(F.col("id") % 3 == 0, F.lit("hot")).when(F.col("id") % 3 == 1, (F.col("id") % 50).cast("string")).alias("k"), "id")
     got = numbered(df, ["k"], ["id"], "n", rows_per_task=1000)
