@@ -365,6 +365,30 @@ def test_contour_triangles(spark):
         assert abs(got[c][1] - abs(sum(a * y - b * x for (a, b), (x, y) in zip(ps, ps[1:] + ps[:1]))) / 2) < 1e-6
 
 
+def test_contours_with_events_in_one_direction(spark, tmp_path):
+    """Two events in each direction of the middle: they follow each other by their number, however the mean is rounded."""
+    import datetime
+
+    from meshlake.operators import agg
+    from meshlake.plans import registry
+
+    rng, rows, want = random.Random(8), [], {}
+    for user in range(60):
+        ways = list({(rng.randrange(1, 40), rng.randrange(1, 40)) for _ in range(5)})
+        ways = [(a, b) for k, (a, b) in enumerate(ways) if all(a * d != b * c for c, d in ways[:k])]
+        places = [(s * k * a, s * k * b) for a, b in ways for k in (1, 2) for s in (1, -1)]
+        rng.shuffle(places)
+        rows += [(user * 100 + k, datetime.datetime(2024, 1, 1, 0, 0, 0) + datetime.timedelta(seconds=1206 + y), user, "x", (3011 + 7 * x) / 100, "") for k, (x, y) in enumerate(places)]
+        turned = sorted(range(len(places)), key=lambda k: (round(math.atan2(places[k][1] * 100, places[k][0] * 7 * 60), 12), k))
+        ps = [(places[k][0] * 0.07, places[k][1] / 60) for k in turned]
+        want[user] = len(ps) - 2, abs(sum(a * y - b * x for (a, b), (x, y) in zip(ps, ps[1:] + ps[:1]))) / 2
+    spark.createDataFrame(rows, "event_id bigint, ts timestamp, user_id bigint, event_type string, value double, props string").repartition(7).write.parquet(f"{tmp_path}/events.parquet")
+    got = {r.user_id: (r.triangles, r.area) for r in registry.QUERIES["contour_triangles"](spark, str(tmp_path)).collect()}
+    assert got.keys() == want.keys() and all(got[u][0] == n and abs(got[u][1] - area) < 2e-6 for u, (n, area) in want.items())
+    odd = spark.createDataFrame([(1, 1e17), (1, 1.0), (1, -1e17), (2, 1e30), (2, 3e30), (3, None), (4, float("inf"))], "k int, v double")
+    assert {r.k: r.m for r in odd.groupBy("k").agg(agg.exact_mean("v").alias("m")).collect()} == {1: 1 / 3, 2: 2e30, 3: None, 4: float("inf")}
+
+
 def test_pixels_in_polygon(spark):
     """Rows of pixels longer than a run, a whole row within a polygon, corners on pixels, places without order and pixels without a place."""
     rng = random.Random(5)
