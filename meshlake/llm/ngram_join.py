@@ -15,11 +15,20 @@ shingles are put in. So:
 2. Shingles of first-order prefixes join the classes that have them; what they
    connect, a cluster, is a superset of any linked group. A shingle known to be
    in one document only joins nothing and is not sent.
-3. Clusters are cut into blocks, and every pair of blocks is one task's work.
+3. As tables grow, shingles of unrelated texts come to be in other documents, too,
+   and chains of them join most classes to one cluster. A cluster of more than a
+   block is connected anew by parts of its sets: hashes cut all shingles into
+   parts, sets that may link differ in d shingles at most, so all but d parts are
+   equal, and of each set the d + 1 parts with the most shingles must have one in
+   common with the other's (the prefixes of 2., with parts for shingles). d
+   follows from the sizes: sets lie in bands of sizes such that only those of
+   neighbouring bands may link. A row for each of a set's parts is all that this
+   sends, and equal parts of many shingles are rare but in near copies.
+4. Clusters are cut into blocks, and every pair of blocks is one task's work.
    There a pair of classes must share a prefix shingle in every order; only such
    pairs are verified by their exact intersection. A task returns a spanning
    forest of its links, so that no group gives all its pairs.
-4. Components over the links of all tasks.
+5. Components over the links of all tasks.
 
 Nulls and odd cases: a text without words has an empty set, links with nothing
 and is its own component; with fewer than n words the whole sequence is one
@@ -239,9 +248,67 @@ def measured(docs: DataFrame, size: int, percent: int, bucket_bytes: int) -> Dat
     return written(found.withColumns({c: F.when(F.col("many") == 1, F.col(c)) for c in ("tokens", "grams")}))
 
 
+def size_bands(largest: int, percent: int) -> np.ndarray:
+    """The least size of each band, beyond `largest`; sets of sizes that are not in the same or in neighbouring bands cannot link."""
+    low = [1]
+    while low[-1] <= largest:
+        low.append(low[-1] * 100 // percent + 1)
+    return np.array([*low, low[-1] * 100 // percent + 1])
+
+
+def _parts(grams: np.ndarray, differences: int, seed: int) -> np.ndarray:
+    """Hashes of the parts of a set that have the most of its shingles; sets that differ in so many shingles at most share one."""
+    n = differences + 1
+    # Some parts more than are needed, so that those of few shingles are not among the first.
+    k = n + n // 6
+    part = ((grams >> np.uint64(32)) * np.uint64(k) >> np.uint64(32)).astype(np.int64)
+    ends = np.cumsum(np.bincount(part, minlength=k))
+    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix(grams * np.uint64(ORDERS[1])), dtype=np.uint64)])[np.concatenate([[0], ends])]
+    own = mix(sums[1:] - sums[:-1] + np.arange(1, k + 1, dtype=np.uint64) * np.uint64(ORDERS[2]) + np.uint64(seed * BASE % (1 << 64)))
+    return own[np.lexsort((own, -np.diff(ends, prepend=0)))[:n]]
+
+
+def set_parts(grams: np.ndarray, bands: np.ndarray, percent: int) -> np.ndarray:
+    """Hashes of parts of a sorted set; two different sets that link have one in common. A set is cut for its own band, with the next one, and for the one before."""
+    band = int(np.searchsorted(bands, len(grams), "right")) - 1
+    out = []
+    for b in (band - 1, band):
+        if b >= 0:
+            most = int(bands[b + 1]) - 1
+            differences = (100 - percent) * (most + most * 100 // percent) // (100 + percent)
+            # Sets of so few shingles only link when they are equal.
+            if differences:
+                out.append(_parts(grams, differences, b))
+    return np.concatenate(out) if out else np.zeros(0, np.uint64)
+
+
+def refined(roots: DataFrame, sets: DataFrame, percent: int, block: int) -> DataFrame:
+    """(node, root) with the clusters of more than a block connected anew, by equal parts of sets (sig, grams)."""
+    roots = roots.select("node", "root")
+    large = roots.groupBy("root").agg(F.count("*").alias("members")).where(F.col("members") > block)
+    # Fewer than a row for each block.
+    kept, again = roots.join(F.broadcast(large.select("root")), "root", "left_anti"), roots.join(F.broadcast(large.select("root")), "root")
+    chosen = sets.join(again.select(F.col("node").alias("sig")), "sig", "left_semi")
+
+    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            found = [np.frombuffer(g, np.uint64) for g in pdf.grams]
+            bands = size_bands(max(map(len, found), default=0), percent)
+            tokens = [set_parts(g, bands, percent) for g in found]
+            if tokens:
+                yield pd.DataFrame({"token": np.concatenate(tokens).view(np.int64), "sig": np.repeat(pdf.sig.to_numpy(), [len(t) for t in tokens])})
+
+    return kept.select("node", "root").unionByName(connected(chosen.mapInPandas(cut, "token bigint, sig binary")))
+
+
 def clusters(found: DataFrame) -> DataFrame:
     """(node, root): classes connected by shingles that their first-order prefixes share."""
-    pairs = written(found.where("sig is not null").select(F.explode("tokens").alias("token"), "sig").distinct())
+    return connected(found.where("sig is not null").select(F.explode("tokens").alias("token"), "sig").distinct())
+
+
+def connected(pairs: DataFrame) -> DataFrame:
+    """(node, root): classes (token, sig) connected by tokens that they share."""
+    pairs = written(pairs)
     shared = pairs.groupBy("token").agg(F.min("sig").alias("first"), F.count("*").alias("n")).where("n > 1")
     links = join_groups(pairs, shared, "token", "n", pairs.count())
     return components(links.where(F.col("sig") != F.col("first")).select(F.col("sig").alias("u"), F.col("first").alias("v")))
@@ -303,12 +370,13 @@ def verified(sets: list[np.ndarray], side: np.ndarray, percent: int) -> np.ndarr
 
 def links(found: DataFrame, percent: int, block: int) -> DataFrame:
     """(u, v): a spanning forest of the links between classes, by signature, from every pair of blocks."""
+    # Copies of a class have equal sets; one of them is enough.
+    sets = found.where("grams is not null").select("sig", "key").groupBy("sig").agg(F.min("key").alias("key"))
+    sets = found.where("grams is not null").select("sig", "key", "grams").join(sets, ["sig", "key"], "left_semi").select("sig", "grams")
     roots = written(clusters(found))
+    roots = written(refined(roots, sets, percent, block))
     blocks = roots.groupBy("root").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"), F.count("*").alias("members"))
     members = join_groups(roots, blocks, "root", "members", roots.count()).drop("members")
-    # Copies of a class have equal sets; one of them is enough.
-    sets = found.where("grams is not null").select("sig", "key").groupBy("sig").agg(F.min("key").alias("key"))
-    sets = found.where("grams is not null").select("sig", "key", "grams").join(sets, ["sig", "key"], "left_semi")
     members = members.join(sets, members["node"] == sets["sig"]).select("sig", "grams", "root", "blocks")
     mine = F.pmod(F.xxhash64("sig"), F.col("blocks")).cast("int")
     members = members.withColumn("mine", mine).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))

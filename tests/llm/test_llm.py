@@ -104,6 +104,41 @@ def test_ngram_join_random(spark):
         assert sorted((str(r.id), r.n_shingles, str(r.component_id)) for r in got.collect()) == brute_components(rows, size, percent)
 
 
+def test_ngram_join_of_chained_texts(spark):
+    """Texts of few different shingles are one cluster by their shingles; by parts of their sets only near copies are together, and no link is lost."""
+    rng = random.Random(6)
+    vocabulary = [f"w{k}" for k in range(9)]
+    rows = []
+    for _ in range(60):
+        base = rng.choices(vocabulary, k=rng.randint(30, 120))
+        for k in range(3):
+            rows.append((len(rows), " ".join(w if rng.random() > 0.005 * k else rng.choice(vocabulary) for w in base)))
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    for percent in (90,):
+        found = ngram_join.measured(df.selectExpr("doc_id AS id", "doc_id AS key", "text"), 3, percent, 2000)
+        sizes = lambda roots: sorted(r["count"] for r in roots.groupBy("root").count().collect())
+        roots = ngram_join.clusters(found)
+        sets = found.where("grams is not null").dropDuplicates(["sig"]).select("sig", "grams")
+        assert sizes(roots)[-1] > 100 and sizes(ngram_join.refined(roots, sets, percent, 20))[-1] < 20
+        assert sizes(ngram_join.refined(roots, sets, percent, 1000)) == sizes(roots)
+        got = ngram_join.linked(df, size=3, percent=percent, block=7, bucket_bytes=2000)
+        assert sorted((str(r.id), r.n_shingles, str(r.component_id)) for r in got.collect()) == brute_components(rows, 3, percent)
+
+
+def test_parts_of_linked_sets():
+    """Sets that just link have a part in common, whatever their sizes and wherever they differ."""
+    rng = np.random.default_rng(1)
+    for percent in (90, 80, 50):
+        for trial in range(1500):
+            n = int(rng.integers(1, (12, 60, 400)[trial % 3]))
+            most = 100 * n // percent - n
+            one = (0, most, int(rng.integers(0, most + 1)))[trial // 3 % 3]
+            x = rng.integers(0, 1 << 63, n + most, dtype=np.uint64) * np.uint64(2)
+            a, b = np.unique(x[: n + one]), np.unique(np.concatenate([x[:n], x[n + one :]]))
+            parts = [ngram_join.set_parts(s, ngram_join.size_bands(len(s), percent), percent) for s in (a, b)]
+            assert most == 0 or len(np.intersect1d(*parts))
+
+
 def test_components(spark):
     links = [(k, k + 1) for k in range(40)] + [(100, 101), (101, 103), (7, 7)]
     got = {r.node: r.root for r in components(spark.createDataFrame(links, "u bigint, v bigint")).collect()}
