@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import itertools
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -50,37 +51,48 @@ def invert(corners: np.ndarray, points: np.ndarray, geometry: str, order: int, s
     its parts, halved level by level; what has come to it outside the element is outside, as elements do not fold."""
     powers = np.array(basis.exponents(geometry, order))
     dims, simplex = basis.GEOMETRIES[geometry]
-    weights = np.einsum("im,nic->nmc", basis.lagrange_coefficients(geometry, order), corners)
+    # Rows last, so that each operation goes along all of them.
+    weights = np.einsum("im,nic->mcn", basis.lagrange_coefficients(geometry, order), corners)
     size = np.maximum(np.ptp(corners, axis=1).max(1), 1e-300)
     out = np.full((len(points), dims), np.nan)
 
-    def monomials(xi: np.ndarray, d: int | None = None) -> np.ndarray:
-        e = powers.copy()
-        scale = np.ones(len(e))
-        if d is not None:
-            scale = e[:, d].astype(float)
-            e[:, d] = np.maximum(e[:, d] - 1, 0)
-        return scale * np.prod(xi[:, None, :] ** e[None, :, :], 2)
-
+    def terms(xi: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
+        """The monomials at places, and their derivatives along each axis."""
+        power = np.ones((powers.max() + 1, *xi.shape))
+        for k in range(1, len(power)):
+            power[k] = power[k - 1] * xi
+        of = [power[powers[:, d], d] for d in range(dims)]
+        slope = [powers[:, d, None] * power[np.maximum(powers[:, d] - 1, 0), d] for d in range(dims)]
+        product = lambda x: reduce(np.multiply, x)
+        return product(of), [product([*of[:d], slope[d], *of[d + 1 :]]) for d in range(dims)]
+
+    at = lambda m, w: np.einsum("mn,mcn->cn", m, w)
     todo = np.arange(len(points))
     for level in range(levels + 1):
         for start in _starts(geometry, level):
             if not len(todo):
                 return out
-            xi, w = np.tile(start, (len(todo), 1)), weights[todo]
+            xi, left_over = np.tile(start[:, None], (1, len(todo))), np.arange(len(todo))
+            w, p = weights[:, :, todo], points[todo].T
             for _ in range(steps):
-                off = np.einsum("nm,nmc->nc", monomials(xi), w) - points[todo]
-                slope = np.stack([np.einsum("nm,nmc->nc", monomials(xi, d), w) for d in range(dims)], 2)
+                value, slopes = terms(xi[:, left_over])
+                off, slope = at(value, w) - p, np.stack([at(m, w) for m in slopes])
                 # Least squares: the same as the inverse for volumes, and it serves surfaces and lines.
-                left = np.einsum("ncd,nce->nde", slope, slope)
-                right = np.einsum("ncd,nc->nd", slope, off)
+                left = np.einsum("dcn,ecn->nde", slope, slope)
+                right = np.einsum("dcn,cn->nd", slope, off)
                 damp = 1e-30 + 1e-14 * np.trace(left, axis1=1, axis2=2)
                 left = left + damp[:, None, None] * np.eye(dims)
-                xi = np.clip(xi - np.linalg.solve(left, right[:, :, None])[:, :, 0], -1.0, 2.0)
-            off = np.abs(np.einsum("nm,nmc->nc", monomials(xi), w) - points[todo]).max(1)
-            inside = (xi >= -eps).all(1) & ((xi.sum(1) <= 1 + eps) if simplex else (xi <= 1 + eps).all(1))
+                new = np.clip(xi[:, left_over] - np.linalg.solve(left, right[:, :, None])[:, :, 0].T, -1.0, 2.0)
+                # What no longer moves has come to its place, or to a bound where it would stay.
+                moved = np.abs(new - xi[:, left_over]).max(0) > 1e-14
+                xi[:, left_over] = new
+                left_over, w, p = left_over[moved], w[:, :, moved], p[:, moved]
+                if not len(left_over):
+                    break
+            off = np.abs(at(terms(xi)[0], weights[:, :, todo]) - points[todo].T).max(0)
+            inside = (xi >= -eps).all(0) & ((xi.sum(0) <= 1 + eps) if simplex else (xi <= 1 + eps).all(0))
             close = off <= max(eps, 1e-9) * size[todo]
-            out[todo[close & inside]] = xi[close & inside]
+            out[todo[close & inside]] = xi[:, close & inside].T
             todo = todo[~close]
     return out
 

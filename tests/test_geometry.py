@@ -129,6 +129,23 @@ def test_locate_sends_corners_once(spark):
     assert "cnodes" not in boxes and "BroadcastHashJoin" not in found._jdf.queryExecution().executedPlan().toString()
 
 
+def test_newton_steps_end(monkeypatch):
+    """Points that have come to their place take no further steps; coordinates are found as before, of points outside none."""
+    rng, solve, rows = np.random.default_rng(2), np.linalg.solve, []
+    monkeypatch.setattr(np.linalg, "solve", lambda a, b: rows.append(len(a)) or solve(a, b))
+    for name, bend in (("Hex1NL", 0.1), ("Tet2NL", 0.04), ("Tri2NL", 0.04)):
+        geometry, order, _ = basis.element_type(name)
+        places, n = basis.node_positions(geometry, order), 500
+        corners = np.pad(places, ((0, 0), (0, 3 - places.shape[1])))[None] + rng.uniform(-bend, bend, (n, len(places), 3))
+        xi = rng.uniform(0.02, 0.32, (n, places.shape[1]))
+        weights = np.array([basis.weights_at(geometry, order, tuple(x)) for x in xi])
+        points = np.einsum("ni,nic->nc", weights, corners)
+        rows.clear()
+        assert np.abs(search.invert(corners, points, geometry, order, 12, 2, 1e-9) - xi).max() < 1e-9
+        assert sum(rows) < 8 * n
+        assert np.isnan(search.invert(corners[:50], points[:50] + 1.2, geometry, order, 12, 2, 1e-9)).all()
+
+
 def test_meeting_of_dense_cells(spark, monkeypatch):
     """All tetrahedra about one place: their cells are cut into parts, their pairs into pieces, and every pair still meets once."""
     rng = np.random.default_rng(8)
