line_tubes: rings of a tube are sent before their points are made

Symptom: line_tubes shuffles many times what it reads; most of it are the points of the tubes, eight for each event.
Evidence: event log, events at sf0.1, 4 cores: 24.6 of 41.6 MB written are 800,000 points that go to their rings' middles by line and ring; the other 16 exchanges share the rest.
Fix: tubes deals rings by line and number, a row each, and makes the points behind that exchange, so what joins or gathers by ring sends no point; tasks are counted by rows (about 100,000 points each), so a long line's points come from many tasks.
Effect, together with 3 more commits on this code: at 1 GB of input CPU 947 -> 677 s, shuffle 2.69 -> 1.34 GB, spill 0.00 -> 0.00 GB, read 0.45 -> 0.47 GB, longest task 41 -> 9 s, most memory of a task 327 -> 261 MB; at 6 GB of input CPU 4212 -> 1960 s, shuffle 16.03 -> 8.81 GB, spill 0.00 -> 0.00 GB, read 2.85 -> 2.95 GB, longest task 168 -> 20 s, most memory of a task 587 -> 706 MB; with hot keys, at 1 GB of input CPU 1008 -> 641 s, shuffle 2.42 -> 1.19 GB, spill 0.00 -> 0.00 GB, read 0.45 -> 0.45 GB, longest task 136 -> 17 s, most memory of a task 369 -> 638 MB.

@@ -99,21 +99,27 @@ def placed(template: tuple[DataFrame, DataFrame], rows: DataFrame, key: str, cen
     return moved, rows.select(key).crossJoin(triangles)
 
 
-def tubes(lines: DataFrame, key: str, spokes: int) -> tuple[DataFrame, DataFrame]:
+def tubes(lines: DataFrame, key: str, spokes: int, rows_per_task: int = 100_000) -> tuple[DataFrame, DataFrame]:
     """(nodes, triangles) of tubes along lines (key, at, p, radius): a ring of points around each point of a line, across the
     mean direction of the pieces beside it. nodes: (key, ring, k, p), triangles: (key, ring, k, part, corners as structs
-    (ring, k)). Rings start at the side that looks away from the line's middle, so that tubes are not twisted."""
+    (ring, k)). Rings start at the side that looks away from the line's middle, so that tubes are not twisted.
+
+    Rings are dealt by line and number before their points are made, to tasks of about rows_per_task points: a ring is
+    sent once, not each of its points, a long line's points come from many tasks, and what joins or gathers nodes by ring
+    finds them together."""
+    tasks = max(1, -(-lines.count() * spokes // rows_per_task))
     by = Window.partitionBy(key).orderBy("at")
     middle = lines.groupBy(key).agg(*(F.avg(f"p.{c}").alias(c) for c in "xyz")).select(key, vec.vec(F.col("x"), F.col("y"), F.col("z")).alias("_m"))
     d = lines.select(key, "at", "p", "radius", F.lag("p").over(by).alias("_a"), F.lead("p").over(by).alias("_b"), (F.row_number().over(by) - 1).cast("bigint").alias("ring"))
     back, on = vec.sub(F.col("p"), F.col("_a")), vec.sub(F.col("_b"), F.col("p"))
     way = F.when(F.col("_a").isNull(), vec.norm(on)).when(F.col("_b").isNull(), vec.norm(back)).otherwise(vec.norm(vec.add(back, on)))
     d = d.join(middle, key).withColumn("_d", way).where("_d.x is not null")
+    rings = d.select(key, "ring", "p", "radius", "_d", "_m").repartition(tasks, key, "ring")
     away = vec.sub(F.col("p"), F.col("_m"))
     flat = vec.cross(F.col("_d"), away)
     other = vec.cross(F.col("_d"), F.when(F.abs(F.col("_d.z")) < 0.9, vec.vec(0, 0, 1)).otherwise(vec.vec(1, 0, 0)))
-    d = d.withColumn("_v", vec.norm(F.when(vec.length(flat) > 1e-9, flat).otherwise(other))).withColumn("_u", vec.cross(F.col("_v"), F.col("_d")))
-    wide = d.withColumn("k", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(spokes - 1).cast("bigint"))))
+    rings = rings.withColumn("_v", vec.norm(F.when(vec.length(flat) > 1e-9, flat).otherwise(other))).withColumn("_u", vec.cross(F.col("_v"), F.col("_d")))
+    wide = rings.withColumn("k", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(spokes - 1).cast("bigint"))))
     angle = F.col("k") * (2 * math.pi / spokes)
     nodes = wide.select(key, "ring", "k", vec.add(F.col("p"), vec.add(vec.scale(F.col("_u"), F.col("radius") * F.cos(angle)), vec.scale(F.col("_v"), F.col("radius") * F.sin(angle)))).alias("p"))
     last = d.groupBy(key).agg(F.max("ring").alias("_last")).where("_last > 0")

@@ -58,6 +58,29 @@ def test_plane_circle_tube(spark):
     assert tuple(board.d) == (0.5, 0.5, 0.0)
 
 
+def test_tube_rings_are_sent_not_their_points(spark):
+    """A line that has most rings, one without a key, of one point, of equal points, with an empty point and with a repeated row."""
+    far = [("a", k, (math.cos(k / 3), math.sin(k / 3), k / 5), 0.1 + k / 5000) for k in range(500)]
+    odd = [(None, 0, (0.0, 0.0, 0.0), 1.0), (None, 1, (0.0, 0.0, 1.0), 1.0), ("b", 0, (0.0, 0.0, 0.0), 1.0), ("c", 0, (1.0, 1.0, 1.0), 1.0), ("c", 1, (1.0, 1.0, 1.0), 1.0)]
+    odd += [("d", 0, (0.0, 0.0, 0.0), 1.0), ("d", 1, None, 1.0), ("d", 2, (0.0, 0.0, 2.0), None), ("d", 3, (0.0, 0.0, 3.0), 2.0)] + [("e", k, (0.0, 1.0 * k, 0.0), 0.5) for k in (0, 0, 1, 2)]
+    df = spark.createDataFrame(far + odd, f"key string, at int, p {XYZ}, radius double")
+    nodes, cells = shapes.tubes(df, "key", 8, rows_per_task=500)
+    found = nodes.select("key", "ring", "k", "p", F.spark_partition_id().alias("task")).collect()
+    rings = Counter((r.key, r.ring) for r in found)
+    assert set(rings.values()) == {8} and Counter(key for key, _ in rings) == {"a": 500, "c": 2, "d": 2, "e": 4}
+    center = {("a", k): p for _, k, p, _ in far} | {("c", k): (1.0, 1.0, 1.0) for k in (0, 1)} | {("e", k): p for k, (_, _, p, _) in enumerate(odd[-4:])}
+    # A ring whose neighbours tell no direction is its point.
+    radius = {("a", k): r for _, k, _, r in far} | {("c", 0): 0.0, ("c", 1): 0.0} | {("e", k): 0.5 if k else 0.0 for k in range(4)}
+    assert all(abs(math.dist(tuple(r.p), center[r.key, r.ring]) - radius[r.key, r.ring]) < 1e-9 for r in found if r.key != "d")
+    assert {(r.ring, None if r.p.x is None else round(math.hypot(r.p.x, r.p.y), 9), r.p.z) for r in found if r.key == "d"} == {(2, None, None), (3, 2.0, 3.0)}
+    assert cells.count() == (499 + 1 + 3 + 3) * 16
+    # 513 rings of 8 points are 9 tasks; rings go to them, and nodes of a ring need no other shuffle to meet.
+    assert len({r.task for r in found if r.key == "a"}) == 9 and max(Counter(r.task for r in found).values()) < 800
+    plan = nodes.groupBy("key", "ring").count()._jdf.queryExecution().executedPlan().toString().splitlines()
+    steps = [line for line in plan if "Exchange" in line or "Generate" in line]
+    assert "Generate" in steps[0] and "ring" in steps[1]
+
+
 def in_triangle(p, corners):
     """Whether a point lies in a closed triangle, which may be a segment or a point."""
     turns = [(b[0] - a[0]) * (p[1] - a[1]) - (b[1] - a[1]) * (p[0] - a[0]) for a, b in zip(corners, corners[1:] + corners[:1])]
