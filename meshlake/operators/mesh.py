@@ -169,10 +169,15 @@ def of_regions(parts: DataFrame, parents: DataFrame, key: str, region: str, chos
 
 
 def evaluate_at(places: DataFrame, elements: DataFrame, values: DataFrame, elem_type: str) -> DataFrame:
-    """(elem_id, point_id, val) of a field at stored places (elem_id, point_id, xi); null where a node has no value."""
+    """(elem_id, point_id, val) of a field at stored places (elem_id, point_id, xi); null where a node has no value.
+
+    Places go to their elements as plain numbers, not as arrays. Nodes are dealt by element before they are gathered, as in
+    positions: few would meet before, and each would be sent in a list of its own."""
     dims = basis.GEOMETRIES[basis.element_type(elem_type)[0]][0]
-    weights = F.array(*basis.lagrange(elem_type, [F.get("xi", k) for k in range(dims)]))
+    places = places.select("elem_id", "point_id", *(F.get("xi", k).alias(f"_xi{k}") for k in range(dims)))
+    weights = F.array(*basis.lagrange(elem_type, [F.col(f"_xi{k}") for k in range(dims)]))
     corners = elements.select("elem_id", F.posexplode("node_ids").alias("k", "node_id")).join(values, "node_id", "left")
+    corners = corners.select("elem_id", "k", "val").repartition("elem_id")
     corners = corners.groupBy("elem_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("k", "val"))), lambda c: c["val"]).alias("vals"))
     total = F.aggregate(F.zip_with("vals", weights, lambda v, w: v * w), F.lit(0.0), lambda s, v: s + v)
     return places.join(corners, "elem_id").select("elem_id", "point_id", total.alias("val"))

@@ -61,6 +61,24 @@ def test_elements_with_missing_nodes_have_no_value(spark):
     assert got == {1: 2.0, 2: None}
 
 
+def test_places_go_to_their_elements_as_numbers(spark):
+    """Places twice, without an element or a place, and short ones; elements twice, short, long and with missing nodes; a node with two values."""
+    elements = [(1, [0, 1, 2]), (2, [0, 1, 9]), (3, [0, None, 2]), (4, [0, 1]), (5, [0, 1, 2, 1]), (6, []), (7, None), (8, [0, 1, 2]), (8, [2, 1, 0]), (9, [0, 1, 3]), (None, [0, 1, 2]), (10, [2, 1, 0])]
+    values = [(0, 1.0), (1, 2.0), (2, 4.0), (3, 8.0), (3, 9.0), (4, None), (None, 5.0)]
+    places = [(e, 0, [0.25, 0.5]) for e in (*range(1, 12), None)] + [(1, 1, [0.0, 0.0]), (1, 1, [0.0, 0.0]), (1, 2, None), (1, 3, [0.5]), (1, 4, [0.5, None]), (1, 5, [0.5, 0.5, 7.0]), (1, None, [1.0, 0.0])]
+    tables = spark.createDataFrame(places, "elem_id int, point_id int, xi array<double>"), spark.createDataFrame(elements, "elem_id int, node_ids array<bigint>"), spark.createDataFrame(values, "node_id bigint, val double")
+    found = mesh.evaluate_at(*tables, "Tri1NL")
+    got = sorted(((r.elem_id, r.point_id, r.val) for r in found.collect()), key=repr)
+    want = [(1, 0, 2.75), (10, 0, 2.0), (1, 1, 1.0), (1, 1, 1.0), (1, 2, None), (1, 3, None), (1, 4, None), (1, 5, 3.0), (1, None, 2.0)] + [(e, 0, None) for e in (2, 3, 4, 5, 8, 9)]
+    assert got == sorted(want, key=repr) and found.columns == ["elem_id", "point_id", "val"]
+    # Below the join of places and elements: no array is sent, and nodes are dealt before they are gathered.
+    plan = found._jdf.queryExecution().optimizedPlan()
+    sides = [plan.child().left(), plan.child().right()] if "Join" not in plan.nodeName() else [plan.left(), plan.right()]
+    assert "array" not in sides[0].schema().simpleString()
+    steps = [line for line in sides[1].toString().splitlines() if "Aggregate" in line or "Repartition" in line]
+    assert "Aggregate" in steps[0] and "Repartition" in steps[1]
+
+
 def test_corners_x_fastest(spark, tmp_path):
     (tmp_path / "a.mesh").write_text("MeshVersionFormatted 1\nDimension 3\nVertices 8\n" + "0 0 0 0\n" * 8 + "Quadrilaterals 1\n1 2 3 4 0\nHexahedra 1\n1 2 3 4 5 6 7 8 0\nEnd\n")
     got = {r.section: r.vals for r in text_meshes.medit(spark, str(tmp_path / "a.mesh")).where("section <> 'Vertices'").collect()}
