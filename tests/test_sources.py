@@ -110,6 +110,26 @@ def test_stores_of_many_names_are_whole_files(spark, tmp_path):
     assert text_meshes.stores(spark, str(tmp_path / "out")).where("section = 's'").count() == 600
 
 
+def test_measure_files_are_gathered_by_few_tasks(spark, tmp_path):
+    """A user who has most events, events that come twice, without a user, a time or a value."""
+    import datetime
+
+    from meshlake.plans import registry
+
+    ts = lambda k: datetime.datetime(2024, 1, 1, k % 24, 0, 0)
+    rows = [(k, ts(k), 1 if k % 5 else 2 + k % 40, "x", k / 8, "") for k in range(400)] + [(500, ts(1), 90, "x", 1.5, "")] * 2
+    rows += [(600, ts(2), None, "x", 2.5, ""), (700, None, 91, "x", 3.5, ""), (701, ts(3), 91, "x", None, "")]
+    spark.createDataFrame(rows, "event_id bigint, ts timestamp, user_id bigint, event_type string, value double, props string").repartition(6).write.parquet(f"{tmp_path}/events.parquet")
+    found = registry.QUERIES["measure_files"](spark, str(tmp_path))
+    got = {r.name: (r.timesteps, r.vals) for r in found.collect()}
+    want = {str(u): ([float(k) for k, _, v, *_ in rows[:400] if v == u], [[round(x, 3), float(t.hour)] for _, t, v, _, x, _ in rows[:400] if v == u]) for u in {r[2] for r in rows[:400]}}
+    want |= {"90": ([500.0] * 2, [[1.5, 1.0]] * 2), "91": ([700.0, 701.0], [[3.5, None], [None, 3.0]]), "__HIVE_DEFAULT_PARTITION__": ([600.0], [[2.5, 2.0]])}
+    assert got == want
+    # From the top of the plan down: the aggregation, then the exchange, then the lines; the tasks that read the files sum nothing up.
+    steps = [line for line in found._jdf.queryExecution().optimizedPlan().toString().splitlines() if any(x in line for x in ("Aggregate", "Repartition", "Generate"))]
+    assert "Aggregate" in steps[0] and "Repartition" in steps[1] and "Generate" in steps[2]
+
+
 def test_long_files_do_not_take_time_by_their_square(spark, tmp_path):
     """Without what goes along with each row, both files are read in seconds; with it in many minutes."""
     import time
