line_tubes: a tube's directions are made units once, behind the filter

Symptom: most CPU of line_tubes goes to one stage of a few dozen sums for each event.
Evidence: event log, events at 10 times sf0.1: 41 of 73 s CPU are in the stage that makes directions, 41 microseconds a row. Its plan holds the unit of each of three cases, and once more in the filter that the optimizer moves below them.
Fix: tubes chooses the direction first, leaves out rows without one by the plain vector (its unit's x is null in the same rows), and makes it a unit once.
Effect, together with 3 more commits on this code: at 1 GB of input CPU 947 -> 677 s, shuffle 2.69 -> 1.34 GB, spill 0.00 -> 0.00 GB, read 0.45 -> 0.47 GB, longest task 41 -> 9 s, most memory of a task 327 -> 261 MB; at 6 GB of input CPU 4212 -> 1960 s, shuffle 16.03 -> 8.81 GB, spill 0.00 -> 0.00 GB, read 2.85 -> 2.95 GB, longest task 168 -> 20 s, most memory of a task 587 -> 706 MB; with hot keys, at 1 GB of input CPU 1008 -> 641 s, shuffle 2.42 -> 1.19 GB, spill 0.00 -> 0.00 GB, read 0.45 -> 0.45 GB, longest task 136 -> 17 s, most memory of a task 369 -> 638 MB.

@@ -112,8 +112,9 @@ def tubes(lines: DataFrame, key: str, spokes: int, rows_per_task: int = 100_000)
     middle = lines.groupBy(key).agg(*(F.avg(f"p.{c}").alias(c) for c in "xyz")).select(key, vec.vec(F.col("x"), F.col("y"), F.col("z")).alias("_m"))
     d = lines.select(key, "at", "p", "radius", F.lag("p").over(by).alias("_a"), F.lead("p").over(by).alias("_b"), (F.row_number().over(by) - 1).cast("bigint").alias("ring"))
     back, on = vec.sub(F.col("p"), F.col("_a")), vec.sub(F.col("_b"), F.col("p"))
-    way = F.when(F.col("_a").isNull(), vec.norm(on)).when(F.col("_b").isNull(), vec.norm(back)).otherwise(vec.norm(vec.add(back, on)))
-    d = d.join(middle, key).withColumn("_d", way).where("_d.x is not null")
+    way = F.when(F.col("_a").isNull(), on).when(F.col("_b").isNull(), back).otherwise(vec.add(back, on))
+    # Points without a direction go before it is made a unit: the filter moves down with all that it is made of.
+    d = d.join(middle, key).withColumn("_w", way).where("_w.x is not null").withColumn("_d", vec.norm(F.col("_w")))
     rings = d.select(key, "ring", "p", "radius", "_d", "_m").repartition(tasks, key, "ring")
     away = vec.sub(F.col("p"), F.col("_m"))
     flat = vec.cross(F.col("_d"), away)

@@ -81,6 +81,20 @@ def test_tube_rings_are_sent_not_their_points(spark):
     assert "Generate" in steps[0] and "ring" in steps[1]
 
 
+def test_tube_directions_are_made_once(spark):
+    """A filter of units is moved below them and works them out by itself, in code too long to be compiled."""
+    line = [("a", k, p, 0.5) for k, p in enumerate([(0.0, 0.0, 0.0), (3.0, 0.0, 0.0), (3.0, 4.0, 0.0), (None, 1.0, 0.0), (3.0, 9.0, 0.0), (3.0, 9.0, 0.0)])]
+    nodes, _ = shapes.tubes(spark.createDataFrame(line, f"key string, at int, p {XYZ}, radius double"), "key", 4)
+    found = nodes.orderBy("ring", "k").collect()
+    at = {(r.ring, r.k): np.array(tuple(r.p), float) for r in found}
+    # Ring 0 looks along x and ring 1 between x and y; next to a point without x there is no direction, and the last one, whose neighbour lies at the same place, is its point.
+    assert Counter(r.ring for r in found) == {0: 4, 1: 4, 5: 4} and all(tuple(at[5, k]) == (3.0, 9.0, 0.0) for k in range(4))
+    along = {0: (1.0, 0.0, 0.0), 1: (0.6, 0.8, 0.0)}
+    assert all(abs((at[ring, k] - line[ring][2]) @ way) < 1e-9 and abs(np.linalg.norm(at[ring, k] - line[ring][2]) - 0.5) < 1e-9 for ring, way in along.items() for k in range(4))
+    filters = [x for x in nodes._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Filter" in x]
+    assert filters and not any("SQRT" in x.upper() for x in filters)
+
+
 def test_line_tubes_reads_its_points_once(spark, tmp_path):
     """Events that come twice, in one second, without a user or a time: what is stored is read, not the events again."""
     import datetime
