@@ -134,7 +134,7 @@ def _(spark, d):
     steps = e.select("name", F.lit("timesteps").alias("key"), text_meshes.literal_text(F.transform("e", lambda x: x["event_id"].cast("double"))).alias("value"))
     points = e.select("name", F.lit("values").alias("key"), text_meshes.literal_text(F.transform("e", lambda x: F.array(x["v"], x["h"]))).alias("value"))
     text_meshes.write_key_values(steps.unionByName(points).withColumn("section", F.lit("measure")), path)
-    # A store's lines are read by one task, so sums of tasks would not be fewer rows, only work for each of the many small tasks that read.
+    # A store has two keys: gathering them in each of the many small tasks that read costs more than to send both.
     read = text_meshes.stores(spark, path).repartition("name").groupBy("name").pivot("key", ["timesteps", "values"]).agg(F.first("value"))
     return read.select("name", text_meshes.literal(F.col("timesteps"), "array<double>").alias("timesteps"), text_meshes.literal(F.col("values"), "array<array<double>>").alias("vals"))
 
